@@ -199,7 +199,7 @@ def detect_two_pass(
             ).otherwise(w["first"]),
         )
 
-    found = rec.found_spans(body, registry=registry, deny_terms=deny_terms)
+    found = rec.found_spans(text, registry=registry, deny_terms=deny_terms)
     work = let(found, lambda f: let(F.struct(f.alias("found"), finish(f).alias("first")), second))
     return df.withColumn(into, work)
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +26,7 @@ ANY, DIGITS, LABEL = "any", "digits", "label"
 class Recognizer:
     """One pattern.
 
-    ``labelled`` patterns hold the groups label and value.  ``needs`` is a literal every match holds;
+    ``labelled`` patterns are the groups label, value and rest.  ``needs`` is a literal every match holds;
     texts without it skip the pattern.
     """
 
@@ -75,7 +76,7 @@ def _stated(labels: str, chars: str, least: int, most: int) -> str:
     """Label, separator and a value up to a comma, full stop, line end or the end of the text."""
     return (
         UNICODE_ANYCASE
-        + rf"""((?:{labels})[:\s]+["']?)([A-Za-zÄÖÜäöüß][{chars}]{{{least},{most}}}?)(?:[,.\n]|$)"""
+        + rf"""((?:{labels})[:\s]+["']?)([A-Za-zÄÖÜäöüß][{chars}]{{{least},{most}}}?)([,.\n]|$)"""
     )
 
 
@@ -91,7 +92,7 @@ AT_UID = Recognizer("at_uid", "AT_UID_NR", UNICODE_ANYCASE + r"\bATU\d{8}\b", 0.
 AT_IBAN = Recognizer("at_iban", "AT_IBAN", UNICODE_ANYCASE + r"\bAT\d{2}\s?(?:\d{4}\s?){3}\d{4}\b", 0.95,
                      context=IBAN_CONTEXT, gate=DIGITS)
 AT_SVNR = Recognizer("at_svnr", "AT_SVNR",
-                     UNICODE_ANYCASE + rf"((?:{SVNR_LABELS})[.:\s]*)\b(\d{{4}}\s?\d{{6}})\b", 0.95,
+                     UNICODE_ANYCASE + rf"((?:{SVNR_LABELS})[.:\s]*)\b(\d{{4}}\s?\d{{6}})\b()", 0.95,
                      labelled=True, gate=DIGITS)
 PHONE_INTL = Recognizer("phone_intl", "PHONE_NUMBER",
                         UNICODE_ANYCASE + r"\+43\s?\d{1,4}[\s/\-]?\d{3,}[\s/\-]?\d*", 0.85,
@@ -103,15 +104,15 @@ FIRMENBUCH = Recognizer("firmenbuch", "AT_FIRMENBUCH_NR",
                         UNICODE_ANYCASE + r"\bFN\s?\d{5,6}\s?[a-z]\b", 0.9,
                         context=FIRM_CONTEXT, gate=DIGITS)
 DOC_METADATA = Recognizer("doc_metadata", "DOC_METADATA",
-                          UNICODE_ANYCASE + rf"((?:{DOCUMENT_LABELS})[:\s]+)(.+?)(?:\n|$)", 0.85,
+                          UNICODE_ANYCASE + rf"((?:{DOCUMENT_LABELS})[:\s]+)(.+?)(\n|$)", 0.85,
                           labelled=True, min_chars=2, gate=LABEL)
 CREDENTIAL_LABEL = Recognizer("credential_label", "CREDENTIAL",
-                              UNICODE_ANYCASE + rf"""((?:{PASSWORD_LABELS})[\s:=]+["']?)(\S{{4,}})["']?""",
+                              UNICODE_ANYCASE + rf"""((?:{PASSWORD_LABELS})[\s:=]+["']?)(\S{{4,}})(["']?)""",
                               0.9, labelled=True, gate=LABEL)
 CREDENTIAL_STATED = Recognizer(
     "credential_stmt", "CREDENTIAL",
     UNICODE_ANYCASE
-    + rf"""((?:mein|my|unser)\s+(?:{STATED_SECRETS})\s+(?:ist|is|lautet|=)\s+["']?)(\S{{4,}})["']?""",
+    + rf"""((?:mein|my|unser)\s+(?:{STATED_SECRETS})\s+(?:ist|is|lautet|=)\s+["']?)(\S{{4,}})(["']?)""",
     0.9, labelled=True, gate=LABEL)
 API_KEY = Recognizer(
     "api_key", "CREDENTIAL",
@@ -121,7 +122,7 @@ API_KEY = Recognizer(
     0.95)
 BEARER = Recognizer(
     "bearer", "CREDENTIAL",
-    UNICODE + r"(Bearer\s+)(eyJ[a-zA-Z0-9_-]{20,}\.eyJ[a-zA-Z0-9_-]{20,}\.[a-zA-Z0-9_-]{20,})", 0.95,
+    UNICODE + r"(Bearer\s+)(eyJ[a-zA-Z0-9_-]{20,}\.eyJ[a-zA-Z0-9_-]{20,}\.[a-zA-Z0-9_-]{20,})()", 0.95,
     labelled=True, needs="Bearer")
 CONN_STRING = Recognizer(
     "conn_string", "CREDENTIAL",
@@ -216,17 +217,20 @@ def card_valid(number: Column) -> Column:
 def _words_before(text: Column, at: Column) -> Column:
     """The last five white-space words before an offset, lower-cased and joined by blanks.
 
-    A window of 400 characters nearly always holds them; otherwise the whole beginning is used.
+    A window of 160 characters nearly always holds them; otherwise the whole beginning is used.
     """
 
-    def words(piece: Column) -> Column:
-        return F.filter(F.split(piece, r"(?U)\s+"), lambda w: w != "")
+    def blanks(piece: Column) -> Column:
+        return F.rtrim(F.regexp_replace(piece, r"(?U)\s+", " "))
 
-    near = words(cut(text, F.greatest(at - 400, F.lit(0)), at))
-    enough = (F.size(near) > BOOST_WORDS) | (at <= 400)
-    every = F.when(enough, near).otherwise(words(cut(text, F.lit(0), at)))
-    last = let(every, lambda w: F.slice(w, F.greatest(F.size(w) - BOOST_WORDS + 1, F.lit(1)), BOOST_WORDS))
-    return F.lower(F.array_join(last, " "))
+    def enough(piece: Column) -> Column:
+        return F.length(piece) - F.length(F.replace(piece, F.lit(" "), F.lit(""))) >= BOOST_WORDS
+
+    near = blanks(cut(text, F.greatest(at - 160, F.lit(0)), at))
+    every = let(
+        near, lambda n: F.when(enough(n) | (at <= 160), n).otherwise(blanks(cut(text, F.lit(0), at)))
+    )
+    return F.lower(F.substring_index(every, " ", -BOOST_WORDS))
 
 
 def _adjust(text: Column, found: Column, rec: Recognizer, boost: bool) -> Column:
@@ -280,8 +284,22 @@ def find_terms(text: Column, terms: Sequence[str]) -> Column:
     return sp.scan(text, term_pattern(terms), "CUSTOM", 1.0, "deny_list")
 
 
+_BUILT: dict = {}
+
+
+def built(key: tuple, build) -> Column:
+    """Build a large expression once per application; the driver spends seconds on it otherwise."""
+    app = SparkContext._active_spark_context.applicationId
+    if _BUILT.get("app") != app:
+        _BUILT.clear()
+        _BUILT["app"] = app
+    if key not in _BUILT:
+        _BUILT[key] = build()
+    return _BUILT[key]
+
+
 def found_spans(
-    text: Column,
+    text: Column | str,
     *,
     registry: Sequence[Recognizer] = REGISTRY,
     deny_terms: Sequence[str] = (),
@@ -289,6 +307,14 @@ def found_spans(
     extra: Column | None = None,
 ) -> Column:
     """The raw, unfiltered spans of all recognizers, the deny list and an ``extra`` span column."""
+    if isinstance(text, str):
+        key = ("found", text, tuple(registry), tuple(deny_terms), boost)
+        patterns = built(
+            key, lambda: found_spans(F.col(text), registry=registry, deny_terms=deny_terms, boost=boost)
+        )
+        if extra is None:
+            return patterns
+        return F.concat(patterns, F.coalesce(extra.cast(sp.SPANS_TYPE), sp.no_spans()))
     gates = {g: F.coalesce(text.rlike(rx), F.lit(False)).alias(g) for g, rx in GATES.items()}
 
     def all_found(gate: Column) -> Column:
@@ -349,5 +375,23 @@ def detect(
     **filters,
 ) -> DataFrame:
     """Add the detected spans of each text: found, filtered, contained ones removed, by position."""
-    found = found_spans(F.col(text), registry=registry, deny_terms=deny_terms, boost=boost, extra=extra)
+    found = found_spans(text, registry=registry, deny_terms=deny_terms, boost=boost, extra=extra)
     return df.withColumn(into, sp.clean_spans(keep_spans(found, **filters)))
+
+
+def attach_annotations(
+    df: DataFrame, annotations: DataFrame, key: str = "doc_id", text: str = "text", into: str = "annotations"
+) -> DataFrame:
+    """Spans from an outside model (key, entity_type, start, end, score) as an array beside their text."""
+    per_text = annotations.groupBy(key).agg(
+        F.collect_list(F.struct("entity_type", "start", "end", "score")).alias("__a")
+    )
+    spans = F.transform(
+        F.col("__a"),
+        lambda a: sp.span(
+            a["entity_type"], a["start"], a["end"], a["score"], cut(F.col(text), a["start"], a["end"]),
+            F.lit("external"),
+        ),
+    )
+    joined = df.join(per_text, key, "left")
+    return joined.withColumn(into, F.coalesce(spans, sp.no_spans())).drop("__a")

@@ -39,6 +39,11 @@ def span(entity_type, start, end, score, text, recognizer) -> Column:
     )
 
 
+# Two Unicode noncharacters.  The first marks match borders; a text that holds it itself is searched
+# with the second one in its place, which no pattern can tell apart.
+MARK, STAND_IN = "\ufdd0", "\ufdd1"
+
+
 def scan(
     text: Column,
     pattern: str | Column,
@@ -51,43 +56,49 @@ def scan(
 ) -> Column:
     """All matches of a pattern as spans.
 
-    ``labelled`` patterns hold two groups, the label and the value; the span is the value without
-    surrounding white space.  Offsets come from the lengths of the gaps between matches.  A pattern
-    column serves terms that differ from row to row.
+    ``labelled`` patterns are three groups, label, value and rest; the span is the value without
+    surrounding white space.  One replacing pass marks the borders of all matches, a split at the marks
+    gives gaps and matches in turn, and the lengths add up to offsets.  A pattern column serves terms that
+    differ from row to row.
     """
     rx = pattern if isinstance(pattern, Column) else F.lit(pattern)
-    hits = F.regexp_extract_all(text, rx, F.lit(0))
-    gaps = F.split(text, rx, -1)
-    if labelled:
-        parts = F.arrays_zip(
-            gaps.alias("gap"),
-            hits.alias("hit"),
-            F.regexp_extract_all(text, rx, F.lit(1)).alias("label"),
-            F.regexp_extract_all(text, rx, F.lit(2)).alias("value"),
-        )
-    else:
-        parts = F.arrays_zip(gaps.alias("gap"), hits.alias("hit"))
-    # The last gap follows the last match and carries no hit.
-    parts = F.filter(parts, lambda p: p["hit"].isNotNull())
-
-    def step(acc: Column, part: Column) -> Column:
-        at = acc["at"] + F.length(part["gap"])
-        after = at + F.length(part["hit"])
-        if labelled:
-            begin = at + F.length(part["label"])
-            kept = F.length(strip(part["value"]))
-            value = F.substring(part["value"], F.lit(1), kept)
-            found = F.when(
-                kept >= min_chars,
-                F.array(_fixed(entity_type, begin, begin + kept, score, value, recognizer)),
-            ).otherwise(no_spans())
-        else:
-            found = F.array(_fixed(entity_type, at, after, score, part["hit"], recognizer))
-        return F.struct(after.alias("at"), F.concat(acc["found"], found).alias("found"))
-
-    start = F.struct(F.lit(0).alias("at"), no_spans().alias("found"))
-    spans = F.aggregate(parts, start, step, lambda acc: acc["found"])
-    return F.when(F.rlike(text, rx), spans).otherwise(no_spans())
+    period = 4 if labelled else 2
+    marks = MARK + (f"$1{MARK}$2{MARK}$3" if labelled else "$0") + MARK
+
+    def collect(parts: Column) -> Column:
+        def step(acc: Column, i: Column) -> Column:
+            first = i * period
+            at = acc["at"] + F.length(F.get(parts, first))
+            if labelled:
+                label, value, rest = (F.get(parts, first + k) for k in (1, 2, 3))
+                begin = at + F.length(label)
+                kept = F.length(strip(value))
+                found = F.when(
+                    kept >= min_chars,
+                    F.array(
+                        _fixed(entity_type, begin, begin + kept, score, F.left(value, kept), recognizer)
+                    ),
+                ).otherwise(no_spans())
+                after = begin + F.length(value) + F.length(rest)
+            else:
+                hit = F.get(parts, first + 1)
+                after = at + F.length(hit)
+                found = F.array(_fixed(entity_type, at, after, score, hit, recognizer))
+            return F.struct(after.alias("at"), F.concat(acc["found"], found).alias("found"))
+
+        start = F.struct(F.lit(0).alias("at"), no_spans().alias("found"))
+        count = F.floor(F.size(parts) / period).cast("int")
+        return F.aggregate(F.sequence(F.lit(0), count - 1), start, step, lambda acc: acc["found"])
+
+    def marked(body: Column) -> Column:
+        return let(F.split(F.regexp_replace(body, rx, marks), MARK, -1), collect)
+
+    recut = F.transform(
+        marked(F.translate(text, MARK, STAND_IN)),
+        lambda s: s.withField("text", cut(text, s["start"], s["end"])),
+    )
+    found = F.when(text.contains(MARK), recut).otherwise(marked(text))
+    return F.when(F.rlike(text, rx), found).otherwise(no_spans())
 
 
 def _fixed(entity_type, begin, end, score, value, recognizer) -> Column:
