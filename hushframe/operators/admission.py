@@ -44,7 +44,7 @@ def prepare(events: DataFrame, key: str, ts: str, event_id: str) -> DataFrame:
     return events.select(
         F.col(key).alias("key"),
         F.to_date(ts).alias("day"),
-        F.unix_micros(ts).alias("us"),
+        F.unix_micros(F.col(ts).cast("timestamp")).alias("us"),
         F.col(event_id).cast("bigint").alias("id"),
     )
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..constants import POOL_OF_TYPE, POOLS
 from ..functions.text import fold_key, let, literal_array, literal_map
+from ..session import stage
 from . import spans as sp
 
 SALTS = 16
@@ -205,35 +206,35 @@ def anonymize_scoped(
     """Rewrite texts with codenames shared across a scope; returns (texts, codebook).
 
     ``ids`` identify a text and include the scope columns; ``order`` is the reading order of the texts
-    inside a scope.  Only spans are shuffled for the numbering.  The texts meet their codenames in one
-    join on ``ids``, whose groups are as small as one text.
+    inside a scope.  Detection runs once: its spans, a small share of the texts, are written to the shared
+    folder, and the numbering works on that table.  The texts are then read again and meet their codenames
+    in one join on ``ids``, whose groups are as small as one text.
     """
-    resolved = df.withColumn("resolved", sp.resolve_overlaps(F.col(spans)))
+    columns = list(dict.fromkeys([*ids, *order]))
+    resolved = sp.resolve_overlaps(F.col(spans))
     numbered = F.transform(
-        F.col("resolved"),
+        resolved,
         lambda s, i: F.struct(
-            i.alias("idx"), s["start"].alias("start"), s["entity_type"].alias("entity_type"),
-            s["text"].alias("original"), fold_key(s["text"]).alias("key"),
+            i.alias("idx"), s["start"].alias("start"), s["end"].alias("end"),
+            s["entity_type"].alias("entity_type"), s["text"].alias("original"), fold_key(s["text"]).alias("key"),
         ),
     )
-    columns = list(dict.fromkeys([*ids, *order]))
-    occurrences = resolved.select(*columns, F.explode(F.filter(numbered, lambda s: F.lit(True))).alias("s")).select(
-        *columns, "s.*"
-    )
+    occurrences = stage(df.select(*columns, F.inline(numbered)), "occurrences")
     book = codebook(occurrences, scope, [*order, "start"], bucket)
     named = salted_join(
-        occurrences.select(*ids, "idx", "key"), book.select(*scope, "key", "codename"),
+        occurrences.select(*ids, "start", "end", "key"), book.select(*scope, "key", "codename"),
         [*scope, "key"], F.struct(*[F.col(c) for c in ids]),
     )
     per_text = named.groupBy(*ids).agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("idx", "codename"))), lambda s: s["codename"]
-        ).alias("names")
+        F.array_sort(F.collect_list(F.struct("start", "end", "codename"))).alias("__named")
+    )
+    joined = df.drop(spans).join(per_text, list(ids), "left")
+    places = F.coalesce(
+        F.col("__named"), F.array().cast("array<struct<start:int,end:int,codename:string>>")
     )
-    joined = resolved.join(per_text, list(ids), "left")
-    names = F.coalesce(F.col("names"), F.array().cast("array<string>"))
-    out = joined.withColumn("anonymized", sp.splice(F.col(text), F.col("resolved"), names))
+    rewritten = sp.splice(F.col(text), places, F.transform(places, lambda s: s["codename"]))
     # The last spelling in reading order is the one restored.
     place = F.struct(*[F.col(c) for c in order], F.col("start"))
     spelled = occurrences.groupBy(*scope, "key").agg(F.max_by("original", place).alias("original"))
-    return out.drop("resolved", "names"), book.join(spelled, [*scope, "key"])
+    out = joined.withColumn("anonymized", rewritten).drop("__named")
+    return out, book.join(spelled, [*scope, "key"])

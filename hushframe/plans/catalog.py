@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import ingesting, recognition, rewriting  # noqa: F401
+from . import chatting, ingesting, limiting, recognition, rewriting, scoring, streams  # noqa: F401
 from .registry import CHECKS, QUERIES
 
 __all__ = ["CHECKS", "QUERIES"]

@@ -150,6 +150,8 @@ LETTERS_PER_FILE = 50
 def letter_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fifty letters joined into one long text, so the name pool has to wrap."""
     rows = letters(spark, sf_dir).withColumn("file", F.floor(F.col("doc_id") / LETTERS_PER_FILE))
+    # A stated number of partitions keeps small outputs from being merged into one slow task.
+    rows = rows.repartition(max(spark.sparkContext.defaultParallelism * 2, 8), "file")
     return rows.groupBy(F.col("file").alias("doc_id")).agg(
         F.array_join(
             F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda r: r["text"]), "\n"

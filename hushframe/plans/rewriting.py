@@ -454,3 +454,36 @@ def report_json(spark, sf_dir):
         "doc_id", "r.anonymized_text", "r.entities_found",
         F.coalesce(F.element_at("r.mappings", "[AT_UID_NR_1]"), F.lit("")).alias("uid_original"),
     )
+
+
+_SQL_PATTERNS = [
+    "at_uid", "at_iban", "at_svnr", "phone_intl", "phone_local", "firmenbuch", "ipv4", "email", "credential_label",
+]
+
+
+@query(
+    "sql_surface",
+    f"""with {fx.TEXTS_SQL}, {sql.with_plain('texts')},
+    found as ({' union all '.join(sql.scan(n, 'src') for n in _SQL_PATTERNS)}),
+    n as (select doc_id, count(*) as spans, sum(s) as starts from found group by doc_id)
+    select t.doc_id, coalesce(spans, 0) as spans, cast(coalesce(starts, 0) as bigint) as starts,
+      concat(substr(md5(cast(t.doc_id as varchar)), 1, 8), '...', substr(md5(cast(t.doc_id as varchar)), 29, 4)) as masked,
+      '***' as masked_short, 'kunde ' || cast(t.doc_id as varchar) as folded,
+      cast((length(lower(text)) - length(replace(lower(text), 'the', ''))) // 3 as bigint) as the_count,
+      'Lieber Thomas Gruber, Thomas-2' as restored
+    from texts t left join n on n.doc_id = t.doc_id""",
+)
+def sql_surface(spark, sf_dir):
+    """The SQL functions called from SQL."""
+    from ..functions import sqlfuncs
+
+    sqlfuncs.register(spark, [r for r in rec.REGISTRY if r.name in _SQL_PATTERNS])
+    return spark.sql(
+        """SELECT doc_id, CAST(size(spans) AS BIGINT) AS spans,
+          CAST(aggregate(spans, 0L, (acc, s) -> acc + s.start) AS BIGINT) AS starts,
+          mask_key(md5(CAST(doc_id AS STRING))) AS masked, mask_key('short') AS masked_short,
+          pii_fold_key(concat('  KUNDE ', CAST(doc_id AS STRING), ' ')) AS folded, pii_term_count(text, 'The') AS the_count,
+          pii_rehydrate('Lieber Arion Gruber, Arion-2', map('Arion', 'Thomas', 'Arion-2', 'Thomas-2')) AS restored
+        FROM (SELECT doc_id, text, pii_spans(text) AS spans FROM {texts})""",
+        texts=fx.texts(spark, sf_dir),
+    )
