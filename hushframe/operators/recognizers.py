@@ -1,9 +1,9 @@
 """Declarative recognizers and the detection step.
 
 A recognizer is data: a pattern, a type, a score and optional context words.  The registry compiles to
-native expressions that run together in one projection over ``(id, text)``.  Two cheap gates (any run
-of three digits, any known label) are computed first, so most texts are scanned only twice instead of
-once per pattern.
+native expressions that run together in one projection over ``(id, text)``.  A few cheap gates (a
+digit, three digits in a row, a known label, a known name) and literals that a match must hold decide which
+patterns a text is scanned with at all.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from ..constants import CONFIDENCE, FIRST_NAMES, KEPT_TYPES, NAME_CONTEXT, NO_PL
 from ..functions.text import UNICODE, UNICODE_ANYCASE, cut, fold_key, let, literal_array, quote, word_tree
 from . import spans as sp
 
-ANY, DIGITS, LABEL = "any", "digits", "label"
+ANY, DIGIT, DIGITS, LABEL, NAME = "any", "digit", "digits", "label", "name"
 
 
 @dataclass(frozen=True)
@@ -135,8 +135,9 @@ PRIVATE_KEY = Recognizer(
 
 
 def _eu(name: str, pattern: str, score: float) -> Recognizer:
-    gate = ANY if name in ("ipv4", "ipv6", "plate_at", "plate_de") else DIGITS
-    return Recognizer(name, "EU_PII", UNICODE_ANYCASE + pattern, score, context=EU_CONTEXT, gate=gate)
+    gate = {"ipv4": DIGIT, "plate_at": DIGIT, "plate_de": DIGIT, "ipv6": ANY}.get(name, DIGITS)
+    needs = {"ipv4": ".", "ipv6": ":"}.get(name)
+    return Recognizer(name, "EU_PII", UNICODE_ANYCASE + pattern, score, context=EU_CONTEXT, gate=gate, needs=needs)
 
 
 IPV4 = _eu("ipv4", r"\b(?:\d{1,3}\.){3}\d{1,3}\b", 0.6)
@@ -171,8 +172,9 @@ CARD_ANY = Recognizer("card_any", "CREDIT_CARD",
                       UNICODE + r"\b(?:4\d{3}|5[1-5]\d{2}|6\d{3}|3\d{3})[- ]?\d{3,4}[- ]?\d{3,4}[- ]?\d{3,5}\b",
                       1.0, gate=DIGITS, check="luhn")
 # A first name followed by another capitalised word, and one that is not.
-NAME_FOLLOWED = Recognizer("first_name_followed", "PERSON", _name_pattern(FIRST_NAMES, "="), 0.8)
-NAME_ALONE = Recognizer("first_name", "PERSON", _name_pattern(FIRST_NAMES, "!"), 0.65, check="name_context")
+NAME_FOLLOWED = Recognizer("first_name_followed", "PERSON", _name_pattern(FIRST_NAMES, "="), 0.8, gate=NAME)
+NAME_ALONE = Recognizer("first_name", "PERSON", _name_pattern(FIRST_NAMES, "!"), 0.65, gate=NAME,
+                        check="name_context")
 
 SENSITIVE = (HEALTH, RELIGION, POLITICS, ETHNICITY, UNION)
 EU = (IPV4, IPV6, EU_IBAN, VISA, MASTERCARD, AMEX, DATE_DE, DATE_ISO, PLATE_AT, PLATE_DE, TAX_DE, PASSPORT_AT)
@@ -192,7 +194,9 @@ LABEL_STEMS = [
 ]
 SHORT_LABELS = ["pin", "pwd", "key"]
 GATES = {
+    DIGIT: r"\p{Nd}",
     DIGITS: r"\p{Nd}{3}",
+    NAME: rf"(?U)(?<!\S)(?=\p{{Lu}}){word_tree(FIRST_NAMES)}",
     LABEL: f"(?U)(?:{word_tree(LABEL_STEMS)}|{word_tree(SHORT_LABELS)}[\\s:=])",
 }
 BOOST, BOOST_FLOOR, BOOST_WORDS = 0.35, 0.4, 5
@@ -315,7 +319,8 @@ def found_spans(
         if extra is None:
             return patterns
         return F.concat(patterns, F.coalesce(extra.cast(sp.SPANS_TYPE), sp.no_spans()))
-    gates = {g: F.coalesce(text.rlike(rx), F.lit(False)).alias(g) for g, rx in GATES.items()}
+    wanted = {r.gate for r in registry} - {ANY}
+    gates = {g: F.coalesce(text.rlike(rx), F.lit(False)).alias(g) for g, rx in GATES.items() if g in wanted}
 
     def all_found(gate: Column) -> Column:
         parts = []
@@ -333,7 +338,7 @@ def found_spans(
         return F.concat(*parts)
 
     # Bound once per row: the optimizer cannot copy the gates into each of their uses.
-    return let(F.struct(*gates.values()), all_found)
+    return let(F.struct(F.lit(True).alias("always"), *gates.values()), all_found)
 
 
 def keep_spans(

@@ -85,23 +85,45 @@ def find_row_terms(text: Column, terms: Column) -> Column:
     return F.coalesce(F.when(some, found), sp.no_spans())
 
 
+def _word_runs(words: Column, size: int) -> Column:
+    """All runs of ``size`` words of an array, joined by blanks."""
+    last = F.size(words) - size
+    runs = F.transform(
+        F.sequence(F.lit(0), F.greatest(last, F.lit(0))),
+        lambda i: F.array_join(F.slice(words, i + 1, F.lit(size)), " "),
+    )
+    return F.when(last >= 0, runs).otherwise(F.array().cast("array<string>"))
+
+
 def candidate_terms(df: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, terms): for each text the terms of a long list that it may hold.
+    """(key, terms): for each text the terms of a long list whose words it holds in a row.
 
-    Texts and terms meet on the first word of the term, one row per distinct word of a text.  The term
-    list decides the join: small lists are broadcast by their measured size, large ones are shuffled.
+    Texts and terms meet on the whole sequence of words of a term, so a first word shared by most terms
+    makes no pairs.  Each distinct run of a text counts once.  The join follows the measured size of the
+    term list: small lists are broadcast, large ones are shuffled and hot runs are split at run time.
+    A term must hold at least one letter or digit.
     """
-    listed = terms.select("term").distinct().select("term", F.lower(F.regexp_extract("term", WORD, 0)).alias("word"))
-    found = F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit(WORD), F.lit(0)))
-    vocabulary = df.select(key, F.explode(found).alias("word"))
-    pairs = vocabulary.join(listed, "word").select(key, "term")
-    return pairs.groupBy(key).agg(F.collect_set("term").alias("terms"))
+    split = F.regexp_extract_all(F.lower(F.col("term")), F.lit(WORD), F.lit(0))
+    listed = terms.select("term").distinct().select(
+        "term", F.array_join(split, " ").alias("run"), F.size(split).alias("words")
+    ).where(F.col("words") > 0)
+    # The few different word counts, needed to build the runs.
+    sizes = sorted(r["words"] for r in listed.select("words").distinct().collect())
+    by_run = listed.groupBy("run").agg(F.collect_list("term").alias("spellings"))
+    found = F.regexp_extract_all(F.lower(F.col(text)), F.lit(WORD), F.lit(0))
+    runs = let(
+        found,
+        lambda w: F.array_distinct(F.concat(F.array().cast("array<string>"), *[_word_runs(w, n) for n in sizes])),
+    )
+    vocabulary = df.select(key, F.explode(runs).alias("run"))
+    pairs = vocabulary.join(by_run, "run").select(key, "spellings")
+    return pairs.groupBy(key).agg(F.flatten(F.collect_list("spellings")).alias("terms"))
 
 
 def join_terms(
     df: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "text", into: str = "spans"
 ) -> DataFrame:
-    """A term list of any length: each text is searched only for the terms whose first word it holds."""
+    """A term list of any length: each text is searched only for the terms whose words it holds in a row."""
     listed = candidate_terms(df, terms, key, text)
     joined = df.join(listed, key, "left")
     low = F.lower(F.col(text))

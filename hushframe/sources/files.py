@@ -17,7 +17,11 @@ def read_documents(spark: SparkSession, path: str, fmt: str = "parquet", **optio
 
 
 def read_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """Files as (path, modificationTime, length, content)."""
+    """Files as (path, modificationTime, length, content).
+
+    Spark's file reader leaves out files of zero bytes; the status ``empty`` of ``ingest`` is for contents
+    that come from a table.
+    """
     reader = spark.read.format("binaryFile")
     return (reader.option("pathGlobFilter", glob) if glob else reader).load(path)
 
