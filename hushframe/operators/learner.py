@@ -51,11 +51,30 @@ def token_runs(tokens: DataFrame) -> DataFrame:
 
 
 def uncovered(candidates: Column, spans: Column) -> Column:
-    """Candidates that do not begin inside a span."""
-    return F.filter(
-        candidates,
-        lambda t: ~F.exists(spans, lambda s: (s["start"] <= t["start"]) & (t["start"] < s["end"])),
+    """Candidates that do not begin inside a span.
+
+    Spans and candidates are walked together in order of their start, so many of both cost a sort and
+    not their product.
+    """
+    from_spans = F.transform(
+        spans, lambda s: F.struct(s["start"].alias("start"), F.lit(0).alias("kind"), s["end"].alias("end"), s.alias("item"))
+    )
+    from_candidates = F.transform(
+        candidates, lambda t: F.struct(t["start"].alias("start"), F.lit(1).alias("kind"), t["end"].alias("end"), t.alias("item"))
+    )
+
+    def step(acc: Column, e: Column) -> Column:
+        free = (e["kind"] == 1) & (e["start"] >= acc["reach"])
+        return F.struct(
+            F.when(e["kind"] == 0, F.greatest(acc["reach"], e["end"])).otherwise(acc["reach"]).alias("reach"),
+            F.when(free, F.concat(acc["out"], F.array(e["item"]))).otherwise(acc["out"]).alias("out"),
+        )
+
+    start = F.struct(F.lit(0).alias("reach"), sp.no_spans().alias("out"))
+    walked = F.aggregate(
+        F.array_sort(F.concat(from_spans, from_candidates)), start, step, lambda acc: acc["out"]
     )
+    return F.when(F.size(spans) > 0, walked).otherwise(candidates)
 
 
 def _frequency(low: Column, term: Column) -> Column:

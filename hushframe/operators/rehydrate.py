@@ -7,11 +7,15 @@ text at all.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import SESSION_TTL_SECONDS
+from ..constants import KEPT_TYPES, POOLS, SESSION_TTL_SECONDS
 from ..functions.text import html_escape, let, quoted, replacement
+from .pseudonym import salted_join
 
 ENTRIES = "array<struct<key:string,value:string>>"
 
@@ -145,35 +149,102 @@ def highlight(text: Column, originals: Column) -> Column:
     return F.aggregate(F.coalesce(distinct, F.array().cast("array<string>")), html_escape(text), step)
 
 
-def live_sessions(
-    responses: DataFrame, vault: DataFrame, ttl: int = SESSION_TTL_SECONDS
+# ------------------------------------------------------------------ answers and the vault table
+
+SEPARATORS = r"(?U)[\s_\-\[\]()]+"
+
+
+def squeezed(text: Column) -> Column:
+    """Lower case without separators and brackets.
+
+    However a codename is found, exactly, in another case or tolerantly, its squeezed form is part of the
+    squeezed text.
+    """
+    return _folded(F.regexp_replace(text, SEPARATORS, ""))
+
+
+def _stems(types: Sequence[str]) -> list[list[str]]:
+    """Squeezed codename beginnings in groups where none begins another one of its group."""
+    words = {re.sub(r"[\W_]", "", w).lower() for w in [*types, *[n for pool in POOLS.values() for n in pool]]}
+    groups: list[list[str]] = []
+    for word in sorted(words, key=lambda w: (len(w), w)):
+        for group in groups:
+            if not any(word.startswith(other) for other in group):
+                group.append(word)
+                break
+        else:
+            groups.append([word])
+    return groups
+
+
+def candidate_keys(text: Column, types: Sequence[str] = (*KEPT_TYPES, "LOCATION")) -> Column:
+    """Squeezed forms of all codenames a text may hold: each known beginning with each lead of its digits.
+
+    Every position is tried, so overlapping names all count; the list is bounded by the text.
+    """
+
+    def keys(body: Column) -> Column:
+        parts = []
+        for group in _stems(types):
+            rx = F.lit("(?=(" + "|".join(group) + r")(\p{Nd}*))")
+            both = F.arrays_zip(
+                F.regexp_extract_all(body, rx, F.lit(1)).alias("stem"),
+                F.regexp_extract_all(body, rx, F.lit(2)).alias("digits"),
+            )
+            parts.append(
+                F.flatten(
+                    F.transform(
+                        both,
+                        lambda b: F.transform(
+                            F.sequence(F.lit(0), F.length(b["digits"])),
+                            lambda n: F.concat(b["stem"], F.left(b["digits"], n)),
+                        ),
+                    )
+                )
+            )
+        return F.array_distinct(F.concat(*parts))
+
+    return let(squeezed(text), keys)
+
+
+def attach_mappings(
+    responses: DataFrame,
+    vault: DataFrame,
+    ids: Sequence[str],
+    scope: Sequence[str] = ("session_id",),
+    text: str = "text",
 ) -> DataFrame:
-    """Each response with the map of its session; null if the session is unknown or too old.
+    """Adds ``mapping``: the part of its scope's vault rows that a response can need.
 
-    ``vault`` holds one row per codename.  Its rows are cut down to the sessions that are asked for
-    before they are gathered, and one gathered row is one session's map.
+    Responses and vault rows meet on (scope, squeezed codename), so a scope with a third of all vault
+    rows, or one whole corpus as a scope, is spread over all tasks, and a response gathers no more
+    codenames than its text can hold.
     """
-    asked = responses.select("session_id").distinct()
-    wanted = vault.join(asked, "session_id", "left_semi")
-    maps = wanted.groupBy("session_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("codename", "original"))).alias("mapping"),
-        F.min("created_at").alias("created_at"),
-    )
-    joined = responses.join(maps, "session_id", "left")
-    age = F.unix_micros(F.col("asked_at")) - F.unix_micros(F.col("created_at"))
-    live = (age <= ttl * 1_000_000) & (age >= 0)
-    return joined.withColumn("mapping", F.when(live, F.col("mapping"))).drop("created_at")
+    asked = responses.select(*ids, *scope, F.explode(candidate_keys(F.col(text))).alias("__key"))
+    rows = vault.select(*scope, "codename", "original", squeezed(F.col("codename")).alias("__key"))
+    by_key = rows.groupBy(*scope, "__key").agg(F.collect_list(F.struct("codename", "original")).alias("__rows"))
+    met = salted_join(asked, by_key, [*scope, "__key"], F.struct(*[F.col(c) for c in ids]))
+    maps = met.groupBy(*ids).agg(F.map_from_entries(F.flatten(F.collect_list("__rows"))).alias("mapping"))
+    joined = responses.join(maps, list(ids), "left")
+    none = F.create_map().cast("map<string,string>")
+    return joined.withColumn("mapping", F.coalesce(F.col("mapping"), none))
 
 
 def rehydrate_sessions(
-    responses: DataFrame, vault: DataFrame, ttl: int = SESSION_TTL_SECONDS
+    responses: DataFrame, vault: DataFrame, ids: Sequence[str], ttl: int = SESSION_TTL_SECONDS
 ) -> DataFrame:
-    """Responses with their originals; ``status`` is ``ok`` or ``missing``."""
-    joined = live_sessions(responses, vault, ttl)
-    known = F.col("mapping").isNotNull()
+    """Responses with their originals; ``status`` is ``missing`` for unknown and too old sessions.
+
+    ``responses(ids, session_id, text, asked_at)``, ``vault(session_id, codename, original, created_at)``.
+    """
+    opened = vault.groupBy("session_id").agg(F.min("created_at").alias("created_at"))
+    known = salted_join(responses, opened, ["session_id"], F.struct(*[F.col(c) for c in ids]), how="left")
+    age = F.unix_micros(F.col("asked_at")) - F.unix_micros(F.col("created_at"))
+    live = F.coalesce((age <= ttl * 1_000_000) & (age >= 0), F.lit(False))
+    joined = attach_mappings(known.withColumn("live", live), vault, ids)
     return joined.select(
         *responses.columns,
-        F.when(known, F.lit("ok")).otherwise(F.lit("missing")).alias("status"),
-        F.when(known, rehydrate(F.col("text"), F.col("mapping"))).alias("rehydrated_text"),
-        F.when(known, replacements_made(F.col("text"), F.col("mapping"))).alias("replacements_made"),
+        F.when(F.col("live"), F.lit("ok")).otherwise(F.lit("missing")).alias("status"),
+        F.when(F.col("live"), rehydrate(F.col("text"), F.col("mapping"))).alias("rehydrated_text"),
+        F.when(F.col("live"), replacements_made(F.col("text"), F.col("mapping"))).alias("replacements_made"),
     )

@@ -74,15 +74,31 @@ def chunks(text: Column, limit: int = c.CHUNK_CHARS) -> Column:
     return let(parts, lambda p: F.when(F.size(p) > 0, p).otherwise(F.array(F.left(text, F.lit(limit)))))
 
 
+SMALL_TABLE = 1000
+
+
+def one_row(table: DataFrame, item: Column, name: str, most: int = SMALL_TABLE) -> DataFrame:
+    """A table of known small size as one row with one array; larger tables fail instead of growing.
+
+    The array is cut one above the bound while it is built, so a table passed by mistake is refused without
+    being gathered.
+    """
+    bounded = table.limit(most + 1).agg(F.collect_list(item).alias("__items"))
+    fine = F.when(F.size("__items") <= most, F.col("__items")).otherwise(
+        F.raise_error(F.lit(f"more than {most} rows given as {name}"))
+    )
+    return bounded.select(fine.alias(name))
+
+
 def category_flags(
     vectors: DataFrame, categories: DataFrame, keys: list[str], threshold: float = c.CATEGORY_THRESHOLD
 ) -> DataFrame:
     """Pairs of vector and category whose cosine exceeds the threshold.
 
     ``categories(category, vector)`` has one row per category, seven in the default set, so it is
-    gathered into one row and met by each vector in place; the vectors are not shuffled.
+    gathered into one row, its size checked, and met by each vector in place; the vectors are not shuffled.
     """
-    table = categories.agg(F.collect_list(F.struct("category", "vector")).alias("cats"))
+    table = one_row(categories, F.struct("category", "vector"), "cats")
     scored = vectors.crossJoin(F.broadcast(table)).select(
         *keys,
         F.explode(
@@ -182,7 +198,7 @@ def similar_to_any(
     vectors: DataFrame, centres: DataFrame, threshold: float = c.TERM_SIMILARITY, vector: str = "embedding"
 ) -> DataFrame:
     """Rows whose vector is close to at least one centroid (one per type), each row once."""
-    table = centres.agg(F.collect_list("vector").alias("centres"))
+    table = one_row(centres, F.col("vector"), "centres")
     return (
         vectors.crossJoin(F.broadcast(table))
         .where(F.exists("centres", lambda x: cosine(F.col(vector), x) > threshold))

@@ -122,7 +122,7 @@ def spread(df: DataFrame, *columns: str) -> DataFrame:
     Large inputs already come in many splits and are left alone.
     """
     tasks = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(tasks * 2, *columns) if len(df.inputFiles()) < tasks else df
+    return df.repartition(tasks * 2, *columns) if df.rdd.getNumPartitions() < tasks else df
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

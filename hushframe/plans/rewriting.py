@@ -48,7 +48,7 @@ _CORPUS = f"""{_RESOLVED_LETTERS}, keyed as (select *, 1 as one, doc_id * 100000
 
 def _corpus_codebook(spark, sf_dir):
     return pseudonym.codebook(
-        _occurrences(spark, sf_dir), [], ["doc_id", "start"], F.floor(F.col("doc_id") / 500)
+        _occurrences(spark, sf_dir), [], ["doc_id", "start"], F.floor(F.col("doc_id") / 10_000)
     ).select("key", "entity_type", big("number").alias("number"), "codename")
 
 
@@ -309,7 +309,7 @@ def rehydrate_session(spark, sf_dir):
         F.expr(styled("c_custkey % 5")).alias("text"),
         (F.expr(CREATED) + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (F.col(K) % 4) * 700)).alias("asked_at"),
     )
-    done = rh.rehydrate_sessions(responses, _vault(spark, sf_dir))
+    done = rh.rehydrate_sessions(responses, _vault(spark, sf_dir), ["answer_id"])
     return done.select("answer_id", "status", "rehydrated_text", "replacements_made")
 
 

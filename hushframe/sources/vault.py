@@ -11,10 +11,12 @@ SCHEMA = "session_id string, codename string, original string, created_at timest
 
 
 def append(rows: DataFrame, path: str) -> None:
-    """Append mappings; day partitions let a read by age skip whole folders."""
-    rows.select("session_id", "codename", "original", "created_at").withColumn(
-        "day", F.to_date("created_at")
-    ).write.mode("append").partitionBy("day").parquet(path)
+    """Append mappings; day partitions let a read by age skip whole folders.
+
+    Rebalancing gives each day few files and splits a day that holds most rows.
+    """
+    dated = rows.select("session_id", "codename", "original", "created_at").withColumn("day", F.to_date("created_at"))
+    dated.hint("rebalance", "day").write.mode("append").partitionBy("day").parquet(path)
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:

@@ -14,7 +14,7 @@ from ..operators import admission
 from ..session import work_folder
 from .runs import drain_batches
 
-STATE = "key bigint, us bigint, id bigint, batch bigint, day date"
+STATE = "key bigint, us bigint, id bigint, day date"
 DECISIONS = "id bigint, key bigint, day date, reason string, allowed boolean"
 
 
@@ -26,18 +26,21 @@ class StreamLimiter:
         self.state, self.decisions = f"{base}/state", f"{base}/decisions"
         self.columns, self.limits = (key, ts, event_id), limits
         # Empty tables with the right schema, so the first batch can read them.
-        spark.createDataFrame([], STATE).write.mode("append").partitionBy("day").parquet(self.state)
+        spark.createDataFrame([], STATE).write.mode("overwrite").parquet(f"{self.state}/batch=-1")
+
+    def read_state(self, spark, which) -> DataFrame:
+        state = spark.read.schema(STATE + ", batch bigint").parquet(self.state)
+        return state.where(which).select("key", "day", "us", "id")
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         requests = admission.prepare(batch, *self.columns)
-        past = spark.read.schema(STATE).parquet(self.state).where(F.col("batch") < batch_id)
-        past = past.join(requests.select("day").distinct(), "day", "left_semi").select("key", "day", "us", "id")
+        days = requests.select("day").distinct()
+        past = self.read_state(spark, F.col("batch") < batch_id).join(days, "day", "left_semi")
         fresh = admission.admitted_requests(requests, past, **self.limits)
-        rows = fresh.withColumn("batch", F.lit(batch_id).cast("bigint"))
-        rows.write.mode("append").partitionBy("day").parquet(self.state)
-        written = spark.read.schema(STATE).parquet(self.state).where(F.col("batch") == batch_id)
-        admitted = past.unionByName(written.select("key", "day", "us", "id"))
+        # A repeated batch overwrites its own folder.
+        fresh.write.mode("overwrite").parquet(f"{self.state}/batch={batch_id}")
+        admitted = past.unionByName(self.read_state(spark, F.col("batch") == batch_id))
         decided = admission.decide(requests, admitted, **self.limits)
         decided.write.mode("overwrite").parquet(f"{self.decisions}/batch={batch_id}")
 

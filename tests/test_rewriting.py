@@ -120,7 +120,7 @@ def test_sessions_end(spark):
         [("s", "Arion", "2024-01-01 00:30:00"), ("s", "Arion", "2024-01-01 00:30:01"), ("t", "Arion", "2024-01-01 00:00:00")],
         "session_id string, text string, at string",
     ).withColumn("asked_at", F.col("at").cast("timestamp"))
-    rows = rh.rehydrate_sessions(asked, vault).orderBy("session_id", "at").collect()
+    rows = rh.rehydrate_sessions(asked, vault, ["session_id", "at"]).orderBy("session_id", "at").collect()
     assert [(r["status"], r["rehydrated_text"]) for r in rows] == [("ok", "Max"), ("missing", None), ("missing", None)]
 
 
@@ -139,3 +139,26 @@ def test_dense_long_text_round_trip(spark, texts):
         F.size("mapping").alias("n"), (rh.rehydrate_exact(F.col("anonymized"), F.col("mapping")) == F.col("text")).alias("same")
     ).first()
     assert row["same"] and row["n"] > 3000
+
+
+def test_candidates_cover_all_ways_of_matching(spark):
+    """Gathering only the possible codenames gives what the whole map gives."""
+    rng = random.Random(1)
+    book = {f"[{t}_{n}]": f"<{t}{n}>" for t in ("AT_IBAN", "PERSON", "ORG", "ORGANIZATION", "EU_PII") for n in range(1, 130)}
+    book |= {f"{n}-{k}" if k > 1 else n: f"<{n}{k}>" for n in c.PERSON_NAMES + c.ORG_NAMES + c.CUSTOM_NAMES for k in range(1, 5)}
+    names = list(book)
+
+    def bent(name):
+        way = rng.randrange(6)
+        return [name, name.lower(), name.strip("[]"), name.replace("[", "( ").replace("]", " )"), name.replace("_", " "),
+                name.replace("_", "")][way]
+
+    rows = [(i, "one" if i % 3 else "two", " ".join(bent(rng.choice(names)) + rng.choice([" x", ",", "", "7"]) for _ in range(12))) for i in range(120)]
+    asked = spark.createDataFrame(rows, "rid long, session_id string, text string")
+    vault = spark.createDataFrame([("one", k, v) for k, v in book.items()], "session_id string, codename string, original string")
+    got = rh.attach_mappings(asked, vault, ["rid"]).select("rid", rh.rehydrate(F.col("text"), F.col("mapping")).alias("r"))
+    whole = spark.createDataFrame([(book,)], "m map<string,string>")
+    want = asked.where("session_id = 'one'").crossJoin(whole).select("rid", rh.rehydrate(F.col("text"), F.col("m")).alias("r"))
+    want = want.unionByName(asked.where("session_id = 'two'").select("rid", F.col("text").alias("r")))
+    assert {r["rid"]: r["r"] for r in got.collect()} == {r["rid"]: r["r"] for r in want.collect()}
+    assert got.where("length(r) > 0").count() == 120
