@@ -104,6 +104,23 @@ CATEGORY_LABELS = {
     "HR_INTERNAL": "Personalwesen & Interne Beurteilungen",
     "MEDICAL": "Medizinische Daten & Befunde",
 }
+# Descriptions a text encoder turns into the category vectors.
+CATEGORY_DESCRIPTIONS = {
+    "BUSINESS_SECRET": "Geschaeftsgeheimnis, vertrauliche Geschaeftsinformation, interne Strategie, Wettbewerbsvorteil",
+    "ARCHITECTURE": (
+        "Softwarearchitektur, Systemdesign, technische Infrastruktur, Datenbankschema, API-Dokumentation, "
+        "Deployment-Konfiguration"
+    ),
+    "CREDENTIALS": "Passwort, Zugangsdaten, API-Key, Secret, Token, Schluessel, Private Key, Zertifikat",
+    "FINANCIAL": (
+        "Finanzbericht, Bilanz, Umsatz, Gewinn, Budget, Gehalt, Kostenkalkulation, Preiskalkulation"
+    ),
+    "LEGAL": "Vertrag, Geheimhaltungsvereinbarung, NDA, Compliance, Rechtsstreit, Klage, Patent",
+    "HR_INTERNAL": (
+        "Mitarbeiterbewertung, Kuendigung, Abmahnung, Personalakte, Gehaltsverhandlung, interne Beurteilung"
+    ),
+    "MEDICAL": "Diagnose, Befund, Therapie, Medikation, Patientenakte, Krankengeschichte",
+}
 # Words that flag a text at once.
 FLAG_WORDS = [
     "vertraulich", "geheim", "intern", "nicht weitergeben", "api-key", "passwort", "password",

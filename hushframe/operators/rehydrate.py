@@ -238,10 +238,11 @@ def rehydrate_sessions(
     ``responses(ids, session_id, text, asked_at)``, ``vault(session_id, codename, original, created_at)``.
     """
     opened = vault.groupBy("session_id").agg(F.min("created_at").alias("created_at"))
-    known = salted_join(responses, opened, ["session_id"], F.struct(*[F.col(c) for c in ids]), how="left")
+    mapped = attach_mappings(responses, vault, ids)
+    joined = salted_join(mapped, opened, ["session_id"], F.struct(*[F.col(c) for c in ids]), how="left")
     age = F.unix_micros(F.col("asked_at")) - F.unix_micros(F.col("created_at"))
     live = F.coalesce((age <= ttl * 1_000_000) & (age >= 0), F.lit(False))
-    joined = attach_mappings(known.withColumn("live", live), vault, ids)
+    joined = joined.withColumn("live", live)
     return joined.select(
         *responses.columns,
         F.when(F.col("live"), F.lit("ok")).otherwise(F.lit("missing")).alias("status"),

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from .. import constants as c
 from ..functions.text import UNICODE_ANYCASE, cut, let, literal_map, quote, strip
@@ -116,6 +120,67 @@ def category_flags(
     return scored.select(*keys, "hit.category", F.round("hit.similarity", 3).alias("score"))
 
 
+def hashed_vector(text: Column, dims: int = 256) -> Column:
+    """Default text encoder: counts of hashed words, JVM-side; texts share a direction if they share words."""
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\w+"), F.lit(0))
+    slots = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(dims)))
+    return let(
+        slots,
+        lambda s: F.transform(
+            F.sequence(F.lit(0), F.lit(dims - 1)),
+            lambda d: (F.size(s) - F.size(F.array_remove(s, d.cast("bigint")))).cast("float"),
+        ),
+    )
+
+
+def model_encoder(make_predict: Callable, batch_size: int = 256) -> Callable[[Column], Column]:
+    """An outside model as encoder: loaded once per Python worker, fed in Arrow batches."""
+    udf = predict_batch_udf(make_predict, return_type=ArrayType(FloatType()), batch_size=batch_size)
+    return lambda text: udf(text)
+
+
+def chunk_flags(
+    df: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    encode: Callable[[Column], Column] = hashed_vector,
+    threshold: float = c.CATEGORY_THRESHOLD,
+) -> DataFrame:
+    """(key, flags): category flags of all chunks of each text, in chunk and category order.
+
+    Chunks are encoded and scored where their text is; only the hits are gathered per text.
+    """
+    names = list(c.CATEGORY_DESCRIPTIONS)
+    described = df.sparkSession.createDataFrame(list(c.CATEGORY_DESCRIPTIONS.items()), "category string, d string")
+    categories = described.select("category", encode(F.col("d")).alias("vector"))
+    pieces = df.select(key, F.posexplode(chunks(F.col(text))).alias("chunk_no", "chunk"))
+    vectors = pieces.withColumn("embedding", encode(F.col("chunk")))
+    hits = category_flags(vectors, categories, [key, "chunk_no", "chunk"], threshold)
+    place = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.lit(i))])
+    rows = hits.select(
+        key, "chunk_no", F.element_at(place, F.col("category")).alias("at"), "category", "score",
+        F.left("chunk", F.lit(c.EXCERPT_MAX)).alias("excerpt"),
+    )
+    return rows.groupBy(key).agg(
+        F.transform(
+            F.array_sort(F.collect_list(F.struct("chunk_no", "at", "category", "score", "excerpt"))),
+            lambda x: flag(x["category"], x["score"], x["excerpt"]),
+        ).alias("flags")
+    )
+
+
+def analyze(
+    df: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    encode: Callable[[Column], Column] = hashed_vector,
+    threshold: float = c.CATEGORY_THRESHOLD,
+) -> DataFrame:
+    """Report from the texts alone: flag words and encoded chunks."""
+    flags = chunk_flags(df, key, text, encode, threshold).withColumnRenamed("flags", "__flags")
+    return report(df.join(flags, key, "left"), text, "__flags").drop("__flags")
+
+
 def by_score(flags: Column) -> Column:
     """Score descending, ties keep their order."""
     placed = F.transform(flags, lambda f, i: F.struct((-f["score"]).alias("rank"), i.alias("at"), f.alias("flag")))

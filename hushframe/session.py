@@ -24,23 +24,23 @@ def build_session(app: str = "hushframe", **extra: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def work_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below the shared folder named by ``spark.checkpoint.dir``.
 
-    Only a session without that setting (tests, one machine) falls back to a local folder.
+    Only a session without that setting (tests, one machine) gets a local folder of its own.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="hushframe-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        app = spark.sparkContext.applicationId
+        if app not in _LOCAL:
+            _LOCAL[app] = tempfile.mkdtemp(prefix="hushframe-")
+        base = _LOCAL[app]
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
-def scan_partitions(spark: SparkSession) -> int:
-    """How many tasks a text-heavy stage should at least have on this session."""
-    return max(2, spark.sparkContext.defaultParallelism * 2)
-
-
 def stage(df, purpose: str):
     """Write a table to the shared folder and read it back.
 

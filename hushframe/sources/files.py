@@ -33,8 +33,10 @@ def admit_length(df: DataFrame, text: str = "text", limit: int = c.MAX_REQUEST_C
     )
 
 
-def file_format(name: Column, mime: Column | None = None) -> Column:
-    """Format by the last suffix, else by MIME type, else null."""
+def file_format(name: Column, mime: Column | None = None, lenient: bool = False) -> Column:
+    """Format by the last suffix, else by MIME type, else null; ``lenient`` tries the rest as text."""
+    if lenient:
+        return F.coalesce(file_format(name, mime), F.lit("TEXT"))
     by_suffix = F.element_at(literal_map(c.FORMAT_OF_EXTENSION), file_suffix(name))
     if mime is None:
         return by_suffix
@@ -78,6 +80,7 @@ def ingest(
     content: str = "content",
     mime: str | None = None,
     limit: int = c.MAX_FILE_CHARS,
+    lenient: bool = False,
 ) -> DataFrame:
     """Text of each file with its metadata; files that cannot be used keep the reason in ``status``.
 
@@ -85,7 +88,7 @@ def ingest(
     here; PDF, office and image files are marked ``needs_extractor``.
     """
     size = F.length(content)
-    kind = file_format(F.col(name), F.col(mime) if mime else None)
+    kind = file_format(F.col(name), F.col(mime) if mime else None, lenient)
     status = (
         F.when(size > c.MAX_FILE_BYTES, F.lit("too_large"))
         .when(size == 0, F.lit("empty"))
@@ -129,5 +132,15 @@ def report_json(text: str = "anonymized", mapping: str = "mapping") -> Column:
     )
 
 
+def report_text(text: str = "anonymized", mapping: str = "mapping") -> Column:
+    """The same as readable text."""
+    lines = F.transform(F.map_entries(mapping), lambda e: F.concat(F.lit("  "), e["key"], F.lit(" -> "), e["value"]))
+    return F.concat(
+        F.lit("--- Anonymized Text ---\n"), F.col(text),
+        F.lit("\n\n--- Mappings ("), F.size(mapping).cast("string"), F.lit(" replacements) ---\n"),
+        F.array_join(lines, "\n"),
+    )
+
+
 def write_report(df: DataFrame, path: str, fmt: str = "json") -> None:
     df.write.mode("append").format(fmt).save(path)

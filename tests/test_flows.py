@@ -206,3 +206,59 @@ def test_message_stream_keeps_names_between_batches(spark):
     handler(spark.createDataFrame([(1, 1, "user", "Frau Maria und Thomas"), (1, 2, "assistant", "Thomas")], shape), 1)
     rows = spark.read.parquet(handler.texts).orderBy("conv_id", "turn").collect()
     assert [r["text"] for r in rows] == ["Herr Arion kam", "Frau Brynn und Arion", "Thomas", "Frau Arion kam"]
+
+
+def test_silent_stream_is_flushed(spark, tmp_path):
+    """A stream without an end row gives its held-back text after a silence."""
+    import time
+
+    schema = "stream_id string, seq long, kind string, delta string, line string, shape string, mapping string"
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+
+    def put(*rows):
+        spark.createDataFrame(list(rows), schema).coalesce(1).write.mode("append").parquet(folder)
+
+    put(("s", 0, "delta", "Hi Ar", None, "choices", '{"Arion": "Max", "Ar": "kurz"}'))
+    pieces = answers.rehydrate_stream(runs.read_stream(spark, folder, schema), idle_ms=500)
+    query = pieces.writeStream.format("parquet").option("path", out).option(
+        "checkpointLocation", str(tmp_path / "c")).trigger(processingTime="200 milliseconds").start()
+    try:
+        got, until = [], time.time() + 60
+        while len(got) < 2 and time.time() < until:
+            time.sleep(0.5)
+            got = spark.read.schema(answers.OUTPUT).parquet(out).orderBy("seq", "part").collect() if query.lastProgress else []
+    finally:
+        query.stop()
+    assert [r["text"] for r in got] == ["Hi ", "kurz"]
+
+
+def test_report_from_texts_alone(texts):
+    df = texts("Diagnose und Befund, Therapie, Medikation, Patientenakte, Krankengeschichte", "ganz anderes")
+    rows = sensitivity.analyze(df).orderBy("doc_id").collect()
+    assert [f["category"] for f in rows[0]["flags"]] == ["MEDICAL"] and rows[0]["risk_level"] == "high"
+    assert rows[1]["flags"] == []
+
+
+def test_outside_encoder(texts):
+    def make():
+        import numpy as np
+
+        return lambda batch: np.array([[float("Vertrag" in str(t)), 1.0 - float("Vertrag" in str(t))] for t in batch], dtype="float32")
+
+    df = texts("Vertrag eins", "nichts")
+    rows = sensitivity.analyze(df, encode=sensitivity.model_encoder(make)).orderBy("doc_id").collect()
+    assert [f["category"] for f in rows[0]["flags"]] == ["LEGAL"] and len(rows[1]["flags"]) == 6
+
+
+def test_too_many_categories_are_refused(spark):
+    df = spark.range(1200).select(F.col("id").cast("string").alias("category"), F.array(F.lit(1.0)).alias("vector"))
+    vectors = spark.range(1).select("id", F.array(F.lit(1.0)).alias("embedding"))
+    with pytest.raises(Exception, match="more than 1000 rows"):
+        sensitivity.category_flags(vectors, df, ["id"]).collect()
+
+
+def test_lenient_files_and_text_report(spark):
+    df = spark.createDataFrame([("a.log", bytearray(b"x")), ("b.yml", bytearray(b"y"))], "path string, content binary")
+    assert [r["status"] for r in files.ingest(df, lenient=True).collect()] == ["ok", "ok"]
+    row = spark.createDataFrame([("Hi Arion", {"Arion": "Max"})], "anonymized string, mapping map<string,string>")
+    assert row.select(files.report_text().alias("t")).first()["t"].endswith("(1 replacements) ---\n  Arion -> Max")
