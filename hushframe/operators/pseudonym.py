@@ -220,7 +220,8 @@ def anonymize_scoped(
         ),
     )
     occurrences = stage(df.select(*columns, F.inline(numbered)), "occurrences")
-    book = codebook(occurrences, scope, [*order, "start"], bucket)
+    # The codebook serves the texts and the vault.
+    book = stage(codebook(occurrences, scope, [*order, "start"], bucket), "codebook")
     named = salted_join(
         occurrences.select(*ids, "start", "end", "key"), book.select(*scope, "key", "codename"),
         [*scope, "key"], F.struct(*[F.col(c) for c in ids]),

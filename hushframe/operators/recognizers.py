@@ -106,9 +106,22 @@ FIRMENBUCH = Recognizer("firmenbuch", "AT_FIRMENBUCH_NR",
 DOC_METADATA = Recognizer("doc_metadata", "DOC_METADATA",
                           UNICODE_ANYCASE + rf"((?:{DOCUMENT_LABELS})[:\s]+)(.+?)(\n|$)", 0.85,
                           labelled=True, min_chars=2, gate=LABEL)
-CREDENTIAL_LABEL = Recognizer("credential_label", "CREDENTIAL",
-                              UNICODE_ANYCASE + rf"""((?:{PASSWORD_LABELS})[\s:=]+["']?)(\S{{4,}})(["']?)""",
-                              0.9, labelled=True, gate=LABEL)
+
+
+def credential_label(anchored: bool = False, more_labels: Iterable[str] = ()) -> Recognizer:
+    """Value after a password label.
+
+    Labels also match inside words ("Spin: abcd"); ``anchored`` asks for whole words instead.  Further
+    labels, such as ``token``, can be added.
+    """
+    labels = "|".join([PASSWORD_LABELS, *map(quote, more_labels)])
+    border = r"\b" if anchored else ""
+    pattern = rf"""({border}(?:{labels})[\s:=]+["']?)(\S{{4,}})(["']?)"""
+    gate = ANY if more_labels else LABEL
+    return Recognizer("credential_label", "CREDENTIAL", UNICODE_ANYCASE + pattern, 0.9, labelled=True, gate=gate)
+
+
+CREDENTIAL_LABEL = credential_label()
 CREDENTIAL_STATED = Recognizer(
     "credential_stmt", "CREDENTIAL",
     UNICODE_ANYCASE

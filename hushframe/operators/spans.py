@@ -91,14 +91,16 @@ def scan(
         return F.aggregate(F.sequence(F.lit(0), count - 1), start, step, lambda acc: acc["found"])
 
     def marked(body: Column) -> Column:
-        return let(F.split(F.regexp_replace(body, rx, marks), MARK, -1), collect)
+        return let(
+            F.regexp_replace(body, rx, marks),
+            lambda m: F.when(m.contains(MARK), let(F.split(m, MARK, -1), collect)).otherwise(no_spans()),
+        )
 
     recut = F.transform(
         marked(F.translate(text, MARK, STAND_IN)),
         lambda s: s.withField("text", cut(text, s["start"], s["end"])),
     )
-    found = F.when(text.contains(MARK), recut).otherwise(marked(text))
-    return F.when(F.rlike(text, rx), found).otherwise(no_spans())
+    return F.when(text.contains(MARK), recut).otherwise(marked(text))
 
 
 def _fixed(entity_type, begin, end, score, value, recognizer) -> Column:

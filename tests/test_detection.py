@@ -155,3 +155,10 @@ def test_runs_of_a_token_table(spark):
         [("Claude", "PROPN"), ("Code", "PROPN"), ("ist", "VERB"), ("Wien", "PROPN"), ("und", "X"), ("Bad", "PROPN"), ("Ischl", "PROPN")])]
     tokens = spark.createDataFrame(rows, "doc_id long, idx long, start int, end int, text string, pos string")
     assert {r["text"] for r in learner.token_runs(tokens).collect()} == {"Claude Code", "Bad Ischl"}
+
+
+def test_password_labels_inside_words(texts):
+    assert ("CREDENTIAL", "cycle") in found(texts, "Spin cycle")
+    strict = rec.credential_label(anchored=True, more_labels=["token"])
+    assert found(texts, "Spin cycle", registry=[strict]) == []
+    assert found(texts, 'token = "abcdef" und pin: 12345', registry=[strict]) == [("CREDENTIAL", 'abcdef"'), ("CREDENTIAL", "12345")]
