@@ -315,6 +315,10 @@ def built(key: tuple, build) -> Column:
     return _BUILT[key]
 
 
+# Up to here an alternation in one pattern beats splitting texts into word runs.
+PATTERN_TERMS = 500
+
+
 def found_spans(
     text: Column | str,
     *,
@@ -324,6 +328,8 @@ def found_spans(
     extra: Column | None = None,
 ) -> Column:
     """The raw, unfiltered spans of all recognizers, the deny list and an ``extra`` span column."""
+    if len(deny_terms) > PATTERN_TERMS:
+        raise ValueError("find a long list with terms.join_terms and pass its spans as extra")
     if isinstance(text, str):
         key = ("found", text, tuple(registry), tuple(deny_terms), boost)
         patterns = built(

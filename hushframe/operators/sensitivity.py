@@ -81,8 +81,8 @@ def chunks(text: Column, limit: int = c.CHUNK_CHARS) -> Column:
 SMALL_TABLE = 1000
 
 
-def one_row(table: DataFrame, item: Column, name: str, most: int = SMALL_TABLE) -> DataFrame:
-    """A table of known small size as one row with one array; larger tables fail instead of growing.
+def small_array(table: DataFrame, item: Column, name: str, most: int = SMALL_TABLE) -> Column:
+    """A table of known small size as one array value; larger tables fail instead of growing.
 
     The array is cut one above the bound while it is built, so a table passed by mistake is refused without
     being gathered.
@@ -91,7 +91,7 @@ def one_row(table: DataFrame, item: Column, name: str, most: int = SMALL_TABLE)
     fine = F.when(F.size("__items") <= most, F.col("__items")).otherwise(
         F.raise_error(F.lit(f"more than {most} rows given as {name}"))
     )
-    return bounded.select(fine.alias(name))
+    return bounded.select(fine.alias(name)).scalar()
 
 
 def category_flags(
@@ -99,11 +99,11 @@ def category_flags(
 ) -> DataFrame:
     """Pairs of vector and category whose cosine exceeds the threshold.
 
-    ``categories(category, vector)`` has one row per category, seven in the default set, so it is
-    gathered into one row, its size checked, and met by each vector in place; the vectors are not shuffled.
+    ``categories(category, vector)`` has one row per category, seven in the default set, so it
+    becomes one array value, its size checked, that every vector meets in place; the vectors are not shuffled.
     """
-    table = one_row(categories, F.struct("category", "vector"), "cats")
-    scored = vectors.crossJoin(F.broadcast(table)).select(
+    cats = small_array(categories, F.struct("category", "vector"), "categories")
+    scored = vectors.withColumn("cats", cats).select(
         *keys,
         F.explode(
             F.filter(
@@ -263,9 +263,8 @@ def similar_to_any(
     vectors: DataFrame, centres: DataFrame, threshold: float = c.TERM_SIMILARITY, vector: str = "embedding"
 ) -> DataFrame:
     """Rows whose vector is close to at least one centroid (one per type), each row once."""
-    table = one_row(centres, F.col("vector"), "centres")
     return (
-        vectors.crossJoin(F.broadcast(table))
+        vectors.withColumn("centres", small_array(centres, F.col("vector"), "centres"))
         .where(F.exists("centres", lambda x: cosine(F.col(vector), x) > threshold))
         .drop("centres")
     )

@@ -11,9 +11,6 @@ from ..functions.text import let, occurrences, quoted, strip
 from . import recognizers as rec
 from . import spans as sp
 
-# Up to here an alternation in one pattern beats splitting texts into word runs.
-PATTERN_TERMS = 500
-
 
 def parse(lists: DataFrame, column: str, separator: str = "\n") -> DataFrame:
     """Terms of separated lists: stripped, blanks dropped, with their position."""
@@ -54,7 +51,7 @@ def remove(known: DataFrame, gone: DataFrame, any_case: bool = False) -> DataFra
 
 def find(df: DataFrame, terms: Sequence[str], text: str = "text", into: str = "spans") -> DataFrame:
     """Few terms: one alternation per text, no shuffle."""
-    if len(terms) > PATTERN_TERMS:
+    if len(terms) > rec.PATTERN_TERMS:
         raise ValueError("use join_terms for a long list")
     found = F.coalesce(rec.find_terms(F.col(text), list(terms)), sp.no_spans())
     return df.withColumn(into, found)

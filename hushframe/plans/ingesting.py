@@ -79,7 +79,8 @@ _FILE = f"concat('doc', cast(doc_id as string), {fx.pick(SUFFIXES, 'doc_id')})"
 @query(
     "file_ingest",
     f"""with f as (
-      select doc_id, {_FILE} as name, case when doc_id % 13 = 0 then '' else text end as text, cast(null as varchar) as mime from documents),
+      select doc_id, {_FILE} as name, text, cast(null as varchar) as mime from documents
+      union all select doc_id, concat('empty-', {_FILE}), '', null from documents),
     t as (select *, {_SUFFIX} as suffix, regexp_matches(text, '[^\\x00-\\x7F]') as wide from f),
     g as (select *, {_FORMAT} as kind, case when doc_id % 2 = 0 then strlen(text) else length(text) end as size from t),
     h as (select *, case when size = 0 then 'empty' when kind is null then 'unsupported' when kind <> 'TEXT' then 'needs_extractor' else 'ok' end as status from g)
@@ -90,10 +91,14 @@ _FILE = f"concat('doc', cast(doc_id as string), {fx.pick(SUFFIXES, 'doc_id')})"
     from h""",
 )
 def file_ingest(spark, sf_dir):
-    """The documents as files in two encodings, with the names and gaps that real folders have."""
-    text = F.when(F.col("doc_id") % 13 == 0, F.lit("")).otherwise(F.col("text"))
+    """The documents as files in two encodings, each beside an empty one, under all kinds of names."""
+    text = F.col("text")
     content = F.when(F.col("doc_id") % 2 == 0, F.encode(text, "UTF-8")).otherwise(F.encode(text, "ISO-8859-1"))
-    as_files = fx.documents(spark, sf_dir).select(F.expr(_FILE).alias("name"), content.alias("content"))
+    both = F.array(
+        F.struct(F.expr(_FILE).alias("name"), content.alias("content")),
+        F.struct(F.concat(F.lit("empty-"), F.expr(_FILE)).alias("name"), F.lit(b"").alias("content")),
+    )
+    as_files = fx.documents(spark, sf_dir).select(F.inline(both))
     out = files.ingest(as_files, name="name", limit=_FILE_LIMIT)
     return out.select(
         "name", "size", "status", "format", F.md5("text").alias("text_md5"), "encoding", "line_count",

@@ -195,7 +195,7 @@ products as (
       select doc_id, 'PERSON', 0, case when doc_id % 2 = 0 then 6 else 7 end, 0.85, substr(text, 1, case when doc_id % 2 = 0 then 6 else 7 end)
       from products
       union all
-      select doc_id, 'PERSON', 0, 5, 0.85, substr(text, 1, 5) from products where doc_id % 3 = 0
+      select doc_id, 'PERSON', 0, 5, case when doc_id % 3 = 0 then 0.85 else 0.55 end, substr(text, 1, 5) from products
     )
     select {sql.COLUMNS} from found
     where score >= 0.6 and lower({sql.strip('span_text')}) not in {sql.sql_in(c.PRODUCT_NAMES)}""",
@@ -206,12 +206,12 @@ def person_false_positive(spark, sf_dir):
     product = F.when(even, F.lit("Claude")).otherwise(F.lit("Copilot"))
     df = fx.letters(spark, sf_dir).select("doc_id", F.concat(product, F.lit(" meint: "), "text").alias("text"))
 
-    def person(end):
-        return sp.span(F.lit("PERSON"), F.lit(0), end, F.lit(0.85), F.left("text", end), F.lit("external"))
+    def person(end, score):
+        return sp.span(F.lit("PERSON"), F.lit(0), end, score, F.left("text", end), F.lit("external"))
 
-    external = F.concat(
-        F.array(person(F.when(even, F.lit(6)).otherwise(F.lit(7)))),
-        F.when(F.col("doc_id") % 3 == 0, F.array(person(F.lit(5)))).otherwise(sp.no_spans()),
+    external = F.array(
+        person(F.when(even, F.lit(6)).otherwise(F.lit(7)), F.lit(0.85)),
+        person(F.lit(5), F.when(F.col("doc_id") % 3 == 0, F.lit(0.85)).otherwise(F.lit(0.55))),
     )
     found = rec.found_spans("text", registry=[rec.NAME_FOLLOWED, rec.NAME_ALONE], extra=external)
     return span_table(df.select("doc_id", rec.keep_spans(found).alias("spans")))
@@ -268,8 +268,8 @@ annotations as (
   select doc_id, 'ORGANIZATION' as entity_type, cast(position('Nordlicht' in text) - 1 as bigint) as s, cast(position('Nordlicht' in text) + 17 as bigint) as e,
          cast(0.85 as double) as score from letters
   union all
-  select doc_id, 'PERSON', cast(position('Herr' in text) + 4 as bigint), cast(position('Herr' in text) + 14 as bigint), cast(0.9 as double)
-  from letters where doc_id % 3 = 0
+  select doc_id, 'PERSON', cast(position('Herr' in text) + 4 as bigint), cast(position('Herr' in text) + 14 as bigint),
+         cast(case when doc_id % 3 = 0 then 0.9 else 0.55 end as double) from letters
 )"""
 
 
@@ -278,9 +278,10 @@ def external_annotations(df):
         "doc_id", F.lit("ORGANIZATION").alias("entity_type"), (F.instr("text", "Nordlicht") - 1).alias("start"),
         (F.instr("text", "Nordlicht") + 17).alias("end"), F.lit(0.85).alias("score"),
     )
-    person = df.where(F.col("doc_id") % 3 == 0).select(
+    sure = F.when(F.col("doc_id") % 3 == 0, F.lit(0.9)).otherwise(F.lit(0.55))
+    person = df.select(
         "doc_id", F.lit("PERSON").alias("entity_type"), (F.instr("text", "Herr") + 4).alias("start"),
-        (F.instr("text", "Herr") + 14).alias("end"), F.lit(0.9).alias("score"),
+        (F.instr("text", "Herr") + 14).alias("end"), sure.alias("score"),
     )
     return org.unionByName(person)
 

@@ -190,22 +190,24 @@ select * from (
 
 def first_names(src: str) -> str:
     """First names: white-space words, looked up without their punctuation."""
+    upper_next = "nxt is not null and regexp_matches(nxt, '^\\p{Lu}')"
     return f"""
-select doc_id, 'PERSON' as entity_type, s, s + length(clean) as e,
-       cast(case when nxt is not null and regexp_matches(nxt, '^\\p{{Lu}}') then 0.8
-                 when regexp_matches(lower(substr(text, greatest(s - 30, 0) + 1, s - greatest(s - 30, 0))), {q(NAME_WORDS)}) then 0.85
+select h.doc_id, 'PERSON' as entity_type, s, s + length(clean) as e,
+       cast(case when {upper_next} then 0.8
+                 when regexp_matches(lower(substr(t.text, greatest(s - 30, 0) + 1, s - greatest(s - 30, 0))), {q(NAME_WORDS)}) then 0.85
                  else 0.65 end as double) as score,
-       case when nxt is not null and regexp_matches(nxt, '^\\p{{Lu}}') then 'first_name_followed' else 'first_name' end as recognizer,
+       case when {upper_next} then 'first_name_followed' else 'first_name' end as recognizer,
        clean as span_text
 from (
   select *, lead(w) over (partition by doc_id order by i) as nxt,
          regexp_replace(w, '[.,;:!?"''()\\[\\]{{}}]+$', '') as clean
   from (
-    select doc_id, text, i, w, cast(sum(length(w) + 1) over (partition by doc_id order by i) - length(w) - 1 as bigint) as s
-    from (select doc_id, text, unnest(string_split_regex(text, '\\s')) as w,
+    select doc_id, i, w, cast(sum(length(w) + 1) over (partition by doc_id order by i) - length(w) - 1 as bigint) as s
+    from (select doc_id, unnest(string_split_regex(text, '\\s')) as w,
                  generate_subscripts(string_split_regex(text, '\\s'), 1) as i from {src})
   ) where w <> ''
-) where regexp_matches(w, '^\\p{{Lu}}') and lower(clean) in {sql_in(c.FIRST_NAMES)}"""
+) h join {src} t on t.doc_id = h.doc_id
+where regexp_matches(w, '^\\p{{Lu}}') and lower(clean) in {sql_in(c.FIRST_NAMES)}"""
 
 
 NAME_WORDS = (

@@ -1,7 +1,9 @@
 """Anonymizing chat messages as they arrive, with codenames that stay the same over a conversation.
 
-The state is the codebook of all conversations, a table in the shared folder.  A micro-batch looks its
-identifiers up there, numbers only the new ones after the highest number in use, and appends them.
+The state is the codebook of all conversations, a table in the shared folder, cut into parts by
+conversation.  A micro-batch reads the parts its conversations fall into, numbers only the identifiers that
+are new there, after the highest number in use, and appends them.  All output is written per batch id, so
+a repeated batch replaces its own.
 """
 
 from __future__ import annotations
@@ -16,8 +18,11 @@ from ..session import work_folder
 from .runs import drain_batches
 
 SCOPE = ["conv_id"]
+PARTS = 64
 BOOK = "conv_id bigint, key string, entity_type string, `group` string, number bigint, codename string"
 TEXTS = "conv_id bigint, turn bigint, role string, text string"
+SPANS = "conv_id bigint, turn bigint, start int, `end` int, entity_type string, original string, key string, part int"
+VAULT = "conv_id bigint, codename string, original string, turn bigint, batch bigint"
 
 
 class StreamAnonymizer:
@@ -25,43 +30,50 @@ class StreamAnonymizer:
 
     def __init__(self, spark, folder: str | None = None):
         base = folder or work_folder(spark, "messages")
-        self.base, self.book, self.texts = base, f"{base}/codebook", f"{base}/texts"
-        spark.createDataFrame([], BOOK).write.mode("append").parquet(f"{self.book}/batch=-1")
+        self.base, self.book, self.texts, self.vault = base, f"{base}/codebook", f"{base}/texts", f"{base}/vault"
+        # An empty table in the same layout, so the first batch can read one.
+        spark.createDataFrame([], BOOK).write.mode("overwrite").parquet(f"{self.book}/batch=-1/part=0")
 
-    def read_book(self, spark, before: int) -> DataFrame:
-        book = spark.read.schema(BOOK + ", batch bigint").parquet(self.book)
-        return book.where(F.col("batch") < before).drop("batch")
+    def read_book(self, spark, before: int, parts: list[int]) -> DataFrame:
+        book = spark.read.schema(BOOK + ", batch bigint, part int").parquet(self.book)
+        return book.where((F.col("batch") < before) & F.col("part").isin(parts)).drop("batch", "part")
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        part = F.pmod(F.xxhash64("conv_id"), F.lit(PARTS)).cast("int")
         found = chat.detect_user_turns(batch)
         resolved = F.transform(
             sp.resolve_overlaps(F.col("spans")),
-            lambda s: F.struct(s["start"], s["end"], s["entity_type"], fold_key(s["text"]).alias("key")),
+            lambda s: F.struct(
+                s["start"].alias("start"), s["end"].alias("end"), s["entity_type"].alias("entity_type"),
+                s["text"].alias("original"), fold_key(s["text"]).alias("key"),
+            ),
         )
         path = f"{self.base}/spans/batch={batch_id}"
-        shape = "conv_id bigint, turn bigint, start int, `end` int, entity_type string, key string"
-        rows = found.select("conv_id", "turn", F.explode(resolved).alias("s")).select(
-            "conv_id", "turn", F.col("s.start").alias("start"), F.col("s.end").alias("end"),
-            F.col("s.entity_type").alias("entity_type"), F.col("s.key").alias("key"),
-        )
+        rows = found.select("conv_id", "turn", F.inline(resolved)).withColumn("part", part)
         rows.write.mode("overwrite").parquet(path)
-        occurrences = spark.read.schema(shape).parquet(path)
-        known = self.read_book(spark, batch_id)
+        occurrences = spark.read.schema(SPANS).parquet(path)
+        # At most PARTS numbers.
+        parts = [r["part"] for r in occurrences.select("part").distinct().collect()]
+
+        known = self.read_book(spark, batch_id, parts)
         firsts = pseudonym.first_seen(occurrences, SCOPE, ["turn", "start"])
         unseen = firsts.join(known.select(*SCOPE, "key"), [*SCOPE, "key"], "left_anti")
         bucket = F.floor(F.col("turn") / chat.TURNS_PER_BUCKET)
         numbered = pseudonym.number_groups(unseen, SCOPE, ["turn", "start"], bucket)
         used = known.groupBy(*SCOPE, "group").agg(F.max("number").alias("used"))
-        numbered = numbered.join(used, [*SCOPE, "group"], "left").withColumn(
-            "number", F.col("number") + F.coalesce(F.col("used"), F.lit(0))
+        numbered = pseudonym.salted_join(numbered, used, [*SCOPE, "group"], F.col("key"), how="left").withColumn(
+            "number", (F.col("number") + F.coalesce(F.col("used"), F.lit(0))).cast("bigint")
         )
         fresh = numbered.select(
-            *SCOPE, "key", "entity_type", "group", F.col("number").cast("bigint").alias("number"),
-            pseudonym.render(F.col("entity_type"), F.col("number")).alias("codename"),
+            *SCOPE, "key", "entity_type", "group", "number",
+            pseudonym.render(F.col("entity_type"), F.col("number")).alias("codename"), part.alias("part"),
         )
-        fresh.write.mode("overwrite").parquet(f"{self.book}/batch={batch_id}")
-        book = self.read_book(spark, batch_id + 1)
+        fresh.hint("rebalance", "part").write.mode("overwrite").partitionBy("part").parquet(
+            f"{self.book}/batch={batch_id}"
+        )
+
+        book = self.read_book(spark, batch_id + 1, parts)
         named = pseudonym.salted_join(
             occurrences, book.select(*SCOPE, "key", "codename"), [*SCOPE, "key"], F.struct("conv_id", "turn")
         )
@@ -74,6 +86,17 @@ class StreamAnonymizer:
         joined.select("conv_id", "turn", "role", text.alias("text")).write.mode("overwrite").parquet(
             f"{self.texts}/batch={batch_id}"
         )
+        spelled = named.groupBy("conv_id", "codename").agg(
+            F.max_by("original", F.struct("turn", "start")).alias("original"), F.max("turn").alias("turn")
+        )
+        spelled.write.mode("overwrite").parquet(f"{self.vault}/batch={batch_id}")
+
+    def mappings(self, spark) -> DataFrame:
+        """(conv_id, codename, original): the last spelling of every identifier so far."""
+        rows = spark.read.schema(VAULT).parquet(self.vault)
+        return rows.groupBy("conv_id", "codename").agg(
+            F.max_by("original", F.struct("turn", "batch")).alias("original")
+        )
 
 
 def anonymize_stream(messages: DataFrame) -> DataFrame:

@@ -206,6 +206,14 @@ def test_message_stream_keeps_names_between_batches(spark):
     handler(spark.createDataFrame([(1, 1, "user", "Frau Maria und Thomas"), (1, 2, "assistant", "Thomas")], shape), 1)
     rows = spark.read.parquet(handler.texts).orderBy("conv_id", "turn").collect()
     assert [r["text"] for r in rows] == ["Herr Arion kam", "Frau Brynn und Arion", "Thomas", "Frau Arion kam"]
+    # A repeated batch changes nothing; a later one still counts on.
+    handler(spark.createDataFrame([(1, 1, "user", "Frau Maria und Thomas"), (1, 2, "assistant", "Thomas")], shape), 1)
+    handler(spark.createDataFrame([(1, 3, "user", "mit THOMAS und Anna")], shape), 2)
+    rows = spark.read.parquet(handler.texts).where("turn = 3").collect()
+    assert [r["text"] for r in rows] == ["mit Arion und Cael"]
+    assert {(r["conv_id"], r["codename"]): r["original"] for r in handler.mappings(spark).collect()} == {
+        (1, "Arion"): "THOMAS", (1, "Brynn"): "Maria", (1, "Cael"): "Anna", (2, "Arion"): "Maria",
+    }
 
 
 def test_silent_stream_is_flushed(spark, tmp_path):
