@@ -10,6 +10,7 @@ from ..functions.text import html_escape, let, literal_map, percent
 from . import spans as sp
 
 
+# The markup of both views.
 def _mark(span: Column) -> Column:
     kind = html_escape(span["entity_type"])
     colour = F.coalesce(F.element_at(literal_map(TYPE_COLOURS), span["entity_type"]), F.lit(OTHER_COLOUR))

@@ -87,6 +87,7 @@ def _name_pattern(names: Iterable[str], tail: str) -> str:
     )
 
 
+# Patterns and scores of the recognizers.
 AT_UID = Recognizer("at_uid", "AT_UID_NR", UNICODE_ANYCASE + r"\bATU\d{8}\b", 0.9,
                     context=UID_CONTEXT, gate=DIGITS)
 AT_IBAN = Recognizer("at_iban", "AT_IBAN", UNICODE_ANYCASE + r"\bAT\d{2}\s?(?:\d{4}\s?){3}\d{4}\b", 0.95,

@@ -90,17 +90,20 @@ def scan(
         count = F.floor(F.size(parts) / period).cast("int")
         return F.aggregate(F.sequence(F.lit(0), count - 1), start, step, lambda acc: acc["found"])
 
-    def marked(body: Column) -> Column:
-        return let(
-            F.regexp_replace(body, rx, marks),
-            lambda m: F.when(m.contains(MARK), let(F.split(m, MARK, -1), collect)).otherwise(no_spans()),
-        )
-
-    recut = F.transform(
-        marked(F.translate(text, MARK, STAND_IN)),
-        lambda s: s.withField("text", cut(text, s["start"], s["end"])),
+    held = text.contains(MARK)
+    body = F.when(held, F.translate(text, MARK, STAND_IN)).otherwise(text)
+    spans = let(
+        F.regexp_replace(body, rx, marks),
+        lambda m: F.when(m.contains(MARK), let(F.split(m, MARK, -1), collect)).otherwise(no_spans()),
+    )
+    # Values that were searched with the stand-in are cut from the text itself.
+    return let(
+        spans,
+        lambda found: F.when(
+            held & (F.size(found) > 0),
+            F.transform(found, lambda s: s.withField("text", cut(text, s["start"], s["end"]))),
+        ).otherwise(found),
     )
-    return F.when(text.contains(MARK), recut).otherwise(marked(text))
 
 
 def _fixed(entity_type, begin, end, score, value, recognizer) -> Column:

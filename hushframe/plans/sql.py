@@ -48,6 +48,7 @@ def _value(labels: str, extra: str, lo: int, hi: int) -> str:
     )
 
 
+# Patterns and scores, here in the dialect of the check engine.
 # name: (type, base score, pattern, labelled, least characters, context words, runs on plain text)
 PATTERNS = {
     "at_uid": ("AT_UID_NR", 0.9, r"(?i)\bATU[0-9]{8}\b", False, 1, UID_W, True),

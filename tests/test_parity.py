@@ -35,7 +35,7 @@ def make_texts(n, seed):
 
 
 def expected(r, text):
-    """Spans by the reference's way of matching: Unicode classes, \\n as the only line end."""
+    """Spans by plain matching: Unicode classes, \\n as the only line end."""
     body, _, rest = r.pattern.partition(")")
     flags = regex.V0 | regex.UNICODE | (regex.IGNORECASE if "i" in body else 0)
     out = []
