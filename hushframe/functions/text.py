@@ -86,8 +86,8 @@ def replacement(value: Column) -> Column:
     return F.replace(value, F.lit("$"), F.lit("\\$"))
 
 
-# Characters outside the alphabet that fold onto a plain letter when case is ignored.
-_FOLDS_TO = {"s": "\u017f", "k": "\u212a"}
+# A character outside the alphabet whose lower case is a plain letter.
+_FOLDS_TO = {"k": "\u212a"}
 
 
 def any_case(char: str) -> str:
