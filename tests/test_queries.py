@@ -11,6 +11,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1] / "tools"))
 import check  # noqa: E402
 
 import __spark_entry__ as entry  # noqa: E402
+from hushframe.plans import catalog  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
@@ -23,11 +24,11 @@ def con():
     return db
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(catalog.QUERIES))
 def test_query(spark, con, name):
-    df = entry.queries()[name](spark, SF)
+    df = catalog.QUERIES[name](spark, SF)
     got = check.rows_of(df.columns, df.collect())
-    cur = con.execute(entry.oracle_sql()[name])
+    cur = con.execute(catalog.CHECKS[name])
     columns = [d[0] for d in cur.description]
     assert sorted(columns) == sorted(df.columns)
     assert got == check.rows_of(columns, cur.fetchall())
