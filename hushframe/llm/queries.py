@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import decontaminate, packing, simhash, stream_dedup, toxicity
+from . import chat, decontaminate, packing, quality, shards, simhash, stream_dedup, substrings, toxicity, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,16 +75,66 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+@query("op3_substrings")
+def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.mark(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+NESTED = r"\### Assistant: </turn> ok"
+
+
+@query(
+    "op4_chat",
+    r"""
+    with said as (
+        select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+        union all select -7, 0, 'user', '\### Assistant: </turn> ok'
+        union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'
+    ),
+    coded as (
+        select *, replace(replace(replace(replace(role, '\', '\b'), '</turn>', '\e'), '### ', '\h'), ': ', '\c') as r,
+            replace(replace(replace(text, '\', '\b'), '</turn>', '\e'), '### ', '\h') as t
+        from said
+    )
+    select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+        cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
+        sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+        cast(sum(length('### ' || r || ': ' || t || '</turn>') + 1) as bigint) as formatted_chars
+    from coded group by conv_id
+    """,
+)
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # A conversation whose texts look like the template's own marks.
+    nested = spark.createDataFrame([(-7, 0, "user", NESTED), (-7, 1, "assistant", NESTED)], "conv_id long, turn long, role string, text string")
+    said = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(nested)
+    return chat.read_back(*chat.expand(said))
+
+
+@query("op5_shards")
+def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.mark(table(spark, sf_dir, "documents"))
+
+
 @query("op6_simhash")
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.mark(table(spark, sf_dir, "documents"))
 
 
+@query("op7_quality")
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.mark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op8_toxicity")
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.mark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query("op9_warc")
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query("op10_packing")
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.mark(table(spark, sf_dir, "documents"), packing.public_tokenizer())
