@@ -129,7 +129,7 @@ def complete(counts: dict[int, int], capacity: int, nodes: int = NODES) -> list[
     best = best_fit(counts, capacity)
     best_size, floor, total = sum(t for _, t in best), lower_bound(counts, capacity), sum(n * c for n, c in counts.items())
     # A node: the counts left, how it was made, sequences and waste so far, and the fillings not yet tried.
-    stack = [_node(counts, None, 0, 0, capacity)]
+    stack = [_node(counts, None, 0, 0, capacity)] if counts else []
     while stack and best_size > floor and nodes:
         left, made, used, waste, untried = stack[-1]
         filling = next(untried, None)
