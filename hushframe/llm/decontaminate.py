@@ -11,6 +11,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,7 +22,8 @@ from .common import id_and_text
 WINDOW = 10
 #: Normalised bytes of benchmark text in one automaton (about 100 bytes of memory for each word of each window).
 BLOCK_BYTES = 1 << 20
-WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+#: A word in the original text, where letters are not yet in lower case.
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
 
@@ -48,18 +50,27 @@ class Automaton:
             for seq, owners in patterns.items():
                 self.tree.add_word(seq, (len(seq), owners))
             self.tree.make_automaton()
+        self.shortest = min(map(len, patterns), default=0)
 
     def find(self, said: list[bytes]) -> tuple[list[list[int]], set[str]]:
         """Hit word intervals, merged, and the items that occur."""
         merged: list[list[int]] = []
         owners: set[int] = set()
-        if self.tree is not None and said:
-            number = self.numbers.get
-            for end, (n, who) in self.tree.iter(tuple([number(w, 0) for w in said])):
-                start = end - n + 1
+        if self.tree is None or len(said) < self.shortest:
+            return merged, owners
+        get = self.numbers.get
+        numbers = np.array([get(w, 0) for w in said], np.int32)
+        # A word of no item ends every match, so the automaton starts anew behind it; stretches too short for any window
+        # cannot match.
+        ends = np.append(np.flatnonzero(numbers == 0), len(numbers))
+        starts = np.append(0, ends[:-1] + 1)
+        for k in np.flatnonzero(ends - starts >= self.shortest).tolist():
+            first = int(starts[k])
+            for end, (n, who) in self.tree.iter(tuple(numbers[first : int(ends[k])].tolist())):
+                start = first + end - n + 1
                 while merged and start <= merged[-1][1]:
                     start = min(start, merged.pop()[0])
-                merged.append([start, end + 1])
+                merged.append([start, first + end + 1])
                 owners |= who
         return merged, {self.ids[k] for k in owners}
 
