@@ -22,6 +22,8 @@ STATE = {
     # One bounded block cache and write buffer for all partitions of an executor.
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    # Many small stores: none reserves megabytes of disk for a log of kilobytes.
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 HOLDER = "struct<doc_id:bigint,file:string,row:bigint>"
 
@@ -94,8 +96,9 @@ def _holders(spark: SparkSession, log_path: str, schema, files_per_batch: int) -
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     spark.createDataFrame([], f"digest string, holder {HOLDER}, n bigint").write.mode("append").parquet(f"{out}/batch=-1")
     changes = spark.read.schema(f"digest string, holder {HOLDER}, n bigint").parquet(out)
-    # Holder and count only grow, so the last of a key's changes is the largest.
-    return changes.groupBy("digest").agg(F.max("holder").alias("holder"), F.max("n").alias("n"))
+    # Holder and count only grow, so the last of a key's changes is the largest. Written, so that joins with it can split a
+    # digest that has many rows.
+    return stage(changes.groupBy("digest").agg(F.max("holder").alias("holder"), F.max("n").alias("n")), "dedup-classes")
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
