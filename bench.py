@@ -1,6 +1,7 @@
 """Headline queries at one scale, one JSON line.
 
-    BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8), BENCH_RUNS (default 3)
+    BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8), BENCH_RUNS (default 3),
+    BENCH_WORK (folder for intermediate tables; default a new temporary one)
 """
 
 from __future__ import annotations
@@ -8,6 +9,7 @@ from __future__ import annotations
 import json
 import os
 import statistics
+import tempfile
 import time
 
 from hushframe.plans import catalog
@@ -30,6 +32,7 @@ def main() -> None:
             "spark.driver.memory": "12g",
             "spark.sql.shuffle.partitions": str(2 * int(cpus)),
             "spark.ui.enabled": "false",
+            "spark.checkpoint.dir": os.environ.get("BENCH_WORK") or tempfile.mkdtemp(prefix="bench-"),
             "spark.ui.showConsoleProgress": "false",
         },
     )

@@ -179,11 +179,50 @@ BRACKET_HINT = (
     "Reproduce these EXACTLY as they appear."
 )
 
-# Terms that never count as identifying: calendar words, legal forms, salutations.  A fuller list
-# is a parameter of the learner (``stop_terms``), best given as a table.
+# Terms that never count as identifying.  The list is a parameter of the learner (``stop_terms``).
 DEFAULT_STOP_TERMS = [
-    "januar", "februar", "märz", "april", "mai", "juni", "juli", "august", "september",
-    "oktober", "november", "dezember", "montag", "dienstag", "mittwoch", "donnerstag",
-    "freitag", "samstag", "sonntag", "gmbh", "corp", "herr", "frau", "sehr", "geehrte",
-    "geehrter", "liebe", "lieber", "iban", "firma", "vertrag", "rechnung", "dokument",
+    # general words
+    "herr", "frau", "sehr", "geehrte", "geehrter", "liebe", "lieber", "firma", "unternehmen", "person", "name",
+    "adresse", "telefon", "bitte", "danke", "freundliche", "grüße", "gruesse", "erstellt", "verfasst", "geschrieben",
+    "bearbeitet", "dokument", "brief", "vertrag", "rechnung", "angebot", "beispiel", "standard", "optional",
+    "alternative", "ergebnis", "tabelle", "abbildung", "anhang", "kapitel", "abschnitt", "deutsch", "deutsche",
+    "deutscher", "deutsches", "deutschen", "oesterreichisch", "oesterreichische", "oesterreichischen",
+    # legal forms
+    "gmbh", "ag", "kg", "e.u.", "ohg", "mbh", "corp", "inc", "ltd",
+    # calendar
+    "januar", "februar", "märz", "maerz", "april", "mai", "juni", "juli", "august", "september", "oktober",
+    "november", "dezember", "montag", "dienstag", "mittwoch", "donnerstag", "freitag", "samstag", "sonntag",
+    # places
+    "österreich", "oesterreich", "deutschland", "schweiz", "europa", "wien", "berlin", "münchen", "muenchen",
+    "zürich", "zuerich", "hamburg", "köln", "koeln", "frankfurt", "salzburg", "graz", "linz",
+    # money and law
+    "eur", "usd", "chf", "gbp", "jpy", "cny", "euro", "uid", "iban", "bic", "svnr", "swift", "sepa", "mwst", "ust",
+    "vat", "netto", "brutto", "abs", "bgb", "dsgvo", "gdpr", "dsg",
+    # parts of a letter
+    "tel", "fax", "mobil", "mail", "email", "nr", "nr.", "str", "str.", "plz",
+    # products
+    "claude", "openai", "anthropic", "gemini", "mistral", "llama", "chatgpt", "copilot", "alexa", "siri", "cortana",
+    "google", "microsoft", "apple", "amazon", "meta", "nvidia", "docker", "kubernetes", "linux", "windows", "macos",
+    "android", "python", "javascript", "typescript", "java", "rust", "golang", "fastapi", "flask", "django",
+    "express", "react", "angular", "vue", "spacy", "presidio", "tesseract", "ollama", "litellm", "langchain",
+    "pytorch", "tensorflow", "numpy", "pandas", "scipy", "sqlite", "postgres", "postgresql", "mysql", "mongodb",
+    "redis", "chromadb", "pinecone", "weaviate", "qdrant", "milvus", "github", "gitlab", "bitbucket", "jira",
+    "confluence", "hetzner", "aws", "azure", "gcloud", "vercel", "netlify", "cloudflare", "nginx", "apache",
+    "caddy", "whisper", "stable diffusion", "midjourney", "dall-e",
+    # technical terms
+    "llm", "ner", "nlp", "ocr", "api", "sdk", "cli", "gui", "ide", "gpu", "cpu", "ram", "rom", "ssd", "hdd", "vps",
+    "tls", "ssl", "ssh", "dns", "cdn", "dpi", "fps", "url", "uri", "pdf", "png", "jpg", "jpeg", "tiff", "bmp",
+    "webp", "svg", "xlsx", "csv", "docx", "json", "xml", "yaml", "toml", "html", "rest", "graphql", "grpc", "mqtt",
+    "websocket", "pip", "npm", "yarn", "cargo", "brew", "apt", "git", "svn", "mercurial", "http", "https", "ftp",
+    "smtp", "imap", "regex", "pattern", "token", "embedding", "vector", "tensor", "prompt", "query", "response",
+    "request", "endpoint", "layer", "model", "module", "plugin", "extension", "pipeline", "workflow", "trigger",
+    "hook", "callback", "mapping", "schema", "migration", "fixture", "seed", "cache", "proxy", "gateway", "bridge",
+    "adapter", "memory", "buffer", "queue", "stack", "heap", "scan", "chunk", "batch", "stream", "shard", "open",
+    "source", "free", "premium", "enterprise", "detection", "analysis", "processing", "extraction", "generation",
+    "setup", "config", "install", "deploy", "build", "test", "benchmark", "performance", "upgrade", "downgrade",
+    "design", "core", "base", "main", "init", "auto", "true", "false", "null", "none", "undefined", "remote",
+    "local", "global", "private", "public", "clone", "fork", "merge", "rebase", "commit", "push", "pull",
+    # short words
+    "mit", "und", "oder", "bei", "von", "fuer", "aus", "auf", "per", "pro", "max", "min", "neu", "alt", "gut",
+    "text", "code", "data", "file", "log", "key", "tag",
 ]

@@ -1,6 +1,7 @@
 """SQL names for the row-level functions, so plain SQL users can call them.
 
-Each is a SQL function whose body is built-in expressions; nothing runs in Python.
+Each is a SQL function whose body is the text of the same expression that the DataFrame function builds; nothing
+runs in Python.
 """
 
 from __future__ import annotations
@@ -8,65 +9,33 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
-from ..constants import CONFIDENCE
-from ..operators.recognizers import REGISTRY, Recognizer
-from ..operators.spans import MARK
+from ..operators import pseudonym, rehydrate
+from ..operators import spans as sp
+from ..operators.recognizers import REGISTRY, Recognizer, found_spans, keep_spans
+from .sqltext import as_sql
+from .text import fold_key, mask_key, occurrences
 
-SPANS = "ARRAY<STRUCT<entity_type: STRING, start: INT, `end`: INT, score: DOUBLE, text: STRING>>"
 
-
-def literal(text: str) -> str:
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
-def spans_sql(rec: Recognizer) -> str:
-    """Spans of one recognizer as SQL over the column ``text``."""
-    rx = literal(rec.pattern)
-    if rec.labelled:
-        marks, period = f"{MARK}$1{MARK}$2{MARK}$3{MARK}", 4
-        begin = "acc.at + length(get(p, i * 4)) + length(get(p, i * 4 + 1))"
-        value = "regexp_replace(get(p, i * 4 + 2), '(?U)\\\\s+$', '')"
-        after = f"{begin} + length(get(p, i * 4 + 2)) + length(get(p, i * 4 + 3))"
-    else:
-        marks, period = f"{MARK}$0{MARK}", 2
-        begin = "acc.at + length(get(p, i * 2))"
-        value = "get(p, i * 2 + 1)"
-        after = f"{begin} + length({value})"
-    item = (
-        f"named_struct('entity_type', {literal(rec.entity_type)}, 'start', {begin}, 'end', {begin} + length({value}), "
-        f"'score', CAST({rec.score} AS DOUBLE), 'text', {value})"
-    )
-    return (
-        f"CASE WHEN text RLIKE {rx} AND NOT contains(text, {literal(MARK)}) THEN get(transform(array(split(regexp_replace(text, {rx}, {literal(marks)}), "
-        f"{literal(MARK)}, -1)), p -> aggregate(sequence(0, CAST(floor(size(p) / {period}) AS INT) - 1), "
-        f"named_struct('at', 0, 'out', CAST(array() AS {SPANS})), "
-        f"(acc, i) -> named_struct('at', {after}, 'out', concat(acc.out, array({item}))), acc -> acc.out)), 0) "
-        f"ELSE CAST(array() AS {SPANS}) END"
-    )
-
-
-def register(spark: SparkSession, registry: Sequence[Recognizer] = REGISTRY, confidence: float = CONFIDENCE) -> None:
+def register(spark: SparkSession, registry: Sequence[Recognizer] = REGISTRY, deny_terms: Sequence[str] = (), **filters) -> None:
     """Create the functions in the session.
 
-    ``pii_spans`` lists what the patterns of base score find, without checks that need more than the
-    pattern and without resolving overlaps.
+    ``pii_spans`` gives what ``recognizers.detect`` gives, ``pii_anonymize`` what ``pseudonym.anonymize`` gives on top of
+    it, ``pii_rehydrate`` what ``rehydrate.rehydrate`` gives.
     """
-    plain = [r for r in registry if r.check is None and r.score >= confidence]
+    text = F.col("text")
+    spans = sp.clean_spans(keep_spans(found_spans(text, registry=registry, deny_terms=deny_terms), **filters))
+    done = pseudonym.anonymized(text, F.call_function("pii_spans", text))
     bodies = {
-        "mask_key(k STRING) RETURNS STRING": (
-            "CASE WHEN length(k) > 12 THEN concat(left(k, 8), '...', right(k, 4)) ELSE '***' END"
-        ),
-        "pii_fold_key(x STRING) RETURNS STRING": "lower(regexp_replace(x, '(?U)^\\\\s+|\\\\s+$', ''))",
-        "pii_term_count(text STRING, term STRING) RETURNS BIGINT": (
-            "CAST((length(lower(text)) - length(replace(lower(text), lower(term), ''))) / length(term) AS BIGINT)"
-        ),
-        "pii_rehydrate(text STRING, mapping MAP<STRING, STRING>) RETURNS STRING": (
-            "aggregate(array_sort(map_entries(mapping), (a, b) -> CASE WHEN length(a.key) > length(b.key) THEN -1 "
-            "WHEN length(a.key) < length(b.key) THEN 1 WHEN a.key < b.key THEN -1 WHEN a.key > b.key THEN 1 ELSE 0 END), "
-            "text, (acc, e) -> replace(acc, e.key, e.value))"
+        "mask_key(k STRING) RETURNS STRING": mask_key(F.col("k")),
+        "pii_fold_key(x STRING) RETURNS STRING": fold_key(F.col("x")),
+        "pii_term_count(text STRING, term STRING) RETURNS BIGINT": occurrences(text, F.col("term")),
+        "pii_rehydrate(text STRING, mapping MAP<STRING, STRING>) RETURNS STRING": rehydrate.rehydrate(text, F.col("mapping")),
+        f"pii_spans(text STRING) RETURNS {sp.SPANS_TYPE.replace('end:', '`end`:')}": spans,
+        "pii_anonymize(text STRING) RETURNS STRUCT<anonymized: STRING, mapping: MAP<STRING, STRING>>": F.struct(
+            done["anonymized"].alias("anonymized"), done["mapping"].alias("mapping")
         ),
-        f"pii_spans(text STRING) RETURNS {SPANS}": "concat(" + ", ".join(spans_sql(r) for r in plain) + ")",
     }
     for head, body in bodies.items():
-        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}")
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {as_sql(body)}")

@@ -33,6 +33,70 @@ def cut(text: Column, start: Column, end: Column) -> Column:
     return F.substring(text, start + 1, end - start)
 
 
+#: Code points of a block.
+BLOCK = 1024
+
+
+def blocks(text: Column) -> Column:
+    """A text in blocks of equal length, so that a slice far behind its beginning costs no walk from there."""
+    cut_up = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    return F.when(F.length(text) <= BLOCK, F.array(text)).otherwise(cut_up)
+
+
+def cut_blocks(parts: Column, start: Column, end: Column) -> Column:
+    """``cut`` of a text given in blocks."""
+    first = F.floor(start / BLOCK).cast("int")
+    size = F.greatest(F.floor((end - 1) / BLOCK).cast("int") - first + 1, F.lit(1))
+    near = F.when(size == 1, F.get(parts, first)).otherwise(F.array_join(F.slice(parts, first + 1, size), ""))
+    return F.coalesce(F.substring(near, start - first * BLOCK + 1, end - start), F.lit(""))
+
+
+#: Items that a walk takes between two copies of its output.
+WALK = 64
+
+
+def walk(
+    items: Column,
+    state: Column,
+    out_type: str,
+    step: Callable[[Column, Column], tuple[Column, Column]],
+    last: Callable[[Column], Column] | None = None,
+) -> Column:
+    """Carry a state along an array and gather what each step gives out.
+
+    ``step`` takes state and item and returns the next state and an array of ``out_type``; ``last`` turns the final
+    state into one more array.  The output grows part by part, so an array of many thousand items costs no square.
+    """
+    none = F.array().cast(f"array<{out_type}>")
+
+    def one(acc: Column, item: Column) -> Column:
+        after, out = step(acc["state"], item)
+        return F.struct(after.alias("state"), F.concat(acc["out"], out.cast(f"array<{out_type}>")).alias("out"))
+
+    def part(acc: Column, chunk: Column) -> Column:
+        done = F.aggregate(chunk, F.struct(acc["state"].alias("state"), none.alias("out")), one)
+        return let(
+            done,
+            lambda d: F.struct(d["state"].alias("state"), F.concat(acc["parts"], F.array(d["out"])).alias("parts")),
+        )
+
+    def chunked(all_items: Column) -> Column:
+        size = F.size(all_items)
+        cut_up = F.transform(
+            F.sequence(F.lit(0), F.floor((size - 1) / WALK).cast("int")),
+            lambda i: F.slice(all_items, i * WALK + 1, F.lit(WALK)),
+        )
+        return F.when(size > 0, cut_up).otherwise(F.array(all_items))
+
+    start = F.struct(state.alias("state"), F.array().cast(f"array<array<{out_type}>>").alias("parts"))
+
+    def finish(acc: Column) -> Column:
+        gathered = F.flatten(acc["parts"])
+        return gathered if last is None else F.concat(gathered, last(acc["state"]).cast(f"array<{out_type}>"))
+
+    return F.aggregate(let(items, chunked), start, part, finish)
+
+
 def html_escape(text: Column) -> Column:
     """The five HTML escapes; the ampersand goes first."""
     for raw, escaped in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):

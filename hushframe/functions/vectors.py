@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 
 def dot(a: Column, b: Column) -> Column:
     products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
@@ -25,3 +27,14 @@ def unit(a: Column) -> Column:
     """Vector scaled to length one, null for a zero vector."""
     length = norm(a)
     return F.when(length > 0, F.transform(a, lambda x: x.cast("double") / length))
+
+
+def hashed_word(word: Column, dims: int = 8) -> Column:
+    """A word's vector from its MD5: no model needed, equal words are equal, others as good as unrelated."""
+    return let(
+        F.md5(word),
+        lambda h: F.transform(
+            F.sequence(F.lit(0), F.lit(dims - 1)),
+            lambda i: F.conv(F.substring(h, i * 4 + 1, F.lit(4)), 16, 10).cast("double") / 32768.0 - 1,
+        ),
+    )

@@ -6,21 +6,22 @@ default is a capitalised word that does not begin a sentence.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import constants as c
-from ..functions.text import UNICODE, fold_key, let, literal_array
+from ..functions.text import UNICODE, fold_key, let, literal_array, walk
 from . import recognizers as rec
 from . import spans as sp
 from . import terms
 
 PROPER = r"(?<=[^\s.!?]\s)\p{Lu}\w*"
 PROPER_TOKEN = UNICODE + PROPER
-PROPER_RUN = UNICODE + PROPER + r"(?: \p{Lu}\w*)+"
+# Possessive: the engine takes the words in a loop, so a list of any length costs no stack.
+PROPER_RUN = UNICODE + PROPER + r"+(?: \p{Lu}\w*+)++"
 JOINERS = ["und", "and", "&"]
 
 
@@ -50,30 +51,42 @@ def token_runs(tokens: DataFrame) -> DataFrame:
     return runs.where(F.col("n") >= 2).drop("n", "island")
 
 
+def _together(spans: Column, others: Column) -> Column:
+    """Spans (kind 0) and others (kind 1) in one array in order of their start."""
+
+    def marked(items: Column, kind: int) -> Column:
+        return F.transform(
+            items,
+            lambda s, i: F.struct(
+                s["start"].alias("start"), F.lit(kind).alias("kind"), s["end"].alias("end"), i.alias("at"), s.alias("item")
+            ),
+        )
+
+    return F.sort_array(F.concat(marked(spans, 0), marked(others, 1)))
+
+
 def uncovered(candidates: Column, spans: Column) -> Column:
-    """Candidates that do not begin inside a span.
+    """Candidates that do not begin inside a span: one walk over spans and candidates together."""
 
-    Spans and candidates are walked together in order of their start, so many of both cost a sort and
-    not their product.
-    """
-    from_spans = F.transform(
-        spans, lambda s: F.struct(s["start"].alias("start"), F.lit(0).alias("kind"), s["end"].alias("end"), s.alias("item"))
-    )
-    from_candidates = F.transform(
-        candidates, lambda t: F.struct(t["start"].alias("start"), F.lit(1).alias("kind"), t["end"].alias("end"), t.alias("item"))
-    )
+    def step(reach: Column, e: Column) -> tuple[Column, Column]:
+        free = (e["kind"] == 1) & (e["start"] >= reach)
+        after = F.when(e["kind"] == 0, F.greatest(reach, e["end"])).otherwise(reach)
+        return after, F.when(free, F.array(e["item"])).otherwise(sp.no_spans())
 
-    def step(acc: Column, e: Column) -> Column:
-        free = (e["kind"] == 1) & (e["start"] >= acc["reach"])
-        return F.struct(
-            F.when(e["kind"] == 0, F.greatest(acc["reach"], e["end"])).otherwise(acc["reach"]).alias("reach"),
-            F.when(free, F.concat(acc["out"], F.array(e["item"]))).otherwise(acc["out"]).alias("out"),
-        )
+    walked = walk(_together(spans, candidates), F.lit(0), sp.SPAN_TYPE, step)
+    return F.when(F.size(spans) > 0, walked).otherwise(candidates)
 
-    start = F.struct(F.lit(0).alias("reach"), sp.no_spans().alias("out"))
-    walked = F.aggregate(
-        F.array_sort(F.concat(from_spans, from_candidates)), start, step, lambda acc: acc["out"]
-    )
+
+def untouched(candidates: Column, spans: Column) -> Column:
+    """Candidates that share no character with a span; the second walk goes from the end."""
+
+    def step(first: Column, e: Column) -> tuple[Column, Column]:
+        free = (e["kind"] == 1) & (e["end"] <= first)
+        after = F.when(e["kind"] == 0, e["start"]).otherwise(first)
+        return after, F.when(free, F.array(e["item"])).otherwise(sp.no_spans())
+
+    backwards = F.reverse(_together(spans, uncovered(candidates, spans)))
+    walked = walk(backwards, F.lit(2**31 - 1), sp.SPAN_TYPE, step)
     return F.when(F.size(spans) > 0, walked).otherwise(candidates)
 
 
@@ -83,27 +96,41 @@ def _frequency(low: Column, term: Column) -> Column:
     return ((F.length(low) - gone) / F.length(needle)).cast("int")
 
 
-def signal_terms(text: Column, candidates: Column, spans: Column, stop_terms: Sequence[str], min_chars: int) -> Column:
-    """Distinct candidate texts that are unknown, uncovered, no stop terms and rare in the text."""
-    known = F.transform(spans, lambda s: fold_key(s["text"]))
-    stop = literal_array(stop_terms)
-
-    def pick(w: Column) -> Column:
-        free = uncovered(w["candidates"], w["spans"])
-        texts = F.array_distinct(F.transform(free, lambda t: t["text"]))
-        return F.filter(
-            texts,
-            lambda t: (F.length(t) >= min_chars)
-            & ~F.array_contains(w["known"], F.lower(t))
-            & ~F.array_contains(stop, F.lower(t))
-            & (_frequency(w["low"], t) <= c.TERM_MAX_COUNT),
+def _unknown(texts: Column, spans: Column, stop_terms: Sequence[str], min_chars: int) -> Column:
+    """Distinct texts that are long enough and neither known from a span nor stop terms: one sort and one walk."""
+    known = F.filter(F.transform(spans, lambda s: fold_key(s["text"])), lambda k: k.isNotNull())
+    barred = F.transform(
+        F.array_distinct(F.concat(known, literal_array(stop_terms))),
+        lambda k: F.struct(k.alias("key"), F.lit(0).alias("kind"), F.lit("").alias("term")),
+    )
+    long = F.filter(F.array_distinct(texts), lambda t: F.length(t) >= min_chars)
+    asked = F.transform(long, lambda t: F.struct(F.lower(t).alias("key"), F.lit(1).alias("kind"), t.alias("term")))
+
+    def step(last: Column, e: Column) -> tuple[Column, Column]:
+        free = (e["kind"] == 1) & ~e["key"].eqNullSafe(last)
+        return (
+            F.when(e["kind"] == 0, e["key"]).otherwise(last),
+            F.when(free, F.array(e["term"])).otherwise(F.array().cast("array<string>")),
         )
 
+    walked = walk(F.sort_array(F.concat(barred, asked)), F.lit(None).cast("string"), "string", step)
+    return F.when(F.size(long) > 0, walked).otherwise(long)
+
+
+def _rare(text: Column, found: Column) -> Column:
+    """Terms that are rare in the text."""
+    return let(F.lower(text), lambda low: F.filter(found, lambda t: _frequency(low, t) <= c.TERM_MAX_COUNT))
+
+
+def _free_texts(candidates: Column, spans: Column) -> Column:
+    return F.transform(uncovered(candidates, spans), lambda t: t["text"])
+
+
+def signal_terms(text: Column, candidates: Column, spans: Column, stop_terms: Sequence[str], min_chars: int) -> Column:
+    """Distinct candidate texts that are unknown, uncovered, no stop terms and rare in the text."""
     return let(
-        F.struct(
-            candidates.alias("candidates"), spans.alias("spans"), known.alias("known"), F.lower(text).alias("low")
-        ),
-        pick,
+        F.struct(candidates.alias("candidates"), spans.alias("spans")),
+        lambda w: _rare(text, _unknown(_free_texts(w["candidates"], w["spans"]), w["spans"], stop_terms, min_chars)),
     )
 
 
@@ -140,19 +167,80 @@ def model_terms(
         annotations,
         lambda a: a["entity_type"].isin("PER", "ORG") | ((a["entity_type"] == "MISC") & proper_only(a)),
     )
-    known = F.transform(spans, lambda s: fold_key(s["text"]))
-    stop = literal_array(stop_terms)
-
-    def pick(w: Column) -> Column:
-        return F.filter(
-            F.array_distinct(F.transform(w["accepted"], lambda a: F.trim(a["text"]))),
-            lambda t: (F.length(t) >= c.TERM_MIN_CHARS)
-            & ~F.array_contains(w["known"], F.lower(t))
-            & ~F.array_contains(stop, F.lower(t))
-            & (_frequency(w["low"], t) <= c.TERM_MAX_COUNT),
+    texts = F.transform(accepted, lambda a: F.trim(a["text"]))
+    return _rare(text, _unknown(texts, spans, stop_terms, c.TERM_MIN_CHARS))
+
+
+def _mean(vectors: Column) -> Column:
+    """Direction of the mean of some vectors; null without vectors or without a direction."""
+
+    def add(acc: Column, v: Column) -> Column:
+        return F.when(F.size(acc) == 0, v).otherwise(F.zip_with(acc, v, lambda a, b: a + b))
+
+    def unit(total: Column) -> Column:
+        length = F.sqrt(F.aggregate(total, F.lit(0.0), lambda acc, x: acc + x * x))
+        return let(length, lambda n: F.when(n > 0, F.transform(total, lambda x: x / n)))
+
+    given = F.filter(vectors, lambda v: v.isNotNull())
+    return let(F.aggregate(given, F.array().cast("array<double>"), add), unit)
+
+
+def similar_terms(
+    text: Column,
+    phrases: Column,
+    tokens: Column,
+    spans: Column,
+    encode: Callable[[Column], Column],
+    stop_terms: Sequence[str] = c.DEFAULT_STOP_TERMS,
+    threshold: float = c.TERM_SIMILARITY,
+) -> Column:
+    """Phrases, clear of all spans, whose mean word vector is close to that of a detected type.
+
+    ``encode`` gives a word's vector (array of doubles) or null; a type's vector is the mean over the tokens inside its
+    spans.
+    """
+    member = "struct<kind:string,vector:array<double>>"
+
+    def inside(open_: Column, e: Column) -> tuple[Column, Column]:
+        near = F.filter(open_, lambda o: o["end"] > e["start"])
+        after = F.when(
+            e["kind"] == 0, F.concat(near, F.array(F.struct(e["end"].alias("end"), e["item"]["entity_type"].alias("kind"))))
+        ).otherwise(near)
+        holders = F.filter(near, lambda o: (e["kind"] == 1) & (o["end"] >= e["end"]))
+        return after, F.transform(
+            holders, lambda o: F.struct(o["kind"].alias("kind"), encode(e["item"]["text"]).alias("vector"))
+        )
+
+    def close(w: Column) -> Column:
+        members = walk(
+            _together(w["spans"], w["tokens"]), F.array().cast("array<struct<end:int,kind:string>>"), member, inside
+        )
+        centres = let(
+            members,
+            lambda m: F.transform(
+                F.array_distinct(F.transform(m, lambda x: x["kind"])),
+                lambda k: _mean(F.transform(F.filter(m, lambda x: x["kind"] == k), lambda x: x["vector"])),
+            ),
+        )
+
+        def alike(phrase: Column, centre: Column) -> Column:
+            dot = F.aggregate(F.zip_with(phrase, centre, lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x)
+            return F.coalesce(dot > threshold, F.lit(False))
+
+        free = F.transform(untouched(w["phrases"], w["spans"]), lambda p: F.trim(p["text"]))
+        fresh = _unknown(free, w["spans"], stop_terms, c.TERM_MIN_CHARS)
+        return let(
+            F.filter(centres, lambda v: v.isNotNull()),
+            lambda cs: F.filter(
+                fresh,
+                lambda t: let(
+                    _mean(F.transform(F.split(t, r"(?U)\s+"), encode)), lambda v: F.exists(cs, lambda x: alike(v, x))
+                ),
+            ),
         )
 
-    return let(F.struct(accepted.alias("accepted"), known.alias("known"), F.lower(text).alias("low")), pick)
+    work = F.struct(phrases.alias("phrases"), tokens.alias("tokens"), spans.alias("spans"))
+    return _rare(text, let(work, close))
 
 
 def learned_terms(
@@ -165,27 +253,38 @@ def learned_terms(
 ) -> Column:
     """Union of the signals, final filters, rarest first, at most ``limit`` per text.
 
-    The limit is the feature itself: a text gets no more than that many learned terms.
+    ``extra`` holds the terms of further signals (``model_terms``, ``similar_terms``).  The limit is the feature itself: a
+    text gets no more than that many learned terms.  Terms are counted in their final order, and no longer once
+    enough of them occur a single time.
     """
-    union = F.array_distinct(
-        F.concat(proper_terms(text, spans, stop_terms), proper_run_terms(text, spans, stop_terms), *extra)
-    )
-    stop = literal_array(stop_terms)
+    return _learned(text, proper_nouns(text), proper_runs(text), spans, stop_terms, extra, limit)
+
+
+def _learned(
+    text: Column, nouns: Column, runs: Column, spans: Column, stop_terms: Sequence[str], extra: Sequence[Column], limit: int
+) -> Column:
+    ranked_type = "struct<n:int,key:string,term:string>"
 
     def finish(w: Column) -> Column:
-        ranked = F.transform(
-            w["terms"],
-            lambda t: F.struct(_frequency(w["low"], t).alias("n"), F.lower(t).alias("key"), t.alias("term")),
-        )
-        fine = F.filter(
-            ranked,
-            lambda r: (F.length(r["term"]) >= c.TERM_MIN_CHARS)
-            & (r["n"] <= c.TERM_MAX_COUNT)
-            & ~F.array_contains(stop, r["key"]),
-        )
-        return F.transform(F.slice(F.array_sort(fine), 1, limit), lambda r: r["term"])
+        own = F.concat(_free_texts(w["nouns"], w["spans"]), _free_texts(w["runs"], w["spans"]))
+        found = _unknown(own, w["spans"], stop_terms, c.TERM_MIN_CHARS)
+        if extra:
+            found = _unknown(F.concat(found, *extra), sp.no_spans(), stop_terms, c.TERM_MIN_CHARS)
+        ordered = F.sort_array(F.transform(found, lambda t: F.struct(F.lower(t).alias("key"), t.alias("term"))))
+
+        def count(singles: Column, e: Column) -> tuple[Column, Column]:
+            n = F.when(singles < limit, _frequency(w["low"], e["term"])).otherwise(F.lit(c.TERM_MAX_COUNT + 1))
+            picked = let(
+                F.struct(n.alias("n"), e["key"].alias("key"), e["term"].alias("term")),
+                lambda x: F.when(x["n"] <= c.TERM_MAX_COUNT, F.array(x)).otherwise(F.array().cast(f"array<{ranked_type}>")),
+            )
+            return singles + (n == 1).cast("int"), picked
+
+        ranked = walk(ordered, F.lit(0), ranked_type, count)
+        return F.transform(F.slice(F.sort_array(ranked), 1, limit), lambda r: r["term"])
 
-    return let(F.struct(union.alias("terms"), F.lower(text).alias("low")), finish)
+    work = F.struct(nouns.alias("nouns"), runs.alias("runs"), spans.alias("spans"), F.lower(text).alias("low"))
+    return let(work, finish)
 
 
 def detect_two_pass(
@@ -195,41 +294,60 @@ def detect_two_pass(
     stop_terms: Sequence[str] = c.DEFAULT_STOP_TERMS,
     deny_terms: Sequence[str] = (),
     registry: Sequence[rec.Recognizer] = rec.REGISTRY,
+    proper: Column | None = None,
+    annotations: Column | None = None,
+    encode: Callable[[Column], Column] | None = None,
     into: str = "spans",
     **filters,
 ) -> DataFrame:
     """Detect, learn terms where something was found, detect again with them.
 
-    The patterns run once: the second pass only adds the spans of the learned terms.
+    The patterns run once: the second pass only adds the spans of the learned terms.  ``proper`` holds the proper nouns of
+    a tagger as spans; with it a PERSON needs one inside.  ``annotations`` (an outside model's spans) and ``encode`` (word
+    vectors) switch on the second and third signal of learning; they use the built-in tagger where ``proper`` is missing.
     """
     body = F.col(text)
+    none = F.array().cast("array<string>")
 
     def finish(found: Column) -> Column:
-        return sp.clean_spans(rec.keep_spans(found, **filters))
-
-    def second(w: Column) -> Column:
-        learned = F.when(F.size(w["first"]) > 0, learned_terms(body, w["first"], stop_terms=stop_terms)).otherwise(
-            F.array().cast("array<string>")
-        )
-        return let(
-            learned,
-            lambda t: F.when(
-                F.size(t) > 0, finish(F.concat(w["found"], terms.find_row_terms(body, t)))
-            ).otherwise(w["first"]),
-        )
+        kept = sp.clean_spans(rec.keep_spans(found, **filters))
+        return kept if proper is None else person_pos_check(kept, proper)
 
+    # One column for each step: the optimizer keeps columns that are used more than once apart, so each is computed once.
     found = rec.found_spans(text, registry=registry, deny_terms=deny_terms)
-    work = let(found, lambda f: let(F.struct(f.alias("found"), finish(f).alias("first")), second))
-    return df.withColumn(into, work)
+    out = df.withColumn("__found", found)
+    out = out.withColumn("__first", finish(F.col("__found")))
+    out = out.withColumns({"__nouns": proper_nouns(body), "__runs": proper_runs(body)})
+    nouns, first = F.col("__nouns") if proper is None else proper, F.col("__first")
+    steps = {}
+    if annotations is not None:
+        steps["__named"] = model_terms(body, annotations, nouns, first, stop_terms)
+    if encode is not None:
+        phrases = F.concat(F.col("__nouns"), F.col("__runs"))
+        steps["__similar"] = similar_terms(body, phrases, nouns, first, encode, stop_terms)
+    for name, step in steps.items():
+        out = out.withColumn(name, F.when(F.size(first) > 0, step).otherwise(none))
+    learned = _learned(
+        body, F.col("__nouns"), F.col("__runs"), first, stop_terms, [F.col(n) for n in steps], c.TERMS_PER_TEXT
+    )
+    out = out.withColumn("__learned", F.when(F.size(first) > 0, learned).otherwise(none))
+    terms_ = F.col("__learned")
+    again = finish(F.concat(F.col("__found"), terms.find_row_terms(body, terms.longest_first(terms_))))
+    out = out.withColumn(into, F.when(F.size(terms_) > 0, again).otherwise(first))
+    return out.drop("__found", "__first", "__nouns", "__runs", "__learned", *steps)
 
 
 def person_pos_check(spans: Column, tokens: Column) -> Column:
-    """Keep a PERSON only if a proper noun begins inside it."""
-    return F.filter(
-        spans,
-        lambda s: (s["entity_type"] != "PERSON")
-        | F.exists(tokens, lambda t: (t["start"] >= s["start"]) & (t["start"] < s["end"])),
-    )
+    """Keep a PERSON only if a proper noun begins inside it: one walk from the end, with the nearest noun at hand."""
+
+    def step(nearest: Column, e: Column) -> tuple[Column, Column]:
+        fine = (e["kind"] == 0) & ((e["item"]["entity_type"] != "PERSON") | (nearest < e["end"]))
+        after = F.when(e["kind"] == 1, e["start"]).otherwise(nearest)
+        return after, F.when(fine, F.array(e["item"])).otherwise(sp.no_spans())
+
+    # At one start the noun comes first on the way back, so it counts for the span.
+    kept = walk(F.reverse(_together(spans, tokens)), F.lit(2**31 - 1), sp.SPAN_TYPE, step)
+    return F.when(F.exists(spans, lambda s: s["entity_type"] == "PERSON"), F.reverse(kept)).otherwise(spans)
 
 
 def doc_kind(answer: Column) -> Column:

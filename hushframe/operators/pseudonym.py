@@ -15,11 +15,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..constants import POOL_OF_TYPE, POOLS
-from ..functions.text import fold_key, let, literal_array, literal_map
+from ..functions.text import fold_key, let, literal_array, literal_map, walk
 from ..session import stage
 from . import spans as sp
 
-SALTS = 16
+#: Rows of one key that a task takes; see ``salted_join``.
+HOT_ROWS = 500_000
 
 
 def group_of(entity_type: Column) -> Column:
@@ -44,67 +45,94 @@ def render(entity_type: Column, number: Column) -> Column:
 
 
 def codenames(spans: Column) -> Column:
-    """Codename of each span of one text, in the order of the spans (sorted by start)."""
-
-    def number(work: Column) -> Column:
-        spans_, seen = work["spans"], work["seen"]
-        firsts = F.array_distinct(seen)
-        groups = F.transform(firsts, lambda p: group_of(F.get(spans_, (p - 1).cast("int"))["entity_type"]))
-
-        def name_all(w: Column) -> Column:
-            names = F.transform(
-                w["firsts"],
-                lambda p, i: render(
-                    F.get(spans_, (p - 1).cast("int"))["entity_type"],
-                    # How often the group occurs up to here, counted with array built-ins.
-                    let(
-                        F.slice(w["groups"], F.lit(1), i + 1),
-                        lambda head: i + 1 - F.size(F.array_remove(head, F.get(w["groups"], i))),
-                    ),
-                ),
-            )
-            return let(
-                names,
-                lambda n: F.transform(
-                    seen, lambda p: F.get(n, (F.array_position(w["firsts"], p) - 1).cast("int"))
-                ),
-            )
+    """Codename of each span of one text, in the order of the spans (sorted by start).
 
-        return let(F.struct(firsts.alias("firsts"), groups.alias("groups")), name_all)
+    Sorting brings equal identifiers together, then the identifiers of a group in order of their first place, then
+    the spans back in theirs; each step is a sort and a walk.
+    """
+    found = "struct<group:string,first:int,at:int,kind:string>"
+    named = "struct<at:int,name:string>"
+    entries = F.sort_array(
+        F.transform(
+            spans,
+            lambda s, i: F.struct(fold_key(s["text"]).alias("key"), i.alias("at"), s["entity_type"].alias("kind")),
+        )
+    )
 
-    def locate(work: Column) -> Column:
-        seen = F.transform(work["keys"], lambda k: F.array_position(work["keys"], k))
-        return let(F.struct(work["spans"].alias("spans"), seen.alias("seen")), number)
+    def locate(state: Column, e: Column) -> tuple[Column, Column]:
+        same = state["key"].eqNullSafe(e["key"]) & (state["first"] >= 0)
+        after = F.struct(
+            e["key"].alias("key"),
+            F.when(same, state["first"]).otherwise(e["at"]).alias("first"),
+            F.when(same, state["kind"]).otherwise(e["kind"]).alias("kind"),
+        )
+        out = let(
+            after,
+            lambda a: F.struct(
+                group_of(a["kind"]).alias("group"), a["first"].alias("first"), e["at"].alias("at"), a["kind"].alias("kind")
+            ),
+        )
+        return after, F.array(out)
+
+    def number(state: Column, e: Column) -> tuple[Column, Column]:
+        known = state["first"] == e["first"]
+        count = (
+            F.when(known, state["number"])
+            .when(state["group"].eqNullSafe(e["group"]) & (state["first"] >= 0), state["number"] + 1)
+            .otherwise(F.lit(1))
+        )
+        # An identifier's name is built at its first place and carried along.
+        name = F.when(known, state["name"]).otherwise(let(count, lambda n: render(e["kind"], n)))
+        after = F.struct(
+            e["group"].alias("group"), e["first"].alias("first"), count.alias("number"), name.alias("name")
+        )
+        return after, F.array(F.struct(e["at"].alias("at"), name.alias("name")))
 
-    keys = F.transform(spans, lambda s: fold_key(s["text"]))
-    named = let(F.struct(spans.alias("spans"), keys.alias("keys")), locate)
-    return F.when(F.size(spans) == 0, F.array().cast("array<string>")).otherwise(named)
+    nothing = F.lit(None).cast("string")
+    placed = walk(
+        entries, F.struct(nothing.alias("key"), F.lit(-1).alias("first"), nothing.alias("kind")), found, locate
+    )
+    start = F.struct(nothing.alias("group"), F.lit(-1).alias("first"), F.lit(0).alias("number"), nothing.alias("name"))
+    names = walk(F.sort_array(placed), start, named, number)
+    return F.transform(F.sort_array(names), lambda n: n["name"])
 
 
 def mapping_of(spans: Column, names: Column) -> Column:
-    """Codename to the last original written that way in the text."""
-
-    def build(w: Column) -> Column:
-        distinct = F.array_distinct(w["names"])
-        turned = F.reverse(w["names"])
-        originals = F.transform(
-            distinct,
-            lambda n: F.get(w["spans"], (F.size(w["names"]) - F.array_position(turned, n)).cast("int"))["text"],
+    """Codename to the last original written that way in the text, in order of the codenames' first places."""
+    entries = F.sort_array(
+        F.zip_with(
+            F.transform(names, lambda n, i: F.struct(n.alias("name"), i.alias("at"))),
+            spans,
+            lambda n, s: F.struct(n["name"].alias("name"), n["at"].alias("at"), s["text"].alias("original")),
         )
-        return F.map_from_arrays(distinct, originals)
+    )
 
-    return let(F.struct(spans.alias("spans"), names.alias("names")), build)
+    def build(e: Column) -> Column:
+        firsts = F.filter(e, lambda x, i: (i == 0) | ~F.get(e, i - 1)["name"].eqNullSafe(x["name"]))
+        lasts = F.filter(e, lambda x, i: (i == F.size(e) - 1) | ~F.get(e, i + 1)["name"].eqNullSafe(x["name"]))
+        pairs = F.sort_array(
+            F.zip_with(
+                firsts,
+                lasts,
+                lambda a, b: F.struct(a["at"].alias("at"), a["name"].alias("name"), b["original"].alias("original")),
+            )
+        )
+        return let(
+            pairs,
+            lambda p: F.map_from_arrays(
+                F.transform(p, lambda x: x["name"]), F.transform(p, lambda x: x["original"])
+            ),
+        )
 
+    return let(entries, build)
 
-def anonymize(
-    df: DataFrame, text: str = "text", spans: str = "spans", *, keep_spans: bool = False
-) -> DataFrame:
-    """Rewrite each text on its own: adds ``anonymized`` and ``mapping``; no shuffle."""
+
+def anonymized(text: Column, spans: Column) -> Column:
+    """One text rewritten: struct of ``anonymized``, ``mapping``, ``resolved`` spans and their ``names``."""
 
     def rewrite(w: Column) -> Column:
-        names = codenames(w["spans"])
         return let(
-            names,
+            codenames(w["spans"]),
             lambda n: F.struct(
                 sp.splice(w["text"], w["spans"], n).alias("anonymized"),
                 mapping_of(w["spans"], n).alias("mapping"),
@@ -113,16 +141,16 @@ def anonymize(
             ),
         )
 
-    work = F.struct(F.col(text).alias("text"), sp.resolve_overlaps(F.col(spans)).alias("spans"))
-    out = df.withColumn("__done", let(work, rewrite))
-    out = out.withColumns(
-        {
-            "anonymized": F.col("__done.anonymized"),
-            "mapping": F.col("__done.mapping"),
-            **({"resolved": F.col("__done.resolved"), "names": F.col("__done.names")} if keep_spans else {}),
-        }
-    )
-    return out.drop("__done")
+    return let(F.struct(text.alias("text"), sp.resolve_overlaps(spans).alias("spans")), rewrite)
+
+
+def anonymize(
+    df: DataFrame, text: str = "text", spans: str = "spans", *, keep_spans: bool = False
+) -> DataFrame:
+    """Rewrite each text on its own: adds ``anonymized`` and ``mapping``; no shuffle."""
+    out = df.withColumn("__done", anonymized(F.col(text), F.col(spans)))
+    fields = ["anonymized", "mapping", *(["resolved", "names"] if keep_spans else [])]
+    return out.withColumns({f: F.col(f"__done.{f}") for f in fields}).drop("__done")
 
 
 def mapping_rows(df: DataFrame, keys: Sequence[str], mapping: str = "mapping") -> DataFrame:
@@ -183,15 +211,21 @@ def codebook(
 
 
 def salted_join(
-    left: DataFrame, right: DataFrame, on: Sequence[str], spread: Column, salts: int = SALTS, how: str = "inner"
+    left: DataFrame, right: DataFrame, on: Sequence[str], spread: Column, how: str = "inner", hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Join where one key may hold a large share of ``left``; ``right`` is unique on ``on``.
 
-    The left rows of a key are spread over ``salts`` parts and the single right row is repeated.
+    Keys are counted first.  The rows of a key with more than ``hot_rows`` are spread by ``spread`` over as many parts as
+    its size asks for, and only the right rows of those keys are repeated; all others join as they are.
     """
-    parts = left.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
-    copies = right.withColumn("__salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
-    return parts.join(copies, [*on, "__salt"], how).drop("__salt")
+    counted = left.groupBy(*on).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > hot_rows)
+    # At most one row for each ``hot_rows`` rows of ``left``.
+    hot = F.broadcast(counted.select(*on, F.ceil(F.col("__n") / hot_rows).cast("int").alias("__parts")))
+    salt = F.when(F.col("__parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(spread), F.col("__parts"))).cast("int")
+    parts = left.join(hot, list(on), "left").withColumn("__salt", salt).drop("__parts")
+    copies = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__parts"), F.lit(1)) - 1))
+    repeated = right.join(hot, list(on), "left").withColumn("__salt", copies).drop("__parts")
+    return parts.join(repeated, [*on, "__salt"], how).drop("__salt")
 
 
 def anonymize_scoped(

@@ -8,7 +8,8 @@ patterns a text is scanned with at all.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+import re
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 from operator import or_
@@ -18,18 +19,36 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import CONFIDENCE, FIRST_NAMES, KEPT_TYPES, NAME_CONTEXT, NO_PLACES, PRODUCT_NAMES
-from ..functions.text import UNICODE, UNICODE_ANYCASE, cut, fold_key, let, literal_array, quote, word_tree
+from ..functions.text import (
+    UNICODE, UNICODE_ANYCASE, blocks, cut_blocks, fold_key, let, literal_array, quote, word_tree,
+)
 from . import spans as sp
 
 ANY, DIGIT, DIGITS, LABEL, NAME = "any", "digit", "digits", "label", "name"
 
 
+#: Labels with so few letters in a row that they only count in front of a separator.
+SHORT_LABEL = 3
+# Letters that ignore-case matching takes for a plain one, though lower() keeps them.
+ODD_LETTERS = {"\u0130": "i", "\u0131": "i", "\u017f": "s", "\u212a": "k"}
+
+
+def _stems(labels: str) -> list[str]:
+    """The longest run of plain letters that each alternative of a label pattern must hold, in lower case."""
+    sure = labels
+    while (less := re.sub(r"\([^()]*\)[?*]?", " ", sure)) != sure:
+        sure = less
+    sure = re.sub(r"\[[^\]]*\]|\\.|\w[?*]", " ", sure)
+    return [max(re.findall(r"[^\W\d_]+", label), key=len, default="").lower() for label in sure.split("|")]
+
+
 @dataclass(frozen=True)
 class Recognizer:
     """One pattern.
 
     ``labelled`` patterns are the groups label, value and rest.  ``needs`` is a literal every match holds;
-    texts without it skip the pattern.
+    texts without it skip the pattern.  With the gate LABEL, ``labels`` is the pattern of its labels, of which every
+    match holds one.
     """
 
     name: str
@@ -42,6 +61,11 @@ class Recognizer:
     gate: str = ANY
     needs: str | None = None
     check: str | None = None
+    labels: str | None = None
+
+    def __post_init__(self) -> None:
+        if self.gate == LABEL and not (self.labels and all(_stems(self.labels))):
+            raise ValueError(f"{self.name}: the label gate needs labels with letters")
 
 
 # Context words per family.
@@ -108,7 +132,7 @@ FIRMENBUCH = Recognizer("firmenbuch", "AT_FIRMENBUCH_NR",
                         context=FIRM_CONTEXT, gate=DIGITS)
 DOC_METADATA = Recognizer("doc_metadata", "DOC_METADATA",
                           UNICODE_ANYCASE + rf"((?:{DOCUMENT_LABELS})[:\s]+)(.+?)(\n|$)", 0.85,
-                          labelled=True, min_chars=2, gate=LABEL)
+                          labelled=True, min_chars=2, gate=LABEL, labels=DOCUMENT_LABELS)
 
 
 def credential_label(anchored: bool = False, more_labels: Iterable[str] = ()) -> Recognizer:
@@ -120,8 +144,10 @@ def credential_label(anchored: bool = False, more_labels: Iterable[str] = ()) ->
     labels = "|".join([PASSWORD_LABELS, *map(quote, more_labels)])
     border = r"\b" if anchored else ""
     pattern = rf"""({border}(?:{labels})[\s:=]+["']?)(\S{{4,}})(["']?)"""
-    gate = ANY if more_labels else LABEL
-    return Recognizer("credential_label", "CREDENTIAL", UNICODE_ANYCASE + pattern, 0.9, labelled=True, gate=gate)
+    return Recognizer(
+        "credential_label", "CREDENTIAL", UNICODE_ANYCASE + pattern, 0.9, labelled=True,
+        gate=ANY if more_labels else LABEL, labels=PASSWORD_LABELS,
+    )
 
 
 CREDENTIAL_LABEL = credential_label()
@@ -129,7 +155,7 @@ CREDENTIAL_STATED = Recognizer(
     "credential_stmt", "CREDENTIAL",
     UNICODE_ANYCASE
     + rf"""((?:mein|my|unser)\s+(?:{STATED_SECRETS})\s+(?:ist|is|lautet|=)\s+["']?)(\S{{4,}})(["']?)""",
-    0.9, labelled=True, gate=LABEL)
+    0.9, labelled=True, gate=LABEL, labels=STATED_SECRETS)
 API_KEY = Recognizer(
     "api_key", "CREDENTIAL",
     UNICODE + r"\b(?:sk-[a-zA-Z0-9_-]{20,}|pk_[a-zA-Z0-9_-]{20,}|api[_-][a-zA-Z0-9_-]{20,}|"
@@ -170,18 +196,19 @@ TAX_DE = _eu("tax_de", r"\b\d{2,3}/?\.?\d{3,4}/?\.?\d{4,5}\b", 0.3)
 PASSPORT_AT = _eu("passport_at", r"\b[A-Z]\d{7}\b", 0.4)
 
 HEALTH = Recognizer("health", "SENSITIVE_DATA", _stated(HEALTH_LABELS, r"\w\s\-.", 3, 60), 0.85,
-                    labelled=True, min_chars=3, gate=LABEL)
+                    labelled=True, min_chars=3, gate=LABEL, labels=HEALTH_LABELS)
 RELIGION = Recognizer("religion", "SENSITIVE_DATA", _stated(RELIGION_LABELS, r"\w\s\-", 2, 30), 0.85,
-                      labelled=True, min_chars=3, gate=LABEL)
+                      labelled=True, min_chars=3, gate=LABEL, labels=RELIGION_LABELS)
 POLITICS = Recognizer("politics", "SENSITIVE_DATA", _stated(POLITICS_LABELS, r"\w\s\-", 2, 40), 0.85,
-                      labelled=True, min_chars=3, gate=LABEL)
+                      labelled=True, min_chars=3, gate=LABEL, labels=POLITICS_LABELS)
 ETHNICITY = Recognizer("ethnicity", "SENSITIVE_DATA", _stated(ETHNICITY_LABELS, r"\w\s\-", 2, 30), 0.85,
-                       labelled=True, min_chars=3, gate=LABEL)
+                       labelled=True, min_chars=3, gate=LABEL, labels=ETHNICITY_LABELS)
 UNION = Recognizer("union", "SENSITIVE_DATA", _stated(UNION_LABELS, r"\w\s\-", 2, 40), 0.85,
-                   labelled=True, min_chars=3, gate=LABEL)
+                   labelled=True, min_chars=3, gate=LABEL, labels=UNION_LABELS)
 
 EMAIL = Recognizer("email", "EMAIL_ADDRESS",
-                   UNICODE + r"[\w.+%-]+@[\w-]+(?:\.[\w-]+)*\.[A-Za-z]{2,}", 1.0, needs="@")
+                   # Starts only where a run of name characters starts (or a match has ended); at most 127 labels.
+                   UNICODE + r"(?:\G|(?<![\w.+%-]))[\w.+%-]++@[\w-]++(?:\.[\w-]++){0,125}\.[A-Za-z]{2,}", 1.0, needs="@")
 IBAN_ANY = Recognizer("iban_any", "IBAN_CODE", UNICODE_ANYCASE + r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}"
                       r"(?: ?[A-Z0-9]{1,3})?\b", 1.0, gate=DIGITS, check="iban")
 CARD_ANY = Recognizer("card_any", "CREDIT_CARD",
@@ -200,32 +227,31 @@ REGISTRY: tuple[Recognizer, ...] = (
     *EU, *SENSITIVE, NAME_FOLLOWED, NAME_ALONE, EMAIL, IBAN_ANY, CARD_ANY,
 )
 
-# Beginnings that every labelled pattern needs; pin, pwd and key only count in front of a separator.
-LABEL_STEMS = [
-    "erstellt", "auftrag", "kunde", "ansprechpartner", "empf", "projektleiter", "bearbeiter",
-    "passwor", "kennwort", "passphrase", "secret", "geheimwort", "zugangscode", "token",
-    "diagnose", "befund", "krank", "medikament", "therapie", "behandlung", "symptom", "allergie",
-    "religion", "konfession", "glaube", "partei", "politische", "ethni", "abstammung",
-    "nationalitaet", "staatsangehoerigkeit", "gewerkschaft", "betriebsrat",
-]
+def _label_gate(registry: Sequence[Recognizer]) -> Callable[[Column], Column]:
+    """Whether a text can hold a label of any recognizer behind the label gate.
+
+    Plain substring tests on the lower-cased text; quicker than one pattern with many branches.
+    """
+    stems = sorted({stem for rec in registry if rec.gate == LABEL for stem in _stems(rec.labels)})
+    long = [s for s in stems if len(s) > SHORT_LABEL and not any(len(t) > SHORT_LABEL and t in s and t != s for t in stems)]
+    short = [s for s in stems if len(s) <= SHORT_LABEL]
 
+    def test(text: Column) -> Column:
+        plain = text
+        for odd, letter in ODD_LETTERS.items():
+            plain = F.replace(plain, F.lit(odd), F.lit(letter))
+        tests = [lambda t, stem=stem: t.contains(stem) for stem in long]
+        if short:
+            tests.append(lambda t: t.rlike(rf"(?:{'|'.join(short)})[\s\x1c-\x1f\x85\p{{Z}}:=]"))
+        return let(F.lower(plain), lambda t: reduce(or_, [test(t) for test in tests]))
 
-def _any_label(text: Column) -> Column:
-    """Plain substring tests on the lower-cased text; quicker than one pattern with many branches."""
-    plain = text
-    for odd, letter in (("\u0130", "i"), ("\u0131", "i"), ("\u017f", "s")):
-        # Letters that ignore-case matching takes for a plain one, though lower() keeps them.
-        plain = F.replace(plain, F.lit(odd), F.lit(letter))
-    low = F.lower(plain)
-    stems = let(low, lambda t: reduce(or_, [t.contains(stem) for stem in LABEL_STEMS]))
-    return stems | text.rlike("(?:[pP][iI\u0130\u0131][nN]|[pP][wW][dD]|[kK\u212a][eE][yY])[\\s\\x1c-\\x1f\\x85\\p{Z}:=]")
+    return test
 
 
 GATES = {
     DIGIT: lambda text: text.rlike(r"\p{Nd}"),
     DIGITS: lambda text: text.rlike(r"\p{Nd}{3}"),
     NAME: lambda text: text.rlike(rf"(?U)(?<!\S)(?=\p{{Lu}}){word_tree(FIRST_NAMES)}"),
-    LABEL: _any_label,
 }
 BOOST, BOOST_FLOOR, BOOST_WORDS = 0.35, 0.4, 5
 
@@ -246,61 +272,86 @@ def card_valid(number: Column) -> Column:
     return F.call_function("luhn_check", F.regexp_replace(number, r"(?U)[\s-]", ""))
 
 
-def _words_before(text: Column, at: Column) -> Column:
-    """The last five white-space words before an offset, lower-cased and joined by blanks.
+def _words_before(body: Column, at: Column) -> Column:
+    """The last five white-space words before an offset, lower-cased and joined by blanks; ``body`` is in blocks.
 
-    A window of 160 characters nearly always holds them; otherwise the whole beginning is used.
+    A window of 160 characters nearly always holds them; otherwise a wider one or the whole beginning is used.
     """
 
-    def blanks(piece: Column) -> Column:
-        return F.rtrim(F.regexp_replace(piece, r"(?U)\s+", " "))
-
     def enough(piece: Column) -> Column:
         return F.length(piece) - F.length(F.replace(piece, F.lit(" "), F.lit(""))) >= BOOST_WORDS
 
-    near = blanks(cut(text, F.greatest(at - 160, F.lit(0)), at))
-    every = let(
-        near, lambda n: F.when(enough(n) | (at <= 160), n).otherwise(blanks(cut(text, F.lit(0), at)))
+    def window(sizes: tuple[int, ...]) -> Column:
+        begin = F.greatest(at - sizes[0], F.lit(0)) if sizes else F.lit(0)
+        piece = F.rtrim(F.regexp_replace(cut_blocks(body, begin, at), r"(?U)\s+", " "))
+        if not sizes:
+            return piece
+        return let(piece, lambda p: F.when(enough(p) | (at <= sizes[0]), p).otherwise(window(sizes[1:])))
+
+    return F.lower(F.substring_index(window((160, 8192)), " ", -BOOST_WORDS))
+
+
+def _described(rec: Recognizer, parts: Column, boost: bool) -> Column:
+    """A recognizer's facts beside the parts it cut its text into."""
+    boosted = boost and bool(rec.context)
+    text = lambda value: F.lit(value).cast("string")
+    return F.struct(
+        text(rec.name).alias("name"), text(rec.entity_type).alias("entity_type"), F.lit(float(rec.score)).alias("score"),
+        F.lit(rec.labelled).alias("labelled"), F.lit(rec.min_chars if rec.labelled else 0).alias("min_chars"),
+        text(rec.check).alias("check"),
+        text("|".join(quote(w.lower()) for w in rec.context) if boosted else None).alias("context"),
+        F.lit(round(min(1.0, max(rec.score + BOOST, BOOST_FLOOR)), 6)).alias("better"), parts.alias("parts"),
+    )
+
+
+def _spans_of(text: Column, low: Column, hit: Column) -> Column:
+    """The spans of one recognizer's parts, with its checks and score changes."""
+    found = sp.spans_of_parts(
+        hit["parts"], hit["entity_type"], hit["score"], hit["name"], hit["labelled"], hit["min_chars"]
     )
-    return F.lower(F.substring_index(every, " ", -BOOST_WORDS))
-
-
-def _adjust(text: Column, found: Column, rec: Recognizer, boost: bool) -> Column:
-    """Checks and score changes of one recognizer's spans."""
-    if rec.check == "iban":
-        found = F.filter(found, lambda s: iban_valid(s["text"]))
-    elif rec.check == "luhn":
-        found = F.filter(found, lambda s: card_valid(s["text"]))
-    elif rec.check == "name_context":
-        words = UNICODE_ANYCASE + f"(?:{NAME_CONTEXT})"
-        found = F.transform(
-            found,
-            lambda s: s.withField(
-                "score",
-                F.when(cut(text, F.greatest(s["start"] - 30, F.lit(0)), s["start"]).rlike(words), F.lit(0.85))
-                .otherwise(s["score"]),
-            ),
-        )
-    if boost and rec.context:
-        words = "|".join(quote(w.lower()) for w in rec.context)
-        better = min(1.0, max(rec.score + BOOST, BOOST_FLOOR))
-        found = F.transform(
-            found,
-            lambda s: s.withField(
-                "score",
-                F.when(_words_before(text, s["start"]).rlike(words), F.lit(round(better, 6))).otherwise(s["score"]),
-            ),
+    words = UNICODE_ANYCASE + f"(?:{NAME_CONTEXT})"
+
+    def near_name(body: Column, s: Column) -> Column:
+        before = cut_blocks(body, F.greatest(s["start"] - 30, F.lit(0)), s["start"])
+        return sp.changed(s, score=F.when(before.rlike(words), F.lit(0.85)).otherwise(s["score"]))
+
+    def near_context(body: Column, s: Column) -> Column:
+        higher = F.rlike(_words_before(body, s["start"]), hit["context"])
+        return sp.changed(s, score=F.when(higher, hit["better"]).otherwise(s["score"]))
+
+    def checked(f: Column) -> Column:
+        return (
+            F.when(hit["check"] == "iban", F.filter(f, lambda s: iban_valid(s["text"])))
+            .when(hit["check"] == "luhn", F.filter(f, lambda s: card_valid(s["text"])))
+            .when(hit["check"] == "name_context", _per_span(text, f, near_name))
+            .otherwise(f)
         )
-    return found
+
+    # A text without any of the words has no context to look at.
+    context = hit["context"].isNotNull() & F.rlike(low, hit["context"])
+    return let(
+        let(found, checked), lambda f: F.when((F.size(f) > 0) & context, _per_span(text, f, near_context)).otherwise(f)
+    )
+
+
+def _per_span(text: Column, found: Column, change) -> Column:
+    """``change(blocks of the text, span)`` of each span."""
+    return let(blocks(text), lambda body: F.transform(found, lambda s: change(body, s)))
+
+
+def _find_all(text: Column, parts: Sequence[Column]) -> Column:
+    """Spans of all recognizers: what is done with their parts stands once in the plan, not once for each."""
+    hits = F.filter(F.array(*parts), lambda r: F.size(r["parts"]) > 0)
+    spans = let(
+        F.struct(hits.alias("hits"), F.lower(text).alias("low")),
+        lambda w: F.flatten(F.transform(w["hits"], lambda hit: _spans_of(text, w["low"], hit))),
+    )
+    return let(F.coalesce(spans, sp.no_spans()), lambda found: sp.own_texts(text, found))
 
 
 def find(text: Column, rec: Recognizer, *, boost: bool = False) -> Column:
     """Spans of one recognizer."""
-    found = sp.scan(
-        text, rec.pattern, rec.entity_type, rec.score, rec.name,
-        labelled=rec.labelled, min_chars=rec.min_chars,
-    )
-    return _adjust(text, found, rec, boost)
+    return _find_all(text, [_described(rec, sp.match_parts(sp.searched(text), rec.pattern, rec.labelled), boost)])
 
 
 def term_pattern(terms: Sequence[str]) -> str:
@@ -330,10 +381,6 @@ def built(key: tuple, build) -> Column:
     return _BUILT[key]
 
 
-# Up to here an alternation in one pattern beats splitting texts into word runs.
-PATTERN_TERMS = 500
-
-
 def found_spans(
     text: Column | str,
     *,
@@ -342,9 +389,11 @@ def found_spans(
     boost: bool = True,
     extra: Column | None = None,
 ) -> Column:
-    """The raw, unfiltered spans of all recognizers, the deny list and an ``extra`` span column."""
-    if len(deny_terms) > PATTERN_TERMS:
-        raise ValueError("find a long list with terms.join_terms and pass its spans as extra")
+    """The raw, unfiltered spans of all recognizers, the deny list and an ``extra`` span column.
+
+    A deny list of many hundred terms is found faster with ``terms.join_terms``; pass its spans, which are the same, as
+    ``extra``.
+    """
     if isinstance(text, str):
         key = ("found", text, tuple(registry), tuple(deny_terms), boost)
         patterns = built(
@@ -354,25 +403,27 @@ def found_spans(
             return patterns
         return F.concat(patterns, F.coalesce(extra.cast(sp.SPANS_TYPE), sp.no_spans()))
     wanted = {r.gate for r in registry} - {ANY}
-    gates = {g: F.coalesce(test(text), F.lit(False)).alias(g) for g, test in GATES.items() if g in wanted}
+    tests = {**GATES, LABEL: _label_gate(registry)}
+    gates = {g: F.coalesce(test(text), F.lit(False)).alias(g) for g, test in tests.items() if g in wanted}
 
     def all_found(gate: Column) -> Column:
         parts = []
         for rec in registry:
-            found = F.coalesce(find(text, rec, boost=boost), sp.no_spans())
+            cut_up = sp.match_parts(gate["body"], rec.pattern, rec.labelled)
             if rec.needs is not None:
-                found = F.when(text.contains(rec.needs), found).otherwise(sp.no_spans())
+                cut_up = F.when(gate["body"].contains(rec.needs), cut_up)
             if rec.gate != ANY:
-                found = F.when(gate[rec.gate], found).otherwise(sp.no_spans())
-            parts.append(found)
+                cut_up = F.when(gate[rec.gate], cut_up)
+            parts.append(_described(rec, F.coalesce(cut_up, F.array().cast("array<string>")), boost))
+        found = [_find_all(text, parts)] if parts else [sp.no_spans()]
         if deny_terms:
-            parts.append(F.coalesce(find_terms(text, list(deny_terms)), sp.no_spans()))
+            found.append(F.coalesce(find_terms(text, list(deny_terms)), sp.no_spans()))
         if extra is not None:
-            parts.append(F.coalesce(extra.cast(sp.SPANS_TYPE), sp.no_spans()))
-        return F.concat(*parts)
+            found.append(F.coalesce(extra.cast(sp.SPANS_TYPE), sp.no_spans()))
+        return F.concat(*found)
 
     # Bound once per row: the optimizer cannot copy the gates into each of their uses.
-    return let(F.struct(F.lit(True).alias("always"), *gates.values()), all_found)
+    return let(F.struct(sp.searched(text).alias("body"), *gates.values()), all_found)
 
 
 def keep_spans(
@@ -425,12 +476,13 @@ def attach_annotations(
     per_text = annotations.groupBy(key).agg(
         F.collect_list(F.struct("entity_type", "start", "end", "score")).alias("__a")
     )
-    spans = F.transform(
+    with_text = lambda body: F.transform(
         F.col("__a"),
         lambda a: sp.span(
-            a["entity_type"], a["start"], a["end"], a["score"], cut(F.col(text), a["start"], a["end"]),
+            a["entity_type"], a["start"], a["end"], a["score"], cut_blocks(body, a["start"], a["end"]),
             F.lit("external"),
         ),
     )
+
     joined = df.join(per_text, key, "left")
-    return joined.withColumn(into, F.coalesce(spans, sp.no_spans())).drop("__a")
+    return joined.withColumn(into, F.coalesce(let(blocks(F.col(text)), with_text), sp.no_spans())).drop("__a")

@@ -7,13 +7,12 @@ text at all.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import KEPT_TYPES, POOLS, SESSION_TTL_SECONDS
+from ..constants import SESSION_TTL_SECONDS
 from ..functions.text import html_escape, let, quoted, replacement
 from .pseudonym import salted_join
 
@@ -115,26 +114,19 @@ def replacements_made(text: Column, mapping: Column) -> Column:
     return let(low, lambda t: F.size(F.filter(keys, lambda k: t.contains(F.lower(k))))).cast("bigint")
 
 
-def rehydrate_json(body: Column, mapping: Column, schema: str) -> Column:
-    """Restore inside the string leaves of a JSON document, then serialise it again.
+def rehydrate_json(body: Column, mapping: Column) -> Column:
+    """Restore inside a JSON document; every field stays as it is written.
 
-    Leaves are rewritten, not the serialised text, so an original with quotes or line breaks is safe.
+    Originals go in as JSON string contents, so one with quotes or line breaks is safe.
     """
-    from pyspark.sql.types import ArrayType, StringType, StructType, _parse_datatype_string
-
-    kind = _parse_datatype_string(schema)
-
-    def walk(value: Column, kind) -> Column:
-        if isinstance(kind, StringType):
-            return F.when(value.isNotNull(), rehydrate_exact(value, mapping))
-        if isinstance(kind, StructType):
-            inner = [walk(value[f.name], f.dataType).alias(f.name) for f in kind.fields]
-            return F.when(value.isNotNull(), F.struct(*inner))
-        if isinstance(kind, ArrayType):
-            return F.transform(value, lambda item: walk(item, kind.elementType))
-        return value
-
-    return F.to_json(walk(F.from_json(body, schema), kind))
+    escaped = F.transform(
+        entries_of(mapping),
+        lambda e: F.struct(
+            e["key"].alias("key"),
+            let(F.to_json(F.array(e["value"])), lambda q: F.substring(q, F.lit(3), F.length(q) - 4)).alias("value"),
+        ),
+    )
+    return F.aggregate(escaped, body, lambda acc, e: F.replace(acc, e["key"], e["value"]))
 
 
 def highlight(text: Column, originals: Column) -> Column:
@@ -163,65 +155,62 @@ def squeezed(text: Column) -> Column:
     return _folded(F.regexp_replace(text, SEPARATORS, ""))
 
 
-def _stems(types: Sequence[str]) -> list[list[str]]:
-    """Squeezed codename beginnings in groups where none begins another one of its group."""
-    words = {re.sub(r"[\W_]", "", w).lower() for w in [*types, *[n for pool in POOLS.values() for n in pool]]}
-    groups: list[list[str]] = []
-    for word in sorted(words, key=lambda w: (len(w), w)):
-        for group in groups:
-            if not any(word.startswith(other) for other in group):
-                group.append(word)
-                break
-        else:
-            groups.append([word])
-    return groups
+def stem_of(codename: Column) -> Column:
+    """What a codename begins with: its squeezed form without the digits at its end."""
+    return F.regexp_replace(squeezed(codename), r"\p{Nd}+$", "")
 
 
-def candidate_keys(text: Column, types: Sequence[str] = (*KEPT_TYPES, "LOCATION")) -> Column:
-    """Squeezed forms of all codenames a text may hold: each known beginning with each lead of its digits.
+def candidate_keys(text: Column, stems: Column) -> Column:
+    """Squeezed forms of all codenames a text may hold: each known stem with each lead of the digits behind it.
 
-    Every position is tried, so overlapping names all count; the list is bounded by the text.
+    Every stem is looked for at every place, so overlapping names all count; the list is bounded by the text.
     """
 
-    def keys(body: Column) -> Column:
-        parts = []
-        for group in _stems(types):
-            rx = F.lit("(?=(" + "|".join(group) + r")(\p{Nd}*))")
-            both = F.arrays_zip(
-                F.regexp_extract_all(body, rx, F.lit(1)).alias("stem"),
-                F.regexp_extract_all(body, rx, F.lit(2)).alias("digits"),
-            )
-            parts.append(
-                F.flatten(
-                    F.transform(
-                        both,
-                        lambda b: F.transform(
-                            F.sequence(F.lit(0), F.length(b["digits"])),
-                            lambda n: F.concat(b["stem"], F.left(b["digits"], n)),
-                        ),
-                    )
-                )
+    def keys_of(body: Column, stem: Column) -> Column:
+        runs = F.regexp_extract_all(body, F.concat(F.lit("(?="), quoted(stem), F.lit(r"(\p{Nd}*))")), F.lit(1))
+        return F.flatten(
+            F.transform(
+                F.array_distinct(runs),
+                lambda d: F.transform(F.sequence(F.lit(0), F.length(d)), lambda n: F.concat(stem, F.left(d, n))),
             )
-        return F.array_distinct(F.concat(*parts))
+        )
+
+    def keys(body: Column) -> Column:
+        present = F.filter(stems, lambda s: body.contains(s))
+        return F.array_distinct(F.flatten(F.transform(present, lambda s: keys_of(body, s))))
 
     return let(squeezed(text), keys)
 
 
+def latest(vault: DataFrame, scope: Sequence[str]) -> DataFrame:
+    """One row per (scope, codename): a repeated write counts once, the last spelling wins."""
+    last = F.max_by("original", F.struct("created_at", "original")) if "created_at" in vault.columns else F.max("original")
+    return vault.groupBy(*scope, "codename").agg(last.alias("original"))
+
+
 def attach_mappings(
     responses: DataFrame,
     vault: DataFrame,
     ids: Sequence[str],
     scope: Sequence[str] = ("session_id",),
     text: str = "text",
+    stems: str | None = None,
 ) -> DataFrame:
     """Adds ``mapping``: the part of its scope's vault rows that a response can need.
 
     Responses and vault rows meet on (scope, squeezed codename), so a scope with a third of all vault
     rows, or one whole corpus as a scope, is spread over all tasks, and a response gathers no more
-    codenames than its text can hold.
+    codenames than its text can hold.  ``stems`` names a column with the codename stems of the response's scope; without it
+    they are joined in.
     """
-    asked = responses.select(*ids, *scope, F.explode(candidate_keys(F.col(text))).alias("__key"))
-    rows = vault.select(*scope, "codename", "original", squeezed(F.col("codename")).alias("__key"))
+    if stems is None:
+        known = vault.groupBy(*scope).agg(F.collect_set(stem_of(F.col("codename"))).alias("__stems"))
+        responses_ = salted_join(responses, known, scope, F.struct(*[F.col(c) for c in ids]), how="left")
+    else:
+        responses_ = responses.withColumn("__stems", F.col(stems))
+    keys = candidate_keys(F.col(text), F.coalesce("__stems", F.array().cast("array<string>")))
+    asked = responses_.select(*ids, *scope, F.explode(keys).alias("__key"))
+    rows = latest(vault, scope).withColumn("__key", squeezed(F.col("codename")))
     by_key = rows.groupBy(*scope, "__key").agg(F.collect_list(F.struct("codename", "original")).alias("__rows"))
     met = salted_join(asked, by_key, [*scope, "__key"], F.struct(*[F.col(c) for c in ids]))
     maps = met.groupBy(*ids).agg(F.map_from_entries(F.flatten(F.collect_list("__rows"))).alias("mapping"))
@@ -235,17 +224,33 @@ def rehydrate_sessions(
 ) -> DataFrame:
     """Responses with their originals; ``status`` is ``missing`` for unknown and too old sessions.
 
-    ``responses(ids, session_id, text, asked_at)``, ``vault(session_id, codename, original, created_at)``.
+    ``responses(ids, session_id, text, asked_at)``, ``vault(session_id, codename, original, created_at)`` and, in a vault
+    that is partitioned by it, ``day``.  Only vault rows from the first question less the lifetime to the last question,
+    of sessions that are asked for, are read further; whether a session is alive is decided on ids alone.  A session
+    is as old as its latest write, which replaces the ones before.
     """
-    opened = vault.groupBy("session_id").agg(F.min("created_at").alias("created_at"))
-    mapped = attach_mappings(responses, vault, ids)
-    joined = salted_join(mapped, opened, ["session_id"], F.struct(*[F.col(c) for c in ids]), how="left")
+    span_ = responses.agg(F.min("asked_at").alias("first"), F.max("asked_at").alias("last")).first()
+    if span_["first"] is not None:
+        edge = F.lit(span_["first"]) - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(ttl))
+        near = (F.col("created_at") >= edge) & (F.col("created_at") <= F.lit(span_["last"]))
+        if "day" in vault.columns:
+            near = near & (F.col("day") >= F.to_date(edge)) & (F.col("day") <= F.to_date(F.lit(span_["last"])))
+        vault = vault.where(near)
+    asked = responses.select(*ids, "session_id", "asked_at")
+    vault = vault.join(asked.select("session_id").distinct(), "session_id", "left_semi")
+    opened = vault.groupBy("session_id").agg(
+        F.max("created_at").alias("created_at"), F.collect_set(stem_of(F.col("codename"))).alias("__known")
+    )
     age = F.unix_micros(F.col("asked_at")) - F.unix_micros(F.col("created_at"))
-    live = F.coalesce((age <= ttl * 1_000_000) & (age >= 0), F.lit(False))
-    joined = joined.withColumn("live", live)
-    return joined.select(
+    checked = salted_join(asked, opened, ["session_id"], F.struct(*[F.col(c) for c in ids])).where(
+        (age <= ttl * 1_000_000) & (age >= 0)
+    )
+    live = responses.join(checked.select(*ids, "__known"), list(ids), "left")
+    mapped = attach_mappings(live, vault, ids, stems="__known")
+    alive = F.col("__known").isNotNull()
+    return mapped.select(
         *responses.columns,
-        F.when(F.col("live"), F.lit("ok")).otherwise(F.lit("missing")).alias("status"),
-        F.when(F.col("live"), rehydrate(F.col("text"), F.col("mapping"))).alias("rehydrated_text"),
-        F.when(F.col("live"), replacements_made(F.col("text"), F.col("mapping"))).alias("replacements_made"),
+        F.when(alive, F.lit("ok")).otherwise(F.lit("missing")).alias("status"),
+        F.when(alive, rehydrate(F.col("text"), F.col("mapping"))).alias("rehydrated_text"),
+        F.when(alive, replacements_made(F.col("text"), F.col("mapping"))).alias("replacements_made"),
     )

@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import cut, let, strip
+from ..functions.text import blocks, cut_blocks, let, strip, walk
 
 SPAN_TYPE = (
     "struct<entity_type:string,start:int,end:int,score:double,text:string,recognizer:string>"
@@ -39,11 +39,60 @@ def span(entity_type, start, end, score, text, recognizer) -> Column:
     )
 
 
+def changed(s: Column, **fields: Column) -> Column:
+    """A span with some other fields."""
+    names = ("entity_type", "start", "end", "score", "text", "recognizer")
+    return span(*[fields.get(n, s[n]) for n in names])
+
+
 # Two Unicode noncharacters.  The first marks match borders; a text that holds it itself is searched
 # with the second one in its place, which no pattern can tell apart.
 MARK, STAND_IN = "\ufdd0", "\ufdd1"
 
 
+def searched(text: Column) -> Column:
+    """The text as it is searched: without the mark."""
+    return F.when(text.contains(MARK), F.translate(text, MARK, STAND_IN)).otherwise(text)
+
+
+def match_parts(body: Column, pattern: str | Column, labelled: bool = False) -> Column:
+    """A searched text cut at its matches: gap, label, value, rest, gap, ...; empty without a match.
+
+    One replacing pass marks the borders of all matches, a split at the marks gives the parts.
+    """
+    rx = pattern if isinstance(pattern, Column) else F.lit(pattern)
+    marks = f"{MARK}$1{MARK}$2{MARK}$3{MARK}" if labelled else f"{MARK}{MARK}$0{MARK}{MARK}"
+    none = F.array().cast("array<string>")
+    return let(F.regexp_replace(body, rx, marks), lambda m: F.when(m.contains(MARK), F.split(m, MARK, -1)).otherwise(none))
+
+
+def spans_of_parts(parts: Column, entity_type: Column, score: Column, recognizer: Column, stripped: Column, min_chars: Column) -> Column:
+    """Spans of the values; the lengths of the parts add up to offsets. ``stripped`` values lose white space at their ends."""
+
+    def step(at: Column, i: Column) -> tuple[Column, Column]:
+        gap, label, value, rest = (F.get(parts, i * 4 + k) for k in range(4))
+        begin = at + F.length(gap) + F.length(label)
+        kept = F.when(stripped, F.length(strip(value))).otherwise(F.length(value))
+        found = let(
+            kept,
+            lambda n: F.when(
+                n >= min_chars, F.array(span(entity_type, begin, begin + n, score, F.left(value, n), recognizer))
+            ).otherwise(no_spans()),
+        )
+        return begin + F.length(value) + F.length(rest), found
+
+    count = F.floor(F.size(parts) / 4).cast("int")
+    return F.when(count > 0, walk(F.sequence(F.lit(0), count - 1), F.lit(0), SPAN_TYPE, step)).otherwise(no_spans())
+
+
+def own_texts(text: Column, spans: Column) -> Column:
+    """Spans of a text that was searched with the stand-in get their values from the text itself."""
+    from_text = let(
+        blocks(text), lambda b: F.transform(spans, lambda s: changed(s, text=cut_blocks(b, s["start"], s["end"])))
+    )
+    return F.when(text.contains(MARK), from_text).otherwise(spans)
+
+
 def scan(
     text: Column,
     pattern: str | Column,
@@ -57,57 +106,15 @@ def scan(
     """All matches of a pattern as spans.
 
     ``labelled`` patterns are three groups, label, value and rest; the span is the value without
-    surrounding white space.  One replacing pass marks the borders of all matches, a split at the marks
-    gives gaps and matches in turn, and the lengths add up to offsets.  A pattern column serves terms that
-    differ from row to row.
+    surrounding white space.  A pattern column serves terms that differ from row to row.
     """
-    rx = pattern if isinstance(pattern, Column) else F.lit(pattern)
-    period = 4 if labelled else 2
-    marks = MARK + (f"$1{MARK}$2{MARK}$3" if labelled else "$0") + MARK
-
-    def collect(parts: Column) -> Column:
-        def step(acc: Column, i: Column) -> Column:
-            first = i * period
-            at = acc["at"] + F.length(F.get(parts, first))
-            if labelled:
-                label, value, rest = (F.get(parts, first + k) for k in (1, 2, 3))
-                begin = at + F.length(label)
-                kept = F.length(strip(value))
-                found = F.when(
-                    kept >= min_chars,
-                    F.array(
-                        _fixed(entity_type, begin, begin + kept, score, F.left(value, kept), recognizer)
-                    ),
-                ).otherwise(no_spans())
-                after = begin + F.length(value) + F.length(rest)
-            else:
-                hit = F.get(parts, first + 1)
-                after = at + F.length(hit)
-                found = F.array(_fixed(entity_type, at, after, score, hit, recognizer))
-            return F.struct(after.alias("at"), F.concat(acc["found"], found).alias("found"))
-
-        start = F.struct(F.lit(0).alias("at"), no_spans().alias("found"))
-        count = F.floor(F.size(parts) / period).cast("int")
-        return F.aggregate(F.sequence(F.lit(0), count - 1), start, step, lambda acc: acc["found"])
-
-    held = text.contains(MARK)
-    body = F.when(held, F.translate(text, MARK, STAND_IN)).otherwise(text)
     spans = let(
-        F.regexp_replace(body, rx, marks),
-        lambda m: F.when(m.contains(MARK), let(F.split(m, MARK, -1), collect)).otherwise(no_spans()),
-    )
-    # Values that were searched with the stand-in are cut from the text itself.
-    return let(
-        spans,
-        lambda found: F.when(
-            held & (F.size(found) > 0),
-            F.transform(found, lambda s: s.withField("text", cut(text, s["start"], s["end"]))),
-        ).otherwise(found),
+        match_parts(searched(text), pattern, labelled),
+        lambda parts: spans_of_parts(
+            parts, F.lit(entity_type), F.lit(score), F.lit(recognizer), F.lit(labelled), F.lit(min_chars if labelled else 0)
+        ),
     )
-
-
-def _fixed(entity_type, begin, end, score, value, recognizer) -> Column:
-    return span(F.lit(entity_type), begin, end, F.lit(score), value, F.lit(recognizer))
+    return let(spans, lambda found: own_texts(text, found))
 
 
 def overlaps(a: Column, b: Column) -> Column:
@@ -118,64 +125,48 @@ def width(a: Column) -> Column:
     return a["end"] - a["start"]
 
 
-def _compare(*keys: tuple[Column, Column]) -> Column:
-    """Comparator result from (left, right) pairs, ascending, first difference decides."""
-    result = F.lit(0)
-    for left, right in reversed(keys):
-        result = F.when(left < right, F.lit(-1)).when(left > right, F.lit(1)).otherwise(result)
-    return result
+def _sorted(spans: Column, *keys: Callable[[Column], Column]) -> Column:
+    """Order by the keys; the built-in order of structs needs no comparing expression."""
+    keyed = F.transform(
+        spans, lambda s: F.struct(*[key(s).alias(f"k{i}") for i, key in enumerate(keys)], s.alias("item"))
+    )
+    return F.transform(F.sort_array(keyed), lambda k: k["item"])
 
 
 def by_position(spans: Column) -> Column:
     """Order by start; ties by longer, then better score, then type and recognizer."""
-    return F.array_sort(
+    return _sorted(
         spans,
-        lambda a, b: _compare(
-            (a["start"], b["start"]),
-            (b["end"], a["end"]),
-            (b["score"], a["score"]),
-            (a["entity_type"], b["entity_type"]),
-            (a["recognizer"], b["recognizer"]),
-        ),
+        lambda s: s["start"], lambda s: -s["end"], lambda s: -s["score"], lambda s: s["entity_type"], lambda s: s["recognizer"],
     )
 
 
 def by_strength(spans: Column) -> Column:
     """Order by score, then length, both descending; ties by start and type."""
-    return F.array_sort(
+    return _sorted(
         spans,
-        lambda a, b: _compare(
-            (b["score"], a["score"]),
-            (width(b), width(a)),
-            (a["start"], b["start"]),
-            (a["entity_type"], b["entity_type"]),
-            (a["recognizer"], b["recognizer"]),
-        ),
+        lambda s: -s["score"], lambda s: -width(s), lambda s: s["start"], lambda s: s["entity_type"], lambda s: s["recognizer"],
     )
 
 
-def per_cluster(spans: Column, rule: Callable[[Column], Column]) -> Column:
-    """Apply ``rule`` to each chain of overlapping spans; input and output are ordered by position."""
-
-    def settle(chain: Column) -> Column:
-        return F.when(F.size(chain) > 1, rule(chain)).otherwise(chain)
+def _chains(spans: Column, out_type: str, close: Callable[[Column], Column]) -> Column:
+    """Walk the chains of overlapping spans by position; ``close`` turns a chain into output."""
 
-    def step(acc: Column, item: Column) -> Column:
-        joins = item["start"] < acc["reach"]
-        return F.struct(
-            F.when(joins, acc["done"]).otherwise(F.concat(acc["done"], settle(acc["chain"]))).alias("done"),
-            F.when(joins, F.concat(acc["chain"], F.array(item)))
-            .otherwise(F.array(item))
-            .alias("chain"),
-            F.when(joins, F.greatest(acc["reach"], item["end"]))
-            .otherwise(item["end"])
-            .alias("reach"),
+    def step(state: Column, item: Column) -> tuple[Column, Column]:
+        joins = item["start"] < state["reach"]
+        after = F.struct(
+            F.when(joins, F.concat(state["chain"], F.array(item))).otherwise(F.array(item)).alias("chain"),
+            F.when(joins, F.greatest(state["reach"], item["end"])).otherwise(item["end"]).alias("reach"),
         )
+        return after, F.when(joins, F.array().cast(f"array<{out_type}>")).otherwise(close(state["chain"]))
 
-    start = F.struct(no_spans().alias("done"), no_spans().alias("chain"), F.lit(0).alias("reach"))
-    return F.aggregate(
-        by_position(spans), start, step, lambda acc: F.concat(acc["done"], settle(acc["chain"]))
-    )
+    start = F.struct(no_spans().alias("chain"), F.lit(0).alias("reach"))
+    return walk(by_position(spans), start, out_type, step, lambda state: close(state["chain"]))
+
+
+def per_cluster(spans: Column, rule: Callable[[Column], Column]) -> Column:
+    """Apply ``rule`` to each chain of overlapping spans; input and output are ordered by position."""
+    return _chains(spans, SPAN_TYPE, lambda chain: F.when(F.size(chain) > 1, rule(chain)).otherwise(chain))
 
 
 def _drop_contained(chain: Column) -> Column:
@@ -231,15 +222,11 @@ def resolve_overlaps(spans: Column) -> Column:
 def first_wins(spans: Column) -> Column:
     """Walk by start and skip every span that begins before the last kept one ends."""
 
-    def step(acc: Column, item: Column) -> Column:
-        keep = item["start"] >= acc["reach"]
-        return F.struct(
-            F.when(keep, F.concat(acc["kept"], F.array(item))).otherwise(acc["kept"]).alias("kept"),
-            F.when(keep, item["end"]).otherwise(acc["reach"]).alias("reach"),
-        )
+    def step(reach: Column, item: Column) -> tuple[Column, Column]:
+        keep = item["start"] >= reach
+        return F.when(keep, item["end"]).otherwise(reach), F.when(keep, F.array(item)).otherwise(no_spans())
 
-    start = F.struct(no_spans().alias("kept"), F.lit(0).alias("reach"))
-    return F.aggregate(by_position(spans), start, step, lambda acc: acc["kept"])
+    return walk(by_position(spans), F.lit(0), SPAN_TYPE, step)
 
 
 def splice(
@@ -258,20 +245,15 @@ def splice(
         lambda s, i: F.struct(s["start"].alias("start"), s["end"].alias("end"), i.alias("put")),
     )
 
-    def step(acc: Column, part: Column) -> Column:
-        pieces = F.array(plain(cut(text, acc["at"], part["start"])), part["put"])
-        return F.struct(part["end"].alias("at"), F.concat(acc["out"], pieces).alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    joined = F.aggregate(
-        pairs,
-        start,
-        step,
-        lambda acc: F.array_join(
-            F.concat(acc["out"], F.array(plain(cut(text, acc["at"], F.length(text))))), ""
-        ),
-    )
-    return F.when(F.size(spans) == 0, plain(text)).otherwise(joined)
+    def joined(b: Column) -> Column:
+        def step(at: Column, part: Column) -> tuple[Column, Column]:
+            return part["end"], F.array(plain(cut_blocks(b, at, part["start"])), part["put"])
+
+        pieces = walk(pairs, F.lit(0), "string", step)
+        tail = plain(cut_blocks(b, F.get(spans, F.size(spans) - 1)["end"], F.length(text)))
+        return F.array_join(F.concat(pieces, F.array(tail)), "")
+
+    return F.when(F.size(spans) == 0, plain(text)).otherwise(let(blocks(text), joined))
 
 
 def explode_spans(df: DataFrame, keys: list[str], spans: str = "spans") -> DataFrame:
@@ -285,33 +267,8 @@ def explode_spans(df: DataFrame, keys: list[str], spans: str = "spans") -> DataF
 
 def clusters(spans: Column) -> Column:
     """Chains of overlapping spans as ``ARRAY<ARRAY<span>>``."""
-
-    def step(acc: Column, item: Column) -> Column:
-        joins = item["start"] < acc["reach"]
-        closed = F.when(
-            F.size(acc["chain"]) > 0, F.concat(acc["done"], F.array(acc["chain"]))
-        ).otherwise(acc["done"])
-        return F.struct(
-            F.when(joins, acc["done"]).otherwise(closed).alias("done"),
-            F.when(joins, F.concat(acc["chain"], F.array(item)))
-            .otherwise(F.array(item))
-            .alias("chain"),
-            F.when(joins, F.greatest(acc["reach"], item["end"]))
-            .otherwise(item["end"])
-            .alias("reach"),
-        )
-
-    start = F.struct(
-        F.array().cast(f"array<{SPANS_TYPE}>").alias("done"),
-        no_spans().alias("chain"),
-        F.lit(0).alias("reach"),
-    )
-    return F.aggregate(
-        by_position(spans),
-        start,
-        step,
-        lambda acc: F.filter(F.concat(acc["done"], F.array(acc["chain"])), lambda c: F.size(c) > 0),
-    )
+    none = F.array().cast(f"array<{SPANS_TYPE}>")
+    return _chains(spans, SPANS_TYPE, lambda chain: F.when(F.size(chain) > 0, F.array(chain)).otherwise(none))
 
 
 def overlap_pairs(df: DataFrame, key: str = "doc_id", spans: str = "spans") -> DataFrame:

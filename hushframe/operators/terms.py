@@ -50,9 +50,8 @@ def remove(known: DataFrame, gone: DataFrame, any_case: bool = False) -> DataFra
 
 
 def find(df: DataFrame, terms: Sequence[str], text: str = "text", into: str = "spans") -> DataFrame:
-    """Few terms: one alternation per text, no shuffle."""
-    if len(terms) > rec.PATTERN_TERMS:
-        raise ValueError("use join_terms for a long list")
+    """Terms in the order given, as one alternation per text, without a shuffle; ``join_terms`` finds the same faster for
+    a long list."""
     found = F.coalesce(rec.find_terms(F.col(text), list(terms)), sp.no_spans())
     return df.withColumn(into, found)
 
@@ -60,23 +59,21 @@ def find(df: DataFrame, terms: Sequence[str], text: str = "text", into: str = "s
 WORD = r"(?U)\w+"
 
 
+def longest_first(terms: Column) -> Column:
+    """An order for terms that have none of their own."""
+    keyed = F.transform(terms, lambda t: F.struct((-F.length(t)).alias("n"), t.alias("term")))
+    return F.transform(F.sort_array(keyed), lambda k: k["term"])
+
+
 def row_pattern(terms: Column) -> Column:
-    """Alternation of a term array, longest first, whole terms, any case."""
-    longest = F.array_sort(
-        terms,
-        lambda a, b: F.when(F.length(a) > F.length(b), F.lit(-1))
-        .when(F.length(a) < F.length(b), F.lit(1))
-        .when(a < b, F.lit(-1))
-        .when(a > b, F.lit(1))
-        .otherwise(F.lit(0)),
-    )
+    """Alternation of a term array in its order, whole terms, any case."""
     return F.concat(
-        F.lit(r"(?diuU)(?<!\w)(?:"), F.array_join(F.transform(longest, quoted), "|"), F.lit(r")(?!\w)")
+        F.lit(r"(?diuU)(?<!\w)(?:"), F.array_join(F.transform(terms, quoted), "|"), F.lit(r")(?!\w)")
     )
 
 
 def find_row_terms(text: Column, terms: Column) -> Column:
-    """CUSTOM spans of the terms that stand in the same row."""
+    """CUSTOM spans of the terms that stand in the same row; the first term in their order wins at a place."""
     some = F.size(F.coalesce(terms, F.array().cast("array<string>"))) > 0
     found = let(row_pattern(terms), lambda rx: sp.scan(text, rx, "CUSTOM", 1.0, "deny_list"))
     return F.coalesce(F.when(some, found), sp.no_spans())
@@ -93,34 +90,44 @@ def _word_runs(words: Column, size: int) -> Column:
 
 
 def candidate_terms(df: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, terms): for each text the terms of a long list whose words it holds in a row.
+    """(key, terms): for each text the terms of a long list whose words it holds in a row, in the order of the list.
 
-    Texts and terms meet on the whole sequence of words of a term, so a first word shared by most terms
-    makes no pairs.  Each distinct run of a text counts once.  The join follows the measured size of the
-    term list: small lists are broadcast, large ones are shuffled and hot runs are split at run time.
-    A term must hold at least one letter or digit.
+    Texts and terms meet on a hash of the whole sequence of words of a term, so a first word shared by most terms
+    makes no pairs; a term without any word meets texts on its first character.  Each distinct run of a text counts
+    once.  The join follows the measured size of the term list: small lists are broadcast, large ones are shuffled
+    and hot runs are split at run time.
     """
     split = F.regexp_extract_all(F.lower(F.col("term")), F.lit(WORD), F.lit(0))
-    listed = terms.select("term").distinct().select(
-        "term", F.array_join(split, " ").alias("run"), F.size(split).alias("words")
-    ).where(F.col("words") > 0)
-    # The few different word counts, needed to build the runs.
+    if "pos" not in terms.columns:
+        terms = terms.withColumn("pos", -F.length("term"))
+    first = terms.where(F.length("term") > 0).groupBy("term").agg(F.min("pos").alias("pos"))
+    listed = first.select("term", "pos", F.size(split).alias("words"), F.array_join(split, " ").alias("run")).withColumn(
+        "run", F.when(F.col("words") > 0, F.col("run")).otherwise(F.left(F.trim("term"), F.lit(1)))
+    )
+    # The few different word counts, needed to build the runs; zero is that of terms without words.
     sizes = sorted(r["words"] for r in listed.select("words").distinct().collect())
-    by_run = listed.groupBy("run").agg(F.collect_list("term").alias("spellings"))
+    by_run = listed.groupBy(F.xxhash64("run").alias("run")).agg(F.collect_list(F.struct("pos", "term")).alias("spellings"))
     found = F.regexp_extract_all(F.lower(F.col(text)), F.lit(WORD), F.lit(0))
+    signs = F.regexp_extract_all(F.col(text), F.lit(r"(?U)[^\w\s]"), F.lit(0)) if 0 in sizes else F.array().cast("array<string>")
     runs = let(
         found,
-        lambda w: F.array_distinct(F.concat(F.array().cast("array<string>"), *[_word_runs(w, n) for n in sizes])),
+        lambda w: F.array_distinct(
+            F.transform(F.concat(F.array_distinct(signs), *[_word_runs(w, n) for n in sizes if n]), lambda r: F.xxhash64(r))
+        ),
     )
     vocabulary = df.select(key, F.explode(runs).alias("run"))
     pairs = vocabulary.join(by_run, "run").select(key, "spellings")
-    return pairs.groupBy(key).agg(F.flatten(F.collect_list("spellings")).alias("terms"))
+    gathered = pairs.groupBy(key).agg(F.sort_array(F.flatten(F.collect_list("spellings"))).alias("terms"))
+    return gathered.select(key, F.transform("terms", lambda t: t["term"]).alias("terms"))
 
 
 def join_terms(
     df: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "text", into: str = "spans"
 ) -> DataFrame:
-    """A term list of any length: each text is searched only for the terms whose words it holds in a row."""
+    """A term list (pos, term) of any length: each text is searched only for the terms whose words it holds in a row.
+
+    Finds what ``find`` finds with the terms in order of ``pos``; a list without that column goes longest first.
+    """
     listed = candidate_terms(df, terms, key, text)
     joined = df.join(listed, key, "left")
     low = F.lower(F.col(text))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import constants as c
-from ..operators import learner, terms
+from ..functions.vectors import hashed_word
+from ..operators import learner, pseudonym, terms
 from ..operators import recognizers as rec
 from ..operators import spans as sp
 from . import fixtures as fx
@@ -164,20 +165,18 @@ def location_filter(spark, sf_dir):
 
 @query(
     "spans_requested",
-    f"""{_DETECTED_LETTERS} select {sql.COLUMNS} from spans
-    where doc_id % 3 = 0 or (doc_id % 3 = 1 and entity_type in ('PERSON', 'CREDENTIAL'))
-       or (doc_id % 3 = 2 and entity_type = 'EU_PII')""",
+    f"""{_FOUND_LETTERS}, wanted as (
+      select * from found where doc_id % 3 = 0 or (doc_id % 3 = 1 and entity_type in ('PERSON', 'CREDENTIAL'))
+       or (doc_id % 3 = 2 and entity_type = 'EU_PII')
+    ), {sql.cleaned('wanted', 'spans')} select {sql.COLUMNS} from spans""",
 )
 def spans_requested(spark, sf_dir):
-    """Each text asks for its own types; none means all."""
+    """Each text asks for its own types; none means all.  Types not asked for hide nothing."""
     wanted = (
         F.when(F.col("doc_id") % 3 == 1, F.array(F.lit("PERSON"), F.lit("CREDENTIAL")))
         .when(F.col("doc_id") % 3 == 2, F.array(F.lit("EU_PII")))
     )
-    found = rec.detect(fx.letters(spark, sf_dir))
-    return span_table(
-        found.select("doc_id", F.filter("spans", lambda s: wanted.isNull() | F.array_contains(wanted, s["entity_type"])).alias("spans"))
-    )
+    return span_table(rec.detect(fx.letters(spark, sf_dir), requested=wanted))
 
 
 _PRODUCT_TEXTS = """
@@ -466,9 +465,58 @@ def ner_recheck(spark, sf_dir):
     return found.select("doc_id", F.explode(names).alias("term"))
 
 
+# An outside model's names, written from the tagged words: their place decides the kind.
+_MARKED = """
+annotated as (select doc_id, text, case s % 3 when 0 then 'PER' when 1 then 'MISC' else 'LOC' end as kind, s, e, term from propn where s % 5 < 2)"""
+
+
+def _vector(word: str) -> str:
+    return f"list_transform(range(0, 8), lambda i: cast('0x' || substr(md5({word}), cast(4 * i + 1 as int), 4) as int) / 32768.0 - 1)"
+
+
+_FIRST = f"""
+first as (select * from spans p where entity_type <> 'PERSON' or exists (
+  select 1 from propn t where t.doc_id = p.doc_id and t.s >= p.s and t.s < p.e))"""
+_SIMILAR = f"""
+members as (
+  select x.doc_id, x.entity_type, i, v[i] as value from (
+    select x.doc_id, x.entity_type, {_vector('t.term')} as v from propn t join first x on x.doc_id = t.doc_id and t.s >= x.s and t.e <= x.e) x,
+  (select unnest(range(1, 9)) as i)),
+centre as (
+  select doc_id, entity_type, list(value / n order by i) as v from (
+    select *, sqrt(sum(value * value) over (partition by doc_id, entity_type)) as n from (
+      select doc_id, entity_type, i, sum(value) as value from members group by all)) where n > 0 group by all),
+phrase as (
+  select distinct doc_id, text, term, s, s + length(term) as e from (
+    select doc_id, text, term, s from propn union all select doc_id, text, term, s from runs)),
+phrase_parts as (
+  select doc_id, text, term, i, sum(v[i]) as value from (
+    select doc_id, text, term, {_vector('word')} as v from (
+      select distinct doc_id, text, term, unnest(string_split(term, ' ')) as word, generate_subscripts(string_split(term, ' '), 1) as k from phrase p
+      where not exists (select 1 from first x where x.doc_id = p.doc_id and x.s < p.e and p.s < x.e))),
+  (select unnest(range(1, 9)) as i) group by all),
+phrase_vectors as (
+  select doc_id, text, term, list(value / n order by i) as v from (
+    select *, sqrt(sum(value * value) over (partition by doc_id, term)) as n from phrase_parts) where n > 0 group by all),
+similar_to as (
+  select distinct p.doc_id, p.text, p.term from phrase_vectors p join centre c on c.doc_id = p.doc_id
+  where list_sum(list_transform(range(1, 9), lambda i: p.v[i] * c.v[i])) > {c.TERM_SIMILARITY}
+    and not exists (select 1 from first x where x.doc_id = p.doc_id and lower({sql.strip('x.span_text')}) = lower(p.term))),
+named as (
+  select distinct doc_id, text, term from annotated a where kind in ('PER', 'MISC')
+    and not exists (select 1 from first x where x.doc_id = a.doc_id and lower({sql.strip('x.span_text')}) = lower(a.term)))"""
+_THREE = f"""learned as (
+  select doc_id, text, term, {frequency('term')} as n,
+         row_number() over (partition by doc_id order by {frequency('term')}, lower(term), term) as rk
+  from (select * from ({_signal('propn', 4).replace('from spans x', 'from first x')}) union select * from ({_signal('runs', 1).replace('from spans x', 'from first x')})
+        union select * from similar_to union select * from named)
+  where length(term) >= 4 and lower(term) not in {sql.sql_in(c.DEFAULT_STOP_TERMS)} and {frequency('term')} <= 3
+)"""
+
+
 @query(
     "detect_two_pass",
-    f"""{_TAGGED_LETTERS}, {_LEARNED},
+    f"""{_TAGGED_TEXTS}, {_MARKED}, {_FIRST}, {_SIMILAR}, {_THREE},
     term_rx as (
       select doc_id, '(?i)\\b(?:' || string_agg(term, '|' order by length(term) desc, term) || ')\\b' as rx
       from learned where rk <= 25 group by doc_id
@@ -476,7 +524,7 @@ def ner_recheck(spark, sf_dir):
     term_hits as (
       select *, unnest(range(1, len(m) + 1)) as i from (
         select l.doc_id, l.text, regexp_extract_all(l.plain, rx) as m, string_split_regex(l.plain, rx) as g
-        from src l join term_rx r on r.doc_id = l.doc_id where l.doc_id in (select doc_id from spans))
+        from src l join term_rx r on r.doc_id = l.doc_id where l.doc_id in (select doc_id from first))
     ),
     second as (
       select doc_id, entity_type, s, e, score, span_text from found
@@ -484,10 +532,21 @@ def ner_recheck(spark, sf_dir):
       select doc_id, 'CUSTOM', s, s + length(m[i]), cast(1.0 as double), substr(text, s + 1, length(m[i])) from (
         select *, cast({sql.lengths('g[1:i]')} + {sql.lengths('m[1:i-1]')} as bigint) as s from term_hits)
     ), {sql.cleaned('second', 'final')}
-    select {sql.COLUMNS} from final""",
+    select {sql.COLUMNS} from final p where entity_type <> 'PERSON' or exists (
+      select 1 from propn t where t.doc_id = p.doc_id and t.s >= p.s and t.s < p.e)""",
 )
 def detect_two_pass(spark, sf_dir):
-    return span_table(learner.detect_two_pass(fx.letters(spark, sf_dir)))
+    """All texts with the three signals of learning and the proper-noun check."""
+
+    def named(s):
+        kind = F.when(s["start"] % 3 == 0, F.lit("PER")).when(s["start"] % 3 == 1, F.lit("MISC")).otherwise(F.lit("LOC"))
+        return sp.changed(s, entity_type=kind)
+
+    nouns = F.col("nouns")
+    marks = F.transform(F.filter(nouns, lambda s: s["start"] % 5 < 2), named)
+    df = fx.texts(spark, sf_dir).withColumn("nouns", learner.proper_nouns(F.col("text")))
+    found = learner.detect_two_pass(df, proper=nouns, annotations=marks, encode=hashed_word)
+    return span_table(found)
 
 
 # ------------------------------------------------------------------ deny lists
@@ -513,14 +572,15 @@ def rec_deny_list(spark, sf_dir):
 @query(
     "deny_list_join",
     f"""with {fx.TEXTS_SQL}, {sql.with_plain('texts')},
-    deny as (select distinct replace(replace(p_name, 'small', 'the'), 'red', 'and') as term from part
-             union select distinct substr(c_name, 1, 18) from customer),
+    deny as (select term, min(pos) as pos from (
+      select replace(replace(p_name, 'small', 'the'), 'red', 'and') as term, p_partkey as pos from part
+      union all select substr(c_name, 1, 18), c_custkey + 1000000000 from customer) group by term),
     words as (select distinct doc_id, unnest(regexp_extract_all(lower(text), '[{sql.W}]+')) as word from texts),
     cand as (
-      select w.doc_id, t.term from words w join (select term, regexp_extract(lower(term), '[{sql.W}]+') as word from deny) t on t.word = w.word
+      select w.doc_id, t.term, t.pos from words w join (select term, pos, regexp_extract(lower(term), '[{sql.W}]+') as word from deny) t on t.word = w.word
       join texts x on x.doc_id = w.doc_id where contains(lower(x.text), lower(t.term))
     ),
-    rx as (select doc_id, '(?i)\\b(?:' || string_agg(term, '|' order by length(term) desc, term) || ')\\b' as rx from cand group by doc_id),
+    rx as (select doc_id, '(?i)\\b(?:' || string_agg(term, '|' order by pos) || ')\\b' as rx from cand group by doc_id),
     h as (select s.doc_id, text, regexp_extract_all(plain, rx) as m, string_split_regex(plain, rx) as g from src s join rx on rx.doc_id = s.doc_id),
     p as (select *, unnest(range(1, len(m) + 1)) as i from h),
     found as (
@@ -531,12 +591,37 @@ def rec_deny_list(spark, sf_dir):
 def deny_list_join(spark, sf_dir):
     """A long list: part names turned into words of the texts, and all customer names."""
     parts = fx.table(spark, sf_dir, "part").select(
-        F.regexp_replace(F.regexp_replace("p_name", "small", "the"), "red", "and").alias("term")
+        F.regexp_replace(F.regexp_replace("p_name", "small", "the"), "red", "and").alias("term"), F.col("p_partkey").alias("pos")
+    )
+    names = fx.table(spark, sf_dir, "customer").select(
+        F.substring("c_name", 1, 18).alias("term"), (F.col("c_custkey") + 1_000_000_000).alias("pos")
     )
-    names = fx.table(spark, sf_dir, "customer").select(F.substring("c_name", 1, 18).alias("term"))
     return span_table(terms.join_terms(fx.texts(spark, sf_dir), parts.unionByName(names)))
 
 
+OVERLAPPING = ["Nordlicht", "Nordlicht Zentrale", "Projekt Silberfuchs", "Silberfuchs mit", "Thomas Gruber", "Thomas", "the", "the on"]
+
+
+@query(
+    "deny_list_parity",
+    f"""with {fx.TEXTS_SQL}, {sql.with_plain('texts')},
+    h as (select doc_id, text, regexp_extract_all(plain, {sql.q('(?i)\\b(?:' + '|'.join(OVERLAPPING) + ')\\b')}) as m,
+                 string_split_regex(plain, {sql.q('(?i)\\b(?:' + '|'.join(OVERLAPPING) + ')\\b')}) as g from src),
+    p as (select *, unnest(range(1, len(m) + 1)) as i from h),
+    found as (
+      select doc_id, 'CUSTOM' as entity_type, s, s + length(m[i]) as e, cast(1.0 as double) as score, substr(text, s + 1, length(m[i])) as span_text
+      from (select *, cast({sql.lengths('g[1:i]')} + {sql.lengths('m[1:i-1]')} as bigint) as s from p))
+    select way, {sql.COLUMNS} from found, (select unnest(['pattern', 'join']) as way)""",
+)
+def deny_list_parity(spark, sf_dir):
+    """Terms that begin alike or overlap: one pattern and the join find the same spans, the first term in the list wins."""
+    df = fx.texts(spark, sf_dir)
+    listed = spark.createDataFrame(list(enumerate(OVERLAPPING)), "pos long, term string")
+    both = [("pattern", terms.find(df, OVERLAPPING)), ("join", terms.join_terms(df, listed))]
+    rows = [span_table(found).select(F.lit(way).alias("way"), "*") for way, found in both]
+    return rows[0].unionByName(rows[1])
+
+
 # Lists written from the tables: one term per line, blanks and repeats included.
 _LISTS = """
 lists as (
@@ -609,6 +694,42 @@ def deny_terms_remove(spark, sf_dir):
     return exact.unionByName(loose.withColumn("variant", F.lit("any_case")))
 
 
+# ------------------------------------------------------------------ dense texts
+
+ADDRESSES = 4000
+_ADDRESS = "concat('10.', cast(event_id % 200 as string), '.', cast(floor(event_id / 200) % 250 as int), '.', cast(event_id % 240 as string))"
+_DENSE_SQL = f"""{fx.LETTERS_SQL},
+dense as (
+  select cast(c_nationkey as bigint) as doc_id, string_agg(text, chr(10) order by doc_id) as text from letters join customer on c_custkey = doc_id group by c_nationkey
+  union all
+  select 1000 + event_id // {ADDRESSES}, string_agg({_ADDRESS}, ' ' order by event_id) from events group by event_id // {ADDRESSES}
+)"""
+
+
+@query(
+    "dense_texts",
+    f"""with {_DENSE_SQL}, {sql.detected('dense')},
+    n as (select doc_id, count(*) as n_spans, cast(sum(s) as bigint) as starts, count(distinct lower(span_text)) as names from spans group by doc_id)
+    select doc_id, n_spans, starts, case when doc_id >= 1000 then names else 0 end as n_names from dense join n using (doc_id)""",
+)
+def dense_texts(spark, sf_dir):
+    """Few texts with very many spans: all letters of a nation in one, and lists of thousands of addresses."""
+    nation = fx.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.col("c_nationkey").cast("long").alias("one"))
+    letters = fx.letters(spark, sf_dir).join(nation, "doc_id").select("one", F.col("doc_id").alias("at"), "text", F.lit("\n").alias("by"))
+    events = fx.table(spark, sf_dir, "events").select(
+        (F.floor(F.col("event_id") / ADDRESSES) + 1000).alias("one"), F.col("event_id").alias("at"), F.expr(_ADDRESS).alias("text"), F.lit(" ").alias("by")
+    )
+    parts = F.transform(F.sort_array(F.collect_list(F.struct("at", "text"))), lambda r: r["text"])
+    dense = letters.unionByName(events).groupBy("one").agg(F.array_join(parts, "\n").alias("lines"), F.first("by").alias("by"))
+    dense = dense.select(F.col("one").alias("doc_id"), F.when(F.col("by") == " ", F.replace("lines", F.lit("\n"), F.lit(" "))).otherwise(F.col("lines")).alias("text"))
+    done = pseudonym.anonymize(rec.detect(dense))
+    starts = F.aggregate("spans", F.lit(0).cast("bigint"), lambda acc, s: acc + s["start"])
+    return done.select(
+        "doc_id", big(F.size("spans")).alias("n_spans"), starts.alias("starts"),
+        F.when(F.col("doc_id") >= 1000, big(F.size("mapping"))).otherwise(F.lit(0)).cast("bigint").alias("n_names"),
+    )
+
+
 # ------------------------------------------------------------------ counts
 
 

@@ -217,6 +217,8 @@ ORIGINALS = {
     "[EU_PII_12]": f"concat('K-', cast({K} as string))",
     "Nexon Corp": "c_name",
 }
+# A type that no recognizer has.
+OWN_TYPE = "[PROJECT_7]"
 CREATED = "coalesce(od, timestamp '1996-01-01 00:00:00')"
 
 
@@ -325,32 +327,27 @@ def replacement_count(spark, sf_dir):
     )
 
 
-JSON_SCHEMA = "struct<id:string,content:array<struct<type:string,text:string>>,stop:boolean>"
-
-
 @query(
     "rehydrate_json",
     f"""with {_CUSTOMERS} select cast(c_custkey as varchar) as answer_id,
-      concat('Guten Tag ', '"', c_name, '"', chr(10), chr(92), ' $1', ', UID ', {fx.uid(K)}) as restored, true as stop from people""",
+      concat('Guten Tag ', '"', c_name, '"', chr(10), chr(92), ' $1', ', UID ', {fx.uid(K)}) as restored, 'null' as stop, '{{"n":' || cast(c_custkey as varchar) || '}}' as usage
+    from people""",
 )
 def rehydrate_json(spark, sf_dir):
-    """Originals with quotes, line breaks and backslashes inside a JSON answer."""
-    body = F.to_json(
-        F.struct(
-            F.col(K).cast("string").alias("id"),
-            F.array(
-                F.struct(F.lit("text").alias("type"), F.lit("Guten Tag Arion, UID [AT_UID_NR_1]").alias("text"))
-            ).alias("content"),
-            F.lit(True).alias("stop"),
-        )
+    """Originals with quotes, line breaks and backslashes inside a JSON answer; other fields and nulls stay."""
+    text = F.to_json(F.array(F.struct(F.lit("text").alias("type"), F.lit("Guten Tag Arion, UID [AT_UID_NR_1]").alias("text"))))
+    key = F.col(K).cast("string")
+    body = F.concat(
+        F.lit('{"id":"'), key, F.lit('","content":'), text, F.lit(',"stop":null,"usage":{"n":'), key, F.lit("}}")
     )
     original = F.concat(F.lit('"'), "c_name", F.lit('"\n\\ $1'))
     mapping = F.create_map(F.lit("Arion"), original, F.lit("[AT_UID_NR_1]"), F.expr(fx.uid(K)))
-    out = _people(spark, sf_dir).select(rh.rehydrate_json(body, mapping, JSON_SCHEMA).alias("json"))
+    out = _people(spark, sf_dir).select(rh.rehydrate_json(body, mapping).alias("json"))
     return out.select(
         F.get_json_object("json", "$.id").alias("answer_id"),
         F.get_json_object("json", "$.content[0].text").alias("restored"),
-        (F.get_json_object("json", "$.stop") == "true").alias("stop"),
+        F.regexp_extract("json", '"stop":(\\w+)', 1).alias("stop"),
+        F.get_json_object("json", "$.usage").alias("usage"),
     )
 
 
@@ -456,34 +453,35 @@ def report_json(spark, sf_dir):
     )
 
 
-_SQL_PATTERNS = [
-    "at_uid", "at_iban", "at_svnr", "phone_intl", "phone_local", "firmenbuch", "ipv4", "email", "credential_label",
-]
+# One text in seven holds the mark of the search, two code points in front.
+_MARKED = "case when doc_id % 7 = 0 then '\ufdd0 ' else '' end || text"
 
 
 @query(
     "sql_surface",
-    f"""with {fx.TEXTS_SQL}, {sql.with_plain('texts')},
-    found as ({' union all '.join(sql.scan(n, 'src') for n in _SQL_PATTERNS)}),
-    n as (select doc_id, count(*) as spans, sum(s) as starts from found group by doc_id)
+    f"""with {fx.TEXTS_SQL}, marked as (select doc_id, {_MARKED} as text from texts), {sql.detected('marked')},
+    n as (select doc_id, count(*) as spans, sum(s) as starts from spans group by doc_id)
     select t.doc_id, coalesce(spans, 0) as spans, cast(coalesce(starts, 0) as bigint) as starts,
       concat(substr(md5(cast(t.doc_id as varchar)), 1, 8), '...', substr(md5(cast(t.doc_id as varchar)), 29, 4)) as masked,
       '***' as masked_short, 'kunde ' || cast(t.doc_id as varchar) as folded,
       cast((length(lower(text)) - length(replace(lower(text), 'the', ''))) // 3 as bigint) as the_count,
-      'Lieber Thomas Gruber, Thomas-2' as restored
-    from texts t left join n on n.doc_id = t.doc_id""",
+      'Lieber Thomas Gruber, Thomas-2, ATU1' as restored, true as same
+    from marked t left join n on n.doc_id = t.doc_id""",
 )
 def sql_surface(spark, sf_dir):
-    """The SQL functions called from SQL."""
+    """The SQL functions called from SQL; ``same`` compares the rewritten text with that of the DataFrame functions."""
     from ..functions import sqlfuncs
 
-    sqlfuncs.register(spark, [r for r in rec.REGISTRY if r.name in _SQL_PATTERNS])
+    sqlfuncs.register(spark)
+    texts = fx.texts(spark, sf_dir).select("doc_id", F.expr(_MARKED).alias("text"))
+    both = pseudonym.anonymize(rec.detect(texts)).select("doc_id", "text", "anonymized")
     return spark.sql(
         """SELECT doc_id, CAST(size(spans) AS BIGINT) AS spans,
           CAST(aggregate(spans, 0L, (acc, s) -> acc + s.start) AS BIGINT) AS starts,
           mask_key(md5(CAST(doc_id AS STRING))) AS masked, mask_key('short') AS masked_short,
           pii_fold_key(concat('  KUNDE ', CAST(doc_id AS STRING), ' ')) AS folded, pii_term_count(text, 'The') AS the_count,
-          pii_rehydrate('Lieber Arion Gruber, Arion-2', map('Arion', 'Thomas', 'Arion-2', 'Thomas-2')) AS restored
-        FROM (SELECT doc_id, text, pii_spans(text) AS spans FROM {texts})""",
-        texts=fx.texts(spark, sf_dir),
+          pii_rehydrate('Lieber Arion Gruber, Arion-2, ( at_uid_nr 1 )', map('Arion', 'Thomas', 'Arion-2', 'Thomas-2', '[AT_UID_NR_1]', 'ATU1')) AS restored,
+          pii_anonymize(text).anonymized = anonymized AS same
+        FROM (SELECT doc_id, text, anonymized, pii_spans(text) AS spans FROM {texts})""",
+        texts=both,
     )

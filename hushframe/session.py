@@ -30,10 +30,14 @@ _LOCAL: dict[str, str] = {}
 def work_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below the shared folder named by ``spark.checkpoint.dir``.
 
-    Only a session without that setting (tests, one machine) gets a local folder of its own.
+    Only a session that runs in one process may go without that setting; it gets a local folder of its own.  On a
+    cluster each executor would write to its own disk, so the missing setting is an error there.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         if app not in _LOCAL:
             _LOCAL[app] = tempfile.mkdtemp(prefix="hushframe-")

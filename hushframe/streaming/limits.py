@@ -14,33 +14,43 @@ from ..operators import admission
 from ..session import work_folder
 from .runs import drain_batches
 
-STATE = "key bigint, us bigint, id bigint, day date"
-DECISIONS = "id bigint, key bigint, day date, reason string, allowed boolean"
-
-
 class StreamLimiter:
-    """Batch handler with its state and decision folders."""
+    """Batch handler with its state and decision folders; keys are of the type of the input.
 
-    def __init__(self, spark, key: str, ts: str, event_id: str, folder: str | None = None, **limits):
+    State lies in folders by day, so a batch lists and reads only what was admitted on its own days.
+    """
+
+    def __init__(self, spark, kind: str, key: str, ts: str, event_id: str, folder: str | None = None, **limits):
         base = folder or work_folder(spark, "limits")
         self.state, self.decisions = f"{base}/state", f"{base}/decisions"
         self.columns, self.limits = (key, ts, event_id), limits
-        # Empty tables with the right schema, so the first batch can read them.
-        spark.createDataFrame([], STATE).write.mode("overwrite").parquet(f"{self.state}/batch=-1")
-
-    def read_state(self, spark, which) -> DataFrame:
-        state = spark.read.schema(STATE + ", batch bigint").parquet(self.state)
+        self.state_schema = f"key {kind}, us bigint, id bigint"
+        self.decision_schema = f"id bigint, key {kind}, day date, reason string, allowed boolean"
+
+    def read_state(self, spark, days: list, batch_id: int, before: bool) -> DataFrame:
+        """What was admitted on the given days, before a batch or by it."""
+        schema = self.state_schema + ", day date, batch bigint"
+        none = spark.createDataFrame([], schema).select("key", "day", "us", "id")
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        folders = [hadoop(f"{self.state}/day={day}") for day in days]
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        there = [str(f.toString()) for f in folders if f.getFileSystem(conf).exists(f)]
+        if not there:
+            return none
+        state = spark.read.schema(schema).option("basePath", self.state).parquet(*there)
+        which = F.col("batch") < batch_id if before else F.col("batch") == batch_id
         return state.where(which).select("key", "day", "us", "id")
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         requests = admission.prepare(batch, *self.columns)
-        days = requests.select("day").distinct()
-        past = self.read_state(spark, F.col("batch") < batch_id).join(days, "day", "left_semi")
-        fresh = admission.admitted_requests(requests, past, **self.limits)
-        # A repeated batch overwrites its own folder.
-        fresh.write.mode("overwrite").parquet(f"{self.state}/batch={batch_id}")
-        admitted = past.unionByName(self.read_state(spark, F.col("batch") == batch_id))
+        # The days of a batch, a few.
+        days = sorted(str(r["day"]) for r in requests.select("day").where("day is not null").distinct().collect())
+        past = self.read_state(spark, days, batch_id, before=True)
+        fresh = admission.admitted_requests(requests, past, **self.limits).withColumn("batch", F.lit(batch_id).cast("bigint"))
+        # A repeated batch overwrites its own folders.
+        fresh.hint("rebalance", "day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(self.state)
+        admitted = past.unionByName(self.read_state(spark, days, batch_id, before=False))
         decided = admission.decide(requests, admitted, **self.limits)
         decided.write.mode("overwrite").parquet(f"{self.decisions}/batch={batch_id}")
 
@@ -48,6 +58,6 @@ class StreamLimiter:
 def limit_stream(requests: DataFrame, key: str, ts: str, event_id: str, **limits) -> DataFrame:
     """Process a stream of requests to its end; returns the decisions."""
     spark = requests.sparkSession
-    limiter = StreamLimiter(spark, key, ts, event_id, **limits)
+    limiter = StreamLimiter(spark, requests.schema[key].dataType.simpleString(), key, ts, event_id, **limits)
     drain_batches(requests, "limits", limiter)
-    return spark.read.schema(DECISIONS + ", batch bigint").parquet(limiter.decisions).drop("batch")
+    return spark.read.schema(limiter.decision_schema + ", batch bigint").parquet(limiter.decisions).drop("batch")

@@ -162,3 +162,70 @@ def test_password_labels_inside_words(texts):
     strict = rec.credential_label(anchored=True, more_labels=["token"])
     assert found(texts, "Spin cycle", registry=[strict]) == []
     assert found(texts, 'token = "abcdef" und pin: 12345', registry=[strict]) == [("CREDENTIAL", 'abcdef"'), ("CREDENTIAL", "12345")]
+
+
+def timed(df):
+    import time
+
+    started = time.time()
+    row = df.first()
+    return row, time.time() - started
+
+
+def test_no_text_ends_or_stalls_the_job(texts):
+    """A list of names, a long word in front of an @, dotted labels without end."""
+    names = "Liste: x " + " ".join(f"Name{i}" for i in range(50_000)) + ". ende"
+    runs = texts(names).select(F.size(learner.proper_runs(F.col("text"))).alias("n"))
+    row, seconds = timed(runs)
+    assert row["n"] == 1 and seconds < 60
+    for text in ("a" * 200_000 + "@", "a@" + "b." * 20_000, "x." * 50_000 + "@" + "y-" * 50_000):
+        row, seconds = timed(rec.detect(texts(text), registry=(rec.EMAIL,)))
+        assert row["spans"] == [] and seconds < 30
+    row, _ = timed(rec.detect(texts("a@b.co+c@d.org, x@y.z.com1"), registry=(rec.EMAIL,)))
+    assert [s["text"] for s in row["spans"]] == ["a@b.co", "+c@d.org", "x@y.z.com"]
+
+
+def test_time_grows_with_the_text(texts):
+    from hushframe.operators import pseudonym
+
+    def run(n):
+        text = " ".join(f"10.{i % 250}.{i // 250 % 250}.{i % 7}" for i in range(n))
+        return timed(pseudonym.anonymize(rec.detect(texts(text), registry=(rec.IPV4,))).select(F.size("spans").alias("n")))
+
+    run(10)
+    (row, small), (large_row, large) = run(25_000), run(50_000)
+    assert row["n"] == 25_000 and large_row["n"] == 50_000
+    assert large < 3 * small + 5
+
+
+def test_one_deny_list_rule_at_any_length(spark, texts):
+    df = texts("Frau Anna Maria Huber, *** und +43 dazu", "anna", None, "")
+    given = ["Anna", "Anna Maria", "Maria Huber", "***", "+43", "Huber", *[f"term {i}" for i in range(600)]]
+    listed = spark.createDataFrame(list(enumerate(given)), "pos long, term string")
+    plain = {r["doc_id"]: [s["text"] for s in r["spans"]] for r in terms.find(df, given).collect()}
+    joined = {r["doc_id"]: [s["text"] for s in r["spans"]] for r in terms.join_terms(df, listed).collect()}
+    assert plain == joined and plain[0] == ["Anna", "Maria Huber", "***", "+43"]
+    assert [s["text"] for s in rec.detect(df, deny_terms=given).where("doc_id = 1").first()["spans"]] == ["anna"]
+
+
+def test_label_gate_follows_the_registry(texts):
+    own = rec.Recognizer("own", "DOC_METADATA", r"(Aktenzeichen:\s*)(\S+)(\s|$)", 0.9, labelled=True, gate=rec.LABEL, labels="Aktenzeichen")
+    assert found(texts, "Unser Aktenzeichen: 17/b ok", registry=(own,)) == [("DOC_METADATA", "17/b")]
+    with pytest.raises(ValueError, match="label gate"):
+        rec.Recognizer("bare", "DOC_METADATA", "x", 0.9, gate=rec.LABEL)
+
+
+def test_types_not_asked_for_hide_nothing(texts):
+    df = texts("Konto FR14 2004 1010 0505 0001 3M02 606.")
+    asked = rec.detect(df, requested=F.array(F.lit("EU_PII"))).first()["spans"]
+    assert [s["entity_type"] for s in asked] == ["EU_PII"]
+
+
+def test_phrases_like_detected_types_are_learned(texts):
+    """A phrase is learned if its words point where the tokens of a type point."""
+    like = lambda w: F.when(w.isin("Gruber", "Waldstein"), F.array(F.lit(1.0), F.lit(0.0))).otherwise(F.array(F.lit(0.0), F.lit(1.0)))
+    df = texts("hier ist Herr Thomas Gruber mit Waldstein und Anderem")
+    text = F.col("text")
+    spans = F.filter(learner.proper_runs(text), lambda s: s["text"].contains("Gruber"))
+    got = df.select(learner.similar_terms(text, learner.proper_nouns(text), F.filter(learner.proper_nouns(text), lambda s: s["text"] == "Gruber"), spans, like).alias("t"))
+    assert got.first()["t"] == ["Waldstein"]

@@ -151,7 +151,7 @@ def test_admission_equals_simulation(spark, seed, keys, span, limit):
 def test_admission_stream_in_batches(spark, tmp_path):
     rows = sorted(requests(random.Random(9), 500, 6, 400))
     folder = str(tmp_path / "in")
-    limiter = limits.StreamLimiter(spark, "key", "ts", "id", key_limit=4, day_limit=20)
+    limiter = limits.StreamLimiter(spark, "bigint", "key", "ts", "id", key_limit=4, day_limit=20)
     for at in range(0, 500, 125):
         as_frame(spark, rows[at : at + 125]).coalesce(1).write.mode("append").parquet(folder)
         limiter(as_frame(spark, rows[at : at + 125]), at // 125)
@@ -270,3 +270,31 @@ def test_lenient_files_and_text_report(spark):
     assert [r["status"] for r in files.ingest(df, lenient=True).collect()] == ["ok", "ok"]
     row = spark.createDataFrame([("Hi Arion", {"Arion": "Max"})], "anonymized string, mapping map<string,string>")
     assert row.select(files.report_text().alias("t")).first()["t"].endswith("(1 replacements) ---\n  Arion -> Max")
+
+
+def test_answer_state_ends_with_the_stream(spark, tmp_path):
+    schema = "stream_id string, seq long, kind string, delta string, line string, shape string, mapping string"
+    folder, checkpoint = str(tmp_path / "in"), str(tmp_path / "c")
+    rows = [("s", 0, "delta", "Hi Ari", None, "choices", '{"Arion": "Max"}'), ("s", 1, "delta", "on", None, "choices", None), ("s", 2, "end", "", None, "choices", None), ("t", 0, "delta", "open", None, "choices", "{}")]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(folder)
+    out = answers.rehydrate_stream(runs.read_stream(spark, folder, schema))
+    query = out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] == 1
+    got = spark.read.parquet(str(tmp_path / "out")).where("stream_id = 's'").orderBy("seq", "part").collect()
+    assert "".join(r["text"] for r in got) == "Hi Max"
+
+
+def test_early_pieces_come_out_in_order_after_a_silence():
+    rows, held, ended = answers.settle(answers.Codes({"Arion": "Max"}), {4: ["delta", "Ari", None, "choices"], 6: ["delta", "on!", None, "choices"]}, "x ", [4, 6])
+    assert "".join(r[2] for r in rows) == "x Max!" and held == "" and not ended
+
+
+def test_no_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from hushframe.session import work_folder
+
+    settings = {"spark.master": "spark://host:7077"}
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        work_folder(SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: settings.get(k, d))), "x")

@@ -109,7 +109,7 @@ def test_json_leaves(spark):
         [('{"id": 7, "parts": [{"text": "Arion sagt"}, {"text": null}]}', {"Arion": 'Max "M"\n\\'})],
         "body string, m map<string,string>",
     )
-    out = df.select(F.from_json(rh.rehydrate_json(F.col("body"), F.col("m"), shape), shape).alias("j")).first()["j"]
+    out = df.select(F.from_json(rh.rehydrate_json(F.col("body"), F.col("m")), shape).alias("j")).first()["j"]
     assert out["id"] == 7 and out["parts"][0]["text"] == 'Max "M"\n\\ sagt' and out["parts"][1]["text"] is None
 
 
@@ -162,3 +162,40 @@ def test_candidates_cover_all_ways_of_matching(spark):
     want = want.unionByName(asked.where("session_id = 'two'").select("rid", F.col("text").alias("r")))
     assert {r["rid"]: r["r"] for r in got.collect()} == {r["rid"]: r["r"] for r in want.collect()}
     assert got.where("length(r) > 0").count() == 120
+
+
+def test_json_keeps_every_field(spark):
+    body = '{"b": null, "usage": {"n": 7}, "text": "Arion", "x": [1, 2.50]}'
+    df = spark.createDataFrame([(body, {"Arion": 'a"\n'})], "body string, m map<string,string>")
+    out = df.select(rh.rehydrate_json(F.col("body"), F.col("m")).alias("j")).first()["j"]
+    assert out == body.replace("Arion", 'a\\"\\n')
+
+
+def test_sessions_with_repeated_rows_and_own_types(spark):
+    from datetime import datetime, timedelta
+
+    t = datetime(2024, 5, 1, 12)
+    rows = [("s", "[PROJECT_1]", "Silberfuchs"), ("s", "[PROJECT_1]", "Silberfuchs"), ("s", "[DATE_TIME_12]", "morgen")]
+    vault = spark.createDataFrame([(*r, t) for r in rows], "session_id string, codename string, original string, created_at timestamp")
+    asked = [
+        (1, "s", "Projekt [PROJECT_1] ab [ date time 12 ]", t + timedelta(seconds=1800)),
+        (2, "s", "project 1", t + timedelta(seconds=1801)),
+        (3, "x", "[PROJECT_1]", t),
+    ]
+    responses = spark.createDataFrame(asked, "id long, session_id string, text string, asked_at timestamp")
+    got = {r.id: (r.status, r.rehydrated_text) for r in rh.rehydrate_sessions(responses, vault, ["id"]).collect()}
+    assert got == {1: ("ok", "Projekt Silberfuchs ab morgen"), 2: ("missing", None), 3: ("missing", None)}
+    assert rh.rehydrate_sessions(responses.limit(0), vault, ["id"]).count() == 0
+
+
+def test_splice_and_codenames_of_many_spans_are_right(texts):
+    """Longer than a block of text and than a part of a walk."""
+    from hushframe.operators import pseudonym
+    from hushframe.operators import recognizers as rec
+
+    addresses = [f"10.{i % 7}.{i % 250}.{i // 250}" for i in range(900)]
+    row = pseudonym.anonymize(rec.detect(texts("😀 " + " ".join(addresses)), registry=(rec.IPV4,))).first()
+    numbers: dict = {}
+    want = [f"[EU_PII_{numbers.setdefault(a, len(numbers) + 1)}]" for a in addresses]
+    assert row["anonymized"] == "😀 " + " ".join(want)
+    assert row["mapping"] == {f"[EU_PII_{n}]": a for a, n in numbers.items()}
