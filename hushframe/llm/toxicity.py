@@ -21,12 +21,12 @@ from .common import fold
 GRAMS = (3, 4, 5)
 BUCKETS, WIDTH = 1 << 16, 8
 #: Words of a window.
-WORDS = 16
+WORDS = 8
 #: Bound of the sample that is learned from: rows of each class, and bytes of one of its texts.
 FIT_ROWS, FIT_BYTES = 3000, 20_000
 ROUNDS, WHOLE, DECAY, SEED = 30, 2, 1e-6, 7
-#: Bytes scored at once.
-CHUNK = 1 << 20
+#: Bytes scored at once, and windows averaged at once.
+CHUNK, WINDOWS = 1 << 20, 4096
 _FOLD = np.array([b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256)], np.uint8)
 _MIX = np.uint32(0x9E3779B1)
 
@@ -123,12 +123,13 @@ def fit(texts: list[str], classes: list[int], share: float | None = None, rounds
     used = np.array([k for k, g in enumerate(found) if len(g.start)])
     found, y = [found[k] for k in used], y[used]
     ids = np.concatenate([g.bucket for g in found])
-    lengths = np.array([len(g.bucket) for g in found])
+    lengths = np.array([len(g.bucket) for g in found], np.int64)
     starts = np.concatenate([g.start + o for g, o in zip(found, np.cumsum(lengths) - lengths, strict=True)])
     ends = np.append(starts[1:], len(ids))
     doc = np.repeat(np.arange(len(found)), [len(g.start) for g in found])
-    first = np.searchsorted(doc, np.arange(len(found)))
-    held = rng.random(len(found)) < 0.2  # for calibration
+    first, n = np.searchsorted(doc, np.arange(len(found))), len(found)
+    del found
+    held = rng.random(n) < 0.2  # for calibration
     table = rng.normal(0, 0.02, (BUCKETS, WIDTH))
     soft = np.array([-1.0, 1.0])[:, None] * rng.normal(0, 0.3, WIDTH)[None]
     bias = np.zeros(2)
@@ -136,8 +137,12 @@ def fit(texts: list[str], classes: list[int], share: float | None = None, rounds
     weight_of = np.where(y == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))
 
     def means() -> np.ndarray:
-        total = np.concatenate(([0.0], np.cumsum((table @ (soft[1] - soft[0]))[ids])))
-        return (total[ends] - total[starts]) / np.maximum(ends - starts, 1) + bias[1] - bias[0]
+        weight, out = table @ (soft[1] - soft[0]), np.empty(len(starts))
+        for i in range(0, len(starts), WINDOWS):
+            a, b = starts[i : i + WINDOWS], ends[i : i + WINDOWS]
+            total = np.concatenate(([0.0], np.cumsum(weight[ids[a[0] : b[-1]]])))
+            out[i : i + WINDOWS] = (total[b - a[0]] - total[a - a[0]]) / np.maximum(b - a, 1)
+        return out + bias[1] - bias[0]
 
     for step in range(rounds):
         whole = step < WHOLE
