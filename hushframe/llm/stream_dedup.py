@@ -22,6 +22,9 @@ STATE = {
     # One bounded block cache and write buffer for all partitions of an executor.
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "4",
+    # A partition's store is closed after its batch: an executor holds as many as it has running tasks.
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
     # Many small stores: none reserves megabytes of disk for a log of kilobytes.
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
