@@ -27,7 +27,7 @@ from .common import id_and_text, partitions
 
 CAPACITY, END_ID = 2048, 0
 #: Distinct chunks of text whose ids a worker remembers.
-CACHE = 600_000
+CACHE = 400_000
 #: Nodes that the search may open and fillings that it looks at for one largest length.
 NODES, FILLINGS = 6_000, 24
 
