@@ -38,3 +38,12 @@ def hashed_word(word: Column, dims: int = 8) -> Column:
             lambda i: F.conv(F.substring(h, i * 4 + 1, F.lit(4)), 16, 10).cast("double") / 32768.0 - 1,
         ),
     )
+
+
+def hashed_text(text: Column, dims: int = 8) -> Column:
+    """Sum of the vectors of a text's white-space words."""
+    words = F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
+    none = F.array(*[F.lit(0.0)] * dims)
+    return F.aggregate(
+        F.transform(words, lambda w: hashed_word(w, dims)), none, lambda acc, v: F.zip_with(acc, v, lambda a, b: a + b)
+    )

@@ -95,14 +95,14 @@ def small_array(table: DataFrame, item: Column, name: str, most: int = SMALL_TAB
 
 
 def category_flags(
-    vectors: DataFrame, categories: DataFrame, keys: list[str], threshold: float = c.CATEGORY_THRESHOLD
+    vectors: DataFrame, categories: DataFrame, keys: list[str], threshold: float = c.CATEGORY_THRESHOLD, most: int = SMALL_TABLE
 ) -> DataFrame:
-    """Pairs of vector and category whose cosine exceeds the threshold.
+    """Pairs of vector and category whose cosine exceeds the threshold; more than ``most`` categories are refused.
 
     ``categories(category, vector)`` has one row per category, seven in the default set, so it
     becomes one array value, its size checked, that every vector meets in place; the vectors are not shuffled.
     """
-    cats = small_array(categories, F.struct("category", "vector"), "categories")
+    cats = small_array(categories, F.struct("category", "vector"), "categories", most)
     scored = vectors.withColumn("cats", cats).select(
         *keys,
         F.explode(
@@ -260,11 +260,11 @@ def centroid_vectors(rows: DataFrame, kind: str = "label") -> DataFrame:
 
 
 def similar_to_any(
-    vectors: DataFrame, centres: DataFrame, threshold: float = c.TERM_SIMILARITY, vector: str = "embedding"
+    vectors: DataFrame, centres: DataFrame, threshold: float = c.TERM_SIMILARITY, vector: str = "embedding", most: int = SMALL_TABLE
 ) -> DataFrame:
-    """Rows whose vector is close to at least one centroid (one per type), each row once."""
+    """Rows whose vector is close to at least one centroid (one per type), each row once; more than ``most`` are refused."""
     return (
-        vectors.withColumn("centres", small_array(centres, F.col("vector"), "centres"))
+        vectors.withColumn("centres", small_array(centres, F.col("vector"), "centres", most))
         .where(F.exists("centres", lambda x: cosine(F.col(vector), x) > threshold))
         .drop("centres")
     )

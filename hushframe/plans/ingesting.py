@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as c
 from ..functions.text import line_count
-from ..sources import files
+from ..sources import files, vault
 from . import fixtures as fx
 from . import sql
 from .registry import big, query
@@ -104,3 +104,15 @@ def file_ingest(spark, sf_dir):
         "name", "size", "status", "format", F.md5("text").alias("text_md5"), "encoding", "line_count",
         big(F.size("warnings")).alias("warnings"),
     )
+
+
+@query(
+    "file_sizes",
+    """select doc_id, printf('%.1f', strlen(text) * 997 / 1048576.0) as size_text, sha256(cast(doc_id as varchar)) as session_id from documents""",
+)
+def file_sizes(spark, sf_dir):
+    """Sizes as text, as if each document were 997 times as long, and session ids that a run repeats."""
+    df = fx.documents(spark, sf_dir)
+    return df.select(
+        "doc_id", files.megabytes(F.octet_length("text") * 997).alias("size_text"), vault.session_ids(F.col("doc_id")).alias("session_id")
+    )

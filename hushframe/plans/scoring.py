@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import constants as c
+from ..functions.vectors import hashed_text
 from ..operators import learner, sensitivity
 from ..sources import files
 from . import fixtures as fx
@@ -41,9 +42,7 @@ def keyword_flags(spark, sf_dir):
     )
 
 
-@query(
-    "chunk_text",
-    """with recursive lines as (
+_CHUNKS = """with recursive lines as (
       select doc_id, i as line, regexp_replace(raw, '^\\s+|\\s+$', '', 'g') as line_text from (
         select doc_id, unnest(string_split(text, chr(10))) as raw, generate_subscripts(string_split(text, chr(10)), 1) as i from documents)
     ),
@@ -65,8 +64,12 @@ def keyword_flags(spark, sf_dir):
       union all
       select doc_id, line, generate_subscripts(d, 1) as k, unnest(d) as chunk from (
         select doc_id, line, case when open = '' then done else list_append(done, open) end as d from pack where nth = total)
-    )
-    select doc_id, row_number() over (partition by doc_id order by line, k) - 1 as chunk_no, chunk from parts""",
+    )"""
+
+
+@query(
+    "chunk_text",
+    f"{_CHUNKS} select doc_id, row_number() over (partition by doc_id order by line, k) - 1 as chunk_no, chunk from parts",
 )
 def chunk_text(spark, sf_dir):
     """Whole documents cut into chunks of about two hundred characters."""
@@ -75,6 +78,40 @@ def chunk_text(spark, sf_dir):
     return out.withColumn("chunk_no", big("chunk_no"))
 
 
+_WORD_VECTOR = "list_transform(range(0, 8), lambda i: cast('0x' || substr(md5(word), cast(4 * i + 1 as int), 4) as int) / 32768.0 - 1)"
+
+
+def _text_vectors(src: str, keys: str, text: str) -> str:
+    """Unit vectors of texts: the sum of the vectors of their words."""
+    return f"""
+    select {keys}, list(value / n order by i) as v from (
+      select *, sqrt(sum(value * value) over (partition by {keys})) as n from (
+        select {keys}, i, sum(v[i]) as value from (
+          select {keys}, {_WORD_VECTOR} as v from (select {keys}, unnest(list_filter(string_split_regex({text}, '\\s+'), lambda w: w <> '')) as word from {src})),
+        (select unnest(range(1, 9)) as i) group by all)) where n > 0 group by {keys}"""
+
+
+_DESCRIBED = ", ".join(f"({sql.q(k)}, {sql.q(v)})" for k, v in c.CATEGORY_DESCRIPTIONS.items())
+
+
+@query(
+    "chunk_category_flags",
+    f"""{_CHUNKS}, numbered as (select doc_id, row_number() over (partition by doc_id order by line, k) - 1 as chunk_no, chunk from parts),
+    described as (select * from (values {_DESCRIBED}) t(category, d)),
+    cats as ({_text_vectors('described', 'category', 'd')}),
+    vecs as ({_text_vectors('numbered', 'doc_id, chunk_no', 'chunk')}),
+    hits as (select doc_id, chunk_no, category, list_sum(list_transform(range(1, 9), lambda i: x.v[i] * c.v[i])) as sim from vecs x, cats c)
+    select doc_id, category, count(*) as n_chunks, max(round(sim, 3)) as top_score from hits where sim > {c.CATEGORY_THRESHOLD} group by doc_id, category""",
+)
+def chunk_category_flags(spark, sf_dir):
+    """Chunks of every document, encoded and scored against the described categories."""
+    flags = sensitivity.chunk_flags(fx.documents(spark, sf_dir), encode=hashed_text)
+    each = flags.select("doc_id", F.explode("flags").alias("f"))
+    return each.groupBy("doc_id", F.col("f.category").alias("category")).agg(
+        F.count(F.lit(1)).alias("n_chunks"), F.max("f.score").alias("top_score")
+    )
+
+
 CATEGORIES = list(c.CATEGORY_LABELS)
 _COSINE = """list_sum(list_transform(range(1, len(a) + 1), lambda i: cast(a[i] as double) * cast(b[i] as double)))
   / (sqrt(list_sum(list_transform(a, lambda x: cast(x as double) * cast(x as double)))) * sqrt(list_sum(list_transform(b, lambda x: cast(x as double) * cast(x as double)))))"""

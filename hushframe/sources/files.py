@@ -44,7 +44,7 @@ def file_format(name: Column, mime: Column | None = None, lenient: bool = False)
 
 
 def megabytes(size: Column) -> Column:
-    return F.format_number(size / (1024 * 1024), "0.0")
+    return F.format_string("%.1f", size / (1024 * 1024))
 
 
 def decode(content: Column) -> Column:
@@ -81,6 +81,7 @@ def ingest(
     mime: str | None = None,
     limit: int = c.MAX_FILE_CHARS,
     lenient: bool = False,
+    max_bytes: int = c.MAX_FILE_BYTES,
 ) -> DataFrame:
     """Text of each file with its metadata; files that cannot be used keep the reason in ``status``.
 
@@ -90,7 +91,7 @@ def ingest(
     size = F.length(content)
     kind = file_format(F.col(name), F.col(mime) if mime else None, lenient)
     status = (
-        F.when(size > c.MAX_FILE_BYTES, F.lit("too_large"))
+        F.when(size > max_bytes, F.lit("too_large"))
         .when(size == 0, F.lit("empty"))
         .when(kind.isNull(), F.lit("unsupported"))
         .when(kind != "TEXT", F.lit("needs_extractor"))
