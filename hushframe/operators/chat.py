@@ -69,7 +69,6 @@ def anonymize_chat(chat: DataFrame, scope: str = "conversation", **options) -> t
         ids=["conv_id", "turn"],
         scope=["conv_id"],
         order=["turn"],
-        bucket=F.floor(F.col("turn") / TURNS_PER_BUCKET),
     )
 
 

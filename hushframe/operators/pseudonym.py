@@ -178,15 +178,23 @@ def first_seen(occurrences: DataFrame, scope: Sequence[str], order: Sequence[str
 
 
 def number_groups(
-    firsts: DataFrame, scope: Sequence[str], order: Sequence[str], bucket: Column
+    firsts: DataFrame, scope: Sequence[str], order: Sequence[str], bucket: Column | None = None
 ) -> DataFrame:
     """Running number per (scope, group) without gathering a group in one task.
 
-    ``bucket`` must not decrease along ``order``.  Rows are numbered inside (scope, group, bucket); the
-    bucket totals are small and give each bucket its offset.
+    Rows are numbered inside (scope, group, bucket); the bucket totals are small and give each bucket its offset.
+    Without ``bucket`` the buckets are the parts of a range partition by scope and order, whatever the values are; one that
+    is given must not decrease along ``order``.
     """
     keys = [*scope, "group"]
-    rows = firsts.withColumn("group", group_of(F.col("entity_type"))).withColumn("bucket", bucket)
+    rows = firsts.withColumn("group", group_of(F.col("entity_type")))
+    if bucket is None:
+        parts = int(firsts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        ranged = rows.repartitionByRange(parts, *[F.col(c) for c in [*scope, *order]])
+        # Written, so that every later step sees the same parts.
+        rows = stage(ranged.withColumn("bucket", F.spark_partition_id()), "numbering")
+    else:
+        rows = rows.withColumn("bucket", bucket)
     inner = W.partitionBy(*keys, "bucket").orderBy(*order)
     local = rows.withColumn("local", F.row_number().over(inner))
     totals = rows.groupBy(*keys, "bucket").agg(F.count(F.lit(1)).alias("n"))
@@ -200,7 +208,7 @@ def number_groups(
 
 
 def codebook(
-    occurrences: DataFrame, scope: Sequence[str], order: Sequence[str], bucket: Column
+    occurrences: DataFrame, scope: Sequence[str], order: Sequence[str], bucket: Column | None = None
 ) -> DataFrame:
     """(scope, key, entity_type, number, codename) of every identifier of each scope."""
     firsts = first_seen(occurrences, scope, order)
@@ -233,7 +241,7 @@ def anonymize_scoped(
     ids: Sequence[str],
     scope: Sequence[str],
     order: Sequence[str],
-    bucket: Column,
+    bucket: Column | None = None,
     text: str = "text",
     spans: str = "spans",
 ) -> tuple[DataFrame, DataFrame]:

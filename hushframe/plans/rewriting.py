@@ -42,14 +42,15 @@ def codename_keys(spark, sf_dir):
     return firsts.select("doc_id", "key", "entity_type", big("start").alias("first_start"))
 
 
-_CORPUS = f"""{_RESOLVED_LETTERS}, keyed as (select *, 1 as one, doc_id * 1000000 + s as place from resolved),
+_CORPUS = f"""{_RESOLVED_LETTERS}, keyed as (select *, 1 as one, cast('0x' || substr(md5(cast(doc_id as varchar)), 1, 10) as bigint) * 1000000 + s as place from resolved),
 {sql.codenames('keyed', 'one', 'place')}"""
 
 
 def _corpus_codebook(spark, sf_dir):
-    return pseudonym.codebook(
-        _occurrences(spark, sf_dir), [], ["doc_id", "start"], F.floor(F.col("doc_id") / 10_000)
-    ).select("key", "entity_type", big("number").alias("number"), "codename")
+    """The reading order goes by hashed ids, which lie far apart."""
+    hashed = F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 10), 16, 10).cast("bigint")
+    rows = _occurrences(spark, sf_dir).withColumn("at", hashed)
+    return pseudonym.codebook(rows, [], ["at", "start"]).select("key", "entity_type", big("number").alias("number"), "codename")
 
 
 @query(
