@@ -179,7 +179,12 @@ def _grouped(rows: DataFrame, radius: int, blocks: int | None) -> DataFrame:
     """Rows with ``doc_id`` and ``fp`` get ``component_id`` and ``root``, a fingerprint that stands for the component."""
     rows = stage(rows, "fingerprints")
     nodes = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "nodes")
-    roots = components(links(nodes.select("fp"), radius, blocks)).withColumnsRenamed({"u": "fp", "v": "root"})
+    return named(rows, nodes, links(nodes.select("fp"), radius, blocks))
+
+
+def named(rows: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Rows with ``fp`` get ``component_id`` and ``root`` from the links between nodes (``fp``, ``first_id``)."""
+    roots = components(edges).withColumnsRenamed({"u": "fp", "v": "root"})
     nodes = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     first = nodes.groupBy("root").agg(F.min("first_id").alias("component_id"))
     return rows.join(nodes.join(first, "root").select("fp", "root", "component_id"), "fp")
@@ -201,7 +206,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
     docs = located(docs)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), FILE, ROW)
     rows = rows.mapInArrow(_fingerprints, f"doc_id long, {FILE} string, {ROW} long, fp long")
-    grouped = stage(_grouped(rows, radius, None), "groups")
+    return drop_others(docs, _grouped(rows, radius, None))
+
+
+def drop_others(docs: DataFrame, grouped: DataFrame) -> DataFrame:
+    """Of each ``root`` the located row with the smallest id stays."""
+    grouped = stage(grouped, "groups")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", FILE, ROW)
     first = grouped.groupBy("root").agg(F.min(order).alias("keep"))
     dropped = grouped.join(first, "root").where((F.col("keep")[FILE] != F.col(FILE)) | (F.col("keep")[ROW] != F.col(ROW))).select(FILE, ROW)

@@ -9,6 +9,7 @@ import xxhash
 from conftest_llm import ODD, SF
 
 from hushframe.llm import decontaminate, simhash, substrings
+from hushframe.llm import near as near_sets
 from hushframe.llm.suffixes import repeated, suffix_order
 
 # -- decontamination
@@ -266,3 +267,59 @@ def test_simhash_keep_one(docs_of):
 
 def test_simhash_empty_table(docs_of):
     assert simhash_marks(docs_of([])) == []
+
+
+# -- near-duplicates of the pipeline
+
+
+def near_rows(docs, shingle=5):
+    """Of each component of links with a Jaccard similarity of 0.8 or more the smallest id."""
+    sets = []
+    for _, text in docs:
+        said = re.findall(r"[^\x20\x09-\x0D]+", lower(text))
+        sets.append({" ".join(said[i : i + shingle]) for i in range(max(1, len(said) - shingle + 1))} if said else set())
+    root = list(range(len(sets)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                root[find(i)] = find(j)
+    keep = {}
+    for i, (doc, _) in enumerate(docs):
+        keep[find(i)] = min(doc, keep.get(find(i), doc))
+    return sorted(keep.values())
+
+
+def altered(n=240, seed=5):
+    """Copies with one to ten words in 150 replaced, on both sides of 0.8."""
+    r = random.Random(seed)
+    base = [[r.choice(["The", "tree", "été", "wood"]) + str(r.randint(0, 40)) for _ in range(150)] for _ in range(40)]
+    docs = []
+    for i in range(n):
+        said = list(r.choice(base))
+        for _ in range(r.choice([0, 1, 2, 3, 4, 6, 10])):
+            said[r.randrange(len(said))] = f"new{r.random()}"
+        docs.append((1000 - i, r.choice([" ", "\n", "\t "]).join(said)))
+    return docs + [(5000, "a b"), (5001, "A  b"), (5002, "c"), (5003, ""), (5004, None)]
+
+
+def test_near_keeps_one_of_each_component_at_four_fifths(docs_of):
+    docs = docs_of(altered())
+    kept = near_sets.keep_one(docs)
+    assert kept.columns == docs.columns
+    want = near_rows(altered())
+    assert sorted(r.doc_id for r in kept.collect()) == want
+    # Most of these links lie beyond four bits.
+    assert len({c for _, _, c in simhash_rows(altered())}) > len(want) + 20
+    assert near_sets.keep_one(docs_of([])).count() == 0
+    assert near_sets.keep_one(docs_of([(None, "a b"), (None, "a b"), (None, "c d")])).count() == 2
+
+
+def test_near_links_do_not_depend_on_cells(docs_of, monkeypatch):
+    monkeypatch.setattr(near_sets.links, "__defaults__", (3,))
+    assert sorted(r.doc_id for r in near_sets.keep_one(docs_of(altered())).collect()) == near_rows(altered())
