@@ -1,19 +1,15 @@
 """Sharding by vector bin packing.
 
-A group of equal texts is a vector of bytes, tokens and rows, as shares of the whole table. Groups are placed one by one,
-largest first, each into the shard whose residual capacity has the highest dot product with the group's vector. Groups
-that weigh something beside a shard are few (their shares are bounded from below, so their number is bounded from above)
-and are placed first, on the driver; one that is too large for a quarter of a shard is cut into parts. All other groups
-are placed in the tasks that hold them: each task fills its own share of what the large groups left of every shard, so
-the shards stay level however many tasks there are.
+A group of equal texts is a vector of bytes, tokens and rows, as shares of the whole table. Groups that weigh something
+beside a shard are few (their shares are bounded from below, so their number is bounded from above); one that is too large
+for a quarter of a shard is cut into parts. All other groups are added up into a fixed number of bundles by a hash of their
+text. Groups and bundles are placed in one pass on the driver, largest first, each into the shard whose residual capacity
+has the highest dot product with its vector, so the result does not depend on the number of tasks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +21,8 @@ SHARDS = 40
 ROW_BYTES = 16
 #: A group is large from this part of a shard on; a part of a group has at most the second.
 LARGE, PART = 1 / 64, 1 / 4
+#: Bundles of light groups, so many rows on the driver whatever the input.
+BUNDLES = 50_000
 MEASURES = ("size", "tokens", "rows")
 #: The law is on bytes, so they count most where the measures disagree.
 WEIGHTS = np.array([4.0, 1.0, 1.0])
@@ -39,23 +37,6 @@ def place(vectors: np.ndarray, residual: np.ndarray) -> np.ndarray:
     return out
 
 
-def _small(totals: dict[str, float], residual: np.ndarray):
-    def place_small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        batches = [b for b in batches if b.num_rows]
-        if not batches:
-            return
-        rows = pa.Table.from_batches(batches)
-        vectors = np.stack([rows.column(m).to_numpy() / totals[m] for m in MEASURES], 1)
-        # What this task holds of all that is still to be placed is its part of each shard's room.
-        room = np.maximum(residual, 0)
-        mine = room * (vectors.sum(axis=0) / np.maximum(room.sum(axis=0), 1e-300))
-        shard = place(vectors, mine)
-        for batch in pa.table({"key": rows.column("key"), "part": rows.column("part"), "shard": shard}).to_batches(max_chunksize=65536):
-            yield batch
-
-    return place_small
-
-
 def mark(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
@@ -80,17 +61,14 @@ def mark(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col
     # At most len(MEASURES) * shards / LARGE groups can have such a share.
     large = groups.where(share >= LARGE / shards).select("key", F.ceil(share * shards / PART).cast("int").alias("parts"))
     rows = rows.join(F.broadcast(large), "key", "left").withColumn("part", F.when(F.col("parts") > 1, F.pmod(F.xxhash64(FILE, ROW), F.col("parts"))).otherwise(F.lit(0)).cast("int"))
-    heavy = rows.where("parts is not null").groupBy("key", "part").agg(*sums).orderBy("key", "part").collect()
+    # Parts of large groups, and bundles of all others: both bounded, whatever the input.
+    bundle = F.when(F.col("parts").isNull(), F.pmod(F.xxhash64("key"), F.lit(BUNDLES)).cast("int"))
+    rows = rows.withColumn("unit", F.when(bundle.isNull(), F.concat_ws(":", "key", "part")).otherwise(bundle.cast("string")))
+    units = rows.groupBy("unit").agg(*sums).orderBy("unit").collect()
     residual = np.full((shards, len(MEASURES)), 1 / shards)
-    chosen = place(np.array([[r[m] / totals[m] for m in MEASURES] for r in heavy], float).reshape(-1, len(MEASURES)), residual)
-    schema = "key string, part int, shard int"
-    heavy_at = spark.createDataFrame([(r.key, r.part, int(s)) for r, s in zip(heavy, chosen, strict=True)], schema)
-    light = groups.join(F.broadcast(large), "key", "left_anti").withColumn("part", F.lit(0))
-    light_at = light.repartition(partitions(light), "key").mapInArrow(_small(totals, residual), schema)
-    # The large groups' rows meet a bounded list; the others have a few rows each.
-    placed = rows.where("parts is not null").join(F.broadcast(heavy_at), ["key", "part"]).unionByName(
-        rows.where("parts is null").join(light_at.drop("part"), "key"), allowMissingColumns=True
-    )
+    chosen = place(np.array([[r[m] / totals[m] for m in MEASURES] for r in units], float).reshape(-1, len(MEASURES)), residual)
+    unit_at = spark.createDataFrame([(r.unit, int(s)) for r, s in zip(units, chosen, strict=True)], "unit string, shard int")
+    placed = rows.join(F.broadcast(unit_at), "unit")
     placed = stage(placed.select("doc_id", "size", "text_crc32", "shard"), "shard-placed")
     return _slots(placed, shards).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")

@@ -238,6 +238,20 @@ def test_warc_splits_own_each_record_once(spark, tmp_path):
     assert warc.read(warc.archives_of(spark, [str(path)]), split_bytes=500).count() == 60
 
 
+def test_shards_are_level_with_many_tasks(spark, docs_of):
+    r = random.Random(3)
+    docs = [(i, f"{i} " + "w " * int(60 * r.paretovariate(1.6))) for i in range(6000)]
+    usual = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        rows = shards.mark(docs_of(docs), 8).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", usual)
+    sizes, counts = check_shards(rows, docs, 8)
+    assert max(sizes.values()) < 1.005 * min(sizes.values())
+    assert max(counts.values()) < 1.05 * min(counts.values())
+
+
 # -- packing
 
 
