@@ -28,15 +28,20 @@ from .common import id_and_text, partitions
 CAPACITY, END_ID = 2048, 0
 #: Distinct chunks of text whose ids a worker remembers.
 CACHE = 400_000
-#: Nodes that the search may open and fillings that it looks at for one largest length.
-NODES, FILLINGS = 6_000, 24
+#: Nodes that the search may open, and fillings that it may look at for each.
+NODES, LOOKS = 6_000, 50
 
 Pattern = tuple[tuple[int, ...], int]
 
 
 def lower_bound(counts: dict[int, int], capacity: int) -> int:
-    """Sequences that any packing needs: by volume, and by lengths that can't share a sequence (Martello and Toth)."""
+    """Sequences that any packing needs: by volume, by number, and by lengths that can't share a sequence (Martello and Toth)."""
     best = -(-sum(n * c for n, c in counts.items()) // capacity)
+    # Of the lengths from one on, at most so many as of the smallest of them share a sequence.
+    number = 0
+    for n in sorted(counts, reverse=True):
+        number += counts[n]
+        best = max(best, -(-number // (capacity // n)))
     for small in sorted({n for n in counts if 2 * n <= capacity} | {0}):
         whole = sum(c for n, c in counts.items() if n > capacity - small)
         half = {n: c for n, c in counts.items() if capacity - small >= n and 2 * n > capacity}
@@ -87,40 +92,59 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[Pattern]:
     return done + [p for bins in open_bins.values() for p in bins]
 
 
-def fillings(room: int, counts: dict[int, int], limit: int = FILLINGS) -> list[tuple[int, ...]]:
-    """Undominated fillings of ``room`` by up to three of the lengths left, least waste first.
+def fillings(room: int, counts: dict[int, int]) -> Iterator[tuple[int, ...]]:
+    """Fillings of ``room`` by any number of the lengths left, least waste first; of equal waste larger parts first.
 
-    One filling dominates another if the other's lengths can be put, in parts, into places no smaller than theirs: the
-    largest single length that fits dominates all smaller ones and all sets that fit into it.
+    Sums that the smaller lengths can make are known as bits, so the search by depth never takes a part that leads nowhere.
     """
     have = sorted(n for n, c in counts.items() if c and n <= room)
     if not have:
-        return [()]
-    found: dict[tuple[int, ...], int] = {(have[-1],): room - have[-1]}
-    single = have[-1]
-    # Pairs that a single length doesn't dominate have a larger sum than it; for each larger part the largest partner.
-    for a in reversed(have):
-        if a > room - have[0] or len(found) > 4 * limit:
-            continue
-        at = bisect_left(have, min(a, room - a) + 1) - 1
-        if at >= 0 and (have[at] != a or counts[a] > 1) and a + have[at] > single:
-            found[(a, have[at])] = room - a - have[at]
-    if min(found.values()) > 0:
-        for a in reversed(have):
-            if len(found) > 8 * limit or a + 2 * have[0] > room:
-                continue
-            for at in range(bisect_left(have, min(a, room - a - have[0]) + 1) - 1, max(-1, bisect_left(have, a) - 40), -1):
-                b = have[at]
-                c_at = bisect_left(have, min(b, room - a - b) + 1) - 1
-                if c_at < 0:
-                    continue
-                three = (a, b, have[c_at])
-                if all(counts[n] >= k for n, k in Counter(three).items()) and sum(three) > single:
-                    found[three] = room - sum(three)
-                    if not found[three]:
-                        break
-    # Least waste first; of equal waste the one with the larger parts, which are the harder ones to place later.
-    return sorted(found, key=lambda f: (found[f], [-n for n in f]))[:limit]
+        yield ()
+        return
+    # Bit s of the k-th: the k smallest lengths can make the sum s.
+    sums, mask = [1], (1 << room + 1) - 1
+    for n in have:
+        made, left, k = sums[-1], min(counts[n], room // n), 1
+        while left:
+            k = min(k, left)
+            made |= made << n * k & mask
+            left, k = left - k, 2 * k
+        sums.append(made)
+
+    def fill(total: int, k: int) -> Iterator[tuple[int, ...]]:
+        if not total:
+            yield ()
+            return
+        # The largest part is one of the k smallest lengths; without it, and without any smaller, the sum is out of reach.
+        for at in range(min(k, bisect_left(have, total + 1)) - 1, -1, -1):
+            if not sums[at + 1] >> total & 1:
+                return
+            n = have[at]
+            for times in range(min(counts[n], total // n), 0, -1):
+                if sums[at] >> total - times * n & 1:
+                    for rest in fill(total - times * n, at):
+                        yield (n,) * times + rest
+
+    for total in range(room, 0, -1):
+        if sums[-1] >> total & 1:
+            yield from fill(total, len(have))
+
+
+def dominated(filling: tuple[int, ...], waste: int, have: list[int], counts: dict[int, int]) -> bool:
+    """Whether another filling is at least as good: one with a further length, or with a larger one in place of one or two.
+
+    One filling dominates another if the other's lengths can be put, in parts, into places no smaller than theirs. The first
+    of ``fillings`` never is.
+    """
+    used = Counter(filling)
+    # What a larger length could take the place of: nothing, one part, or two (then it may also be as large as both).
+    places = {(0, 1)} | {(n, n + 1) for n in used}
+    places |= {(a + b, a + b) for a, c in used.items() for b in used if a < b or a == b and c > 1}
+    for size, least in places:
+        for at in range(bisect_left(have, least), bisect_left(have, size + waste + 1)):
+            if counts[have[at]] > used[have[at]]:
+                return True
+    return False
 
 
 def complete(counts: dict[int, int], capacity: int, nodes: int = NODES) -> list[Pattern]:
@@ -130,18 +154,20 @@ def complete(counts: dict[int, int], capacity: int, nodes: int = NODES) -> list[
     best_size, floor, total = sum(t for _, t in best), lower_bound(counts, capacity), sum(n * c for n, c in counts.items())
     # A node: the counts left, how it was made, sequences and waste so far, and the fillings not yet tried.
     stack = [_node(counts, None, 0, 0, capacity)] if counts else []
-    while stack and best_size > floor and nodes:
+    looks = nodes * LOOKS
+    while stack and best_size > floor and nodes and looks:
         left, made, used, waste, untried = stack[-1]
-        filling = next(untried, None)
-        if filling is None:
+        filling, times = next(untried, (None, 0))
+        # A better packing wastes at most this much in all its sequences together; later fillings waste more.
+        slack = (best_size - 1) * capacity - total - waste
+        if filling is None or capacity - sum(filling) > slack:
             stack.pop()
             continue
-        need = Counter(filling)
-        times = min(left[n] // k for n, k in need.items())
+        looks -= 1
         waste += times * (capacity - sum(filling))
-        # A better packing wastes at most this much in all its sequences together.
-        if waste > (best_size - 1) * capacity - total:
+        if not times or times * (capacity - sum(filling)) > slack:
             continue
+        need = Counter(filling)
         after = {n: c for n, c in ((n, c - times * need.get(n, 0)) for n, c in left.items()) if c}
         made, used, nodes = (made, (filling, times)), used + times, nodes - 1
         if after:
@@ -155,9 +181,21 @@ def complete(counts: dict[int, int], capacity: int, nodes: int = NODES) -> list[
 
 
 def _node(left: dict[int, int], made, used: int, waste: int, capacity: int):
+    """Every filling around the largest length, as often as it fits and then, on the way back, less often; 0 times if dominated."""
     top = max(left)
     rest = {**left, top: left[top] - 1}
-    return left, made, used, waste, iter([(top, *f) for f in fillings(capacity - top, rest)])
+    have = sorted(n for n, c in rest.items() if c)
+
+    def tries():
+        for f in fillings(capacity - top, rest):
+            filling = (top, *f)
+            if dominated(f, capacity - sum(filling), have, rest):
+                yield filling, 0
+                continue
+            for times in range(min(left[n] // k for n, k in Counter(filling).items()), 0, -1):
+                yield filling, times
+
+    return left, made, used, waste, tries()
 
 
 #: Chunks of ASCII and Latin-1 letters: no normal form to find, each letter has one lower-case letter.

@@ -337,6 +337,26 @@ def test_bin_completion_beats_or_equals_best_fit():
         assert packing.lower_bound(counts, 2048) <= sum(t for _, t in packing.complete(counts, 2048, 300)) <= sum(t for _, t in packing.best_fit(counts, 2048))
 
 
+def test_bin_completion_fills_sequences_with_many_pieces():
+    counts = {n: 100 for n in range(350, 461)}
+    made = packing.complete(counts, 2048)
+    held = Counter()
+    for lengths, times in made:
+        assert sum(lengths) <= 2048
+        for n in lengths:
+            held[n] += times
+    assert held == counts
+    # Five pieces share a sequence, never six; best-fit decreasing needs 2,400.
+    assert sum(t for _, t in made) == packing.lower_bound(counts, 2048) == 2220
+
+
+def test_bin_completion_ends_where_most_fillings_are_dominated():
+    r = random.Random(1)
+    counts = Counter(r.randint(1, 2047) for _ in range(3000))
+    made = sum(t for _, t in packing.complete(counts, 2048, 50))
+    assert packing.lower_bound(counts, 2048) <= made <= sum(t for _, t in packing.best_fit(counts, 2048))
+
+
 # -- registered queries and the pipeline
 
 
