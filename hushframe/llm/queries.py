@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import chat, decontaminate, packing, quality, shards, simhash, stream_dedup, substrings, toxicity, warc
+from . import chat, decontaminate, negatives, packing, quality, shards, simhash, stream_dedup, substrings, token_counts, toxicity, warc, whitening
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -140,6 +140,49 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.mark(table(spark, sf_dir, "documents"), packing.public_tokenizer())
 
 
+@query(
+    "op11_negatives",
+    """
+    with v as (
+        select vec_id, cast(label as bigint) as given, [cast(floor(256 * cast(x as double)) as bigint) for x in embedding] as x
+        from embeddings
+        where label is not null and embedding is not null
+            and len([x for x in embedding if x is null or isnan(x) or isinf(x)]) = 0
+    ),
+    r as (select vec_id, case when vec_id % 7 = 0 then (given + 1) % 10 else given end as label, x from v),
+    scored as (
+        select a.vec_id as anchor_id, a.label = b.label as same, b.vec_id,
+            cast(list_sum([a.x[i] * b.x[i] for i in range(1, len(a.x) + 1)]) as bigint) as score
+        from r a join r b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id
+    ),
+    positive as (
+        select anchor_id, vec_id as positive_id, score as positive_score
+        from scored where same
+        qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5
+    )
+    select anchor_id, positive_id, cast(row_number() over w as integer) as rank, vec_id as negative_id, positive_score, score as negative_score
+    from positive join scored using (anchor_id)
+    where not same and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score
+    window w as (partition by anchor_id, positive_id order by score desc, vec_id)
+    qualify row_number() over w <= 10
+    """,
+)
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = negatives.clean(table(spark, sf_dir, "embeddings"), flip=F.col("vec_id") % 7 == 0)
+    found = negatives.mine(rows, F.col("vec_id") % 100 == 0)
+    return found.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+
+
+@query("op12_whitening")
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.mark(table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_token_counts")
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.mark(table(spark, sf_dir, "documents"), token_counts.public_vocabulary())
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
