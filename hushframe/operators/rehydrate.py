@@ -188,6 +188,34 @@ def latest(vault: DataFrame, scope: Sequence[str]) -> DataFrame:
     return vault.groupBy(*scope, "codename").agg(last.alias("original"))
 
 
+#: One spelling of a codename with the time of its write.
+VERSIONS = "array<struct<codename:string,created_at:timestamp,original:string>>"
+
+
+def period(moment: Column, ttl: int) -> Column:
+    """Number of the lifetime-long period that a moment lies in: what lives at a moment was written in its own or the one before."""
+    return F.floor(F.unix_micros(moment) / (ttl * 1_000_000)).cast("long")
+
+
+def periods(moment: Column, ttl: int) -> Column:
+    return let(period(moment, ttl), lambda n: F.array(n - 1, n))
+
+
+def alive(written: Column, moment: Column, ttl: int) -> Column:
+    """Whether something written then lives at a moment: not written later, and no older than the lifetime."""
+    age = F.unix_micros(moment) - F.unix_micros(written)
+    return (age >= 0) & (age <= ttl * 1_000_000)
+
+
+def _last_spellings(versions: Column, moment: Column, ttl: int) -> Column:
+    """Codename to its last spelling that lives at a moment."""
+    live = F.array_sort(F.filter(versions, lambda v: alive(v["created_at"], moment, ttl)))
+    lasts = let(
+        live, lambda e: F.filter(e, lambda v, i: (i == F.size(e) - 1) | (F.get(e, i + 1)["codename"] != v["codename"]))
+    )
+    return F.map_from_entries(F.transform(lasts, lambda v: F.struct(v["codename"], v["original"])))
+
+
 def attach_mappings(
     responses: DataFrame,
     vault: DataFrame,
@@ -195,13 +223,16 @@ def attach_mappings(
     scope: Sequence[str] = ("session_id",),
     text: str = "text",
     stems: str | None = None,
+    moment: str | None = None,
+    ttl: int = SESSION_TTL_SECONDS,
 ) -> DataFrame:
     """Adds ``mapping``: the part of its scope's vault rows that a response can need.
 
     Responses and vault rows meet on (scope, squeezed codename), so a scope with a third of all vault
     rows, or one whole corpus as a scope, is spread over all tasks, and a response gathers no more
     codenames than its text can hold.  ``stems`` names a column with the codename stems of the response's scope; without it
-    they are joined in.
+    they are joined in.  With ``moment`` (a column of times) each codename has the last spelling that lives then; rows also
+    meet on the period of their write, so a key holds no more than was written to it in one lifetime.
     """
     if stems is None:
         known = vault.groupBy(*scope).agg(F.collect_set(stem_of(F.col("codename"))).alias("__stems"))
@@ -209,11 +240,25 @@ def attach_mappings(
     else:
         responses_ = responses.withColumn("__stems", F.col(stems))
     keys = candidate_keys(F.col(text), F.coalesce("__stems", F.array().cast("array<string>")))
-    asked = responses_.select(*ids, *scope, F.explode(keys).alias("__key"))
-    rows = latest(vault, scope).withColumn("__key", squeezed(F.col("codename")))
-    by_key = rows.groupBy(*scope, "__key").agg(F.collect_list(F.struct("codename", "original")).alias("__rows"))
-    met = salted_join(asked, by_key, [*scope, "__key"], F.struct(*[F.col(c) for c in ids]))
-    maps = met.groupBy(*ids).agg(F.map_from_entries(F.flatten(F.collect_list("__rows"))).alias("mapping"))
+    spread = F.struct(*[F.col(c) for c in ids])
+    if moment is None:
+        asked = responses_.select(*ids, *scope, F.explode(keys).alias("__key"))
+        rows = latest(vault, scope).withColumn("__key", squeezed(F.col("codename")))
+        by_key = rows.groupBy(*scope, "__key").agg(F.collect_list(F.struct("codename", "original")).alias("__rows"))
+        met = salted_join(asked, by_key, [*scope, "__key"], spread)
+        maps = met.groupBy(*ids).agg(F.map_from_entries(F.flatten(F.collect_list("__rows"))).alias("mapping"))
+    else:
+        asked = responses_.select(*ids, *scope, F.explode(keys).alias("__key"), F.col(moment).alias("__moment"))
+        asked = asked.withColumn("__period", F.explode(periods(F.col("__moment"), ttl)))
+        rows = vault.select(
+            *scope, squeezed(F.col("codename")).alias("__key"), period(F.col("created_at"), ttl).alias("__period"),
+            F.struct("codename", "created_at", "original").alias("row"),
+        )
+        # A set: a write that came twice counts once, before the shuffle already.
+        by_key = rows.groupBy(*scope, "__key", "__period").agg(F.collect_set("row").alias("__rows"))
+        met = salted_join(asked, by_key, [*scope, "__key", "__period"], spread)
+        maps = met.groupBy(*ids, "__moment").agg(F.flatten(F.collect_list("__rows")).cast(VERSIONS).alias("rows"))
+        maps = maps.select(*ids, _last_spellings(F.col("rows"), F.col("__moment"), ttl).alias("mapping"))
     joined = responses.join(maps, list(ids), "left")
     none = F.create_map().cast("map<string,string>")
     return joined.withColumn("mapping", F.coalesce(F.col("mapping"), none))
@@ -225,9 +270,10 @@ def rehydrate_sessions(
     """Responses with their originals; ``status`` is ``missing`` for unknown and too old sessions.
 
     ``responses(ids, session_id, text, asked_at)``, ``vault(session_id, codename, original, created_at)`` and, in a vault
-    that is partitioned by it, ``day``.  Only vault rows from the first question less the lifetime to the last question,
-    of sessions that are asked for, are read further; whether a session is alive is decided on ids alone.  A session
-    is as old as its latest write, which replaces the ones before.
+    that is partitioned by it, ``day``.  An entry lives from its write to the end of its lifetime, a session as long as one
+    of its entries: what counts at a question is what was written up to then and not too long before, and of one codename
+    the last spelling.  Only vault rows from the first question less the lifetime to the last question, of sessions that
+    are asked for, are read further; whether a session is alive is decided on ids alone.
     """
     span_ = responses.agg(F.min("asked_at").alias("first"), F.max("asked_at").alias("last")).first()
     if span_["first"] is not None:
@@ -238,19 +284,22 @@ def rehydrate_sessions(
         vault = vault.where(near)
     asked = responses.select(*ids, "session_id", "asked_at")
     vault = vault.join(asked.select("session_id").distinct(), "session_id", "left_semi")
-    opened = vault.groupBy("session_id").agg(
-        F.max("created_at").alias("created_at"), F.collect_set(stem_of(F.col("codename"))).alias("__known")
+    # The times of a session's writes within one lifetime.
+    opened = vault.groupBy("session_id", period(F.col("created_at"), ttl).alias("__period")).agg(
+        F.collect_set("created_at").alias("__writes"), F.collect_set(stem_of(F.col("codename"))).alias("__stems")
     )
-    age = F.unix_micros(F.col("asked_at")) - F.unix_micros(F.col("created_at"))
-    checked = salted_join(asked, opened, ["session_id"], F.struct(*[F.col(c) for c in ids])).where(
-        (age <= ttl * 1_000_000) & (age >= 0)
+    met = salted_join(
+        asked.withColumn("__period", F.explode(periods(F.col("asked_at"), ttl))), opened, ["session_id", "__period"],
+        F.struct(*[F.col(c) for c in ids]),
     )
-    live = responses.join(checked.select(*ids, "__known"), list(ids), "left")
-    mapped = attach_mappings(live, vault, ids, stems="__known")
-    alive = F.col("__known").isNotNull()
+    checked = met.where(F.exists("__writes", lambda w: alive(w, F.col("asked_at"), ttl)))
+    checked = checked.groupBy(*ids).agg(F.array_distinct(F.flatten(F.collect_list("__stems"))).alias("__known"))
+    live = responses.join(checked, list(ids), "left")
+    mapped = attach_mappings(live, vault, ids, stems="__known", moment="asked_at", ttl=ttl)
+    open_ = F.col("__known").isNotNull()
     return mapped.select(
         *responses.columns,
-        F.when(alive, F.lit("ok")).otherwise(F.lit("missing")).alias("status"),
-        F.when(alive, rehydrate(F.col("text"), F.col("mapping"))).alias("rehydrated_text"),
-        F.when(alive, replacements_made(F.col("text"), F.col("mapping"))).alias("replacements_made"),
+        F.when(open_, F.lit("ok")).otherwise(F.lit("missing")).alias("status"),
+        F.when(open_, rehydrate(F.col("text"), F.col("mapping"))).alias("rehydrated_text"),
+        F.when(open_, replacements_made(F.col("text"), F.col("mapping"))).alias("replacements_made"),
     )

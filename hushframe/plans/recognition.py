@@ -518,12 +518,13 @@ _THREE = f"""learned as (
     "detect_two_pass",
     f"""{_TAGGED_TEXTS}, {_MARKED}, {_FIRST}, {_SIMILAR}, {_THREE},
     term_rx as (
-      select doc_id, '(?i)\\b(?:' || string_agg(term, '|' order by length(term) desc, term) || ')\\b' as rx
+      select doc_id, '(?i)\\b(?:' || string_agg({sql.PLAIN.replace('text', 'term')}, '|' order by length(term) desc, term) || ')\\b' as rx,
+        list(lower(term)) as known
       from learned where rk <= 25 group by doc_id
     ),
     term_hits as (
       select *, unnest(range(1, len(m) + 1)) as i from (
-        select l.doc_id, l.text, regexp_extract_all(l.plain, rx) as m, string_split_regex(l.plain, rx) as g
+        select l.doc_id, l.text, known, regexp_extract_all(l.plain, rx) as m, string_split_regex(l.plain, rx) as g
         from src l join term_rx r on r.doc_id = l.doc_id where l.doc_id in (select doc_id from first))
     ),
     second as (
@@ -531,6 +532,7 @@ _THREE = f"""learned as (
       union all
       select doc_id, 'CUSTOM', s, s + length(m[i]), cast(1.0 as double), substr(text, s + 1, length(m[i])) from (
         select *, cast({sql.lengths('g[1:i]')} + {sql.lengths('m[1:i-1]')} as bigint) as s from term_hits)
+      where list_contains(known, lower(substr(text, s + 1, length(m[i]))))
     ), {sql.cleaned('second', 'final')}
     select {sql.COLUMNS} from final p where entity_type <> 'PERSON' or exists (
       select 1 from propn t where t.doc_id = p.doc_id and t.s >= p.s and t.s < p.e)""",

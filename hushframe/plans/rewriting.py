@@ -275,6 +275,17 @@ def _vault(spark, sf_dir):
     return pseudonym.mapping_rows(keyed, ["session_id", "created_at"])
 
 
+#: Seconds after which every third session is written again, and days after which it is for the queries on its age.
+AGAIN, DAYS_AGAIN = 900, 200
+
+
+def _written_twice(spark, sf_dir, later):
+    """The vault with a second write to every third session."""
+    first = _vault(spark, sf_dir)
+    again = first.where("cast(substr(session_id, 2) as bigint) % 3 = 0")
+    return first.unionByName(again.withColumn("created_at", F.col("created_at") + later))
+
+
 def _restoring(name, style, fn):
     @query(
         name,
@@ -296,14 +307,14 @@ _restoring("rehydrate_fuzzy", "(c_custkey % 3 + 2)", rh.rehydrate)
 @query(
     "rehydrate_session",
     f"""with {_CUSTOMERS}, asked as (
-      select *, (c_custkey % 11 <> 0 and (c_custkey % 4) * 700 <= 1800) as live, {styled('c_custkey % 5')} as text from people)
+      select *, (c_custkey % 11 <> 0 and ((c_custkey % 4) * 700 <= 1800 or c_custkey % 3 = 0)) as live, {styled('c_custkey % 5')} as text from people)
     select c_custkey as answer_id, case when live then 'ok' else 'missing' end as status,
            case when live then {restored('c_custkey % 5')} end as rehydrated_text,
            case when live then cast(case when c_custkey % 5 in (0, 1) then 6 else 2 end as bigint) end as replacements_made
     from asked""",
 )
 def rehydrate_session(spark, sf_dir):
-    """Answers meet the vault of their session; unknown and old sessions give nothing."""
+    """Answers meet the vault of their session; unknown and old sessions give nothing. Some ask between two writes, or after both."""
     responses = _people(spark, sf_dir).select(
         F.col(K).alias("answer_id"),
         F.when(F.col(K) % 11 == 0, F.concat(F.lit("x"), F.col(K).cast("string")))
@@ -312,7 +323,8 @@ def rehydrate_session(spark, sf_dir):
         F.expr(styled("c_custkey % 5")).alias("text"),
         (F.expr(CREATED) + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (F.col(K) % 4) * 700)).alias("asked_at"),
     )
-    done = rh.rehydrate_sessions(responses, _vault(spark, sf_dir), ["answer_id"])
+    held = _written_twice(spark, sf_dir, F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(AGAIN)))
+    done = rh.rehydrate_sessions(responses, held, ["answer_id"])
     return done.select("answer_id", "status", "rehydrated_text", "replacements_made")
 
 
@@ -396,15 +408,43 @@ def vault_roundtrip(spark, sf_dir):
     return vault.load(spark, path).select("session_id", "codename", "original")
 
 
+_NOW = "1996-03-01 00:00:00"
+_YEAR = 31_536_000
+_LATEST_SQL = f"""latest as (
+  select session_id, max(written) as at from (
+    select session_id, created_at as written from vault
+    union all select session_id, created_at + interval {DAYS_AGAIN} days from vault where cast(substr(session_id, 2) as bigint) % 3 = 0)
+  where written <= timestamp '{_NOW}' group by session_id)"""
+
+
 @query(
     "vault_expiry",
-    f"""{_VAULT_SQL} select count(distinct session_id) filter (where epoch_us(timestamp '1996-03-01 00:00:00') - epoch_us(created_at) <= 31536000000000) as live,
-      count(distinct session_id) filter (where epoch_us(timestamp '1996-03-01 00:00:00') - epoch_us(created_at) > 31536000000000) as expired from vault""",
+    f"""{_VAULT_SQL}, {_LATEST_SQL}
+    select count(*) filter (where epoch_us(timestamp '{_NOW}') - epoch_us(at) <= {_YEAR}000000) as live,
+      count(*) filter (where epoch_us(timestamp '{_NOW}') - epoch_us(at) > {_YEAR}000000) as expired from latest""",
 )
 def vault_expiry(spark, sf_dir):
-    """Sessions alive at a moment with a lifetime of a year; an age of exactly that is alive."""
-    now = F.lit("1996-03-01 00:00:00").cast("timestamp")
-    return vault.session_stats(_vault(spark, sf_dir), now, ttl=31_536_000)
+    """Sessions alive at a moment with a lifetime of a year; the latest write up to then counts, and an age of exactly that is alive."""
+    held = _written_twice(spark, sf_dir, F.make_dt_interval(F.lit(DAYS_AGAIN)))
+    return vault.session_stats(held, F.lit(_NOW).cast("timestamp"), ttl=_YEAR)
+
+
+@query(
+    "vault_sweep",
+    f"""{_VAULT_SQL}, kept as (
+      select session_id, codename, original, created_at from vault
+      union all select session_id, codename, original, created_at + interval {DAYS_AGAIN} days from vault where cast(substr(session_id, 2) as bigint) % 3 = 0)
+    select session_id, codename, original, created_at from kept where epoch_us(timestamp '{_NOW}') - epoch_us(created_at) <= {_YEAR}000000""",
+)
+def vault_sweep(spark, sf_dir):
+    """A vault that was written in two writes, one of them repeated, after a sweep: what is past its lifetime is gone."""
+    path = work_folder(spark, "vault")
+    first = _vault(spark, sf_dir)
+    vault.append(first, path, "first")
+    vault.append(_written_twice(spark, sf_dir, F.make_dt_interval(F.lit(DAYS_AGAIN))).exceptAll(first), path, "second")
+    vault.append(first, path, "first")
+    vault.sweep(spark, path, _NOW, ttl=_YEAR)
+    return vault.load(spark, path).select("session_id", "codename", "original", "created_at")
 
 
 # ------------------------------------------------------------------ prompts, cuts, reports

@@ -80,10 +80,11 @@ class SweepProcessor(StatefulProcessor):
 def sweep_sessions(sessions: DataFrame, ttl: int = SESSION_TTL_SECONDS, late: str = "0 seconds") -> DataFrame:
     """(session_id, created_ms) of every session whose lifetime is over, once event time is past it; its state is gone.
 
-    A session that is saved again lives on from there.
+    A session that is saved again lives on from there.  Rows without a time are left out.
     """
     use_rocksdb(sessions.sparkSession)
-    rows = sessions.select("session_id", "created_at").withWatermark("created_at", late)
+    # A write without a time never ends by time: it is left to the batch sweep of the vault.
+    rows = sessions.select("session_id", "created_at").where("created_at is not null").withWatermark("created_at", late)
     return rows.groupBy("session_id").transformWithStateInPandas(
         statefulProcessor=SweepProcessor(ttl), outputStructType="session_id string, created_ms long", outputMode="Append",
         timeMode="EventTime",

@@ -204,11 +204,14 @@ def test_message_stream_keeps_names_between_batches(spark):
     handler = messages.StreamAnonymizer(spark)
     handler(spark.createDataFrame([(1, 0, "user", "Herr Thomas kam"), (2, 0, "user", "Frau Maria kam")], shape), 0)
     handler(spark.createDataFrame([(1, 1, "user", "Frau Maria und Thomas"), (1, 2, "assistant", "Thomas")], shape), 1)
+    handler.rewrite()
     rows = spark.read.parquet(handler.texts).orderBy("conv_id", "turn").collect()
     assert [r["text"] for r in rows] == ["Herr Arion kam", "Frau Brynn und Arion", "Thomas", "Frau Arion kam"]
     # A repeated batch changes nothing; a later one still counts on.
     handler(spark.createDataFrame([(1, 1, "user", "Frau Maria und Thomas"), (1, 2, "assistant", "Thomas")], shape), 1)
     handler(spark.createDataFrame([(1, 3, "user", "mit THOMAS und Anna")], shape), 2)
+    handler.rewrite()
+    assert spark.read.parquet(handler.texts).count() == 5
     rows = spark.read.parquet(handler.texts).where("turn = 3").collect()
     assert [r["text"] for r in rows] == ["mit Arion und Cael"]
     assert {(r["conv_id"], r["codename"]): r["original"] for r in handler.mappings(spark).collect()} == {
@@ -216,6 +219,33 @@ def test_message_stream_keeps_names_between_batches(spark):
     }
 
 
+def test_message_stream_of_many_batches_and_a_hot_conversation(spark):
+    """The result of one batch over all; a batch takes in no more than its own identifiers, however many came before."""
+    from hushframe.operators import chat
+
+    shape = "conv_id long, turn long, role string, text string"
+    people = ["Thomas", "Maria", "Anna", "Stefan", "Markus", "Karl", "Eva", "Julia"]
+    said, rng = [], random.Random(4)
+    for turn in range(48):
+        conv = 5 if turn % 3 else turn  # two thirds of all messages are of one conversation
+        a, b = rng.choice(people[: 2 + turn // 8]), rng.choice(people)
+        said.append((conv, turn, "user" if turn % 7 else "assistant", f"Herr {a} und Frau {b}, IP 10.0.{turn % 5}.7, Mail m{turn}@x.at"))
+    said.append((6, 100, "user", "nichts"))
+    want, _ = chat.anonymize_chat(spark.createDataFrame(said, shape))
+    want = sorted((r.conv_id, r.turn, r.anonymized) for r in want.collect())
+    handler, taken = messages.StreamAnonymizer(spark), []
+    for k in range(4):
+        handler(spark.createDataFrame(said[12 * k : 12 * k + 12], shape), k)
+        if k != 1:  # two batches at once the second time
+            taken.append(sum(p["numInputRows"] for p in handler.rewrite()))
+    handler(spark.createDataFrame(said[48:], shape), 4)  # a batch without identifiers
+    assert sum(p["numInputRows"] for p in handler.rewrite()) == 1
+    got = spark.read.parquet(handler.texts)
+    assert sorted((r.conv_id, r.turn, r.text) for r in got.collect()) == want
+    own = [spark.read.parquet(f"{handler.firsts}/id={k}").count() for k in range(4)]
+    assert taken == [own[0], own[1] + own[2], own[3]]
+
+
 def test_silent_stream_is_flushed(spark, tmp_path):
     """A stream without an end row gives its held-back text after a silence."""
     import time

@@ -202,3 +202,67 @@ def test_splice_and_codenames_of_many_spans_are_right(texts):
     want = [f"[EU_PII_{numbers.setdefault(a, len(numbers) + 1)}]" for a in addresses]
     assert row["anonymized"] == "😀 " + " ".join(want)
     assert row["mapping"] == {f"[EU_PII_{n}]": a for a, n in numbers.items()}
+
+
+def test_sessions_with_several_writes(spark):
+    """What lives at a question: written up to then, no older than the lifetime; of one codename the last spelling."""
+    from datetime import datetime, timedelta
+
+    t = datetime(2024, 5, 1, 23, 50)
+    at = lambda minutes: t + timedelta(minutes=minutes)
+    rows = [("s", "Arion", "Max", at(0)), ("s", "Brynn", "Eva", at(0)), ("s", "Arion", "MAX", at(20)), ("s", "Arion", "MAX", at(20)), ("s", "Arion", "Max", at(40))]
+    vault = spark.createDataFrame(rows, "session_id string, codename string, original string, created_at timestamp")
+    asked = [(i, "s", "Arion, Brynn", at(m)) for i, m in enumerate([-1, 0, 10, 20, 30, 35, 45, 70, 71])]
+    responses = spark.createDataFrame(asked, "id long, session_id string, text string, asked_at timestamp")
+    got = {r.id: (r.status, r.rehydrated_text) for r in rh.rehydrate_sessions(responses, vault, ["id"]).collect()}
+    assert got == {
+        0: ("missing", None), 1: ("ok", "Max, Eva"), 2: ("ok", "Max, Eva"), 3: ("ok", "MAX, Eva"), 4: ("ok", "MAX, Eva"),
+        5: ("ok", "MAX, Brynn"), 6: ("ok", "Max, Brynn"), 7: ("ok", "Max, Brynn"), 8: ("missing", None),
+    }
+    # What is asked beside does not matter.
+    alone = rh.rehydrate_sessions(responses.where("id = 5"), vault, ["id"]).first()
+    assert alone["rehydrated_text"] == "MAX, Brynn"
+
+
+def test_sessions_live_by_their_latest_write(spark):
+    from datetime import datetime, timedelta
+
+    from pyspark.sql import functions as F
+
+    from hushframe.sources import vault
+
+    t = datetime(2024, 5, 1, 10)
+    rows = [("s", "Arion", "Max", t), ("s", "Arion", "Max", t + timedelta(minutes=20)), ("later", "Arion", "Max", t + timedelta(hours=5))]
+    held = spark.createDataFrame(rows, "session_id string, codename string, original string, created_at timestamp")
+    for minute, want in ((10, (1, 0)), (40, (1, 0)), (50, (1, 0)), (51, (0, 1))):
+        now = F.lit(t + timedelta(minutes=minute))
+        assert tuple(vault.session_stats(held, now).first()) == want, minute
+
+
+def test_vault_repeats_and_forgets(spark, tmp_path):
+    from datetime import date, datetime, timedelta
+
+    from hushframe.sources import vault
+
+    path, t = str(tmp_path / "vault"), datetime(2024, 5, 1, 12)
+    rows = [(f"s{k}", f"[X_{k}]", f"secret{k}", t + timedelta(hours=8 * k)) for k in range(9)]
+    held = spark.createDataFrame(rows, "session_id string, codename string, original string, created_at timestamp")
+    for write in ("a", "b", "a"):  # the first one is repeated
+        vault.append(held.where("session_id < 's5'" if write == "a" else "session_id >= 's5'"), path, write)
+    now, ttl = "2024-05-03 12:00:00", 86_400
+    names = lambda: sorted(r.session_id for r in vault.load(spark, path).collect())
+    assert names() == [r[0] for r in rows]
+    vault.compact(spark, path, date(2024, 5, 2))
+    vault.compact(spark, path, date(2024, 5, 2))
+    assert names() == [r[0] for r in rows]
+    live = [r[0] for r in rows if (datetime(2024, 5, 3, 12) - r[3]).total_seconds() <= ttl]
+    vault.sweep(spark, path, now, ttl)
+    assert names() == live and vault.days(spark, path) == [date(2024, 5, 2), date(2024, 5, 3), date(2024, 5, 4)]
+    vault.sweep(spark, path, now, ttl)  # again, nothing more
+    assert names() == live
+    assert sorted(r.session_id for r in vault.load_live(spark, path, now, ttl).collect()) == live
+    # Nothing of what is gone lies anywhere in the folder.
+    kept = b"".join(p.read_bytes() for p in (tmp_path / "vault").rglob("*.parquet"))
+    assert b"secret0" not in kept
+    vault.append(held.where("session_id = 's0'"), path, "late")
+    assert "s0" in names()
