@@ -145,11 +145,12 @@ def proper_run_terms(text: Column, spans: Column, stop_terms: Sequence[str] = c.
 
 
 def model_terms(
-    text: Column, annotations: Column, tokens: Column, spans: Column, stop_terms: Sequence[str] = c.DEFAULT_STOP_TERMS
+    text: Column, annotations: Column, tokens: Column, spans: Column, stop_terms: Sequence[str] = c.DEFAULT_STOP_TERMS, rare: bool = True
 ) -> Column:
     """Annotated names a type filter dropped: PER and ORG always, MISC if it is made of proper nouns.
 
-    Coverage does not matter here, only whether the text itself is already known.
+    Coverage does not matter here, only whether the text itself is already known.  Without ``rare`` terms are not counted
+    in the text, for a caller that does so later.
     """
 
     def proper_only(a: Column) -> Column:
@@ -167,8 +168,8 @@ def model_terms(
         annotations,
         lambda a: a["entity_type"].isin("PER", "ORG") | ((a["entity_type"] == "MISC") & proper_only(a)),
     )
-    texts = F.transform(accepted, lambda a: F.trim(a["text"]))
-    return _rare(text, _unknown(texts, spans, stop_terms, c.TERM_MIN_CHARS))
+    found = _unknown(F.transform(accepted, lambda a: F.trim(a["text"])), spans, stop_terms, c.TERM_MIN_CHARS)
+    return _rare(text, found) if rare else found
 
 
 def _mean(vectors: Column) -> Column:
@@ -193,11 +194,12 @@ def similar_terms(
     encode: Callable[[Column], Column],
     stop_terms: Sequence[str] = c.DEFAULT_STOP_TERMS,
     threshold: float = c.TERM_SIMILARITY,
+    rare: bool = True,
 ) -> Column:
     """Phrases, clear of all spans, whose mean word vector is close to that of a detected type.
 
     ``encode`` gives a word's vector (array of doubles) or null; a type's vector is the mean over the tokens inside its
-    spans.
+    spans.  ``rare`` as for ``model_terms``.
     """
     member = "struct<kind:string,vector:array<double>>"
 
@@ -240,7 +242,8 @@ def similar_terms(
         )
 
     work = F.struct(phrases.alias("phrases"), tokens.alias("tokens"), spans.alias("spans"))
-    return _rare(text, let(work, close))
+    found = let(work, close)
+    return _rare(text, found) if rare else found
 
 
 def learned_terms(
@@ -321,10 +324,10 @@ def detect_two_pass(
     nouns, first = F.col("__nouns") if proper is None else proper, F.col("__first")
     steps = {}
     if annotations is not None:
-        steps["__named"] = model_terms(body, annotations, nouns, first, stop_terms)
+        steps["__named"] = model_terms(body, annotations, nouns, first, stop_terms, rare=False)
     if encode is not None:
         phrases = F.concat(F.col("__nouns"), F.col("__runs"))
-        steps["__similar"] = similar_terms(body, phrases, nouns, first, encode, stop_terms)
+        steps["__similar"] = similar_terms(body, phrases, nouns, first, encode, stop_terms, rare=False)
     for name, step in steps.items():
         out = out.withColumn(name, F.when(F.size(first) > 0, step).otherwise(none))
     learned = _learned(

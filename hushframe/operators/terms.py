@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import let, occurrences, quoted, strip
+from ..session import stage
 from . import recognizers as rec
 from . import spans as sp
 
@@ -79,14 +80,72 @@ def find_row_terms(text: Column, terms: Column) -> Column:
     return F.coalesce(F.when(some, found), sp.no_spans())
 
 
-def _word_runs(words: Column, size: int) -> Column:
-    """All runs of ``size`` words of an array, joined by blanks."""
-    last = F.size(words) - size
-    runs = F.transform(
-        F.sequence(F.lit(0), F.greatest(last, F.lit(0))),
-        lambda i: F.array_join(F.slice(words, i + 1, F.lit(size)), " "),
-    )
-    return F.when(last >= 0, runs).otherwise(F.array().cast("array<string>"))
+#: Bits of a filter for each of its hashes, and the most bits of all (8 MB): beyond it more passes that has no partner.
+BITS_EACH, MOST_BITS = 16, 1 << 26
+
+
+def _bits(h: Column, bits: int) -> list[Column]:
+    """The places of a hash in a filter of so many bits."""
+    return [F.pmod(F.xxhash64(h, F.lit(k)), F.lit(bits)) for k in range(3)]
+
+
+def _mask(place: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))
+
+
+def bloom_filter(hashes: DataFrame, column: str) -> tuple[DataFrame, int]:
+    """A Bloom filter of a table of hashes: one row with an array of longs, and its number of bits."""
+    bits = 64
+    while bits < min(BITS_EACH * hashes.count(), MOST_BITS):
+        bits *= 2
+    places = hashes.select(F.explode(F.array(*_bits(F.col(column), bits))).alias("at"))
+    words = places.groupBy(F.shiftright("at", 6).cast("long").alias("id")).agg(F.bit_or(_mask(F.col("at"))).alias("bits"))
+    # No more than MOST_BITS / 64 longs.
+    whole = hashes.sparkSession.range(bits // 64).join(words, "id", "left")
+    filled = F.array_sort(F.collect_list(F.struct("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))))
+    return whole.agg(F.transform(filled, lambda w: w["bits"]).alias("bloom")), bits
+
+
+def might_hold(bloom: Column, bits: int, h: Column) -> Column:
+    """Whether a filter may hold a hash; it holds all that were put in, and few others."""
+    found = F.lit(True)
+    for place in _bits(h, bits):
+        found = found & (F.get(bloom, F.shiftright(place, 6).cast("int")).bitwiseAND(_mask(place)) != 0)
+    return found
+
+
+def run_hash(words: Column) -> Column:
+    """One hash of a sequence of word hashes."""
+    return F.xxhash64(words)
+
+
+def _word_runs(hashes: Column, size: Column) -> Column:
+    """The hashes of all runs of ``size`` words of an array of word hashes."""
+    last = F.size(hashes) - size
+    runs = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: run_hash(F.slice(hashes, i + 1, size)))
+    return F.when((last >= 0) & (size > 0), runs).otherwise(F.array().cast("array<bigint>"))
+
+
+def text_runs(df: DataFrame, by_run: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, run): the runs of words of each text that may be one of a list (run, words).
+
+    Words are hashed once and runs are hashes of hashes. A Bloom filter of the list is asked before anything is shuffled,
+    so what is shuffled is about as much as what is found.
+    """
+    bloom, bits = bloom_filter(by_run, "run")
+    sizes = by_run.agg(F.collect_set("words").alias("sizes"))
+    signs = F.regexp_extract_all(F.col(text), F.lit(r"(?U)[^\w\s]"), F.lit(0))
+    single = F.transform(F.array_distinct(signs), lambda c: F.xxhash64(c))
+    words = F.transform(F.regexp_extract_all(F.lower(F.col(text)), F.lit(WORD), F.lit(0)), lambda w: F.xxhash64(w))
+
+    def every(w: Column) -> Column:
+        of_signs = F.when(F.array_contains(w["sizes"], 0), single).otherwise(F.array().cast("array<bigint>"))
+        return F.array_distinct(F.concat(of_signs, F.flatten(F.transform(w["sizes"], lambda n: _word_runs(w["hashes"], n)))))
+
+    sized = df.select(key, text).withColumn("__sizes", sizes.scalar())
+    runs = let(F.struct(words.alias("hashes"), F.col("__sizes").alias("sizes")), every)
+    # A subquery can't be asked inside the array, so its elements become rows first; they go no further than this stage.
+    return sized.select(key, F.explode(runs).alias("run")).where(might_hold(bloom.scalar(), bits, F.col("run")))
 
 
 def candidate_terms(df: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -94,29 +153,20 @@ def candidate_terms(df: DataFrame, terms: DataFrame, key: str = "doc_id", text:
 
     Texts and terms meet on a hash of the whole sequence of words of a term, so a first word shared by most terms
     makes no pairs; a term without any word meets texts on its first character.  Each distinct run of a text counts
-    once.  The join follows the measured size of the term list: small lists are broadcast, large ones are shuffled
-    and hot runs are split at run time.
+    once, and only if a Bloom filter of the list lets it pass.  The join follows the measured size of the term list: small
+    lists are broadcast, large ones are shuffled and hot runs are split at run time.
     """
     split = F.regexp_extract_all(F.lower(F.col("term")), F.lit(WORD), F.lit(0))
     if "pos" not in terms.columns:
         terms = terms.withColumn("pos", -F.length("term"))
     first = terms.where(F.length("term") > 0).groupBy("term").agg(F.min("pos").alias("pos"))
-    listed = first.select("term", "pos", F.size(split).alias("words"), F.array_join(split, " ").alias("run")).withColumn(
-        "run", F.when(F.col("words") > 0, F.col("run")).otherwise(F.left(F.trim("term"), F.lit(1)))
-    )
-    # The few different word counts, needed to build the runs; zero is that of terms without words.
-    sizes = sorted(r["words"] for r in listed.select("words").distinct().collect())
-    by_run = listed.groupBy(F.xxhash64("run").alias("run")).agg(F.collect_list(F.struct("pos", "term")).alias("spellings"))
-    found = F.regexp_extract_all(F.lower(F.col(text)), F.lit(WORD), F.lit(0))
-    signs = F.regexp_extract_all(F.col(text), F.lit(r"(?U)[^\w\s]"), F.lit(0)) if 0 in sizes else F.array().cast("array<string>")
-    runs = let(
-        found,
-        lambda w: F.array_distinct(
-            F.transform(F.concat(F.array_distinct(signs), *[_word_runs(w, n) for n in sizes if n]), lambda r: F.xxhash64(r))
-        ),
+    own = F.when(F.size(split) > 0, run_hash(F.transform(split, lambda w: F.xxhash64(w)))).otherwise(F.xxhash64(F.left(F.trim("term"), F.lit(1))))
+    listed = first.select("term", "pos", F.size(split).alias("words"), own.alias("run"))
+    # Written: the filter and the join both read it.
+    by_run = stage(
+        listed.groupBy("run").agg(F.min("words").alias("words"), F.collect_list(F.struct("pos", "term")).alias("spellings")), "term-runs"
     )
-    vocabulary = df.select(key, F.explode(runs).alias("run"))
-    pairs = vocabulary.join(by_run, "run").select(key, "spellings")
+    pairs = text_runs(df, by_run, key, text).join(by_run, "run").select(key, "spellings")
     gathered = pairs.groupBy(key).agg(F.sort_array(F.flatten(F.collect_list("spellings"))).alias("terms"))
     return gathered.select(key, F.transform("terms", lambda t: t["term"]).alias("terms"))
 

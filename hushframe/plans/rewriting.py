@@ -411,7 +411,7 @@ def vault_roundtrip(spark, sf_dir):
 _NOW = "1996-03-01 00:00:00"
 _YEAR = 31_536_000
 _LATEST_SQL = f"""latest as (
-  select session_id, max(written) as at from (
+  select session_id, max(written) as newest from (
     select session_id, created_at as written from vault
     union all select session_id, created_at + interval {DAYS_AGAIN} days from vault where cast(substr(session_id, 2) as bigint) % 3 = 0)
   where written <= timestamp '{_NOW}' group by session_id)"""
@@ -420,8 +420,8 @@ _LATEST_SQL = f"""latest as (
 @query(
     "vault_expiry",
     f"""{_VAULT_SQL}, {_LATEST_SQL}
-    select count(*) filter (where epoch_us(timestamp '{_NOW}') - epoch_us(at) <= {_YEAR}000000) as live,
-      count(*) filter (where epoch_us(timestamp '{_NOW}') - epoch_us(at) > {_YEAR}000000) as expired from latest""",
+    select count(*) filter (where epoch_us(timestamp '{_NOW}') - epoch_us(newest) <= {_YEAR}000000) as live,
+      count(*) filter (where epoch_us(timestamp '{_NOW}') - epoch_us(newest) > {_YEAR}000000) as expired from latest""",
 )
 def vault_expiry(spark, sf_dir):
     """Sessions alive at a moment with a lifetime of a year; the latest write up to then counts, and an age of exactly that is alive."""

@@ -14,6 +14,9 @@ from ..operators import admission
 from ..session import work_folder
 from .runs import drain_batches
 
+NO_DAY = "0001-01-01"
+
+
 class StreamLimiter:
     """Batch handler with its state and decision folders; keys are of the type of the input.
 
@@ -25,19 +28,16 @@ class StreamLimiter:
         self.state, self.decisions = f"{base}/state", f"{base}/decisions"
         self.columns, self.limits = (key, ts, event_id), limits
         self.state_schema = f"key {kind}, us bigint, id bigint"
+        # The day of no request, so that there is a folder before the first admission.
+        spark.createDataFrame([], self.state_schema).write.mode("overwrite").parquet(f"{self.state}/day={NO_DAY}/batch=-1")
         self.decision_schema = f"id bigint, key {kind}, day date, reason string, allowed boolean"
 
     def read_state(self, spark, days: list, batch_id: int, before: bool) -> DataFrame:
         """What was admitted on the given days, before a batch or by it."""
+        # A pattern finds what is there of the days asked for and lists no other day.
+        folders = f"{self.state}/day={{{','.join([*days, NO_DAY])}}}"
         schema = self.state_schema + ", day date, batch bigint"
-        none = spark.createDataFrame([], schema).select("key", "day", "us", "id")
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        folders = [hadoop(f"{self.state}/day={day}") for day in days]
-        conf = spark.sparkContext._jsc.hadoopConfiguration()
-        there = [str(f.toString()) for f in folders if f.getFileSystem(conf).exists(f)]
-        if not there:
-            return none
-        state = spark.read.schema(schema).option("basePath", self.state).parquet(*there)
+        state = spark.read.schema(schema).option("basePath", self.state).parquet(folders)
         which = F.col("batch") < batch_id if before else F.col("batch") == batch_id
         return state.where(which).select("key", "day", "us", "id")
 

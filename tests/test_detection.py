@@ -229,3 +229,22 @@ def test_phrases_like_detected_types_are_learned(texts):
     spans = F.filter(learner.proper_runs(text), lambda s: s["text"].contains("Gruber"))
     got = df.select(learner.similar_terms(text, learner.proper_nouns(text), F.filter(learner.proper_nouns(text), lambda s: s["text"] == "Gruber"), spans, like).alias("t"))
     assert got.first()["t"] == ["Waldstein"]
+
+
+def test_a_filter_lets_pass_what_a_list_holds_and_little_else(spark, texts):
+    from hushframe.operators import terms
+
+    said = [" ".join(f"wort{(i * 7 + k * k) % 5000}" for k in range(60)) + " ☃" for i in range(300)]
+    listed = [f"wort{3 * k} wort{3 * k + 1}" for k in range(400)] + [f"Wort{k}" for k in range(40)] + ["☃", " ".join(said[5].split()[10:14])]
+    df = texts(*said)
+    table = spark.createDataFrame(list(enumerate(listed)), "pos long, term string")
+    split = F.split(F.lower("term"), " ")
+    by_run = table.where("term <> '☃'").select(
+        terms.run_hash(F.transform(split, lambda w: F.xxhash64(w))).alias("run"), F.size(split).alias("words")
+    ).distinct().unionByName(spark.range(1).select(F.xxhash64(F.lit("☃")).alias("run"), F.lit(0).alias("words")))
+    passed = terms.text_runs(df, by_run, "doc_id", "text")
+    hits = passed.join(by_run, "run").count()
+    want = sum(f" {t.lower()} " in f" {s} " for s in said for t in listed)
+    assert hits == want and want <= passed.count() <= want + 0.01 * 300 * 60 * 3
+    found = {r["doc_id"]: r["terms"] for r in terms.candidate_terms(df, table).collect()}
+    assert all("☃" in found[i] for i in range(300)) and listed[-1] in found[5]

@@ -270,6 +270,50 @@ def test_silent_stream_is_flushed(spark, tmp_path):
     assert [r["text"] for r in got] == ["Hi ", "kurz"]
 
 
+def test_pieces_after_a_silence_are_restored():
+    """A flushed stream keeps its map and number, until its state goes for good."""
+    from types import SimpleNamespace
+
+    class Value(dict):
+        exists = lambda self: "v" in self
+        get = lambda self: self["v"]
+        update = lambda self, v: self.__setitem__("v", v)
+
+    class Map(dict):
+        containsKey = lambda self, k: k in self
+        getValue = lambda self, k: self[k]
+        updateValue = lambda self, k, v: self.__setitem__(k, v)
+        removeKey = lambda self, k: self.pop(k)
+        iterator = lambda self: list(self.items())
+
+    timers, value, early = [], Value(), Map()
+    handle = SimpleNamespace(
+        getValueState=lambda *a: value, getMapState=lambda *a: early, listTimers=lambda: list(timers), deleteTimer=timers.remove, registerTimer=timers.append)
+    at = SimpleNamespace(getCurrentProcessingTimeInMs=lambda: 1000)
+    processor = answers.AnswerProcessor(500, 9000)
+    processor.init(handle)
+    columns = ["seq", "kind", "delta", "line", "shape", "mapping"]
+
+    def put(*rows):
+        import pandas as pd
+
+        frames = processor.handleInputRows(("s",), iter([pd.DataFrame([(*r, None, "choices", m) for *r, m in rows], columns=columns)]), at)
+        return "".join(t or "" for f in frames for t in f["text"])
+
+    def silence():
+        timers.clear()
+        return "".join(t or "" for f in processor.handleExpiredTimer(("s",), at, None) for t in f["text"])
+
+    assert put((0, "delta", "Hallo Ari", '{"Arion": "Max"}')) == "Hallo " and timers == [1500]
+    assert silence() == "Ari" and timers == [10000]
+    assert put((1, "delta", "Arion!", None)) == "Max!" and timers == [1500]
+    assert put((4, "delta", "vier Arion", None), (3, "delta", "drei ", None)) == "" and len(early) == 2
+    assert put((2, "delta", "zwei ", None)) == "zwei drei vier Max" and not early
+    assert silence() == "" and value["v"][-1]
+    assert put((8, "delta", "Arion,", None), (9, "end", "", None)) == "Max," and not value and not early and not timers
+    assert put((0, "delta", "x Ari", '{"Arion": "Max"}')) == "x " and silence() == "Ari" and silence() == "" and not value
+
+
 def test_report_from_texts_alone(texts):
     df = texts("Diagnose und Befund, Therapie, Medikation, Patientenakte, Krankengeschichte", "ganz anderes")
     rows = sensitivity.analyze(df).orderBy("doc_id").collect()
