@@ -16,6 +16,7 @@ import zlib
 from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,8 @@ CAPACITY, END_ID = 2048, 0
 CACHE = 400_000
 #: Nodes that the search may open, and fillings that it may look at for each.
 NODES, LOOKS = 6_000, 50
+#: Nodes of the search, the deepest ones, that hold tables of sums (up to ``capacity`` numbers of ``capacity`` bits each).
+LIVE = 32
 
 Pattern = tuple[tuple[int, ...], int]
 
@@ -147,55 +150,86 @@ def dominated(filling: tuple[int, ...], waste: int, have: list[int], counts: dic
     return False
 
 
-def complete(counts: dict[int, int], capacity: int, nodes: int = NODES) -> list[Pattern]:
-    """A packing of few sequences: branch and bound over bin completions, started from best-fit decreasing."""
-    counts = {n: c for n, c in counts.items() if c}
-    best = best_fit(counts, capacity)
-    best_size, floor, total = sum(t for _, t in best), lower_bound(counts, capacity), sum(n * c for n, c in counts.items())
-    # A node: the counts left, how it was made, sequences and waste so far, and the fillings not yet tried.
-    stack = [_node(counts, None, 0, 0, capacity)] if counts else []
-    looks = nodes * LOOKS
-    while stack and best_size > floor and nodes and looks:
-        left, made, used, waste, untried = stack[-1]
-        filling, times = next(untried, (None, 0))
+class _Node:
+    """A place in the search: the largest length left there, and how far its fillings have been tried."""
+
+    __slots__ = ("top", "tries", "seen", "waste", "step")
+
+    def __init__(self, top: int):
+        self.top, self.tries, self.seen, self.waste, self.step = top, None, 0, 0, None
+
+
+def complete(counts: dict[int, int], capacity: int, nodes: int | None = NODES) -> list[Pattern]:
+    """A packing of few sequences: branch and bound over bin completions, started from best-fit decreasing.
+
+    ``nodes`` bounds the search; with None it goes on until the packing is proven to be the smallest. The counts of what is left are
+    one table, changed on the way down and put back on the way up. Only the LIVE deepest nodes hold tables of their own;
+    an earlier one makes them again when the search comes back to it.
+    """
+    left = {n: c for n, c in counts.items() if c}
+    best = best_fit(left, capacity)
+    best_size, floor, total = sum(t for _, t in best), lower_bound(left, capacity), sum(n * c for n, c in left.items())
+    lengths, unplaced, used, waste = sorted(left, reverse=True), sum(left.values()), 0, 0
+    looks = None if nodes is None else nodes * LOOKS
+    stack: list[_Node] = []
+
+    def deeper() -> None:
+        # The largest length is in any filling of the node, so one of it is set aside.
+        stack.append(_Node(next(n for n in lengths if left[n])))
+        left[stack[-1].top] -= 1
+        if len(stack) > LIVE:
+            stack[-1 - LIVE].tries = None
+
+    if left:
+        deeper()
+    while stack and best_size > floor and (nodes is None or nodes > 0 and looks > 0):
+        node = stack[-1]
+        if node.step is not None:
+            filling, times = node.step
+            for n in filling:
+                left[n] += times
+            left[node.top] -= 1
+            unplaced, used, waste = unplaced + times * len(filling), used - times, waste - times * node.waste
+            node.step = None
         # A better packing wastes at most this much in all its sequences together; later fillings waste more.
         slack = (best_size - 1) * capacity - total - waste
+        filling, times = None, 0
+        if node.waste <= slack:
+            if node.tries is None:
+                node.tries = islice(_tries(node.top, left, capacity), node.seen, None)
+            filling, times = next(node.tries, (None, 0))
         if filling is None or capacity - sum(filling) > slack:
+            left[node.top] += 1
             stack.pop()
             continue
-        looks -= 1
-        waste += times * (capacity - sum(filling))
-        if not times or times * (capacity - sum(filling)) > slack:
+        node.seen, node.waste = node.seen + 1, capacity - sum(filling)
+        if nodes is not None:
+            looks -= 1
+        if not times or times * node.waste > slack:
             continue
-        need = Counter(filling)
-        after = {n: c for n, c in ((n, c - times * need.get(n, 0)) for n, c in left.items()) if c}
-        made, used, nodes = (made, (filling, times)), used + times, nodes - 1
-        if after:
-            stack.append(_node(after, made, used, waste, capacity))
+        if nodes is not None:
+            nodes -= 1
+        for n in filling:
+            left[n] -= times
+        left[node.top] += 1
+        node.step, unplaced, used, waste = (filling, times), unplaced - times * len(filling), used + times, waste + times * node.waste
+        if unplaced:
+            deeper()
         elif used < best_size:
-            best_size, best = used, []
-            while made is not None:
-                made, pattern = made
-                best.append(pattern)
+            best_size, best = used, [at.step for at in stack]
     return best
 
 
-def _node(left: dict[int, int], made, used: int, waste: int, capacity: int):
-    """Every filling around the largest length, as often as it fits and then, on the way back, less often; 0 times if dominated."""
-    top = max(left)
-    rest = {**left, top: left[top] - 1}
-    have = sorted(n for n, c in rest.items() if c)
-
-    def tries():
-        for f in fillings(capacity - top, rest):
-            filling = (top, *f)
-            if dominated(f, capacity - sum(filling), have, rest):
-                yield filling, 0
-                continue
-            for times in range(min(left[n] // k for n, k in Counter(filling).items()), 0, -1):
-                yield filling, times
-
-    return left, made, used, waste, tries()
+def _tries(top: int, left: dict[int, int], capacity: int) -> Iterator[tuple[tuple[int, ...], int]]:
+    """Every filling around ``top``, as often as it fits and then, on the way back, less often; 0 times if dominated."""
+    have = sorted(n for n, c in left.items() if c)
+    for f in fillings(capacity - top, left):
+        filling = (top, *f)
+        if dominated(f, capacity - sum(filling), have, left):
+            yield filling, 0
+            continue
+        for times in range(min((left[n] + (n == top)) // k for n, k in Counter(filling).items()), 0, -1):
+            yield filling, times
 
 
 #: Chunks of ASCII and Latin-1 letters: no normal form to find, each letter has one lower-case letter.
@@ -275,7 +309,7 @@ def pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, id_co
     return id_and_text(docs, id_col, text_col).mapInArrow(cut, "doc_id long, piece int, start long, length long, ids binary")
 
 
-def pack(found: DataFrame, capacity: int = CAPACITY, nodes: int = NODES) -> DataFrame:
+def pack(found: DataFrame, capacity: int = CAPACITY, nodes: int | None = NODES) -> DataFrame:
     """``sequence_id`` and ``offset`` for rows with a ``length`` from 1 to ``capacity``.
 
     ``found`` is read several times: give a written table. Rows of equal length are interchangeable, so any numbering
@@ -322,8 +356,8 @@ def number(rows: DataFrame, group: str, name: str) -> DataFrame:
     return dealt.withColumn("_row", F.row_number().over(within)).join(sizes, [group, "_part"]).withColumn(name, F.col("_before") + F.col("_row") - 1).drop("_part", "_before", "_row")
 
 
-def mark(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+def mark(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", nodes: int | None = NODES) -> DataFrame:
+    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. ``nodes`` bounds the search (see ``complete``).
 
     A document is its ids and one id 0, so an empty or null text is one piece of length 1. Repeated rows and null ids
     are packed like any other row. An empty table gives no rows.
@@ -336,7 +370,7 @@ def mark(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, id_col:
 
     cut = pieces(docs, tokenizer_file, capacity, id_col, text_col)
     cut = cut.mapInArrow(digest, "doc_id long, piece int, start long, length long, ids_crc32 long")
-    return pack(stage(cut, "pieces"), capacity)
+    return pack(stage(cut, "pieces"), capacity, nodes)
 
 
 def public_tokenizer(name: str = "word_bpe_49k.json") -> str:

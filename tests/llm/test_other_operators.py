@@ -3,12 +3,16 @@
 import base64
 import hashlib
 import random
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
 from conftest_llm import ODD, SF
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from hushframe.llm import chat, packing, quality, queries, shards, toxicity, warc
@@ -156,6 +160,15 @@ def test_classifier_odd_rows(spark, docs_of, operator):
     assert operator.mark(docs_of(docs[:4]), labelled(spark, [(1, 1, 1), (2, 1, 1)])).count() == 4
 
 
+@pytest.mark.parametrize("texts", [["", ""], ["   ", "!!"], ["", "word"], ["word", None]])
+def test_toxicity_learned_from_texts_without_words(spark, docs_of, texts):
+    model = toxicity.fit([t or "" for t in texts], [0, 1])
+    assert model.blank and model.score("some text") == model.score("") == 0.5
+    docs = docs_of([(6, texts[0]), (7, texts[1]), (5, "a text")])
+    labels = spark.createDataFrame([(6, 0), (7, 1)], "doc_id long, toxic int")
+    assert sorted(r.doc_id for r in toxicity.mark(docs, labels).collect()) == [5, 6, 7]
+
+
 def test_toxicity_knows_misspellings_in_long_texts_and_keeps_clean_ones(spark, docs_of):
     docs, labels = fixture()
     more = [(9001, prose(1, 3000, ["idiott"])), (9002, prose(2, 3000)), (9003, ""), (9004, None)]
@@ -235,7 +248,39 @@ def test_warc_splits_own_each_record_once(spark, tmp_path):
     assert len(list(warc.members(Bytes(hurt), len(hurt), 0, len(hurt)))) == 59
     path = tmp_path / "x.warc.gz"
     path.write_bytes(data)
-    assert warc.read(warc.archives_of(spark, [str(path)]), split_bytes=500).count() == 60
+    read = warc.read(warc.archives_of(spark, [str(path)]), split_bytes=500)
+    assert read.count() == 60
+    # Each split has a task of its own, however small the table of splits is.
+    assert read.rdd.getNumPartitions() == -(-len(data) // 500)
+    tasks = read.select(F.spark_partition_id().alias("p")).distinct().count()
+    assert tasks > 20
+
+
+def test_warc_reports_damaged_records(spark, tmp_path, monkeypatch):
+    records = [warc.record(k, f"http://x/{k}", f"page {k} ".encode() * 50, "D", None) for k in range(20)]
+    data = bytearray(b"".join(records))
+    at = sum(map(len, records[:7]))
+    data[at + len(records[7]) - 20 : at + len(records[7]) - 10] = b"?" * 10
+    path = tmp_path / "x.warc.gz"
+    path.write_bytes(data[: -len(records[19]) // 2])  # and the last one is cut off
+    for size in (100, 10_000):
+        rows = warc.read(warc.archives_of(spark, [str(path)]), split_bytes=size).collect()
+        assert sorted(r.page_id for r in rows if r.record_type != "damaged") == [k for k in range(19) if k != 7]
+        places = {int(r.url.rpartition("#")[2]) for r in rows if r.record_type == "damaged"}
+        assert places == {at, sum(map(len, records[:19]))}
+    whole = warc.write
+
+    def hurt(*args):
+        listing = whole(*args)
+        for r in listing.collect():
+            file = r.path.removeprefix("file://")
+            kept = open(file, "rb").read()
+            open(file, "wb").write(kept[:-30])
+        return listing
+
+    monkeypatch.setattr(warc, "write", hurt)
+    with pytest.raises(ValueError, match="damaged"):
+        warc.round_trip(pages(spark, PAGES))
 
 
 def test_shards_are_level_with_many_tasks(spark, docs_of):
@@ -301,26 +346,27 @@ def test_encoder_equals_the_whole_tokenizer():
         assert encode(text) == np.array(ids(text)[:-1], "<u4").tobytes(), repr(text)
 
 
-def test_bin_completion_is_optimal_on_small_cases():
-    def fewest(items, capacity):
-        best = [len(items)]
-
-        def go(i, bins):
-            if len(bins) >= best[0]:
-                return
-            if i == len(items):
-                best[0] = len(bins)
-                return
-            for k in range(len(bins)):
-                if bins[k] >= items[i]:
-                    bins[k] -= items[i]
-                    go(i + 1, bins)
-                    bins[k] += items[i]
-            go(i + 1, [*bins, capacity - items[i]])
-
-        go(0, [])
-        return best[0]
+def fewest(items, capacity):
+    best = [len(items)]
+
+    def go(i, bins):
+        if len(bins) >= best[0]:
+            return
+        if i == len(items):
+            best[0] = len(bins)
+            return
+        for k in range(len(bins)):
+            if bins[k] >= items[i]:
+                bins[k] -= items[i]
+                go(i + 1, bins)
+                bins[k] += items[i]
+        go(i + 1, [*bins, capacity - items[i]])
+
+    go(0, [])
+    return best[0]
+
 
+def test_bin_completion_is_optimal_on_small_cases():
     for seed in range(200):
         r = random.Random(seed)
         items = sorted((r.randint(1, 20) for _ in range(r.randint(1, 10))), reverse=True)
@@ -350,6 +396,36 @@ def test_bin_completion_fills_sequences_with_many_pieces():
     assert sum(t for _, t in made) == packing.lower_bound(counts, 2048) == 2220
 
 
+def test_bin_completion_holds_little_memory():
+    """A deep search over 2,000 lengths, in a process of its own: what it adds to the peak."""
+    script = """
+import random, resource
+from collections import Counter
+from hushframe.llm import packing
+r = random.Random(2)
+counts = Counter(min(2048, max(1, int(r.lognormvariate(5.2, 1.0)))) for _ in range(250_000))
+assert len(counts) > 2000
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+made = packing.complete(counts, 2048)
+assert len(made) > 2000
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    done = subprocess.run([sys.executable, "-c", script], capture_output=True, text=True, check=True, cwd=Path(__file__).parents[2])
+    assert int(done.stdout) < 150
+
+
+@pytest.mark.parametrize("live", [1, 3, 1000])
+def test_bin_completion_does_not_depend_on_what_is_remembered(monkeypatch, live):
+    cases = [Counter(random.Random(k).choices(range(1, 40), k=60)) for k in range(12)]
+    usual = [packing.complete(c, 50, 400) for c in cases]
+    monkeypatch.setattr(packing, "LIVE", live)
+    assert [packing.complete(c, 50, 400) for c in cases] == usual
+    # Without a bound the search ends with a proof.
+    for k in range(30):
+        items = random.Random(k).choices(range(3, 21), k=8)
+        assert sum(t for _, t in packing.complete(Counter(items), 20, None)) == fewest(items, 20)
+
+
 def test_bin_completion_ends_where_most_fillings_are_dominated():
     r = random.Random(1)
     counts = Counter(r.randint(1, 2047) for _ in range(3000))
@@ -362,14 +438,14 @@ def test_bin_completion_ends_where_most_fillings_are_dominated():
 
 def test_checks_are_of_queries():
     assert set(queries.CHECKS) <= set(queries.QUERIES)
-    assert {q.split("_")[0] for q in queries.QUERIES} == {f"op{n}" for n in range(1, 11)} | {"pipeline"}
+    assert {q.split("_")[0] for q in queries.QUERIES} == {f"op{n}" for n in range(1, 14)} | {"pipeline"}
 
 
 def test_registered_queries_with_sql(spark):
     import duckdb
 
     db = duckdb.connect()
-    for t in ("documents", "benchmark", "conversations"):
+    for t in ("documents", "benchmark", "conversations", "embeddings"):
         db.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     for name, sql in queries.CHECKS.items():
         if sql is None:
@@ -381,8 +457,24 @@ def test_registered_queries_with_sql(spark):
         assert sorted(tuple(r[c] for c in columns) for r in df.collect()) == sorted(result.fetchall())
 
 
+def test_registered_queries_without_sql(spark):
+    """Rows and columns of the contracts; the operators' own tests hold the values."""
+    sizes = {n: table(spark, SF, n).count() for n in ("documents", "pages")}
+    want = {
+        "op5_shards": ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"], "op6_simhash": ["doc_id", "fingerprint", "component_id"],
+        "op7_quality": ["doc_id", "held_out", "score", "predicted"], "op8_toxicity": ["doc_id", "held_out", "score", "predicted"],
+        "op9_warc": ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"],
+        "op10_packing": ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
+    }
+    for name, columns in want.items():
+        df = queries.QUERIES[name](spark, SF)
+        assert df.columns[: len(columns)] == columns, name
+        rows = df.count()
+        assert rows > sizes["documents"] if name == "op10_packing" else rows == sizes["pages" if name == "op9_warc" else "documents"], name
+
+
 def test_pipeline_against_brute_force(spark):
-    from test_text_operators import contamination, simhash_rows
+    from test_text_operators import contamination, near_rows
 
     docs = table(spark, SF, "documents")
     labels = table(spark, SF, "labels")
@@ -392,7 +484,7 @@ def test_pipeline_against_brute_force(spark):
     for i, t in left:
         last[t or ""] = max(i, last.get(t or "", i))
     left = [(i, t) for i, t in left if last[t or ""] == i]
-    keep = {c for _, _, c in simhash_rows(left)}
+    keep = set(near_rows(left))
     left = [(i, t) for i, t in left if i in keep]
     items = [(r.item_id, r.text) for r in table(spark, SF, "benchmark").collect()]
     hit = {r[0] for r in contamination(left, items) if r[5]}
