@@ -132,7 +132,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op9_warc")
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.round_trip(table(spark, sf_dir, "pages"), payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 @query("op10_packing")

@@ -24,9 +24,8 @@ from ..session import stage, work_folder
 
 #: Bytes of a split, and of one read.
 SPLIT_BYTES, READ_BYTES = 8 << 20, 1 << 20
+MOST_TASKS = 100_000
 MAGIC = b"\x1f\x8b\x08"
-#: Decoded bytes that a header may take.
-HEADER_BYTES = 1 << 16
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ID_PREFIX = "urn:page:"
 #: Pages come without a fetch time; the format wants a date.
@@ -126,8 +125,8 @@ class Window:
         self.data, self.start = self.data[to - self.start :], to
 
 
-def members(file, size: int, start: int, end: int) -> Iterator[tuple[int, bytes]]:
-    """(place, decoded bytes) of the records that start in [start, end).
+def members(file, size: int, start: int, end: int, damaged: bool = False) -> Iterator[tuple[int, bytes | None]]:
+    """(place, decoded bytes) of the records that start in [start, end); with ``damaged`` also (place, None) of those that break off.
 
     A place with the magic is a member only if it decodes to a WARC header; a record is handed over only if its member
     decodes to the end, its checksum included. After a record the search goes on behind it, so nothing inside a record's
@@ -147,6 +146,8 @@ def members(file, size: int, start: int, end: int) -> Iterator[tuple[int, bytes]
         window.drop(place)
         decoded, length = decode(window)
         if decoded is None:
+            if damaged and length < 0:
+                yield place, None
             window.drop(place + 1)
         else:
             yield place, decoded
@@ -154,22 +155,24 @@ def members(file, size: int, start: int, end: int) -> Iterator[tuple[int, bytes]
 
 
 def decode(window: Window) -> tuple[bytes | None, int]:
-    """The member at the window's start and its compressed length; None if there is no WARC record."""
+    """The member at the window's start and its compressed length; None and 0 if there is no WARC record, None and -1 if one breaks off."""
     unpack, out, fed, begin = zlib.decompressobj(31), [], 0, b""
+    broken = lambda: (None, -1 if begin.startswith(b"WARC/") else 0)
     while not unpack.eof:
         if fed == len(window.data) and not window.more():
-            return None, 0
+            return broken()
         part = window.data[fed : fed + READ_BYTES]
         fed += len(part)
         try:
             if len(begin) < len(b"WARC/"):
-                begin += unpack.decompress(part, HEADER_BYTES)
+                # No more than that, so that damage behind it does not hide the beginning.
+                begin += unpack.decompress(part, len(b"WARC/") - len(begin))
                 if not b"WARC/".startswith(begin[: len(b"WARC/")]):
                     return None, 0
                 part = unpack.unconsumed_tail
             out.append(unpack.decompress(part))
         except zlib.error:
-            return None, 0
+            return broken()
     return begin + b"".join(out), fed - len(unpack.unused_data)
 
 
@@ -192,12 +195,15 @@ def read(archives: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """Records of the listed archives (path, n_bytes): page_id, url, record_type, refers_to, payload, payload_bytes, payload_digest.
 
     ``payload`` is null for a revisit; its ``payload_bytes`` and digest are those of the full payload, from its headers.
-    Those of a response are measured. Splits are dealt out evenly.
+    Those of a response are measured. A record that breaks off (a file cut short, bytes changed) has the record_type
+    ``damaged`` and its place in ``url``, all else is null. Splits are dealt out evenly, one to a task.
     """
     starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("n_bytes") - 1, F.lit(0)), F.lit(split_bytes).cast("long"))
     splits = archives.where("n_bytes > 0").select("path", "n_bytes", F.explode(starts).alias("start"))
     splits = splits.withColumn("end", F.least(F.col("start") + split_bytes, "n_bytes"))
-    return splits.repartition("path", "start").mapInArrow(
+    # A split is a few bytes here and megabytes in the store: their number, not their size, says how many tasks there are.
+    tasks = archives.agg(F.sum(F.ceil(F.greatest(F.col("n_bytes"), F.lit(0)) / split_bytes))).first()[0] or 1
+    return splits.repartition(min(int(tasks), MOST_TASKS)).mapInArrow(
         _reader, "page_id long, url string, record_type string, refers_to long, payload binary, payload_bytes long, payload_digest string"
     )
 
@@ -213,7 +219,10 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             store, at = fs.FileSystem.from_uri(split["path"])
             rows, held = [], 0
             with store.open_input_file(at) as file:
-                for _, raw in members(file, split["n_bytes"], split["start"], split["end"]):
+                for place, raw in members(file, split["n_bytes"], split["start"], split["end"], damaged=True):
+                    if raw is None:
+                        rows.append({"url": f"{split['path']}#{place}", "record_type": "damaged"})
+                        continue
                     headers, payload = parse(raw)
                     page = _PAGE.match(headers.get("warc-record-id", ""))
                     refers = _PAGE.match(headers.get("warc-refers-to", ""))
@@ -232,9 +241,19 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
 
-def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """Pages written to archives and read back. An empty table gives no archives and no rows."""
-    return read(write(pages, least_bytes))
+def round_trip(pages: DataFrame, least_bytes: int = 0, payloads: bool = True) -> DataFrame:
+    """Pages written to archives and read back, with or without the payloads. An empty table gives no archives and no rows.
+
+    What was read is written to the shared folder and counted: it fails if a record is damaged or their number is not that of the listing.
+    """
+    listing = write(pages, least_bytes)
+    back = read(listing)
+    back = stage(back if payloads else back.drop("payload"), "warc-back")
+    want = listing.agg(F.sum("n_records")).first()[0] or 0
+    found, hurt = back.agg(F.count(F.lit(1)), F.count(F.when(F.col("record_type") == "damaged", 1))).first()
+    if hurt or found != want:
+        raise ValueError(f"{want} records were written, {found - hurt} read back, {hurt} damaged")
+    return back
 
 
 def archives_of(spark: SparkSession, paths: list[str]) -> DataFrame:
