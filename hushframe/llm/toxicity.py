@@ -120,7 +120,10 @@ def fit(texts: list[str], classes: list[int], share: float | None = None, rounds
         return Model(np.zeros(BUCKETS, np.float32), 0.0, 1.0, 0.0, share=float(y.sum() / (len(y) + 1)), blank=True)
     rng = np.random.default_rng(seed)
     found = [grams(t.encode()) for t in texts]
-    used = np.array([k for k, g in enumerate(found) if len(g.start)])
+    used = np.array([k for k, g in enumerate(found) if len(g.start)], np.int64)
+    if len(set(y[used])) < 2:
+        # Of one class at least no text has a word.
+        return Model(np.zeros(BUCKETS, np.float32), 0.0, 1.0, 0.0, share=float(y.mean()) if share is None else share, blank=True)
     found, y = [found[k] for k in used], y[used]
     ids = np.concatenate([g.bucket for g in found])
     lengths = np.array([len(g.bucket) for g in found], np.int64)
