@@ -23,6 +23,18 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(scale > 0, dot(a, b) / scale)
 
 
+def histogram(slots: Column, dims: int) -> Column:
+    """How often each number from 0 on stands in an array of whole numbers below ``dims``: one sort, one pass."""
+    every = F.sequence(F.lit(0).cast("bigint"), F.lit(dims - 1).cast("bigint"))
+
+    def counts(s: Column) -> Column:
+        # Where the run of each number ends; each stands once more than it is to be counted.
+        ends = F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: (i == F.size(s)) | (F.get(s, i) != F.get(s, i - 1)))
+        return let(ends, lambda e: F.transform(e, lambda at, d: (at - F.coalesce(F.get(e, d - 1), F.lit(0)) - 1).cast("float")))
+
+    return let(F.sort_array(F.concat(slots, every)), counts)
+
+
 def unit(a: Column) -> Column:
     """Vector scaled to length one, null for a zero vector."""
     length = norm(a)

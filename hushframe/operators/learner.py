@@ -100,10 +100,10 @@ def _unknown(texts: Column, spans: Column, stop_terms: Sequence[str], min_chars:
     """Distinct texts that are long enough and neither known from a span nor stop terms: one sort and one walk."""
     known = F.filter(F.transform(spans, lambda s: fold_key(s["text"])), lambda k: k.isNotNull())
     barred = F.transform(
-        F.array_distinct(F.concat(known, literal_array(stop_terms))),
-        lambda k: F.struct(k.alias("key"), F.lit(0).alias("kind"), F.lit("").alias("term")),
+        F.array_distinct(known), lambda k: F.struct(k.alias("key"), F.lit(0).alias("kind"), F.lit("").alias("term"))
     )
-    long = F.filter(F.array_distinct(texts), lambda t: F.length(t) >= min_chars)
+    # The stop terms are a set of constants, looked up as such; only what the row holds is sorted.
+    long = F.filter(F.array_distinct(texts), lambda t: (F.length(t) >= min_chars) & ~F.lower(t).isin(*stop_terms))
     asked = F.transform(long, lambda t: F.struct(F.lower(t).alias("key"), F.lit(1).alias("kind"), t.alias("term")))
 
     def step(last: Column, e: Column) -> tuple[Column, Column]:

@@ -9,11 +9,12 @@ patterns a text is scanned with at all.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 from operator import or_
 
+import pandas as pd
 from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -486,3 +487,27 @@ def attach_annotations(
 
     joined = df.join(per_text, key, "left")
     return joined.withColumn(into, F.coalesce(let(blocks(F.col(text)), with_text), sp.no_spans())).drop("__a")
+
+
+def model_annotations(
+    df: DataFrame, make_model: Callable[[], Callable[[list[str]], list[list[tuple[str, int, int, float]]]]],
+    key: str = "doc_id", text: str = "text", batch_size: int = 64,
+) -> DataFrame:
+    """Annotations (key, entity_type, start, end, score) of an outside model, for ``attach_annotations``.
+
+    ``make_model`` is called once for each task and gives a function from texts to their finds.  Texts go to it in Arrow
+    batches, ``batch_size`` at a time; a null text has no finds.
+    """
+    kind = df.schema[key].dataType.simpleString()
+
+    def annotate(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = make_model()
+        for frame in frames:
+            for at in range(0, len(frame), batch_size):
+                part = frame.iloc[at : at + batch_size]
+                found = model(part[text].tolist())
+                rows = [(k, *f) for k, finds in zip(part[key], found, strict=True) for f in finds]
+                yield pd.DataFrame(rows, columns=[key, "entity_type", "start", "end", "score"])
+
+    asked = df.select(key, text).where(F.col(text).isNotNull())
+    return asked.mapInPandas(annotate, f"`{key}` {kind}, entity_type string, start int, `end` int, score double")

@@ -2,7 +2,7 @@
 
 One response row carries the map of its session.  The three passes are folds over the map entries,
 longest codename first; the regular-expression passes run only for codenames whose letters occur in the
-text at all.
+text at all.  Of a large map only the entries that the text can need are tried.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import SESSION_TTL_SECONDS
-from ..functions.text import html_escape, let, quoted, replacement
+from ..functions.text import html_escape, let, quoted, replacement, walk
 from .pseudonym import salted_join
 
 ENTRIES = "array<struct<key:string,value:string>>"
@@ -25,15 +25,12 @@ def no_entries() -> Column:
 
 def entries_of(mapping: Column) -> Column:
     """Map entries, longest codename first, ties by name."""
-    found = F.coalesce(F.map_entries(mapping).cast(ENTRIES), no_entries())
-    return F.array_sort(
-        found,
-        lambda a, b: F.when(F.length(a["key"]) > F.length(b["key"]), F.lit(-1))
-        .when(F.length(a["key"]) < F.length(b["key"]), F.lit(1))
-        .when(a["key"] < b["key"], F.lit(-1))
-        .when(a["key"] > b["key"], F.lit(1))
-        .otherwise(F.lit(0)),
-    )
+    return longest_first(F.coalesce(F.map_entries(mapping).cast(ENTRIES), no_entries()))
+
+
+def longest_first(entries: Column) -> Column:
+    keyed = F.transform(entries, lambda e: F.struct((-F.length(e["key"])).alias("n"), e.alias("entry")))
+    return F.transform(F.sort_array(keyed), lambda k: k["entry"])
 
 
 def _folded(text: Column) -> Column:
@@ -42,18 +39,22 @@ def _folded(text: Column) -> Column:
 
 
 def _pass(state: Column, hit, swap) -> Column:
-    """One pass: replace where ``hit``; entries that found nothing stay for the next pass."""
+    """One pass: replace where ``hit``; entries that found nothing stay for the next pass.
+
+    ``hit`` gets the text, its folded form and the codename; the folded form is made anew only where the text changes.
+    """
 
     def step(acc: Column, entry: Column) -> Column:
-        found = hit(acc["text"], entry["key"])
-        return F.struct(
-            F.when(found, swap(acc["text"], entry)).otherwise(acc["text"]).alias("text"),
-            F.when(found, acc["rest"]).otherwise(F.concat(acc["rest"], F.array(entry))).alias("rest"),
-        )
+        found = hit(acc["text"], acc["low"], entry["key"])
+        changed = let(swap(acc["text"], entry), lambda t: F.struct(t.alias("text"), _folded(t).alias("low"), acc["rest"].alias("rest")))
+        kept = F.struct(acc["text"].alias("text"), acc["low"].alias("low"), F.concat(acc["rest"], F.array(entry)).alias("rest"))
+        return F.when(found, changed).otherwise(kept)
 
     return let(
         state,
-        lambda s: F.aggregate(s["rest"], F.struct(s["text"].alias("text"), no_entries().alias("rest")), step),
+        lambda s: F.aggregate(
+            s["rest"], F.struct(s["text"].alias("text"), _folded(s["text"]).alias("low"), no_entries().alias("rest")), step
+        ),
     )
 
 
@@ -71,31 +72,57 @@ def tolerant_pattern(key: Column) -> Column:
 
 
 def exact_pass(state: Column) -> Column:
-    return _pass(state, lambda t, k: t.contains(k), lambda t, e: F.replace(t, e["key"], e["value"]))
+    return _pass(state, lambda t, low, k: t.contains(k), lambda t, e: F.replace(t, e["key"], e["value"]))
 
 
 def any_case_pass(state: Column) -> Column:
     return _pass(
         state,
-        lambda t, k: _folded(t).contains(_folded(k)) & F.rlike(t, any_case_pattern(k)),
+        lambda t, low, k: low.contains(_folded(k)) & F.rlike(t, any_case_pattern(k)),
         lambda t, e: F.regexp_replace(t, any_case_pattern(e["key"]), replacement(e["value"])),
     )
 
 
 def tolerant_pass(state: Column) -> Column:
-    def hit(text: Column, key: Column) -> Column:
+    def hit(text: Column, low: Column, key: Column) -> Column:
         inner = F.regexp_replace(key, r"^[\[\]]+|[\[\]]+$", "")
-        return _folded(text).contains(_folded(F.get(F.split(inner, "_"), F.lit(0)))) & F.rlike(
-            text, tolerant_pattern(key)
-        )
+        return low.contains(_folded(F.get(F.split(inner, "_"), F.lit(0)))) & F.rlike(text, tolerant_pattern(key))
 
     return _pass(
         state, hit, lambda t, e: F.regexp_replace(t, tolerant_pattern(e["key"]), replacement(e["value"]))
     )
 
 
+#: Entries of a map that are tried one after the other; of a larger one only those that the text can need.
+FEW = 64
+
+
+def needed_entries(text: Column, mapping: Column) -> Column:
+    """The entries whose codename a text, or an original that may be put into it, can hold in any way of matching.
+
+    The forms that stand in the text are found by the few stems of the codenames and meet those of the map by sorting, so the
+    work grows with the text and the map, not with their product.
+    """
+
+    def reduced(entries: Column) -> Column:
+        forms = F.transform(entries, lambda e: F.struct(squeezed(e["key"]).alias("form"), F.lit(1).alias("kind"), e.alias("entry")))
+        stems = F.array_distinct(F.transform(entries, lambda e: stem_of(e["key"])))
+        body = F.concat_ws("\n", text, F.array_join(F.transform(entries, lambda e: e["value"]), "\n"))
+        none = F.lit(None).cast("struct<key:string,value:string>")
+        there = F.transform(candidate_keys(body, stems), lambda f: F.struct(f.alias("form"), F.lit(0).alias("kind"), none.alias("entry")))
+
+        def step(last: Column, x: Column) -> tuple[Column, Column]:
+            hit = (x["kind"] == 1) & x["form"].eqNullSafe(last)
+            return F.when(x["kind"] == 0, x["form"]).otherwise(last), F.when(hit, F.array(x["entry"])).otherwise(no_entries())
+
+        return walk(F.sort_array(F.concat(there, forms)), F.lit(None).cast("string"), "struct<key:string,value:string>", step)
+
+    found = F.coalesce(F.map_entries(mapping).cast(ENTRIES), no_entries())
+    return let(found, lambda e: F.when(F.size(e) <= FEW, e).otherwise(reduced(e)))
+
+
 def _state(text: Column, mapping: Column) -> Column:
-    return F.struct(text.alias("text"), entries_of(mapping).alias("rest"))
+    return F.struct(text.alias("text"), longest_first(needed_entries(text, mapping)).alias("rest"))
 
 
 def rehydrate_exact(text: Column, mapping: Column) -> Column:

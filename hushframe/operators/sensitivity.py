@@ -11,7 +11,7 @@ from pyspark.sql.types import ArrayType, FloatType
 
 from .. import constants as c
 from ..functions.text import UNICODE_ANYCASE, cut, let, literal_map, quote, strip
-from ..functions.vectors import cosine
+from ..functions.vectors import cosine, histogram
 from . import spans as sp
 
 FLAG_TYPE = "struct<category:string,label:string,score:double,excerpt:string>"
@@ -123,14 +123,7 @@ def category_flags(
 def hashed_vector(text: Column, dims: int = 256) -> Column:
     """Default text encoder: counts of hashed words, JVM-side; texts share a direction if they share words."""
     words = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\w+"), F.lit(0))
-    slots = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(dims)))
-    return let(
-        slots,
-        lambda s: F.transform(
-            F.sequence(F.lit(0), F.lit(dims - 1)),
-            lambda d: (F.size(s) - F.size(F.array_remove(s, d.cast("bigint")))).cast("float"),
-        ),
-    )
+    return histogram(F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(dims)).cast("bigint")), dims)
 
 
 def model_encoder(make_predict: Callable, batch_size: int = 256) -> Callable[[Column], Column]:

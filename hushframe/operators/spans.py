@@ -284,3 +284,27 @@ def overlap_pairs(df: DataFrame, key: str = "doc_id", spans: str = "spans") -> D
         lambda b: (b["start"] < F.col("a.end")) & (b["end"] > F.col("a.start")),
     )
     return left.select(key, "a", F.explode(later).alias("b"))
+
+
+#: Code points of a bin of the interval join.
+BIN = 4096
+
+
+def interval_join(
+    left: DataFrame, right: DataFrame, key: str = "doc_id", rule: Callable[[Column, Column], Column] = overlaps, bin_size: int = BIN
+) -> DataFrame:
+    """Pairs of rows of two long tables (key, start, end, ...) of one document that share a place: (key, a, b).
+
+    Rows meet on (document, bin of offsets) and are then held against ``rule``, which must ask for a shared character, so a
+    document with a third of all rows is spread over its bins and nothing is gathered.  A pair that shares several bins
+    comes from the first.  Rows without a key, an offset or any character meet nothing.
+    """
+
+    def binned(rows: DataFrame, name: str) -> DataFrame:
+        whole = F.struct(*[F.col(c) for c in rows.columns if c != key]).alias(name)
+        first, last = F.floor(F.col("start") / bin_size).cast("int"), F.floor((F.col("end") - 1) / bin_size).cast("int")
+        return rows.where(F.col("start") < F.col("end")).select(F.col(key), whole, F.explode(F.sequence(first, last)).alias("__bin"))
+
+    met = binned(left, "a").join(binned(right, "b"), [key, "__bin"])
+    both = F.greatest(F.col("a.start"), F.col("b.start"))
+    return met.where(rule(F.col("a"), F.col("b")) & (F.floor(both / bin_size) == F.col("__bin"))).drop("__bin")

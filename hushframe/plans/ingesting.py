@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from .. import constants as c
 from ..functions.text import line_count
-from ..sources import files, vault
+from ..session import work_folder
+from ..sources import files, folder, vault
 from . import fixtures as fx
 from . import sql
 from .registry import big, query
@@ -91,15 +92,17 @@ _FILE = f"concat('doc', cast(doc_id as string), {fx.pick(SUFFIXES, 'doc_id')})"
     from h""",
 )
 def file_ingest(spark, sf_dir):
-    """The documents as files in two encodings, each beside an empty one, under all kinds of names."""
+    """The documents as files of a folder, in two encodings, each beside an empty one, under all kinds of names."""
     text = F.col("text")
     content = F.when(F.col("doc_id") % 2 == 0, F.encode(text, "UTF-8")).otherwise(F.encode(text, "ISO-8859-1"))
     both = F.array(
         F.struct(F.expr(_FILE).alias("name"), content.alias("content")),
         F.struct(F.concat(F.lit("empty-"), F.expr(_FILE)).alias("name"), F.lit(b"").alias("content")),
     )
-    as_files = fx.documents(spark, sf_dir).select(F.inline(both))
-    out = files.ingest(as_files, name="name", limit=_FILE_LIMIT)
+    path = work_folder(spark, "files")
+    folder.write(fx.documents(spark, sf_dir).select(F.inline(both)), path)
+    read = files.read_files(spark, path).withColumn("name", F.element_at(F.split("path", "/"), -1))
+    out = files.ingest(read, name="name", limit=_FILE_LIMIT)
     return out.select(
         "name", "size", "status", "format", F.md5("text").alias("text_md5"), "encoding", "line_count",
         big(F.size("warnings")).alias("warnings"),

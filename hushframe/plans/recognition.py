@@ -551,6 +551,57 @@ def detect_two_pass(spark, sf_dir):
     return span_table(found)
 
 
+# ------------------------------------------------------------------ span tables and outside models
+
+
+@query(
+    "interval_join",
+    f"""{_TAGGED_TEXTS} select x.doc_id, x.entity_type, x.s as span_start, x.e as span_end, t.s as term_start, t.term
+    from spans x join propn t on t.doc_id = x.doc_id and t.s < x.e and x.s < t.e""",
+)
+def interval_join(spark, sf_dir):
+    """Proper nouns and spans as two long tables: which of them share a place."""
+    found = rec.detect(fx.texts(spark, sf_dir))
+    spans = sp.explode_spans(found, ["doc_id"]).select("doc_id", "entity_type", "start", "end")
+    nouns = fx.texts(spark, sf_dir).select("doc_id", F.inline(learner.proper_nouns(F.col("text"))))
+    pairs = sp.interval_join(spans, nouns.select("doc_id", "start", "end", "text"))
+    return pairs.select(
+        "doc_id", F.col("a.entity_type").alias("entity_type"), big("a.start").alias("span_start"), big("a.end").alias("span_end"),
+        big("b.start").alias("term_start"), F.col("b.text").alias("term"),
+    )
+
+
+MODEL_NAME = "[A-Z][a-z]{7,}"
+
+
+def name_model():
+    """A stand-in for an outside tagger: long capitalised words are names of persons, or of places where they end in n."""
+    import re
+
+    pattern = re.compile(MODEL_NAME)
+    return lambda said: [
+        [("LOC" if m.group().endswith("n") else "PER", m.start(), m.end(), 0.5 + len(m.group()) / 64) for m in pattern.finditer(t)] for t in said
+    ]
+
+
+@query(
+    "model_annotations",
+    f"""with {fx.TEXTS_SQL},
+    h as (select doc_id, text, regexp_extract_all(text, '{MODEL_NAME}') as m, string_split_regex(text, '{MODEL_NAME}') as g from texts),
+    p as (select *, unnest(range(1, len(m) + 1)) as i from h),
+    found as (
+      select doc_id, case when m[i][-1:] = 'n' then 'LOC' else 'PER' end as entity_type, s, s + length(m[i]) as e, 0.5 + length(m[i]) / 64.0 as score,
+        substr(text, s + 1, length(m[i])) as span_text
+      from (select *, cast({sql.lengths('g[1:i]')} + {sql.lengths('m[1:i-1]')} as bigint) as s from p))
+    select {sql.COLUMNS} from found""",
+)
+def model_annotations(spark, sf_dir):
+    """All texts through an outside model, its finds as spans beside their text."""
+    df = fx.texts(spark, sf_dir)
+    marked = rec.attach_annotations(df, rec.model_annotations(df, name_model))
+    return span_table(marked.select("doc_id", F.col("annotations").alias("spans")))
+
+
 # ------------------------------------------------------------------ deny lists
 
 DENY = ["Nordlicht", "Silberfuchs", "BIC GIBAATWW", "Thomas", "Firmenbuch", "the", "nordlicht zentrale"]

@@ -112,6 +112,49 @@ def chunk_category_flags(spark, sf_dir):
     )
 
 
+LETTERS = "etaoinsr"
+
+
+def letter_model():
+    """A stand-in for an outside model: how much more often than the others each of some letters stands in a text."""
+    import numpy as np
+
+    def predict(batch):
+        counts = np.array([[str(t).count(x) + str(t).count(x.upper()) for x in LETTERS] for t in batch], "int64")
+        return (len(LETTERS) * counts - counts.sum(1, keepdims=True)).astype("float32")
+
+    return predict
+
+
+def _letter_vectors(src: str, keys: str, text: str) -> str:
+    counts = ", ".join(f"length(regexp_replace({text}, '[^{x}{x.upper()}]', '', 'g'))" for x in LETTERS)
+    return f"""
+    select {keys}, list_transform(n, lambda x: cast({len(LETTERS)} * x - list_sum(n) as double)) as v
+    from (select *, [{counts}] as n from {src})"""
+
+
+_LETTER_COSINE = """list_sum(list_transform(range(1, 9), lambda i: x.v[i] * c.v[i]))
+  / (sqrt(list_sum(list_transform(x.v, lambda z: z * z))) * sqrt(list_sum(list_transform(c.v, lambda z: z * z))))"""
+
+
+@query(
+    "model_category_flags",
+    f"""{_CHUNKS}, numbered as (select doc_id, row_number() over (partition by doc_id order by line, k) - 1 as chunk_no, chunk from parts),
+    described as (select * from (values {_DESCRIBED}) t(category, d)),
+    cats as ({_letter_vectors('described', 'category', 'd')}),
+    vecs as ({_letter_vectors('numbered', 'doc_id, chunk_no', 'chunk')}),
+    hits as (select doc_id, chunk_no, category, {_LETTER_COSINE} as sim from vecs x, cats c where list_sum(list_transform(x.v, lambda z: z * z)) > 0)
+    select doc_id, category, count(*) as n_chunks, max(round(sim, 3)) as top_score from hits where sim > {c.CATEGORY_THRESHOLD} group by doc_id, category""",
+)
+def model_category_flags(spark, sf_dir):
+    """Chunks of every document through an outside model as encoder, scored against the described categories."""
+    flags = sensitivity.chunk_flags(fx.documents(spark, sf_dir), encode=sensitivity.model_encoder(letter_model))
+    each = flags.select("doc_id", F.explode("flags").alias("f"))
+    return each.groupBy("doc_id", F.col("f.category").alias("category")).agg(
+        F.count(F.lit(1)).alias("n_chunks"), F.max("f.score").alias("top_score")
+    )
+
+
 CATEGORIES = list(c.CATEGORY_LABELS)
 _COSINE = """list_sum(list_transform(range(1, len(a) + 1), lambda i: cast(a[i] as double) * cast(b[i] as double)))
   / (sqrt(list_sum(list_transform(a, lambda x: cast(x as double) * cast(x as double)))) * sqrt(list_sum(list_transform(b, lambda x: cast(x as double) * cast(x as double)))))"""

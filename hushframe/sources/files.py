@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as c
 from ..functions.text import file_suffix, line_count, literal_map
+from . import folder
 
 OK, REJECTED = "ok", "rejected"
 
@@ -17,13 +18,8 @@ def read_documents(spark: SparkSession, path: str, fmt: str = "parquet", **optio
 
 
 def read_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """Files as (path, modificationTime, length, content).
-
-    Spark's file reader leaves out files of zero bytes; the status ``empty`` of ``ingest`` is for contents
-    that come from a table.
-    """
-    reader = spark.read.format("binaryFile")
-    return (reader.option("pathGlobFilter", glob) if glob else reader).load(path)
+    """Files below a folder as (path, modificationTime, length, content), those of zero bytes included."""
+    return folder.read(spark, path, glob)
 
 
 def admit_length(df: DataFrame, text: str = "text", limit: int = c.MAX_REQUEST_CHARS) -> DataFrame:

@@ -248,3 +248,33 @@ def test_a_filter_lets_pass_what_a_list_holds_and_little_else(spark, texts):
     assert hits == want and want <= passed.count() <= want + 0.01 * 300 * 60 * 3
     found = {r["doc_id"]: r["terms"] for r in terms.candidate_terms(df, table).collect()}
     assert all("☃" in found[i] for i in range(300)) and listed[-1] in found[5]
+
+
+def test_interval_join_of_a_hot_document(spark):
+    import random
+
+    rng = random.Random(2)
+
+    def made(n):
+        rows = []
+        for _ in range(n):
+            doc, start = (7 if rng.random() < 0.4 else rng.randint(0, 30)), rng.randint(0, 900)
+            rows.append((doc, start, start + rng.choice([0, 1, 3, 40, 300]), rng.randint(0, 9)))
+        return rows + [(None, 1, 5, 0), (3, None, 5, 0), (3, 5, None, 0)]
+
+    left, right = made(400), made(300)
+    shape = "doc_id long, start int, `end` int, n int"
+    got = sp.interval_join(spark.createDataFrame(left, shape), spark.createDataFrame(right, shape), bin_size=64)
+    full = lambda rows: [r for r in rows if None not in r and r[1] < r[2]]
+    want = [(*a, *b[1:]) for a in full(left) for b in full(right) if a[0] == b[0] and a[1] < b[2] and b[1] < a[2]]
+    assert sorted((r.doc_id, *r.a, *r.b) for r in got.collect()) == sorted(want)
+    inside = lambda a, b: (a["start"] <= b["start"]) & (b["end"] <= a["end"])
+    got = sp.interval_join(spark.createDataFrame(left, shape), spark.createDataFrame(right, shape), rule=inside)
+    assert got.count() == sum(w[1] <= w[4] and w[5] <= w[2] for w in want)
+
+
+def test_histogram(spark):
+    from hushframe.functions.vectors import histogram
+
+    df = spark.createDataFrame([([0, 3, 3, 1],), ([],), ([3] * 50,)], "s array<bigint>")
+    assert [list(r[0]) for r in df.select(histogram(F.col("s"), 4)).collect()] == [[1, 1, 0, 2], [0, 0, 0, 0], [0, 0, 0, 50]]

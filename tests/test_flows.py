@@ -372,3 +372,19 @@ def test_no_shared_folder_on_a_cluster():
     settings = {"spark.master": "spark://host:7077"}
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         work_folder(SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: settings.get(k, d))), "x")
+
+
+def test_folder_with_empty_files(spark, tmp_path):
+    from hushframe.sources import folder
+
+    rows = [(f"f{k}.{'txt' if k % 2 else 'md'}", bytearray(b"x" * (k % 3))) for k in range(40)]
+    df = spark.createDataFrame(rows, "name string, content binary").repartition(5)
+    place = str(tmp_path / "in")
+    assert folder.write(df, place) == 40 and folder.write(df, place) == 40  # again: the same files
+    got = files.read_files(spark, place)
+    assert sorted((r["path"].rpartition("/")[2], r["length"], bytes(r["content"])) for r in got.collect()) == sorted((n, len(b), bytes(b)) for n, b in rows)
+    assert files.read_files(spark, place, "*.md").count() == 20
+    status = {r["path"].rpartition("/")[2]: r["status"] for r in files.ingest(got).collect()}
+    assert status["f0.md"] == "empty" and status["f1.txt"] == "ok"
+    (tmp_path / "none").mkdir()
+    assert files.read_files(spark, str(tmp_path / "none")).count() == 0

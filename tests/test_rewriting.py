@@ -266,3 +266,44 @@ def test_vault_repeats_and_forgets(spark, tmp_path):
     assert b"secret0" not in kept
     vault.append(held.where("session_id = 's0'"), path, "late")
     assert "s0" in names()
+
+
+def test_large_maps_restore_like_small_ones(spark, monkeypatch):
+    """Trying only the entries a text can need gives what trying all gives, also where an original holds a codename."""
+    rng = random.Random(6)
+    book = {f"[{t}_{n}]": f"<{t} {n}>" for t in ("AT_IBAN", "PERSON", "ORG") for n in range(1, 60)}
+    book |= {f"{n}-{k}" if k > 1 else n: f"{n.upper()} Nr. {k}" for n in c.PERSON_NAMES + c.ORG_NAMES for k in range(1, 4)}
+    book |= {"[ORG_7]": "Arion und [PERSON_3]", "[PERSON_3]": "person_4 (alt)", "[PERSON_4]": "org 9", "x.y": "Punkt", "a b c": "Satz", "": "leer"}
+    del book[""]
+    names = list(book)
+
+    def bent(name):
+        return [name, name.lower(), name.strip("[]"), name.replace("[", "( ").replace("]", " )"), name.replace("_", " "), name.replace("_", "-")][rng.randrange(6)]
+
+    said = [" ".join(bent(rng.choice(names)) + rng.choice([" x", ",", "", "7"]) for _ in range(10)) for _ in range(80)] + ["[ORG_7]", "", "nichts"]
+    df = spark.createDataFrame([(i, t, book) for i, t in enumerate(said)], "id long, text string, m map<string,string>")
+    got = {}
+    for few in (0, 10**9):
+        monkeypatch.setattr(rh, "FEW", few)
+        out = df.select("id", rh.rehydrate(F.col("text"), F.col("m")).alias("all"), rh.rehydrate_exact(F.col("text"), F.col("m")).alias("exact"))
+        got[few] = {r.id: (r["all"], r["exact"]) for r in out.collect()}
+    assert got[0] == got[10**9] and sum(r[0] != t for r, t in zip(got[0].values(), said)) > 70
+
+
+def test_maps_of_ten_thousand_codenames(spark):
+    """Time in proportion to text and map: four times the codenames in clearly less than sixteen times the time."""
+    import time
+
+    took = {}
+    for n in (2_500, 10_000):
+        book = {f"[PERSON_{k}]": f"Name {k}" for k in range(1, n + 1)}
+        said = [" ".join(f"[person_{(i * 37 + k * 11) % n + 1}] ja" for k in range(40)) for i in range(16)]
+        df = spark.createDataFrame([(i, t, book) for i, t in enumerate(said)], "id long, text string, m map<string,string>").repartition(4).cache()
+        df.count()
+        out = df.select("id", rh.rehydrate(F.col("text"), F.col("m")).alias("r"))
+        out.collect()
+        started = time.perf_counter()
+        rows = out.collect()
+        took[n] = time.perf_counter() - started
+        assert all(r["r"] == " ".join(f"Name {(r.id * 37 + k * 11) % n + 1} ja" for k in range(40)) for r in rows)
+    assert took[10_000] < 10 * took[2_500] + 1
