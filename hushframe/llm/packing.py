@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import os
 import re
-import zlib
 from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
@@ -362,14 +361,9 @@ def mark(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, id_col:
     A document is its ids and one id 0, so an empty or null text is one piece of length 1. Repeated rows and null ids
     are packed like any other row. An empty table gives no rows.
     """
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            crc = pa.array([zlib.crc32(x.as_buffer()) for x in batch["ids"]], pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch[n] for n in ("doc_id", "piece", "start", "length")), crc], ["doc_id", "piece", "start", "length", "ids_crc32"])
-
     cut = pieces(docs, tokenizer_file, capacity, id_col, text_col)
-    cut = cut.mapInArrow(digest, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    # Not in Python: a second Python step would be a second worker for each task, with all it remembers.
+    cut = cut.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
     return pack(stage(cut, "pieces"), capacity, nodes)
 
 
