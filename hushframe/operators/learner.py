@@ -314,7 +314,8 @@ def detect_two_pass(
 
     def finish(found: Column) -> Column:
         kept = sp.clean_spans(rec.keep_spans(found, **filters))
-        return kept if proper is None else person_pos_check(kept, proper)
+        # Bound, as the check asks for the spans several times.
+        return kept if proper is None else let(kept, lambda k: person_pos_check(k, proper))
 
     # One column for each step: the optimizer keeps columns that are used more than once apart, so each is computed once.
     found = rec.found_spans(text, registry=registry, deny_terms=deny_terms)
