@@ -61,8 +61,10 @@ def mark(
         "dedup-hits",
     )
     at_holder = (F.col("file") == F.col("holder.file")) & (F.col("row") == F.col("holder.row"))
-    content = hits.where(at_holder).select("digest", F.col("text").alias("held"))
-    mixed = stage(hits.join(content, "digest").where(F.col("text") != F.col("held")).select("digest").distinct(), "dedup-mixed")
+    # All texts of a digest are the holder's if the least and the greatest are equal; they are combined before the shuffle,
+    # so a digest with a third of all rows costs one row for each task.
+    ends = hits.groupBy("digest").agg(F.min("text").alias("least"), F.max("text").alias("greatest"))
+    mixed = stage(ends.where(F.col("least") != F.col("greatest")).select("digest"), "dedup-mixed")
     split = hits.join(mixed, "digest", "left_semi")
     by_text = split.groupBy("digest", "text").agg(F.max(F.struct("doc_id", "file", "row")).alias("holder"), F.count(F.lit(1)).alias("n"))
 
