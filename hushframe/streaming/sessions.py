@@ -23,6 +23,7 @@ def join_sessions(
     past a session's end, Spark drops it from the join state, and an answer that can no longer meet a session comes
     out as missing.  Rows later than ``late`` are dropped; ``late_rows`` counts them.
     """
+    use_rocksdb(responses.sparkSession)
     asked = responses.withWatermark("asked_at", late)
     opened = sessions.withColumnRenamed("session_id", "sid").withWatermark("created_at", late)
     joined = asked.join(

@@ -388,3 +388,12 @@ def test_folder_with_empty_files(spark, tmp_path):
     assert status["f0.md"] == "empty" and status["f1.txt"] == "ok"
     (tmp_path / "none").mkdir()
     assert files.read_files(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_stream_of_many_files_and_a_last_one(spark):
+    """The table keeps its files, they come in one batch, and the last row in the next one."""
+    seen = []
+    rows = spark.range(40).repartition(4)
+    stream = runs.as_stream(rows, "numbers", spark.range(99, 100))
+    runs.drain_batches(stream, "numbers", lambda df, _: seen.append((sorted(r["id"] for r in df.collect()), len(df.inputFiles()))))
+    assert [ids for ids, _ in seen] == [list(range(40)), [99]] and seen[0][1] == 4
