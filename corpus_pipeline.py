@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hushframe.llm import decontaminate, near, packing, stream_dedup, toxicity
+from hushframe.llm import decontaminate, near, packing, simhash, stream_dedup, toxicity
 from hushframe.llm.common import table
 from hushframe.session import stage
 
@@ -24,8 +24,12 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by a similarity of 0.8 or more (Jaccard, runs of five words) the document with the smallest id stays."""
-    return near.keep_one(docs)
+    """Of each group of near-duplicates the document with the smallest id stays.
+
+    Linked are fingerprints (SimHash, as in op6) at most four bits apart and sets of five-word runs with a Jaccard similarity
+    of 0.8 or more, most of which SimHash alone misses.
+    """
+    return near.keep_one(docs, radius=simhash.RADIUS)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

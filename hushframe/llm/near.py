@@ -5,8 +5,8 @@ bands of a min-hash signature; a pair at 0.8 shares no band with a probability o
 meets, only rows with a partner whose signature agrees in more than half go on, each pair under its first common band (a
 pair at 0.8 agrees less with a probability under 1e-9). Their sets are then compared as they are, so every link is exact,
 and a component is walked from one of its rows: what is already reached is not compared again. Equal sets are one node.
-SimHash does not serve here: pairs at 0.8 lie up to 14 of 64 bits apart, and bit blocks for such a radius hold three or four
-bits each.
+SimHash alone does not serve here: pairs at 0.8 lie up to 14 of 64 bits apart, and bit blocks for such a radius hold three or
+four bits each. ``keep_one`` with a radius takes its links as well, so that a component holds what either of the two links.
 """
 
 from __future__ import annotations
@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from ..session import stage
 from .common import FILE, ROW, groups_of, located
-from .simhash import drop_others, named, shingle_hashes
+from .simhash import drop_others, fingerprint, named, shingle_hashes
+from .simhash import links as bit_links
 
 SHINGLE, SEED = 5, 42
 #: Similarity of a link, as a fraction.
@@ -167,10 +168,36 @@ def forest(sets: list[np.ndarray]) -> np.ndarray:
     return root
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Of each component the row with the smallest id (a null id last), with all its columns."""
+def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = np.array([fingerprint(t.as_py()) for t in batch["text"]], np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch[FILE], batch[ROW], pa.array(out)], [FILE, ROW, "bits"])
+
+
+def fingerprint_links(rows: DataFrame, texts: DataFrame, radius: int) -> DataFrame:
+    """Links (u, v) between sets ``fp`` whose texts have SimHash fingerprints at most ``radius`` bits apart.
+
+    One set stands for all sets of a fingerprint; the others link to it.
+    """
+    bits = texts.select(FILE, ROW, "text").mapInArrow(_fingerprints, f"{FILE} string, {ROW} long, bits long")
+    sets = stage(bits.join(rows.select(FILE, ROW, "fp"), [FILE, ROW]).select("bits", "fp").distinct(), "near-bits")
+    first = stage(sets.groupBy("bits").agg(F.min("fp").alias("first")), "near-fingerprints")
+    same = sets.join(first, "bits").where("fp <> first").select(F.col("fp").alias("u"), F.col("first").alias("v"))
+    u, v = (first.select(F.col("bits").alias(c), F.col("first").alias(f"{c}_first")) for c in "uv")
+    apart = bit_links(first.select(F.col("bits").alias("fp")), radius).join(u, "u").join(v, "v")
+    return same.unionAll(apart.select(F.col("u_first").alias("u"), F.col("v_first").alias("v")))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int | None = None) -> DataFrame:
+    """Of each component the row with the smallest id (a null id last), with all its columns.
+
+    With a ``radius``, texts whose SimHash fingerprints differ in at most so many bits are linked too.
+    """
     docs = located(docs)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), FILE, ROW)
     rows = stage(texts.mapInArrow(_sets, f"doc_id long, {FILE} string, {ROW} long, fp long, n int, keys array<long>"), "near-sets")
     nodes = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "near-nodes")
-    return drop_others(docs, named(rows.select("doc_id", FILE, ROW, "fp"), nodes, links(rows, texts)))
+    edges = links(rows, texts)
+    if radius is not None:
+        edges = edges.unionAll(fingerprint_links(rows, texts, radius))
+    return drop_others(docs, named(rows.select("doc_id", FILE, ROW, "fp"), nodes, edges))

@@ -6,6 +6,7 @@ import re
 
 import pytest
 import xxhash
+import corpus_pipeline
 from conftest_llm import ODD, SF
 
 from hushframe.llm import decontaminate, simhash, substrings
@@ -323,3 +324,17 @@ def test_near_keeps_one_of_each_component_at_four_fifths(docs_of):
 def test_near_links_do_not_depend_on_cells(docs_of, monkeypatch):
     monkeypatch.setattr(near_sets.links, "__defaults__", (3,))
     assert sorted(r.doc_id for r in near_sets.keep_one(docs_of(altered())).collect()) == near_rows(altered())
+
+
+def test_near_links_by_fingerprint_too(spark):
+    """Few runs, often repeated, and ends of their own: one fingerprint for sets far apart in similarity."""
+    said = " ".join(f"wort{i}" for i in range(9))
+    texts = [" ".join([said] * 300 + [f"{k}ende{i}" for i in range(8)]) for k in "ab"]
+    other = [" ".join(f"{k}neu{i}" for i in range(60)) for k in "cd"]
+    docs = [(3, texts[0]), (1, texts[1]), (4, other[0]), (2, other[1]), (5, ""), (6, None)]
+    assert near_rows([(i, t or "") for i, t in docs[:4]]) == [1, 2, 3, 4]
+    marks = dict((r["doc_id"], r["component_id"]) for r in simhash.mark(spark.createDataFrame(docs, "doc_id long, text string")).collect())
+    assert marks == {1: 1, 3: 1, 2: 2, 4: 4, 5: 5, 6: 5}
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in near_sets.keep_one(df).collect()) == [1, 2, 3, 4, 5]
+    assert sorted(r["doc_id"] for r in corpus_pipeline.distinct(spark, df, "").collect()) == [1, 2, 4, 5]
