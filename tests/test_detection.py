@@ -278,3 +278,16 @@ def test_histogram(spark):
 
     df = spark.createDataFrame([([0, 3, 3, 1],), ([],), ([3] * 50,)], "s array<bigint>")
     assert [list(r[0]) for r in df.select(histogram(F.col("s"), 4)).collect()] == [[1, 1, 0, 2], [0, 0, 0, 0], [0, 0, 0, 50]]
+
+
+def test_labels_begin_with_odd_letters(texts):
+    """The look at a label's first letter lets through what ignoring case takes for it; context words in and beyond the first window."""
+    rows = texts(
+        "ſecret: abcd1", "Kunde: Max Muster", "SECRET: abcd1", "Konto" + " " * 70 + "a b c d DE89370400440532013000",
+        "Konto a b c d e DE89370400440532013000", "konto a b c d DE89370400440532013000",
+    )
+    found = rec.detect(rows).orderBy("doc_id").collect()
+    assert [[(s["text"], round(s["score"], 2)) for s in r["spans"] if s["entity_type"] in ("CREDENTIAL", "DOC_METADATA")] for r in found[:3]] == [
+        [("abcd1", 0.9)], [("Max Muster", 0.85)], [("abcd1", 0.9)],
+    ]
+    assert [[round(s["score"], 2) for s in r["spans"] if s["entity_type"] == "EU_PII"] for r in found[3:]] == [[1.0], [0.85], [1.0]]
