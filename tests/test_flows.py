@@ -395,5 +395,20 @@ def test_stream_of_many_files_and_a_last_one(spark):
     seen = []
     rows = spark.range(40).repartition(4)
     stream = runs.as_stream(rows, "numbers", spark.range(99, 100))
-    runs.drain_batches(stream, "numbers", lambda df, _: seen.append((sorted(r["id"] for r in df.collect()), len(df.inputFiles()))))
+    runs.drain_batches(stream, "numbers", lambda df, _: seen.append((sorted(r["id"] for r in df.collect()), df.select(F.input_file_name()).distinct().count())))
     assert [ids for ids, _ in seen] == [list(range(40)), [99]] and seen[0][1] == 4
+
+
+def test_answers_go_as_rows():
+    """The stream hands rows to the processor and takes rows: no frame for each answer."""
+    from types import SimpleNamespace
+
+    from pyspark.sql import Row
+
+    state = SimpleNamespace(exists=lambda: False, clear=lambda: None)
+    processor = answers.AnswerRows()
+    processor.init(SimpleNamespace(getValueState=lambda *a: state, getMapState=lambda *a: state))
+    columns = Row("stream_id", *answers.PIECE_COLUMNS)
+    rows = [columns("s", 1, "end", "", None, "choices", None), columns("s", None, "delta", "x", None, "choices", None), columns("s", 0, "delta", "Ari", None, "choices", '{"Ari": "Max"}')]
+    out = list(processor.handleInputRows(("s",), iter(rows), None))
+    assert [r.asDict() for r in out] == [{"stream_id": "s", "seq": 0, "part": 0, "text": "Max", "line": None}]
