@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from hushframe.operators import admission, chat, sensitivity
+from hushframe.plans import fixtures as fx
 from hushframe.sources import files, sse, vault
 from hushframe.streaming import answers, limits, messages, runs
 
@@ -412,3 +413,21 @@ def test_answers_go_as_rows():
     rows = [columns("s", 1, "end", "", None, "choices", None), columns("s", None, "delta", "x", None, "choices", None), columns("s", 0, "delta", "Ari", None, "choices", '{"Ari": "Max"}')]
     out = list(processor.handleInputRows(("s",), iter(rows), None))
     assert [r.asDict() for r in out] == [{"stream_id": "s", "seq": 0, "part": 0, "text": "Max", "line": None}]
+
+
+def test_rows_of_one_row_group_are_dealt_over_the_cores(spark, tmp_path):
+    path = str(tmp_path / "documents.parquet")
+    words = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(60)), lambda i: F.sha2(F.concat(F.col("id").cast("string"), i.cast("string")), 256)), " ")
+    spark.range(400).select(F.col("id").alias("doc_id"), words.alias("text")).coalesce(1).write.parquet(path)
+    # Files are cut into many more splits than they have row groups.
+    small = {"spark.sql.files.maxPartitionBytes": "16k", "spark.sql.files.openCostInBytes": "1k"}
+    before = {k: spark.conf.get(k) for k in small}
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        assert fx.table(spark, str(tmp_path), "documents").rdd.getNumPartitions() > 8
+        sizes = [r["count"] for r in fx.documents(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum(sizes) == 400 and max(sizes) < 80
