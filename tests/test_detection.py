@@ -291,3 +291,46 @@ def test_labels_begin_with_odd_letters(texts):
         [("abcd1", 0.9)], [("Max Muster", 0.85)], [("abcd1", 0.9)],
     ]
     assert [[round(s["score"], 2) for s in r["spans"] if s["entity_type"] == "EU_PII"] for r in found[3:]] == [[1.0], [0.85], [1.0]]
+
+
+_END = " und das sind mehr als sechs Worte bis zum Ende des Absatzes"
+
+
+def test_parts_of_a_text_give_the_finds_of_the_whole(spark):
+    key = "-----BEGIN RSA PRIVATE KEY-----"
+    close = "-----END RSA PRIVATE KEY-----"
+    pieces = [
+        f"Herr Thomas Gruber, UID ATU12345678{_END}.",
+        f"Maria schreibt an Anna{_END}.",  # a name whose context stands in the piece before
+        "Bitte nennen Sie uns noch vor dem Wochenende die gewünschte Bankverbindung.",
+        "AT61 1904 3002 3457 3201 ist es, danke",  # no clear end
+        "0664/123456",
+        f"7 Tage{_END}, Sozialversicherungsnummer.",
+        f"1234 010180{_END}, sagt Maria.",
+        f"Gruber kommt{_END}. Diagnose: Gr.",
+        f"Abc, weiter{_END}.",
+        f"{key}\nabc{_END}.",
+        f"mitten im Schlüssel mit Passwort: geheim1{_END}.",
+        f"noch immer darin, zwanzig Zeichen{_END}\n{close}\nDanke{_END}.",
+        f"Auftraggeber: Silber GmbH{_END}, und der Kunde:",
+        f"Max Mustermann\n{_END}.",
+        f"{key} ohne Ende{_END}.",
+        None,
+        f"Unser Herr Karl Moser\nIP 10.1.2.3{_END}.",
+        f"10.1.2.4 ist die letzte{_END}.",
+    ]
+    rows = [(d, at, t) for d in (1, 2, 3) for at, t in enumerate(pieces[:: 2 if d == 2 else 1])]
+    rows += [(3, 4, "zwei an einer Stelle, Passwort: geheim2" + _END + ".")]
+    df = spark.createDataFrame(rows, "doc_id long, at long, text string")
+    for size in (1, 1 << 16):
+        parts = rec.detect_parts(df, part_size=size)
+        got, cut = {}, 0
+        for r in parts.orderBy("doc_id", "part").collect():
+            cut += 1
+            for s in r["spans"]:
+                assert r["text"][s["start"] : s["end"]] == s["text"]
+                got.setdefault(r["doc_id"], []).append((s["start"] + r["offset"], s["end"] + r["offset"], s["entity_type"], s["score"], s["text"]))
+        lines = F.transform(F.sort_array(F.collect_list(F.struct("at", "text"))), lambda x: x["text"])
+        whole = rec.detect(df.groupBy("doc_id").agg(F.array_join(lines, "\n").alias("text"))).collect()
+        assert got == {r["doc_id"]: [(s["start"], s["end"], s["entity_type"], s["score"], s["text"]) for s in r["spans"]] for r in whole}
+        assert cut == {1: 19, 1 << 16: 3}[size]
