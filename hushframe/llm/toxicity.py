@@ -8,6 +8,7 @@ shares most of its n-grams. After training an n-gram is one number, and scoring
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -119,19 +120,24 @@ def fit(texts: list[str], classes: list[int], share: float | None = None, rounds
     if len(set(classes)) < 2:
         return Model(np.zeros(BUCKETS, np.float32), 0.0, 1.0, 0.0, share=float(y.sum() / (len(y) + 1)), blank=True)
     rng = np.random.default_rng(seed)
-    found = [grams(t.encode()) for t in texts]
-    used = np.array([k for k, g in enumerate(found) if len(g.start)], np.int64)
+    # The driver holds the sample's n-grams once, at two bytes each.
+    held_ids, begins, sizes, used = array("H"), [], [], []
+    for k, text in enumerate(texts):
+        g = grams(text.encode())
+        if len(g.start):
+            begins.append(g.start + len(held_ids))
+            sizes.append(len(g.bucket))
+            used.append(k)
+            held_ids.frombytes(g.bucket.tobytes())
     if len(set(y[used])) < 2:
         # Of one class at least no text has a word.
         return Model(np.zeros(BUCKETS, np.float32), 0.0, 1.0, 0.0, share=float(y.mean()) if share is None else share, blank=True)
-    found, y = [found[k] for k in used], y[used]
-    ids = np.concatenate([g.bucket for g in found])
-    lengths = np.array([len(g.bucket) for g in found], np.int64)
-    starts = np.concatenate([g.start + o for g, o in zip(found, np.cumsum(lengths) - lengths, strict=True)])
+    y, n = y[used], len(used)
+    ids, lengths, starts = np.frombuffer(held_ids, np.uint16), np.array(sizes, np.int64), np.concatenate(begins)
     ends = np.append(starts[1:], len(ids))
-    doc = np.repeat(np.arange(len(found)), [len(g.start) for g in found])
-    first, n = np.searchsorted(doc, np.arange(len(found))), len(found)
-    del found
+    doc = np.repeat(np.arange(n), [len(b) for b in begins])
+    first = np.searchsorted(doc, np.arange(n))
+    del begins
     held = rng.random(n) < 0.2  # for calibration
     table = rng.normal(0, 0.02, (BUCKETS, WIDTH))
     soft = np.array([-1.0, 1.0])[:, None] * rng.normal(0, 0.3, WIDTH)[None]
@@ -189,7 +195,10 @@ def fit(texts: list[str], classes: list[int], share: float | None = None, rounds
     # The sample has more toxic texts than the corpus.
     odds = lambda p: np.log(max(p, 1e-6) / max(1 - p, 1e-6))
     add += odds(share) - odds(y[some].mean())
-    weight = (table @ (soft[1] - soft[0])) * (np.bincount(ids, minlength=BUCKETS) > 0)
+    met = np.zeros(BUCKETS, bool)
+    for i in range(0, len(ids), CHUNK):
+        met[ids[i : i + CHUNK]] = True
+    weight = (table @ (soft[1] - soft[0])) * met
     return Model(weight.astype(np.float32), float(bias[1] - bias[0]), slope, float(add), share)
 
 

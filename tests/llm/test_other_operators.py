@@ -169,6 +169,24 @@ def test_toxicity_learned_from_texts_without_words(spark, docs_of, texts):
     assert sorted(r.doc_id for r in toxicity.mark(docs, labels).collect()) == [5, 6, 7]
 
 
+def test_toxicity_learns_within_a_few_bytes_for_each_n_gram():
+    """The driver holds the sample's n-grams once; no step makes wide copies of all of them."""
+    import tracemalloc
+
+    r = random.Random(3)
+    texts = [" ".join(f"w{r.randrange(5000)}" for _ in range(250)) + (" grimblefop" if k % 4 == 0 else "") for k in range(2000)]
+    n = sum(len(toxicity.grams(t.encode()).bucket) for t in texts)
+    tracemalloc.start()
+    try:
+        model = toxicity.fit(texts, [int(k % 4 == 0) for k in range(2000)], rounds=2)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    fixed = 40 * toxicity.BUCKETS * toxicity.WIDTH + 24_000_000  # table, its sums and copies, and one part of the sample at work
+    assert n > 5_000_000 and not model.blank
+    assert peak < 3 * n + fixed, (peak, n)
+
+
 def test_toxicity_knows_misspellings_in_long_texts_and_keeps_clean_ones(spark, docs_of):
     docs, labels = fixture()
     more = [(9001, prose(1, 3000, ["idiott"])), (9002, prose(2, 3000)), (9003, ""), (9004, None)]
