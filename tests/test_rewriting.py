@@ -307,3 +307,22 @@ def test_maps_of_ten_thousand_codenames(spark):
         took[n] = time.perf_counter() - started
         assert all(r["r"] == " ".join(f"Name {(r.id * 37 + k * 11) % n + 1} ja" for k in range(40)) for r in rows)
     assert took[10_000] < 10 * took[2_500] + 1
+
+
+def test_sql_rewrites_the_spans_it_is_given(spark, texts):
+    """With spans, also none at all, nothing is detected again; without it detects."""
+    from hushframe.functions import sqlfuncs
+
+    sqlfuncs.register(spark)
+    said = "Herr Thomas und Frau Maria, UID ATU12345678."
+    rows = texts(said).withColumn("one", F.expr("filter(pii_spans(text), s -> s.entity_type = 'AT_UID_NR')"))
+    got = spark.sql(
+        """SELECT pii_anonymize(text, one).anonymized AS one, pii_anonymize(text).anonymized AS whole,
+          pii_anonymize(text, pii_spans(text)).mapping AS mapping, pii_anonymize(text).mapping AS found,
+          pii_anonymize(text, filter(one, s -> false)).anonymized AS none FROM {t}""",
+        t=rows,
+    ).first()
+    assert got["one"] == "Herr Thomas und Frau Maria, UID [AT_UID_NR_1]."
+    assert got["whole"] == "Herr Arion und Frau Brynn, UID [AT_UID_NR_1]."
+    assert got["mapping"] == got["found"] and len(got["found"]) == 3
+    assert got["none"] == said
