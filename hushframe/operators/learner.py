@@ -7,6 +7,7 @@ default is a capitalised word that does not begin a sentence.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -52,69 +53,108 @@ def token_runs(tokens: DataFrame) -> DataFrame:
 
 
 def _together(spans: Column, others: Column) -> Column:
-    """Spans (kind 0) and others (kind 1) in one array in order of their start."""
+    """Places of spans (kind 0) and others (kind 1) in one array in order of their start; ``at`` is an item's index."""
 
     def marked(items: Column, kind: int) -> Column:
         return F.transform(
-            items,
-            lambda s, i: F.struct(
-                s["start"].alias("start"), F.lit(kind).alias("kind"), s["end"].alias("end"), i.alias("at"), s.alias("item")
-            ),
+            items, lambda s, i: F.struct(s["start"].alias("start"), F.lit(kind).alias("kind"), s["end"].alias("end"), i.alias("at"))
         )
 
     return F.sort_array(F.concat(marked(spans, 0), marked(others, 1)))
 
 
+def _both(items: Column, spans: Column, body: Callable[[Column, Column], Column]) -> Column:
+    """``body(items, spans)`` with both computed once, as they are asked for at each step."""
+    return let(F.struct(items.alias("items"), spans.alias("spans")), lambda w: body(w["items"], w["spans"]))
+
+
 def uncovered(candidates: Column, spans: Column) -> Column:
-    """Candidates that do not begin inside a span: one walk over spans and candidates together."""
+    """Candidates that do not begin inside a span."""
+    return _both(candidates, spans, _uncovered)
+
+
+def _uncovered(candidates: Column, spans: Column) -> Column:
+    """The same of computed columns: one walk over spans and candidates together."""
 
     def step(reach: Column, e: Column) -> tuple[Column, Column]:
         free = (e["kind"] == 1) & (e["start"] >= reach)
         after = F.when(e["kind"] == 0, F.greatest(reach, e["end"])).otherwise(reach)
-        return after, F.when(free, F.array(e["item"])).otherwise(sp.no_spans())
+        return after, F.when(free, F.array(e["at"])).otherwise(_no_places())
 
-    walked = walk(_together(spans, candidates), F.lit(0), sp.SPAN_TYPE, step)
+    walked = _picked(candidates, walk(_together(spans, candidates), F.lit(0), "int", step))
     return F.when(F.size(spans) > 0, walked).otherwise(candidates)
 
 
 def untouched(candidates: Column, spans: Column) -> Column:
-    """Candidates that share no character with a span; the second walk goes from the end."""
+    """Candidates that share no character with a span."""
+    return _both(uncovered(candidates, spans), spans, _not_reaching)
+
+
+def _not_reaching(candidates: Column, spans: Column) -> Column:
+    """Candidates that begin outside all spans and end before the next: a walk from the end."""
 
     def step(first: Column, e: Column) -> tuple[Column, Column]:
         free = (e["kind"] == 1) & (e["end"] <= first)
         after = F.when(e["kind"] == 0, e["start"]).otherwise(first)
-        return after, F.when(free, F.array(e["item"])).otherwise(sp.no_spans())
+        return after, F.when(free, F.array(e["at"])).otherwise(_no_places())
 
-    backwards = F.reverse(_together(spans, uncovered(candidates, spans)))
-    walked = walk(backwards, F.lit(2**31 - 1), sp.SPAN_TYPE, step)
+    backwards = F.reverse(_together(spans, candidates))
+    walked = _picked(candidates, walk(backwards, F.lit(2**31 - 1), "int", step))
     return F.when(F.size(spans) > 0, walked).otherwise(candidates)
 
 
+def _no_places() -> Column:
+    return F.array().cast("array<int>")
+
+
+def _picked(items: Column, places: Column) -> Column:
+    return F.transform(places, lambda at: F.get(items, at))
+
+
 def _frequency(low: Column, term: Column) -> Column:
-    needle = F.lower(term)
-    gone = F.length(F.replace(low, needle, F.lit("")))
-    return ((F.length(low) - gone) / F.length(needle)).cast("int")
+    return _count(low, F.lower(term))
 
 
-def _unknown(texts: Column, spans: Column, stop_terms: Sequence[str], min_chars: int) -> Column:
-    """Distinct texts that are long enough and neither known from a span nor stop terms: one sort and one walk."""
-    known = F.filter(F.transform(spans, lambda s: fold_key(s["text"])), lambda k: k.isNotNull())
-    barred = F.transform(
-        F.array_distinct(known), lambda k: F.struct(k.alias("key"), F.lit(0).alias("kind"), F.lit("").alias("term"))
-    )
-    # The stop terms are a set of constants, looked up as such; only what the row holds is sorted.
+def _count(low: Column, needle: Column) -> Column:
+    # Bytes are known, characters have to be counted.
+    gone = F.octet_length(F.replace(low, needle, F.lit("")))
+    return ((F.octet_length(low) - gone) / F.octet_length(needle)).cast("int")
+
+
+#: Known texts that are looked up one by one; more are met by sorting.
+FEW_KNOWN = 64
+
+
+def _known(spans: Column) -> Column:
+    """The texts of spans as they are compared."""
+    return F.array_distinct(F.filter(F.transform(spans, lambda s: fold_key(s["text"])), lambda k: k.isNotNull()))
+
+
+def _unknown(texts: Column, known: Column, stop_terms: Sequence[str], min_chars: int) -> Column:
+    """Distinct texts that are long enough and neither ``known`` nor stop terms."""
+    # The stop terms are a set of constants, looked up as such.
     long = F.filter(F.array_distinct(texts), lambda t: (F.length(t) >= min_chars) & ~F.lower(t).isin(*stop_terms))
-    asked = F.transform(long, lambda t: F.struct(F.lower(t).alias("key"), F.lit(1).alias("kind"), t.alias("term")))
+    none = F.array().cast("array<string>")
 
-    def step(last: Column, e: Column) -> tuple[Column, Column]:
-        free = (e["kind"] == 1) & ~e["key"].eqNullSafe(last)
-        return (
-            F.when(e["kind"] == 0, e["key"]).otherwise(last),
-            F.when(free, F.array(e["term"])).otherwise(F.array().cast("array<string>")),
-        )
+    def sorted_out(w: Column) -> Column:
+        """One sort and one walk over both."""
+        barred = F.transform(w["barred"], lambda k: F.struct(k.alias("key"), F.lit(0).alias("kind"), F.lit("").alias("term")))
+        asked = F.transform(w["long"], lambda t: F.struct(F.lower(t).alias("key"), F.lit(1).alias("kind"), t.alias("term")))
+
+        def step(last: Column, e: Column) -> tuple[Column, Column]:
+            free = (e["kind"] == 1) & ~e["key"].eqNullSafe(last)
+            return F.when(e["kind"] == 0, e["key"]).otherwise(last), F.when(free, F.array(e["term"])).otherwise(none)
+
+        return walk(F.sort_array(F.concat(barred, asked)), F.lit(None).cast("string"), "string", step)
 
-    walked = walk(F.sort_array(F.concat(barred, asked)), F.lit(None).cast("string"), "string", step)
-    return F.when(F.size(long) > 0, walked).otherwise(long)
+    def left(w: Column) -> Column:
+        fresh = F.filter(w["long"], lambda t: ~F.array_contains(w["barred"], F.lower(t)))
+        return F.when(F.size(w["barred"]) == 0, w["long"]).when(F.size(w["barred"]) <= FEW_KNOWN, fresh).otherwise(sorted_out(w))
+
+    # Met by hash: mostly few of the texts are known.
+    barred = lambda found: F.array_intersect(F.transform(found, F.lower), known)
+    kept = let(long, lambda found: let(F.struct(found.alias("long"), barred(found).alias("barred")), left))
+    return F.when(F.size(known) > 0, kept).otherwise(long)
 
 
 def _rare(text: Column, found: Column) -> Column:
@@ -123,14 +163,15 @@ def _rare(text: Column, found: Column) -> Column:
 
 
 def _free_texts(candidates: Column, spans: Column) -> Column:
-    return F.transform(uncovered(candidates, spans), lambda t: t["text"])
+    """Of computed columns."""
+    return F.transform(_uncovered(candidates, spans), lambda t: t["text"])
 
 
 def signal_terms(text: Column, candidates: Column, spans: Column, stop_terms: Sequence[str], min_chars: int) -> Column:
     """Distinct candidate texts that are unknown, uncovered, no stop terms and rare in the text."""
     return let(
         F.struct(candidates.alias("candidates"), spans.alias("spans")),
-        lambda w: _rare(text, _unknown(_free_texts(w["candidates"], w["spans"]), w["spans"], stop_terms, min_chars)),
+        lambda w: _rare(text, _unknown(_free_texts(w["candidates"], w["spans"]), _known(w["spans"]), stop_terms, min_chars)),
     )
 
 
@@ -152,6 +193,12 @@ def model_terms(
     Coverage does not matter here, only whether the text itself is already known.  Without ``rare`` terms are not counted
     in the text, for a caller that does so later.
     """
+    found = _named(annotations, tokens, _known(spans), stop_terms)
+    return _rare(text, found) if rare else found
+
+
+def _named(annotations: Column, tokens: Column, known: Column, stop_terms: Sequence[str]) -> Column:
+    """``model_terms`` from the known texts, not counted."""
 
     def proper_only(a: Column) -> Column:
         parts = F.filter(F.split(a["text"], r"(?U)[^\w&]+"), lambda w: w != "")
@@ -168,8 +215,7 @@ def model_terms(
         annotations,
         lambda a: a["entity_type"].isin("PER", "ORG") | ((a["entity_type"] == "MISC") & proper_only(a)),
     )
-    found = _unknown(F.transform(accepted, lambda a: F.trim(a["text"])), spans, stop_terms, c.TERM_MIN_CHARS)
-    return _rare(text, found) if rare else found
+    return _unknown(F.transform(accepted, lambda a: F.trim(a["text"])), known, stop_terms, c.TERM_MIN_CHARS)
 
 
 def _mean(vectors: Column) -> Column:
@@ -201,21 +247,31 @@ def similar_terms(
     ``encode`` gives a word's vector (array of doubles) or null; a type's vector is the mean over the tokens inside its
     spans.  ``rare`` as for ``model_terms``.
     """
+    found = _similar(uncovered(phrases, spans), tokens, spans, _known(spans), encode, stop_terms, threshold)
+    return _rare(text, found) if rare else found
+
+
+def _similar(
+    free: Column, tokens: Column, spans: Column, known: Column, encode: Callable[[Column], Column], stop_terms: Sequence[str],
+    threshold: float = c.TERM_SIMILARITY,
+) -> Column:
+    """``similar_terms`` from the phrases that begin outside all spans and the known texts, not counted."""
     member = "struct<kind:string,vector:array<double>>"
 
-    def inside(open_: Column, e: Column) -> tuple[Column, Column]:
+    def inside(w: Column, open_: Column, e: Column) -> tuple[Column, Column]:
         near = F.filter(open_, lambda o: o["end"] > e["start"])
         after = F.when(
-            e["kind"] == 0, F.concat(near, F.array(F.struct(e["end"].alias("end"), e["item"]["entity_type"].alias("kind"))))
+            e["kind"] == 0,
+            F.flatten(F.array(near, F.array(F.struct(e["end"].alias("end"), F.get(w["spans"], e["at"])["entity_type"].alias("kind"))))),
         ).otherwise(near)
         holders = F.filter(near, lambda o: (e["kind"] == 1) & (o["end"] >= e["end"]))
         return after, F.transform(
-            holders, lambda o: F.struct(o["kind"].alias("kind"), encode(e["item"]["text"]).alias("vector"))
+            holders, lambda o: F.struct(o["kind"].alias("kind"), encode(F.get(w["tokens"], e["at"])["text"]).alias("vector"))
         )
 
     def close(w: Column) -> Column:
         members = walk(
-            _together(w["spans"], w["tokens"]), F.array().cast("array<struct<end:int,kind:string>>"), member, inside
+            _together(w["spans"], w["tokens"]), F.array().cast("array<struct<end:int,kind:string>>"), member, partial(inside, w)
         )
         centres = let(
             members,
@@ -229,8 +285,8 @@ def similar_terms(
             dot = F.aggregate(F.zip_with(phrase, centre, lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x)
             return F.coalesce(dot > threshold, F.lit(False))
 
-        free = F.transform(untouched(w["phrases"], w["spans"]), lambda p: F.trim(p["text"]))
-        fresh = _unknown(free, w["spans"], stop_terms, c.TERM_MIN_CHARS)
+        clear = F.transform(_not_reaching(w["free"], w["spans"]), lambda p: F.trim(p["text"]))
+        fresh = _unknown(clear, w["known"], stop_terms, c.TERM_MIN_CHARS)
         return let(
             F.filter(centres, lambda v: v.isNotNull()),
             lambda cs: F.filter(
@@ -241,9 +297,7 @@ def similar_terms(
             ),
         )
 
-    work = F.struct(phrases.alias("phrases"), tokens.alias("tokens"), spans.alias("spans"))
-    found = let(work, close)
-    return _rare(text, found) if rare else found
+    return let(F.struct(free.alias("free"), tokens.alias("tokens"), spans.alias("spans"), known.alias("known")), close)
 
 
 def learned_terms(
@@ -260,23 +314,23 @@ def learned_terms(
     text gets no more than that many learned terms.  Terms are counted in their final order, and no longer once
     enough of them occur a single time.
     """
-    return _learned(text, proper_nouns(text), proper_runs(text), spans, stop_terms, extra, limit)
+    free = uncovered(F.concat(proper_nouns(text), proper_runs(text)), spans)
+    return _learned(text, free, _known(spans), stop_terms, extra, limit)
 
 
-def _learned(
-    text: Column, nouns: Column, runs: Column, spans: Column, stop_terms: Sequence[str], extra: Sequence[Column], limit: int
-) -> Column:
+def _learned(text: Column, free: Column, known: Column, stop_terms: Sequence[str], extra: Sequence[Column], limit: int) -> Column:
+    """``learned_terms`` from the phrases that begin outside all spans and the known texts."""
     ranked_type = "struct<n:int,key:string,term:string>"
 
     def finish(w: Column) -> Column:
-        own = F.concat(_free_texts(w["nouns"], w["spans"]), _free_texts(w["runs"], w["spans"]))
-        found = _unknown(own, w["spans"], stop_terms, c.TERM_MIN_CHARS)
+        own = F.transform(w["free"], lambda t: t["text"])
+        found = _unknown(own, w["known"], stop_terms, c.TERM_MIN_CHARS)
         if extra:
-            found = _unknown(F.concat(found, *extra), sp.no_spans(), stop_terms, c.TERM_MIN_CHARS)
+            found = _unknown(F.concat(found, *extra), F.array().cast("array<string>"), stop_terms, c.TERM_MIN_CHARS)
         ordered = F.sort_array(F.transform(found, lambda t: F.struct(F.lower(t).alias("key"), t.alias("term"))))
 
         def count(singles: Column, e: Column) -> tuple[Column, Column]:
-            n = F.when(singles < limit, _frequency(w["low"], e["term"])).otherwise(F.lit(c.TERM_MAX_COUNT + 1))
+            n = F.when(singles < limit, _count(w["low"], e["key"])).otherwise(F.lit(c.TERM_MAX_COUNT + 1))
             picked = let(
                 F.struct(n.alias("n"), e["key"].alias("key"), e["term"].alias("term")),
                 lambda x: F.when(x["n"] <= c.TERM_MAX_COUNT, F.array(x)).otherwise(F.array().cast(f"array<{ranked_type}>")),
@@ -286,7 +340,7 @@ def _learned(
         ranked = walk(ordered, F.lit(0), ranked_type, count)
         return F.transform(F.slice(F.sort_array(ranked), 1, limit), lambda r: r["term"])
 
-    work = F.struct(nouns.alias("nouns"), runs.alias("runs"), spans.alias("spans"), F.lower(text).alias("low"))
+    work = F.struct(free.alias("free"), known.alias("known"), F.lower(text).alias("low"))
     return let(work, finish)
 
 
@@ -314,44 +368,49 @@ def detect_two_pass(
 
     def finish(found: Column) -> Column:
         kept = sp.clean_spans(rec.keep_spans(found, **filters))
-        # Bound, as the check asks for the spans several times.
-        return kept if proper is None else let(kept, lambda k: person_pos_check(k, proper))
+        return kept if proper is None else person_pos_check(kept, proper)
 
     # One column for each step: the optimizer keeps columns that are used more than once apart, so each is computed once.
     found = rec.found_spans(text, registry=registry, deny_terms=deny_terms)
     out = df.withColumn("__found", found)
     out = out.withColumn("__first", finish(F.col("__found")))
-    out = out.withColumns({"__nouns": proper_nouns(body), "__runs": proper_runs(body)})
-    nouns, first = F.col("__nouns") if proper is None else proper, F.col("__first")
+    first = F.col("__first")
+    out = out.withColumn("__nouns", proper_nouns(body))
+    # The signals share the phrases outside all spans and the texts that are known.
+    out = out.withColumns({"__free": uncovered(F.concat("__nouns", proper_runs(body)), first), "__known": _known(first)})
+    free, known = F.col("__free"), F.col("__known")
+    nouns = F.col("__nouns") if proper is None else proper
     steps = {}
     if annotations is not None:
-        steps["__named"] = model_terms(body, annotations, nouns, first, stop_terms, rare=False)
+        steps["__named"] = _named(annotations, nouns, known, stop_terms)
     if encode is not None:
-        phrases = F.concat(F.col("__nouns"), F.col("__runs"))
-        steps["__similar"] = similar_terms(body, phrases, nouns, first, encode, stop_terms, rare=False)
+        steps["__similar"] = _similar(free, nouns, first, known, encode, stop_terms)
     for name, step in steps.items():
         out = out.withColumn(name, F.when(F.size(first) > 0, step).otherwise(none))
-    learned = _learned(
-        body, F.col("__nouns"), F.col("__runs"), first, stop_terms, [F.col(n) for n in steps], c.TERMS_PER_TEXT
-    )
+    learned = _learned(body, free, known, stop_terms, [F.col(n) for n in steps], c.TERMS_PER_TEXT)
     out = out.withColumn("__learned", F.when(F.size(first) > 0, learned).otherwise(none))
     terms_ = F.col("__learned")
     again = finish(F.concat(F.col("__found"), terms.find_row_terms(body, terms.longest_first(terms_))))
     out = out.withColumn(into, F.when(F.size(terms_) > 0, again).otherwise(first))
-    return out.drop("__found", "__first", "__nouns", "__runs", "__learned", *steps)
+    return out.drop("__found", "__first", "__nouns", "__free", "__known", "__learned", *steps)
 
 
 def person_pos_check(spans: Column, tokens: Column) -> Column:
-    """Keep a PERSON only if a proper noun begins inside it: one walk from the end, with the nearest noun at hand."""
+    """Keep a PERSON only if a proper noun begins inside it."""
+    return _both(tokens, spans, _person_pos_check)
+
+
+def _person_pos_check(tokens: Column, spans: Column) -> Column:
+    """The same of computed columns: one walk from the end, with the nearest noun at hand."""
 
     def step(nearest: Column, e: Column) -> tuple[Column, Column]:
-        fine = (e["kind"] == 0) & ((e["item"]["entity_type"] != "PERSON") | (nearest < e["end"]))
+        fine = (e["kind"] == 0) & ((F.get(spans, e["at"])["entity_type"] != "PERSON") | (nearest < e["end"]))
         after = F.when(e["kind"] == 1, e["start"]).otherwise(nearest)
-        return after, F.when(fine, F.array(e["item"])).otherwise(sp.no_spans())
+        return after, F.when(fine, F.array(e["at"])).otherwise(_no_places())
 
     # At one start the noun comes first on the way back, so it counts for the span.
-    kept = walk(F.reverse(_together(spans, tokens)), F.lit(2**31 - 1), sp.SPAN_TYPE, step)
-    return F.when(F.exists(spans, lambda s: s["entity_type"] == "PERSON"), F.reverse(kept)).otherwise(spans)
+    kept = walk(F.reverse(_together(spans, tokens)), F.lit(2**31 - 1), "int", step)
+    return F.when(F.exists(spans, lambda s: s["entity_type"] == "PERSON"), _picked(spans, F.reverse(kept))).otherwise(spans)
 
 
 def doc_kind(answer: Column) -> Column:

@@ -1,5 +1,7 @@
 """What is found in single texts."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -334,3 +336,56 @@ def test_parts_of_a_text_give_the_finds_of_the_whole(spark):
         whole = rec.detect(df.groupBy("doc_id").agg(F.array_join(lines, "\n").alias("text"))).collect()
         assert got == {r["doc_id"]: [(s["start"], s["end"], s["entity_type"], s["score"], s["text"]) for s in r["spans"]] for r in whole}
         assert cut == {1: 19, 1 << 16: 3}[size]
+
+
+@pytest.mark.parametrize("known", [3, learner.FEW_KNOWN, learner.FEW_KNOWN + 1, 300])
+def test_unknown_texts_are_the_same_looked_up_or_sorted(spark, known):
+    row = {"texts": [f"Wort{i}" for i in range(200)] + ["WORT1", "Zoë", "Ab"], "known": [f"wort{i}" for i in range(known)]}
+    df = spark.createDataFrame([row], "texts array<string>, known array<string>")
+    got = df.select(learner._unknown(F.col("texts"), F.col("known"), ["zoë"], 3).alias("t")).first()["t"]
+    assert sorted(got) == sorted({f"Wort{i}" for i in range(known, 200)})
+
+
+def test_two_passes_compare_known_texts_once(texts):
+    from hushframe.functions.vectors import hashed_word
+
+    nouns = learner.proper_nouns(F.col("text"))
+    df = learner.detect_two_pass(texts("Der Hans kennt Anna Gruber aus Wien."), proper=nouns, annotations=nouns, encode=hashed_word)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    # One array of what is known, which all three signals ask for.
+    assert "__known" in plan
+
+
+def test_candidates_are_computed_once_for_a_walk(texts):
+    nouns = learner.proper_nouns(F.col("text"))
+    df = texts("Der Hans kennt Anna.").select(learner.uncovered(nouns, F.array(sp.span(F.lit("X"), F.lit(4), F.lit(8), F.lit(1.0), F.lit("Hans"), F.lit("x")))).alias("t"))
+    plan = df._jdf.queryExecution().analyzed().toString()
+    assert plan.count(learner.PROPER) == 1
+    assert [r["text"] for r in df.first()["t"]] == ["Anna"]
+
+
+@pytest.mark.parametrize(
+    "before, near",
+    [
+        ("IBAN ", True), ("IBAN a b c d ", True), ("IBAN a b c d e ", False), ("a IBANS,\n\tb  c d e ", True),
+        ("IBAN " + "x" * 70 + " ", True), ("IBAN " + "x" * 70 + " a b c d ", False), ("x " * 90 + "IBAN " + "y" * 200 + "\n", True), ("kontoauszug ", True),
+    ],
+)
+def test_context_is_asked_of_the_last_five_words(texts, before, near):
+    df = texts(before + "12345").select(
+        rec._context_before(rec.blocks(F.col("text")), F.lit(len(before)), lambda p: rec._holds_context(p, F.lit(rec._context_pattern(rec.AT_IBAN)), [rec._context_pattern(rec.AT_IBAN)], last=True)).alias("near")
+    )
+    assert df.first()["near"] is near
+
+
+@pytest.mark.parametrize("label", ["Secret:", "ſecret x", "PİN: a", "toKen ist", "PWD=", "Gewerkschaft"])
+def test_the_label_gate_lets_labels_in_any_letters_pass(texts, label):
+    assert texts("Mit " + label).select(rec.GATES.get(rec.LABEL, rec._label_gate(rec.REGISTRY))(F.col("text")).alias("g")).first()["g"]
+
+
+def test_offsets_of_many_matches(texts):
+    said = "\U0001f600 Passwort:  geheim%d  ; Passwort= äbcde%d, " * 150
+    said = said % tuple(range(300))
+    want = [(m.start(1), m.end(1)) for m in re.finditer(r"Passwort[:=]\s+(\S+)", said)]
+    got = texts(said).select(F.inline(rec.find(F.col("text"), rec.CREDENTIAL_LABEL))).collect()
+    assert [(r["start"], r["end"]) for r in got] == want and all(said[r["start"] : r["end"]] == r["text"] for r in got)
