@@ -391,6 +391,23 @@ def test_folder_with_empty_files(spark, tmp_path):
     assert files.read_files(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_the_driver_lists_no_files_of_many_folders(spark, tmp_path):
+    from hushframe.sources import folder
+
+    place = str(tmp_path / "in")
+    names = [f"f{k}.txt" for k in range(2000)]
+    folder.write(spark.createDataFrame([(n, bytearray(b"x")) for n in names], "name string, content binary"), place)
+    parts = folder.FolderReader({"path": "file://" + place}).partitions()
+    assert len(parts) == folder.DEALT and not any(p.files for p in parts) and all(p.below for p in parts)
+    assert sorted(r["path"].rpartition("/")[2] for r in files.read_files(spark, place).collect()) == sorted(names)
+    # Few folders, one of them deep, and files beside them: listed as they are.
+    for k in range(3):
+        (tmp_path / "few" / str(k) / "deep").mkdir(parents=True)
+        (tmp_path / "few" / str(k) / "deep" / "a.txt").write_text("a")
+        (tmp_path / "few" / f"{k}.txt").write_text("b")
+    assert files.read_files(spark, str(tmp_path / "few")).count() == 6
+
+
 def test_stream_of_many_files_and_a_last_one(spark):
     """The table keeps its files, they come in one batch, and the last row in the next one."""
     seen = []
