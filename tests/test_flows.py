@@ -448,3 +448,34 @@ def test_rows_of_one_row_group_are_dealt_over_the_cores(spark, tmp_path):
         for k, v in before.items():
             spark.conf.set(k, v)
     assert sum(sizes) == 400 and max(sizes) < 80
+
+
+class _Store:
+    """A state store that counts what it is asked for."""
+
+    def __init__(self):
+        self.calls, self.value, self.timers = [], None, []
+
+    def getValueState(self, *given):
+        return self
+
+    getMapState = getValueState
+
+    def __getattr__(self, name):
+        def asked(*given):
+            self.calls.append(name)
+            if name == "update":
+                self.value = given[0]
+            if name == "registerTimer":
+                self.timers.append(given[0])
+            return {"get": self.value, "exists": self.value is not None, "listTimers": self.timers}.get(name)
+
+        return asked
+
+
+def test_a_stream_that_comes_whole_asks_the_store_once():
+    store, processor = _Store(), answers.AnswerRows()
+    processor.init(store)
+    rows = [("s", 0, "delta", "Hallo Ar", None, "choices", '{"Arion": "Anna"}'), ("s", 1, "delta", "ion", None, "choices", None), ("s", 2, "end", "", None, "choices", None)]
+    assert "".join(r["text"] for r in processor.handleInputRows(("s",), iter(rows), None)) == "Hallo Anna"
+    assert store.calls == ["exists"]
