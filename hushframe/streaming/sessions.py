@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -48,8 +47,14 @@ def late_rows(progress: list[dict]) -> int:
     return sum(o.get("numRowsDroppedByWatermark", 0) for p in progress for o in p.get("stateOperators", []))
 
 
+SWEPT = Row("session_id", "created_ms")
+
+
 class SweepProcessor(StatefulProcessor):
-    """Keeps sessions until their lifetime is over and reports each one that goes."""
+    """Keeps sessions until their lifetime is over and reports each one that goes.
+
+    Rows are (session_id, created_at, created_ms).  A state store is asked through a socket, so what is sure is not asked for.
+    """
 
     def __init__(self, ttl: int):
         self.ttl_ms = ttl * 1000
@@ -58,21 +63,22 @@ class SweepProcessor(StatefulProcessor):
         self.handle = handle
         self.session = handle.getValueState("session", "created_ms long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        newest = max(int(t.timestamp() * 1000) for batch in rows for t in batch["created_at"])
-        if self.session.exists():
-            newest = max(newest, self.session.get()[0])
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        newest = max(r[2] for r in rows)
+        if kept := self.session.get():
+            newest = max(newest, kept[0])
+            # Only a session that is kept has a timer.
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
         self.session.update((newest,))
         # An age of exactly the lifetime is still alive.
         self.handle.registerTimer(newest + self.ttl_ms + 1)
-        yield pd.DataFrame({"session_id": [], "created_ms": []}).astype({"session_id": "object", "created_ms": "int64"})
+        return iter(())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         created = self.session.get()[0]
         self.session.clear()
-        yield pd.DataFrame({"session_id": [key[0]], "created_ms": [created]})
+        yield SWEPT(key[0], created)
 
     def close(self) -> None:
         pass
@@ -86,7 +92,7 @@ def sweep_sessions(sessions: DataFrame, ttl: int = SESSION_TTL_SECONDS, late: st
     use_rocksdb(sessions.sparkSession)
     # A write without a time never ends by time: it is left to the batch sweep of the vault.
     rows = sessions.select("session_id", "created_at").where("created_at is not null").withWatermark("created_at", late)
-    return rows.groupBy("session_id").transformWithStateInPandas(
+    return rows.withColumn("created_ms", F.unix_millis("created_at")).groupBy("session_id").transformWithState(
         statefulProcessor=SweepProcessor(ttl), outputStructType="session_id string, created_ms long", outputMode="Append",
         timeMode="EventTime",
     )

@@ -479,3 +479,14 @@ def test_a_stream_that_comes_whole_asks_the_store_once():
     rows = [("s", 0, "delta", "Hallo Ar", None, "choices", '{"Arion": "Anna"}'), ("s", 1, "delta", "ion", None, "choices", None), ("s", 2, "end", "", None, "choices", None)]
     assert "".join(r["text"] for r in processor.handleInputRows(("s",), iter(rows), None)) == "Hallo Anna"
     assert store.calls == ["exists"]
+
+
+def test_a_new_session_has_no_timers_to_list():
+    from hushframe.streaming import sessions
+
+    store, processor = _Store(), sessions.SweepProcessor(10)
+    processor.init(store)
+    assert list(processor.handleInputRows(("s",), iter([("s", None, 5000), ("s", None, 7000)]), None)) == []
+    assert store.calls == ["get", "update", "registerTimer"] and store.value == (7000,) and store.timers == [17001]
+    list(processor.handleInputRows(("s",), iter([("s", None, 6000)]), None))
+    assert store.calls[3:] == ["get", "listTimers", "deleteTimer", "update", "registerTimer"] and store.value == (7000,)
